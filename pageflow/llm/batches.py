@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ def portions(batch: pa.RecordBatch, text: str = "text", chars: int = PORTION_CHA
     """Cut a batch in slices of about ``chars`` bytes of text, one row at least."""
     if batch.num_rows == 0:
         return
-    lengths = pa.compute.binary_length(batch.column(text)).to_pylist()
+    lengths = pc.binary_length(batch.column(text)).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(lengths):
         if total and total + (n or 0) > chars:
