@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pageflow.llm import op5_pieces, op9_counts
+from pageflow.llm import op2_packing, op4_simhash, op5_pieces, op7_huffman, op9_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_MODEL = "word_bpe_49k.json"
@@ -19,17 +20,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(op2_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_MODEL)))
+
+
+def packed(pieces: DataFrame) -> DataFrame:
+    """Pieces with a digest in place of their ids."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_pieces_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_pieces.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op7_huffman_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_huffman.read_ids(op7_huffman.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_MODEL)))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_packing": op2_packing_query,
+        "op4_simhash": op4_simhash_query,
         "op5_sentencepiece": op5_pieces_query,
+        "op7_token_ids": op7_huffman_query,
         "op9_token_counts": op9_token_counts,
     }
 
