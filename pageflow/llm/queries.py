@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageflow.llm import op2_packing, op4_simhash, op5_pieces, op7_huffman, op9_counts
+from pageflow.llm import op2_packing, op4_simhash, op5_pieces, op7_huffman, op8_language, op9_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_MODEL = "word_bpe_49k.json"
@@ -41,6 +41,12 @@ def op7_huffman_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_huffman.read_ids(op7_huffman.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_MODEL)))
 
 
+def op8_language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = op8_language.identify(docs, op8_language.train(docs, op8_language.third()))
+    return found.select("doc_id", op8_language.third().alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
@@ -51,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash_query,
         "op5_sentencepiece": op5_pieces_query,
         "op7_token_ids": op7_huffman_query,
+        "op8_language_id": op8_language_query,
         "op9_token_counts": op9_token_counts,
     }
 
