@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageflow.llm import op2_packing, op4_simhash, op5_pieces, op7_huffman, op8_language, op9_counts
+from pageflow.llm import op10_digest, op2_packing, op4_simhash, op5_pieces, op7_huffman, op8_language, op9_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_MODEL = "word_bpe_49k.json"
@@ -51,6 +51,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op10_digest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_digest.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing_query,
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_ids": op7_huffman_query,
         "op8_language_id": op8_language_query,
         "op9_token_counts": op9_token_counts,
+        "op10_digest": op10_digest_query,
     }
 
 
