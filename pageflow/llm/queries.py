@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageflow.llm import op10_digest, op2_packing, op4_simhash, op5_pieces, op7_huffman, op8_language, op9_counts
+from pageflow.llm import op10_digest, op2_packing, op3_pii, op4_simhash, op5_pieces, op7_huffman, op8_language, op9_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_MODEL = "word_bpe_49k.json"
@@ -29,6 +29,11 @@ def packed(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op3_pii.detect(docs, op3_pii.train(docs))
+
+
 def op4_simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def op10_digest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing_query,
+        "op3_pii": op3_pii_query,
         "op4_simhash": op4_simhash_query,
         "op5_sentencepiece": op5_pieces_query,
         "op7_token_ids": op7_huffman_query,
