@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageflow.llm import op10_digest, op2_packing, op3_pii, op4_simhash, op5_pieces, op7_huffman, op8_language, op9_counts
+from pageflow.llm import op1_covertree, op10_digest, op2_packing, op3_pii, op4_simhash, op5_pieces, op6_warc, op7_huffman, op8_language, op9_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_MODEL = "word_bpe_49k.json"
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_covertree_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_covertree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(op2_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_MODEL)))
 
@@ -42,6 +46,10 @@ def op5_pieces_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_pieces.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
 
+def op6_warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_warc.read_warc(op6_warc.write_warc(table(spark, sf_dir, "pages")))
+
+
 def op7_huffman_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_huffman.read_ids(op7_huffman.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_MODEL)))
 
@@ -62,10 +70,12 @@ def op10_digest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_covertree_topk": op1_covertree_query,
         "op2_packing": op2_packing_query,
         "op3_pii": op3_pii_query,
         "op4_simhash": op4_simhash_query,
         "op5_sentencepiece": op5_pieces_query,
+        "op6_warc": op6_warc_query,
         "op7_token_ids": op7_huffman_query,
         "op8_language_id": op8_language_query,
         "op9_token_counts": op9_token_counts,
@@ -74,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_covertree_topk": op1_covertree.ORACLE, "op6_warc": op6_warc.ORACLE}
