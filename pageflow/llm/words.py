@@ -11,13 +11,18 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 
 
+#: Pieces of words in one call of the library.
+TOGETHER = 64
+
+
 class WordIds:
     #: Distinct words and pieces of words that a worker remembers.
-    WORDS, PIECES = 500_000, 900_000
+    WORDS, PIECES = 700_000, 900_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -28,7 +33,12 @@ class WordIds:
             spec = json.load(f)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4"
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.marks = os.path.commonprefix(self.special)  # what all special strings begin with
         self.pattern = self._word_pattern(spec)
+        suffix = spec["model"].get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         # letters without combining marks and with context-free lower case
@@ -52,20 +62,48 @@ class WordIds:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _library_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Pieces of words, many to a call: each ends with the only id that ends a word."""
+        out: list[bytes] = []
+        groups = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+        for group, ids in zip(groups, self._library([" ".join(g) for g in groups])):
+            got = np.frombuffer(ids, self.dtype)
+            ends = np.flatnonzero(self.ends_word[got]) + 1
+            if len(ends) == len(group) and ends[-1] == len(got):
+                size = got.itemsize
+                cut = [0, *(ends * size).tolist()]
+                out += [ids[x:y] for x, y in zip(cut, cut[1:])]
+            else:
+                out += self._library(group)
+        return out
+
     def _learn(self, words: set[bytes]) -> None:
-        cut, hard = {}, []
+        """Give new words, or their pieces, to the library."""
+        simple, cut, hard, known = self.simple.fullmatch, [], [], self.pieces
+        if len(known) > self.PIECES:
+            known.clear()
+        new: set[str] = set()
         for word in words:
             s = word.decode()
-            if self.simple.fullmatch(s) and not any(t in s for t in self.special):
-                cut[word] = self.pattern.findall(s.lower())
-            else:
+            if not s.isascii() and not simple(s) or self.marks in s and any(t in s for t in self.special):
                 hard.append(word)
-        if len(self.pieces) > self.PIECES:
-            self.pieces.clear()
-        new = list({p for ps in cut.values() for p in ps} - self.pieces.keys())
-        self.pieces.update(zip(new, self._library(new)))
-        for word, ps in cut.items():
-            self.words[word] = b"".join([self.pieces[p] for p in ps])
+                continue
+            # letters, or letters and one common sign, are what the pattern finds most
+            s = s.lower()
+            if s.isalpha():
+                ps = (s,)
+            elif s[-1] in ".,;:|" and s[:-1].isalpha():
+                ps = (s[:-1], s[-1])
+            else:
+                ps = self.pattern.findall(s)
+            cut.append((word, ps))
+            for p in ps:
+                if p not in known:
+                    new.add(p)
+        fresh = list(new)
+        known.update(zip(fresh, self._library_pieces(fresh)))
+        for word, ps in cut:
+            self.words[word] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
         self.words.update(zip(hard, self._library([w.decode() for w in hard])))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -75,7 +113,7 @@ class WordIds:
         split = [t.encode().split() if t else () for t in texts]  # at ASCII white space
         if len(self.words) > self.WORDS:
             self.words.clear()
-        new = set().union(*split) - self.words.keys()
+        new = set(filterfalse(self.words.__contains__, chain.from_iterable(split)))
         if new:
             self._learn(new)
         get = self.words.__getitem__
