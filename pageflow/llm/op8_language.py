@@ -268,6 +268,22 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double" + more)
 
 
+def keep_identified(docs: DataFrame, model: Model, min_share: float, text_col: str = "text") -> DataFrame:
+    """docs, all columns, without the rows whose text has no letter or no language with ``min_share`` of its letters."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Labeller(shared.value)
+        for batch in batches:
+            for part in portions(batch, text_col):
+                langs, scores = own.label(part.column(at).to_pylist())
+                yield part.filter(pa.array([x != "und" and s >= min_share for x, s in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def third(id_col: str = "doc_id"):
     """Whether an id's crc32 leaves 1 by 3: the rows held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
