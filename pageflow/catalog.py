@@ -1,15 +1,516 @@
-"""The registered queries of the reference's own operators, with their DuckDB equivalents."""
+"""The registered queries of the reference's own operators, with their DuckDB equivalents.
+
+Requests, caches and versions come from columns of the driver's tables, always by whole tables. What the
+tables lack is derived from ids: a cached entry's time, a block's version. Arrays are joined to strings.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pageflow import config
+from pageflow.functions import language
+from pageflow.functions import text as T
+from pageflow.operators import batching, blocks, cache
+from pageflow.operators import rules as rule_ops
+from pageflow.operators.extract import extract_blocks
+from pageflow.plans import bilingual
+from pageflow.sources import rules as rule_text
+from pageflow.sources import settings
+from pageflow.streaming import incremental
+
+#: Rules in the same language as a site owner writes them, over the hosts of the pages table.
+RULES = """! rules for the sample hosts
+example.com##.ad
+*.example.com##.ad
+*.example.net##nav
+example.org#+#article
+*.example.org#+#article
+example.*##h1
+m.example.*##div.ad
+*.example.*##:matches-path(/^\\/fr\\//) h1
+*.example.com##:matches-path(/en/) .ad
+*.example.net##:matches-path(/[/) p
+no rule here
+"""
+
+QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = (f, sql)
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# DuckDB forms of what several queries need.
+WS = r"[\s\x0B\p{Z}\x{FEFF}]"
+TRIM = f"regexp_replace(@, '^{WS}+|{WS}+$', '', 'g')"
+UNITS = r"(length(@) + length(regexp_replace(@, '[^\x{10000}-\x{10FFFF}]', '', 'g')))"
+HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+PATH = "coalesce(nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/')"
+
+
+def trim(x: str) -> str:
+    return TRIM.replace("@", x)
+
+
+def units(x: str) -> str:
+    return UNITS.replace("@", x)
+
+
+# --- filters and predicates
+@query("eligible_text", f"select conv_id, turn, t as text from (select conv_id, turn, {trim('text')} as t, text as raw from conversations) where t <> '' and regexp_matches(t, '\\p{{L}}') and not regexp_full_match(t, '[a-zA-Z0-9]{{1,2}}') and not regexp_full_match(raw, 'https?://[^\\s\\x0B\\p{{Z}}\\x{{FEFF}}]+')")
+def eligible_text(spark, d):
+    t = T.utrim(F.col("text"))
+    return table(spark, d, "conversations").where(T.is_eligible(t) & ~T.is_url_only(F.col("text"))).select("conv_id", "turn", t.alias("text"))
+
+
+@query("text_predicates", f"select doc_id, regexp_matches(text, '\\p{{L}}') as has_letter, regexp_full_match(source, '[a-zA-Z0-9]{{1,2}}') as short_source, {units('text')}::int as units, {trim('text')} = text as trimmed from documents")
+def text_predicates(spark, d):
+    text = F.col("text")
+    return table(spark, d, "documents").select("doc_id", T.has_letter(text).alias("has_letter"), T.is_short_ascii(F.col("source")).alias("short_source"), T.utf16_length(text).alias("units"), (T.utrim(text) == text).alias("trimmed"))
+
+
+@query("url_only", "select page_id, regexp_full_match(url, 'https?://[^\\s\\x0B\\p{Z}\\x{FEFF}]+') as plain, regexp_full_match(url || ' and text', 'https?://[^\\s\\x0B\\p{Z}\\x{FEFF}]+') as with_text from pages")
+def url_only(spark, d):
+    url = F.col("url")
+    return table(spark, d, "pages").select("page_id", T.is_url_only(url).alias("plain"), T.is_url_only(F.concat(url, F.lit(" and text"))).alias("with_text"))
+
+
+@query("page_host_path", f"select page_id, {HOST} as host, {PATH} as path, ends_with(lower({PATH}), '.pdf') as is_pdf, ends_with(lower({PATH} || '.PDF'), '.pdf') as named_pdf from pages")
+def page_host_path(spark, d):
+    url = F.col("url")
+    named = F.concat(F.regexp_extract(url, "^([^?#]*)", 1), F.lit(".PDF"))
+    return table(spark, d, "pages").select("page_id", T.url_host(url).alias("host"), T.url_path(url).alias("path"), T.is_pdf_url(url).alias("is_pdf"), T.is_pdf_url(named).alias("named_pdf"))
+
+
+@query("lang_filter", "select doc_id, lang, source from documents where lang <> 'en'")
+def lang_filter(spark, d):
+    return language.other_language(table(spark, d, "documents"), F.lit("en"), "lang").select("doc_id", "lang", "source")
+
+
+@query("lang_detect")
+def lang_detect(spark, d):
+    """Trained on a third of the documents by a hash of the id, tested on the others; the accuracy is in the tests."""
+    docs = table(spark, d, "documents")
+    learned = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    return language.detect(docs.where(~learned), language.profiles(docs.where(learned)), "doc_id").select("doc_id", "lang", "detected")
+
+
+# --- rules
+DUCK_RULES = "(values " + ", ".join("({}, '{}')".format(i, line.replace("'", "''")) for i, line in enumerate(RULES.split("\n"))) + ") as l(line_no, line)"
+DUCK_PARSED = f"""
+parsed as (
+  select line_no as rule_id, regexp_extract(line, '^(.+?)#(\\+)?#(.+)$', 1) as domain, regexp_extract(line, '^(.+?)#\\+#(.+)$', 1) <> '' as inc,
+         trim(regexp_extract(line, '^(.+?)#(?:\\+)?#(.+)$', 2)) as sel
+  from {DUCK_RULES} where line <> '' and not starts_with(line, '!') and regexp_matches(line, '^(.+?)##(.+)$|^(.+?)#\\+#(.+)$')),
+rules as (
+  select rule_id, domain, case when inc then 'include' else 'exclude' end as type,
+         case when starts_with(sel, ':matches-path(') then regexp_extract(sel, '^:matches-path\\(([^()]*)\\)', 1) end as path_pattern,
+         case when starts_with(sel, ':matches-path(') then trim(regexp_replace(sel, '^:matches-path\\([^()]*\\)', '')) else sel end as selector
+  from parsed)
+"""
+DUCK_HOSTS = f"""
+places as (select page_id, {HOST} as host, {PATH} as path from pages),
+hosts as (select *, regexp_extract(host, '([^.]+)\\.[^.]+$', 1) as entity, regexp_extract(host, '([^.]+)$', 1) as suffix, regexp_replace(host, '\\.?[^.]+\\.[^.]+$', '') as sub from places)
+"""
+DUCK_PATTERNS = """
+patterns as (select *, case when ends_with(rest, '.*') then regexp_extract(rest, '([^.]+)\\.\\*$', 1) else regexp_extract(rest, '([^.]+)\\.[^.]+$', 1) end as p_entity,
+    case when starts_with(domain, '*.') then '*' when ends_with(rest, '.*') then regexp_replace(rest, '\\.?[^.]+\\.\\*$', '') else regexp_replace(rest, '\\.?[^.]+\\.[^.]+$', '') end as p_sub,
+    case when not ends_with(rest, '.*') then regexp_extract(rest, '([^.]+)$', 1) end as p_suffix
+  from (select *, case when starts_with(domain, '*.') then substr(domain, 3) else domain end as rest from rules)),
+matched as (select h.page_id, h.host, h.path, p.rule_id, p.type, p.path_pattern, p.selector from hosts h join patterns p
+  on h.entity = p.p_entity and (p.p_suffix is null or p.p_suffix = h.suffix)
+  and (p.p_sub = '*' or case when p.p_sub = '' then h.sub = '' else h.sub = p.p_sub or ends_with(h.sub, '.' || p.p_sub) end))
+"""
+# the one broken pattern never matches; '/en/' is an expression of its own, as any pattern in slashes
+DUCK_ACTIVE = "active as (select * from matched where path_pattern is null or (path_pattern <> '/[/' and case when path_pattern like '/%/' then regexp_matches(path, case path_pattern when '/^\\/fr\\//' then '^/fr/' else substr(path_pattern, 2, length(path_pattern) - 2) end) else contains(path, path_pattern) end))"
+
+
+def sample_rules(spark: SparkSession) -> DataFrame:
+    return rule_text.parse_rules(rule_text.rule_lines(spark, RULES))
+
+
+def placed(spark: SparkSession, d: str) -> DataFrame:
+    return bilingual.with_places(table(spark, d, "pages")).select("page_id", "host", "path")
+
+
+@query("rule_parse", f"with {DUCK_PARSED} select rule_id, domain, type, path_pattern, selector from rules")
+def rule_parse(spark, d):
+    return sample_rules(spark)
+
+
+@query("rule_match_host", f"with {DUCK_PARSED}, {DUCK_HOSTS}, {DUCK_PATTERNS} select page_id, rule_id, type, selector from matched")
+def rule_match_host(spark, d):
+    return rule_ops.match_hosts(placed(spark, d), sample_rules(spark)).select("page_id", "rule_id", "type", "selector")
+
+
+@query("rule_match_path", f"with {DUCK_PARSED}, {DUCK_HOSTS}, {DUCK_PATTERNS}, {DUCK_ACTIVE} select page_id, rule_id, type, selector from active")
+def rule_match_path(spark, d):
+    return rule_ops.match_paths(rule_ops.match_hosts(placed(spark, d), sample_rules(spark))).select("page_id", "rule_id", "type", "selector")
+
+
+@query("rule_selectors", f"with {DUCK_PARSED}, {DUCK_HOSTS}, {DUCK_PATTERNS}, {DUCK_ACTIVE} select p.page_id, coalesce(string_agg(selector, '|' order by rule_id) filter (type = 'exclude'), '') as skip, coalesce(string_agg(selector, '|' order by rule_id) filter (type = 'include'), '') as include from places p left join active a on p.page_id = a.page_id group by 1")
+def rule_selectors(spark, d):
+    found = rule_ops.page_selectors(placed(spark, d), sample_rules(spark))
+    return found.select("page_id", F.array_join("skip", "|").alias("skip"), F.array_join("include", "|").alias("include"))
+
+
+@query("custom_rules_union", f"with {DUCK_PARSED} select domain, type, selector, count(*) as n from (select * from rules union all select * from rules where type = 'include') group by all")
+def custom_rules_union(spark, d):
+    built_in = sample_rules(spark)
+    both = built_in.unionByName(built_in.where("type = 'include'"))
+    return both.groupBy("domain", "type", "selector").agg(F.count("*").alias("n"))
+
+
+# --- requests, batches
+@query("dedupe_requests", "select text, min(conv_id * 1000 + turn) as first_seq, count(*) as waiters from conversations group by text")
+def dedupe_requests(spark, d):
+    seq = F.col("conv_id") * 1000 + F.col("turn")
+    return table(spark, d, "conversations").groupBy("text").agg(F.min(seq).alias("first_seq"), F.count("*").alias("waiters"))
+
+
+@query("fan_out", "select c.conv_id, c.turn, '[de] ' || c.text as translated from conversations c")
+def fan_out(spark, d):
+    """Each distinct text is translated once, and its result goes back to all that wait for it."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("source"))
+    done = bilingual.translate_texts(rows, bilingual.echo_translator, "de")
+    return rows.join(done, "source").select("conv_id", "turn", "translated")
+
+
+@query("batch_fixed", "select conv_id, turn, ((row_number() over (partition by role order by conv_id, turn) - 1) // 8)::int as batch_id from conversations")
+def batch_fixed(spark, d):
+    return batching.fixed_batches(table(spark, d, "conversations"), ["role"], ["conv_id", "turn"], 8).select("conv_id", "turn", "batch_id")
+
+
+def fold_sql(key: str, order: str, cost: str, size: str, chars: str, source: str, keep: str) -> str:
+    """A greedy fold as a recursive query."""
+    over = f"(f.held >= {size} or f.total + o.cost > {chars})"
+    return f"""with recursive o as (select {keep}, {key} as k, {cost} as cost, row_number() over (partition by {key} order by {order}) as n from {source}),
+f as (select *, 0 as batch_id, 1 as held, cost as total from o where n = 1 union all
+      select o.*, case when {over} then f.batch_id + 1 else f.batch_id end, case when {over} then 1 else f.held + 1 end, case when {over} then o.cost else f.total + o.cost end
+      from f join o on o.k = f.k and o.n = f.n + 1)
+select {keep}, batch_id from f"""
+
+
+@query("batch_chars", fold_sql("conv_id", "turn", units("text"), "8", "1000", "conversations", "conv_id, turn"))
+def batch_chars(spark, d):
+    p = config.PROVIDERS["openai"]
+    return batching.greedy_batches(table(spark, d, "conversations"), ["conv_id"], ["turn"], p["size"], p["chars"], T.utf16_length(F.col("text"))).select("conv_id", "turn", "batch_id")
+
+
+@query("pack_groups", fold_sql("conv_id", "turn", units("text") + " + 1", "1000000", "950", "conversations", "conv_id, turn"))
+def pack_groups(spark, d):
+    return batching.packed_groups(table(spark, d, "conversations"), ["conv_id"], ["turn"], "text").select("conv_id", "turn", "batch_id")
+
+
+SENTENCE = "[^.!?。！？]*[.!?。！？]+[\"'')\\]]*[\\s\\x0B\\p{Z}\\x{FEFF}]*|[^.!?。！？]+$"
+
+
+@query("sentence_split", f"select doc_id, (unnest(s)).i::int as pos, (unnest(s)).t as sentence from (select doc_id, list_transform(regexp_extract_all(text, '{SENTENCE}'), lambda t, i: {{'i': i - 1, 't': t}}) as s from documents)")
+def sentence_split(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query("long_parts", "select doc_id, length(text) as n_chars from documents")
+def long_parts(spark, d):
+    """Long texts cut at sentences into requests: put together, the parts are the text again (no sentence is lost), and none is too long."""
+    parts = batching.long_parts(table(spark, d, "documents").select("doc_id", "text"), "text")
+    whole = parts.groupBy("doc_id").agg(F.sum(F.length("part_text")).alias("n_chars"), F.max(T.utf16_length(F.col("part_text"))).alias("longest"))
+    return whole.where(F.col("longest") <= config.REQUEST_CHARS).select("doc_id", "n_chars")
+
+
+# --- codec
+ENTITIES = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&')"
+
+
+@query("entity_decode", f"select page_id, md5({ENTITIES.format('html')}) as decoded from pages")
+def entity_decode(spark, d):
+    # the pages' own entities; numeric ones are in the tests
+    only = F.regexp_replace("html", "&(middot|copy);", "&amp;$1;")
+    return table(spark, d, "pages").select("page_id", F.md5(F.regexp_replace(T.decode_entities(only), "&(middot|copy);", "&$1;").cast("binary")).alias("decoded"))
+
+
+@query("escape_html", "select page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) as escaped from pages")
+def escape_html(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(T.escape_html(F.col("html")).cast("binary")).alias("escaped"))
+
+
+@query("flatten_lines", f"select doc_id, md5({trim('regexp_replace(text, ' + repr(WS + '*\\n' + WS + '*').replace('\\\\', '\\') + ', chr(32), ' + repr('g') + ')')}) as flat from documents")
+def flatten_lines(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.flatten_lines(F.col("text")).cast("binary")).alias("flat"))
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of each conversation in order."""
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
+
+
+DUCK_TURNS = "(select conv_id, list(text order by turn, text) as texts from conversations group by conv_id)"
+
+
+@query("tag_encode", f"""select conv_id, case when len(texts) = 1 then texts[1] else array_to_string(list_transform(texts, lambda t, i: '<t id="' || (i - 1) || '">' || t || '</t>'), chr(10)) end as message from {DUCK_TURNS}""")
+def tag_encode(spark, d):
+    return _turns(spark, d).select("conv_id", T.tag_encode(F.col("texts")).alias("message"))
+
+
+@query("tag_decode", f"""select conv_id, array_to_string(list_transform(texts, lambda t, i: case when len(texts) > 1 and i = 1 then t when {units('t')} < 20 and {units('x')} > 3 * {units('t')} then t else {trim("'[fr] ' || t")} end), chr(1)) as decoded from {DUCK_TURNS}""".replace(units("x"), units("('[fr] ' || t)")))
+def tag_decode(spark, d):
+    """A reply that lost its first text and its last closing tag: the first falls back to its source, the last is rescued."""
+    texts = F.col("texts")
+    answers = F.transform(texts, lambda t, i: F.concat(F.lit('<t id="'), i.cast("string"), F.lit('">[fr] '), t, F.lit("</t>")))
+    several = F.regexp_replace(F.array_join(F.slice(answers, F.lit(2), F.greatest(F.size(texts) - 1, F.lit(0))), "\n"), "</t>\\z", "")
+    reply = F.when(F.size(texts) == 1, F.concat(F.lit("[fr] "), F.get(texts, F.lit(0)))).otherwise(several)
+    return _turns(spark, d).select("conv_id", F.array_join(T.tag_decode(texts, reply), "\x01").alias("decoded"))
+
+
+@query("line_codec", f"select conv_id, len(texts) = len(string_split(array_to_string(texts, chr(10)), chr(10))) as aligned from {DUCK_TURNS}")
+def line_codec(spark, d):
+    texts = F.col("texts")
+    return _turns(spark, d).select("conv_id", T.line_decode(texts, F.array_join(texts, "\n")).isNotNull().alias("aligned"))
+
+
+@query("explanation_guard", f"select conv_id, turn, {units('text')} < 20 and {units('(text || text || text || text)')} > 3 * {units('text')} as is_explanation from conversations")
+def explanation_guard(spark, d):
+    t = F.col("text")
+    return table(spark, d, "conversations").select("conv_id", "turn", T.is_explanation(t, F.concat(t, t, t, t)).alias("is_explanation"))
+
+
+@query("request_body", "select conv_id, turn, 'To ' || role || ': {{targetLang}}' as prompt, 'https://api.openai.com/v1/chat/completions' as url from conversations")
+def request_body(spark, d):
+    prompt = T.fill_prompt(F.lit("To {{targetLang}}: {{targetLang}}"), F.col("role"))
+    return table(spark, d, "conversations").select("conv_id", "turn", prompt.alias("prompt"), T.completions_url(F.lit("https://api.openai.com/v1//")).alias("url"))
+
+
+@query("request_json", "select conv_id, turn, text as user_text, 'none' as effort from conversations")
+def request_json(spark, d):
+    """A request's body as JSON, read back: user text and effort."""
+    body = T.request_body(F.lit("gpt-9"), F.lit("system"), F.col("text"), T.reasoning_effort(F.lit("https://api.openai.com/v1"), F.lit("gpt-9")))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", body.alias("b"))
+    return rows.select("conv_id", "turn", F.get_json_object("b", "$.messages[1].content").alias("user_text"), F.get_json_object("b", "$.reasoning_effort").alias("effort"))
+
+
+EFFORTS = [("https://api.openai.com/v1", "gpt-4o-mini", None), ("https://api.openai.com/v1", "gpt-5", "minimal"), ("https://api.openai.com/v1", "gpt-5-mini", "none"), ("https://api.openai.com/v1", "o3", "none"), ("https://api.deepseek.com/x", "deepseek-v4", "low"), ("https://api.deepseek.com/x", "deepseek-chat", None), ("https://generativelanguage.googleapis.com/v1", "gemini-2.5-pro", "low"), ("https://other.example/v1", "gpt-5", None)]
+
+
+@query("interceptor_case", "select * from (values " + ", ".join("('{}', '{}', {})".format(e, m, f"'{x}'" if x else "null") for e, m, x in EFFORTS) + ") as t(endpoint, model, effort)")
+def interceptor_case(spark, d):
+    rows = spark.createDataFrame([(e, m) for e, m, _ in EFFORTS], "endpoint string, model string")
+    return rows.select("endpoint", "model", T.reasoning_effort(F.col("endpoint"), F.col("model")).alias("effort"))
+
+
+@query("lang_code_map", "select lang, case lang when 'zh' then 'zh-Hans' when 'no' then 'nb' when 'sr' then 'sr-Cyrl' else lang end as code, split_part(lang || '-XX', '-', 1) as subtag, count(*) as n from documents group by all")
+def lang_code_map(spark, d):
+    lang = F.col("lang")
+    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n")).select("lang", T.provider_lang(lang).alias("code"), T.primary_subtag(F.concat(lang, F.lit("-XX"))).alias("subtag"), "n")
+
+
+@query("languages_sorted", "select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in config.LANGUAGES.items()) + ") as t(code, name)")
+def languages_sorted(spark, d):
+    rows = spark.createDataFrame(list(config.LANGUAGES.items()), "code string, name string")
+    return rows.orderBy(F.collate("name", "UNICODE"))
+
+
+@query("shown_errors", "select event_id, case when contains(m, '401') then 'Invalid API key.' when contains(m, '403') then 'Forbidden — check your API key permissions.' when contains(m, '429') then 'Rate limited — try again in a moment.' when contains(m, '404') then 'Model or URL not found — verify the base URL and model name.' when contains(m, '400') then 'Bad request — likely the model is not supported by this provider, or required fields are missing.' when regexp_matches(m, '\\b5\\d\\d\\b') then 'Provider error — try again later.' else m end as shown from (select event_id, 'status ' || (400 + event_id % 200) as m from events)")
+def shown_errors(spark, d):
+    m = F.concat(F.lit("status "), (400 + F.col("event_id") % 200).cast("string"))
+    return table(spark, d, "events").select("event_id", T.shown_error(m).alias("shown"))
+
+
+@query("settings_defaults", "select event_id, coalesce(json_extract_string(props, '$.provider'), 'google') as provider, 'de' as target_lang, 'https://api.openai.com/v1' as base_url from events")
+def settings_defaults(spark, d):
+    rows = settings.read_settings(table(spark, d, "events").select("event_id", "props"), F.lit("de-AT"), "props")
+    return rows.select("event_id", "provider", F.col("targetLang").alias("target_lang"), F.col("openai_baseUrl").alias("base_url"))
+
+
+# --- cache
+
+
+def as_of() -> Column:
+    """The time at which the cache is looked at."""
+    return F.lit("2024-06-01 00:00:00").cast("timestamp")
+
+
+DUCK_AS_OF = "timestamp '2024-06-01 00:00:00'"
+
+
+def _cache(spark: SparkSession, d: str) -> DataFrame:
+    """Cached translations of the documents with an even id; every entry is as many days old as its id leaves by 61."""
+    docs = table(spark, d, "documents").where("doc_id % 2 = 0")
+    age = F.make_dt_interval((F.col("doc_id") % 61).cast("int"))
+    return cache.upsert(docs.limit(0).select(F.col("lang").alias("target_lang"), F.col("text").alias("source"), F.col("text").alias("translated"), as_of().alias("ts")), docs.select(F.lit("fr").alias("target_lang"), F.col("text").alias("source"), F.concat(F.lit("[fr] "), "text").alias("translated"), (as_of() - age).alias("ts")))
+
+
+DUCK_CACHE = f"cache as (select 'fr' as target_lang, text as source, '[fr] ' || text as translated, max({DUCK_AS_OF} - to_days((doc_id % 61)::int)) as ts from documents where doc_id % 2 = 0 group by text)"
+
+
+@query("cache_lookup", f"with {DUCK_CACHE} select d.doc_id, c.translated is not null as hit from documents d left join cache c on d.text = c.source and c.ts >= {DUCK_AS_OF} - to_days(30)")
+def cache_lookup(spark, d):
+    asked = table(spark, d, "documents").select("doc_id", F.lit("fr").alias("target_lang"), F.col("text").alias("source"))
+    return cache.lookup(asked, _cache(spark, d), as_of()).select("doc_id", F.col("translated").isNotNull().alias("hit"))
+
+
+@query("cache_misses", f"with {DUCK_CACHE} select md5(text) as source_md5 from (select distinct text from documents) d where not exists (select 1 from cache c where c.source = d.text and c.ts >= {DUCK_AS_OF} - to_days(30))")
+def cache_misses(spark, d):
+    asked = table(spark, d, "documents").select(F.lit("fr").alias("target_lang"), F.col("text").alias("source"))
+    return cache.misses(asked, _cache(spark, d), as_of()).select(F.md5(F.col("source").cast("binary")).alias("source_md5"))
+
+
+@query("cache_hit_counts", f"with {DUCK_CACHE} select count(*) filter (c.source is not null) as hits, count(*) filter (c.source is null) as misses from documents d left join cache c on d.text = c.source and c.ts >= {DUCK_AS_OF} - to_days(30)")
+def cache_hit_counts(spark, d):
+    asked = table(spark, d, "documents").select(F.lit("fr").alias("target_lang"), F.col("text").alias("source"))
+    return cache.hit_counts(cache.lookup(asked, _cache(spark, d), as_of()))
+
+
+@query("cache_upsert", f"with {DUCK_CACHE}, new as (select 'fr' as target_lang, text as source, 'new ' || max(doc_id) as translated, {DUCK_AS_OF} as ts from documents where doc_id % 3 = 0 group by text) select md5(source) as source_md5, translated = '[fr] ' || source as old, ts from (select * from new union all select * from cache c where not exists (select 1 from new n where n.source = c.source))")
+def cache_upsert(spark, d):
+    new = table(spark, d, "documents").where("doc_id % 3 = 0").groupBy("text").agg(F.max("doc_id").alias("m"))
+    new = new.select(F.lit("fr").alias("target_lang"), F.col("text").alias("source"), F.concat(F.lit("new "), F.col("m").cast("string")).alias("translated"), as_of().alias("ts"))
+    out = cache.upsert(_cache(spark, d), new)
+    return out.select(F.md5(F.col("source").cast("binary")).alias("source_md5"), (F.col("translated") == F.concat(F.lit("[fr] "), "source")).alias("old"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("cache_evict", f"with {DUCK_CACHE} select md5(source) as source_md5, ts from cache where ts > {DUCK_AS_OF} - to_days(30) order by ts desc, source desc limit 200")
+def cache_evict(spark, d):
+    """The limit is the cache's capacity, here 200 entries."""
+    return cache.evict(_cache(spark, d), as_of(), entries=200).select(F.md5(F.col("source").cast("binary")).alias("source_md5"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("cache_write_filter", f"select doc_id, {trim('out')} <> '' and lower(out) <> lower(text) as cached from (select doc_id, text, case doc_id % 4 when 0 then lower(text) when 1 then ' ' when 2 then '' else '[fr] ' || text end as out from documents)")
+def cache_write_filter(spark, d):
+    return _answers(spark, d).select("doc_id", T.is_worth_caching(F.col("text"), F.col("out")).alias("cached"))
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 4
+    return table(spark, d, "documents").select("doc_id", "text", F.when(k == 0, F.lower("text")).when(k == 1, " ").when(k == 2, "").otherwise(F.concat(F.lit("[fr] "), "text")).alias("out"))
+
+
+@query("result_status", f"select doc_id, case when out = '' or lower(out) = lower(text) then 'noop' else 'done' end as status, case when {units('text')} <= 40 then 'inline' else 'break' end as layout from (select doc_id, text, case doc_id % 4 when 0 then lower(text) when 1 then ' ' when 2 then '' else '[fr] ' || text end as out from documents)")
+def result_status(spark, d):
+    return _answers(spark, d).select("doc_id", T.result_status(F.col("text"), F.col("out")).alias("status"), T.layout(F.col("text")).alias("layout"))
+
+
+# --- pages
+DUCK_BLOCKS = rf"""
+raw as (select page_id, regexp_extract(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<nav.*?</nav>', '<div>', 'g'), '(?s)<body[^>]*>(.*)$', 1) as h from pages),
+cut as (select page_id, case when contains(h, '<footer') then substr(h, 1, strpos(h, '<footer') - 1) else h end as h from raw),
+pieces as (select page_id, unnest(list_transform(regexp_split_to_array(h, '</?(?:div|article|h1|p|body|html)(?:\s[^>]*)?>'), lambda x, i: {{'i': i, 't': x}})) as s from cut),
+texts as (select page_id, s.i as i, {trim("replace(replace(replace(replace(regexp_replace(s.t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + "'), '&amp;', '&')")} as text from pieces),
+blocks as (select page_id, (row_number() over (partition by page_id order by i) - 1)::int as block_ord, text from texts where text <> '' and regexp_matches(text, '\p{{L}}') and not regexp_full_match(text, '[a-zA-Z0-9]{{1,2}}'))
+"""
+
+
+@query("extract_blocks", f"with {DUCK_BLOCKS} select page_id, block_ord, text from blocks")
+def extract_blocks_query(spark, d):
+    return extract_blocks(table(spark, d, "pages")).select("page_id", "block_ord", "text")
+
+
+@query("bilingual_pages", f"with {DUCK_BLOCKS} select page_id, block_ord, text as source, '[fr] ' || text as translated, 'done' as status, case when {units('text')} <= 40 then 'inline' else 'break' end as layout from blocks")
+def bilingual_pages(spark, d):
+    """The flagship: pages to the bilingual table, in one stage without a shuffle."""
+    return bilingual.bilingual(table(spark, d, "pages"), "fr")
+
+
+@query("bilingual_ruled")
+def bilingual_ruled(spark, d):
+    """The same with site rules, a cache and a translator that runs in tasks."""
+    pages = table(spark, d, "pages")
+    known = bilingual.page_blocks(pages.where("page_id % 2 = 0")).select("text").distinct()
+    kept = known.select(F.lit("fr").alias("target_lang"), F.col("text").alias("source"), F.concat(F.lit("[fr] "), "text").alias("translated"), as_of().alias("ts"))
+    return bilingual.bilingual(pages, "fr", sample_rules(spark), kept, as_of(), bilingual.echo_translator)
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    """Node paths made of a row's digits: /a, /a/b, /a/b/c."""
+    e = F.col("event_id")
+    parts = [F.lit("/"), (e % 7).cast("string")]
+    path = F.concat(*parts)
+    path = F.when(e % 3 == 0, path).when(e % 3 == 1, F.concat(path, F.lit("/"), (e % 5).cast("string"))).otherwise(F.concat(path, F.lit("/"), (e % 5).cast("string"), F.lit("/"), (e % 11).cast("string")))
+    return table(spark, d, "events").select(F.col("user_id").alias("page_id"), "event_id", path.alias("node_path"))
+
+
+DUCK_PATHS = "paths as (select user_id as page_id, event_id, case event_id % 3 when 0 then '/' || event_id % 7 when 1 then '/' || event_id % 7 || '/' || event_id % 5 else '/' || event_id % 7 || '/' || event_id % 5 || '/' || event_id % 11 end as node_path from events)"
+
+
+@query("outermost_blocks", f"with {DUCK_PATHS} select page_id, event_id, node_path from paths a where not exists (select 1 from paths b where b.page_id = a.page_id and starts_with(a.node_path, b.node_path || '/'))")
+def outermost_blocks(spark, d):
+    return blocks.outermost(_paths(spark, d)).select("page_id", "event_id", "node_path")
+
+
+@query("unprocessed_blocks", f"with {DUCK_PATHS} select page_id, event_id, node_path from paths a where not exists (select 1 from paths b where b.event_id % 10 = 0 and b.page_id = a.page_id and (a.node_path = b.node_path or starts_with(a.node_path, b.node_path || '/')))")
+def unprocessed_blocks(spark, d):
+    rows = _paths(spark, d)
+    return blocks.unprocessed(rows, rows.where("event_id % 10 = 0")).select("page_id", "event_id", "node_path")
+
+
+# --- incremental
+@query("latest_wins", "select user_id, event_type, max(event_id) as version, arg_max(props, event_id) as text from events group by all")
+def latest_wins(spark, d):
+    rows = table(spark, d, "events").select("user_id", "event_type", F.col("event_id").alias("version"), F.col("props").alias("text"))
+    return incremental.newest_text(rows, ["user_id", "event_type"])
+
+
+@query("stale_responses", "select e.event_id, e.user_id from events e join (select user_id, arg_max(event_type, event_id) as last from events group by 1) l on e.user_id = l.user_id and e.event_type = l.last")
+def stale_responses(spark, d):
+    """Responses count only while their source is the newest text; here the texts are the event types."""
+    e = table(spark, d, "events")
+    newest = incremental.newest_text(e.select("user_id", F.col("event_id").alias("version"), F.col("event_type").alias("text")), ["user_id"])
+    return blocks.current_only(e.select("event_id", "user_id", F.col("event_type").alias("source")), newest, ["user_id"]).select("event_id", "user_id")
+
+
+@query("tab_state", "select user_id, last_type = 'view' as active, since, n from (select user_id, arg_max(event_type, (ts, event_id)) as last_type, max(ts) as since, count(*) as n from events where event_type in ('view', 'error') group by user_id)")
+def tab_state(spark, d):
+    """Views start a tab's translation, errors stop it."""
+    return incremental.tab_states(table(spark, d, "events"), ["view"], ["error"])
+
+
+@query("debounce_sessions", "with g as (select *, coalesce(ts >= lag(ts) over w + interval 1 hour, true) as is_new from events window w as (partition by user_id order by ts, event_id)), s as (select *, sum(is_new::int) over (partition by user_id order by ts, event_id) as k from g) select user_id, min(ts) as first_ts, max(ts) + interval 1 hour as fire_ts, count(*) as n from s group by user_id, k")
+def debounce_sessions(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = incremental.debounced(e, ["user_id"], "1 hour")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "fire_ts")})
+
+
+@query("first_anchored_batches", """with recursive o as (select event_id, user_id, ts, row_number() over (partition by user_id order by ts, event_id) as n from events),
+f as (select *, 0 as batch_id, ts as opened, 1 as held from o where n = 1 union all
+      select o.*, case when o.ts >= f.opened + interval 3600 second or f.held >= 5 then f.batch_id + 1 else f.batch_id end, case when o.ts >= f.opened + interval 3600 second or f.held >= 5 then o.ts else f.opened end, case when o.ts >= f.opened + interval 3600 second or f.held >= 5 then 1 else f.held + 1 end
+      from f join o on o.user_id = f.user_id and o.n = f.n + 1)
+select event_id, user_id, batch_id from f""")
+def first_anchored_batches(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "ts")
+    return incremental.first_anchored(e, ["user_id"], 3_600_000, 5).select("event_id", "user_id", "batch_id")
+
+
+@query("scroll_direction", "select event_id, case when event_type = 'view' then 'up' when last_up is null or ts > last_up + interval 200 millisecond then 'down' else 'up' end as direction from (select *, max(case when event_type = 'view' then ts end) over (partition by user_id order by ts, event_id rows unbounded preceding) as last_up from events where event_type in ('view', 'click'))")
+def scroll_direction(spark, d):
+    return incremental.scroll_direction(table(spark, d, "events"), "user_id", "view", "click").select("event_id", "direction")
+
+
+@query("first_seen", "select user_id, event_type, count(*) as n from (select distinct user_id, event_type from events) group by all")
+def first_seen(spark, d):
+    return incremental.first_seen(table(spark, d, "events").select("user_id", "event_type", "ts"), ["user_id", "event_type"]).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("late_content", f"select conv_id, turn from conversations where {units(trim('text'))} > 20 and conv_id % 3 <> 0")
+def late_content(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", (F.col("conv_id") % 3 == 0).cast("int").alias("n_blocks"), F.lit("div").alias("tag"), F.lit(False).alias("is_loader"))
+    return incremental.late_content(rows).select("conv_id", "turn")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
