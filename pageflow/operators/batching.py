@@ -6,8 +6,6 @@ large, give a finer key (a page, a conversation), which bounds a group and keeps
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,8 +53,6 @@ def packed_groups(rows: DataFrame, key: list[str], order: list[str], text: str,
 def long_parts(rows: DataFrame, text: str, limit: int = REQUEST_CHARS) -> DataFrame:
     """rows exploded to part and part_text: whole sentences up to ``limit`` characters; a longer sentence is cut hard."""
     ship(rows.sparkSession)
-    names = rows.columns
-    schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("part_text", T.StringType())])
 
     def cut(pieces: list[str]) -> list[str]:
         parts, now, units = [], "", 0
@@ -77,11 +73,8 @@ def long_parts(rows: DataFrame, text: str, limit: int = REQUEST_CHARS) -> DataFr
             now, units = now + u.decode("utf-16-le"), units + n
         return [*parts, now] if now else parts
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf.assign(part_text=[list(enumerate(cut(list(x)))) if x is not None else [] for x in pdf.pop("_pieces")]).explode("part_text").dropna(subset=["part_text"])
-            out["part"] = [x[0] for x in out["part_text"]]
-            out["part_text"] = [x[1] for x in out["part_text"]]
-            yield out[[*names, "part", "part_text"]].astype({"part": "int32"})
+    @F.pandas_udf("array<string>")
+    def parts(pieces: pd.Series) -> pd.Series:
+        return pieces.map(lambda p: cut(list(p)) if p is not None else [])
 
-    return rows.withColumn("_pieces", sentences(F.col(text))).mapInPandas(run, schema)
+    return rows.select(*rows.columns, F.posexplode(parts(sentences(F.col(text)))).alias("part", "part_text"))
