@@ -17,8 +17,10 @@ language, and a bounded cache of word scores per worker.
 from __future__ import annotations
 
 import re
-import zlib
+import uuid
+from collections import Counter
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ TRAIN_DOCS, LONGEST = 4000, 4
 #: Cost of a change of language between two words, in nats; least share of a language's letters for a script to count.
 SWITCH, SCRIPT_SHARE = 12.0, 0.001
 #: Words whose scores a worker remembers; texts of more words than LONG are decoded one by one.
-WORDS, LONG = 500_000, 2000
+WORDS, LONG = 700_000, 2000
 
 # Scripts and their main code point ranges.
 SCRIPTS = {
@@ -59,18 +61,29 @@ _STARTS, _ENDS, _NAMES = (np.array(x) for x in zip(*sorted((a, b, i) for i, r in
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def script_of(word: str) -> int:
-    """The script of a word's first letter."""
-    at = int(np.searchsorted(_STARTS, ord(word[0]), "right")) - 1
-    return int(_NAMES[at]) if at >= 0 and ord(word[0]) <= _ENDS[at] else OTHER
+def scripts_of(words: list[str]) -> np.ndarray:
+    """The script of each word's first letter."""
+    first = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
+    at = np.searchsorted(_STARTS, first, "right") - 1
+    return np.where((at >= 0) & (first <= _ENDS[at]), _NAMES[at], OTHER)
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a lower-case word's n-grams, ends marked."""
-    w = f"<{word}>".encode("utf-32-le")
-    n = len(word) + 2
-    crc = zlib.crc32
-    return [crc(w[4 * i : 4 * (i + k)]) % BUCKETS for k in range(2, LONGEST + 1) for i in range(n - k + 1)] or [crc(w) % BUCKETS]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of lower-case words, ends marked, and the position of each one's word."""
+    marked = [f"<{w.lower()}>" for w in words]
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    owner = np.repeat(np.arange(len(marked)), lengths)
+    buckets, owners = [], []
+    h = codes.copy()
+    for k in range(2, LONGEST + 1):
+        h = h[:-1] * np.uint64(0x100000001B3) + codes[k - 1 :]
+        start = np.flatnonzero(np.arange(len(h)) + k <= ends[: len(h)])
+        mixed = (h[start] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+        buckets.append((mixed >> np.uint64(48)).astype(np.int64))
+        owners.append(owner[start])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 class Model:
@@ -78,16 +91,18 @@ class Model:
 
     def __init__(self, langs: list[str], counts: np.ndarray):
         """counts: languages by buckets, then scripts."""
-        self.langs = langs
+        self.langs, self.name = langs, uuid.uuid4().hex
         by_gram, by_script = counts[:, :BUCKETS].astype(np.float64), counts[:, BUCKETS:].astype(np.float64)
         self.log = np.log((by_gram + 0.5) / (by_gram.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)).astype(np.float32).T.copy()
         self.of_script = by_script >= SCRIPT_SHARE * np.maximum(by_script.sum(axis=1, keepdims=True), 1)
         self.of_script = self.of_script.T.copy()  # script by language
         self.of_script[~self.of_script.any(axis=1)] = True  # a script never seen rules nothing out
 
-    def score(self, word: str) -> np.ndarray:
-        s = self.log[grams(word.lower())].sum(axis=0)
-        return np.where(self.of_script[script_of(word)], s - s.max(), -1e4).astype(np.float32)
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row of candidate scores for each word, the best of all languages 0."""
+        bucket, owner = grams(words)
+        s = np.stack([np.bincount(owner, weights=self.log[bucket, k], minlength=len(words)) for k in range(len(self.langs))], axis=1)
+        return np.where(self.of_script[scripts_of(words)], s - s.max(axis=1, keepdims=True), -1e4).astype(np.float32)
 
 
 def training_sample(docs: DataFrame, held_out, per_lang: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -104,20 +119,18 @@ def count_features(sample: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        known: dict[str, tuple[list[int], int]] = {}
         for batch in batches:
             for part in portions(batch):
+                by_lang: dict[str, Counter] = {}
                 for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
-                    found: list[int] = []
-                    for w in WORD.findall(text):
-                        if (g := known.get(w)) is None:
-                            if len(known) >= 100_000:
-                                known.clear()
-                            g = known[w] = [*grams(w.lower()), BUCKETS + script_of(w)]
-                        found += g
-                    if found:
+                    by_lang.setdefault(lang, Counter()).update(WORD.findall(text))
+                for lang, found in by_lang.items():
+                    words, times = list(found), np.fromiter(found.values(), np.float64, len(found))
+                    if words:
+                        bucket, owner = grams(words)
+                        features, weights = np.concatenate([bucket, BUCKETS + scripts_of(words)]), np.concatenate([times[owner], times])
                         own = counts.setdefault(lang, np.zeros(BUCKETS + OTHER + 1, np.int64))
-                        own += np.bincount(found, minlength=len(own))
+                        own += np.bincount(features, weights=weights, minlength=len(own)).astype(np.int64)
         for lang, own in counts.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(own[at], pa.int64())], ["lang", "feature", "n"])
@@ -199,7 +212,7 @@ class Labeller:
         self.table, self.size = np.zeros((1024, max(1, len(model.langs))), np.float32), 0
 
     def _indices(self, words: list[str]) -> list[int]:
-        new = set(words) - self.at.keys()
+        new = set(filterfalse(self.at.__contains__, words))
         if new:
             if self.size + len(new) > WORDS:
                 self.at.clear()
@@ -208,10 +221,10 @@ class Labeller:
                 grown = np.zeros((max(2 * len(self.table), self.size + len(new)), self.table.shape[1]), np.float32)
                 grown[: self.size] = self.table[: self.size]
                 self.table = grown
-            for w in new:
-                self.table[self.size] = self.model.score(w)
-                self.at[w] = self.size
-                self.size += 1
+            fresh = list(new)
+            self.table[self.size : self.size + len(fresh)] = self.model.scores(fresh)
+            self.at.update(zip(fresh, range(self.size, self.size + len(fresh))))
+            self.size += len(fresh)
         return list(map(self.at.__getitem__, words))
 
     def words(self, texts: list[str | None]) -> list[list[str]]:
@@ -245,6 +258,17 @@ class Labeller:
         return [(found[a].start(), found[b - 1].end(), self.model.langs[path[a]]) for a, b in zip(cut, cut[1:])]
 
 
+_LABELLERS: dict[str, Labeller] = {}
+
+
+def labeller(model: Model) -> Labeller:
+    """One per worker process and model, so that words learned in a task serve the next."""
+    if model.name not in _LABELLERS:
+        _LABELLERS.clear()
+        _LABELLERS[model.name] = Labeller(model)
+    return _LABELLERS[model.name]
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
     """doc_id, lang_pred, score (and spans) of every row."""
     spark = docs.sparkSession
@@ -252,7 +276,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = spark.sparkContext.broadcast(model)  # BUCKETS floats per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Labeller(shared.value)
+        own = labeller(shared.value)
         for batch in batches:
             for part in portions(batch):
                 texts = part.column("text").to_pylist()
@@ -275,7 +299,7 @@ def keep_identified(docs: DataFrame, model: Model, min_share: float, text_col: s
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Labeller(shared.value)
+        own = labeller(shared.value)
         for batch in batches:
             for part in portions(batch, text_col):
                 langs, scores = own.label(part.column(at).to_pylist())
