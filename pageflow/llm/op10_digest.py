@@ -1,9 +1,10 @@
 """Operator 10: canonical exact digests of documents, with DataFrame functions only.
 
-A text's canonical form is its NFC normal form, case folded, with runs of white space folded to one space and none at
-the ends. Its fingerprint is a 128-bit xxhash of that form. Documents are grouped by it, and within groups of equal
+A text's canonical form is its NFC normal form, then case folded, then with runs of white space folded to one space and
+none at the ends. Its fingerprint is a 128-bit xxhash of that form. Documents are grouped by it, and within groups of equal
 hashes the forms themselves are compared byte by byte; should two differ, the fingerprints of that hash get the SHA-256
-of the form as well, so equal fingerprints always mean equal forms.
+of the form as well, so equal fingerprints of
+documents always mean equal forms. Edited texts are told apart by the hash, and in the same way where documents clash.
 
 Normalisation costs one look at each character where a text has no mark that could combine (NFC quick check); other
 texts are cut in a starter and what may combine with it, decomposed, put in canonical order and composed again.
@@ -117,16 +118,21 @@ def _compose_unit(unit: Column) -> Column:
     return F.aggregate(ordered, empty, step, lambda a: F.concat(a["done"], a["starter"], a["pending"]))
 
 
+#: Characters that may need more than a look: none below U+0300 changes or combines under NFC.
+HIGH = "[^\\x00-\\x{2FF}]"
+
+
 def nfc(text: Column) -> Column:
     """The NFC normal form. Marks before any starter are kept in canonical order."""
     affected = _unicode()[0]
     units = F.regexp_extract_all(text, F.lit(f"(?s).{affected}*"), F.lit(0))
     slow = F.array_join(F.transform(units, lambda u: F.when(u.rlike(affected), _compose_unit(u)).otherwise(u)), "")
-    return F.when(text.rlike("[^\\x00-\\x{2FF}]") & text.rlike(affected), slow).otherwise(text)
+    return F.when(text.rlike(HIGH) & text.rlike(affected), slow).otherwise(text)
 
 
-#: White space, with separators and the byte order mark.
-SPACES = "[\\s\\x1C-\\x1F\\x85\\p{Z}\\x{FEFF}]+"
+#: White space, separators and the byte order mark: below U+0300, where a class is one table, and all of it.
+LOW_SPACES = "[\\x09-\\x0D\\x1C-\\x20\\x85\\xA0]+"
+SPACES = "[\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\p{Z}\\x{FEFF}]+"
 
 
 def with_canonical(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -135,9 +141,11 @@ def with_canonical(df: DataFrame, text: str, out: str) -> DataFrame:
     The steps are columns of their own, so that no expression holds another one several times.
     """
     # upper, then lower case, is a fold; what stands between keeps the optimizer from dropping the first step
-    fold = lambda c: F.translate(F.lower(F.translate(F.upper(c), "ϴ", "Θ")), "ς", "σ")
-    steps = df.withColumn("_nfc", nfc(F.coalesce(F.col(text), F.lit("")))).withColumn("_folded", fold(F.col("_nfc")))
-    return steps.withColumn(out, F.trim(F.regexp_replace(nfc(F.col("_folded")), SPACES, " "))).drop("_nfc", "_folded")
+    swap = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
+    fold = lambda c: swap(F.lower(swap(F.upper(c), "ϴ", "Θ")), "ς", "σ")
+    steps = df.withColumn("_nfc", nfc(F.coalesce(F.col(text), F.lit("")))).withColumn("_form", fold(F.col("_nfc")))
+    spaced = F.when(F.col("_form").rlike(HIGH), F.regexp_replace("_form", SPACES, " ")).otherwise(F.regexp_replace("_form", LOW_SPACES, " "))
+    return steps.withColumn(out, F.trim(spaced)).drop("_nfc", "_form")
 
 
 def wide_hash(form: Column) -> Column:
