@@ -10,8 +10,13 @@ from pageflow.sources.rules import is_regex, valid_pattern
 from pageflow.sources.suffixes import entity_of, split_hosts
 
 
+#: Rules up to this many are broadcast; a longer list is joined by Spark's own choice.
+BROADCAST_RULES = 50_000
+
+
 def parse_patterns(rules: DataFrame) -> DataFrame:
-    """rules with p_entity, p_subdomain (`*`: any) and p_suffix (null: any). Patterns without a site go."""
+    """rules with p_entity, p_subdomain (`*`: any), p_suffix (null: any) and valid_path. Patterns without a site go."""
+    ship(rules.sparkSession)
     d = F.col("domain")
     any_sub, any_suffix = d.startswith("*."), d.endswith(".*")
     rest = F.when(any_sub, F.substring(d, F.lit(3), F.length(d))).otherwise(d)
@@ -20,7 +25,7 @@ def parse_patterns(rules: DataFrame) -> DataFrame:
     entity = F.when(F.col("_head").isNotNull(), entity_of(F.col("_head"))).otherwise(F.col("entity"))
     before = F.regexp_extract("_head", "^(.*)\\.[^.]*\\z", 1)
     subdomain = F.when(any_sub, "*").when(F.col("_head").isNotNull(), before).otherwise(F.col("subdomain"))
-    out = split.select(*rules.columns, entity.alias("p_entity"), subdomain.alias("p_subdomain"), F.when(~any_suffix, F.col("suffix")).alias("p_suffix"))
+    out = split.select(*rules.columns, entity.alias("p_entity"), subdomain.alias("p_subdomain"), F.when(~any_suffix, F.col("suffix")).alias("p_suffix"), F.udf(valid_pattern, "boolean")(F.col("path_pattern")).alias("valid_path"))
     return out.where(F.coalesce(F.col("p_entity") != "", F.lit(False)))
 
 
@@ -33,21 +38,25 @@ def path_matches(pattern: Column, path: Column, valid: Column) -> Column:
     return F.when(pattern.isNull(), True).when(~valid, False).when(is_regex(pattern), F.expr("path rlike substring(path_pattern, 2, length(path_pattern) - 2)")).otherwise(F.contains(path, pattern))
 
 
+def loaded(rules: DataFrame) -> DataFrame:
+    """Parsed rules as a table of their own: they are configuration, read once, and their number is known then."""
+    parsed = parse_patterns(rules)
+    rows = parsed.collect()
+    table = rules.sparkSession.createDataFrame(rows, parsed.schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST_RULES else table
+
+
 def match_hosts(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """pages (page_id, host, ...) joined with the rules of their site; Spark broadcasts the rules while they are small."""
-    rules = parse_patterns(rules)
+    """pages (host, ...) joined with the rules of their site, by its name; the other conditions are residual."""
+    rules = loaded(rules)
     hosts = split_hosts(pages, "host").where("entity is not null")
     on = (hosts["entity"] == rules["p_entity"]) & (rules["p_suffix"].isNull() | (rules["p_suffix"] == hosts["suffix"])) & subdomain_matches(rules["p_subdomain"], hosts["subdomain"])
-    return hosts.join(rules, on).select(*pages.columns, "rule_id", "type", "path_pattern", "selector")
+    return hosts.join(rules, on).select(*pages.columns, "rule_id", "type", "path_pattern", "selector", "valid_path")
 
 
 def match_paths(matched: DataFrame) -> DataFrame:
     """Rows of match_hosts whose rule holds for the page's path."""
-    ship(matched.sparkSession)
-    ok = F.udf(valid_pattern, "boolean")
-    patterns = matched.select("path_pattern").where("path_pattern is not null").distinct().select("path_pattern", ok("path_pattern").alias("valid"))
-    checked = matched.join(patterns, "path_pattern", "left")
-    return checked.where(path_matches(F.col("path_pattern"), F.col("path"), F.coalesce("valid", F.lit(True)))).select(*matched.columns)
+    return matched.where(path_matches(F.col("path_pattern"), F.col("path"), F.col("valid_path")))
 
 
 def selectors(matched: DataFrame, key: list[str]) -> DataFrame:
