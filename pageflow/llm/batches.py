@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,18 @@ from pyspark.sql import functions as F
 PORTION_CHARS = 4_000_000
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What a worker process keeps from one task to the next: one thing at a time, so that stages don't add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def portions(batch: pa.RecordBatch, text: str = "text", chars: int = PORTION_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut a batch in slices of about ``chars`` bytes of text, one row at least."""
     if batch.num_rows == 0:

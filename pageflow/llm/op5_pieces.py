@@ -12,13 +12,12 @@ Memory: one portion of a batch and bounded caches per worker.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pageflow.llm.batches import id_and_text, map_portions
+from pageflow.llm.batches import held, id_and_text, map_portions
 from pageflow.llm.pieces import SPACE, Chunks, PieceModel, merge_pairs
 from pageflow.session import ship
 
@@ -72,9 +71,9 @@ class Encoder:
                     break
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    """One per worker process."""
+    return held(("pieces", path), lambda: Encoder(path))
 
 
 def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

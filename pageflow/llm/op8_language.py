@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageflow.llm.batches import portions
+from pageflow.llm.batches import held, portions
 from pageflow.session import ship
 
 BUCKETS = 1 << 16
@@ -36,7 +36,7 @@ TRAIN_DOCS, LONGEST = 4000, 4
 #: Cost of a change of language between two words, in nats; least share of a language's letters for a script to count.
 SWITCH, SCRIPT_SHARE = 12.0, 0.001
 #: Words whose scores a worker remembers; texts of more words than LONG are decoded one by one.
-WORDS, LONG = 700_000, 2000
+WORDS, LONG = 500_000, 2000
 
 # Scripts and their main code point ranges.
 SCRIPTS = {
@@ -258,15 +258,9 @@ class Labeller:
         return [(found[a].start(), found[b - 1].end(), self.model.langs[path[a]]) for a, b in zip(cut, cut[1:])]
 
 
-_LABELLERS: dict[str, Labeller] = {}
-
-
 def labeller(model: Model) -> Labeller:
     """One per worker process and model, so that words learned in a task serve the next."""
-    if model.name not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[model.name] = Labeller(model)
-    return _LABELLERS[model.name]
+    return held(("language", model.name), lambda: Labeller(model))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:

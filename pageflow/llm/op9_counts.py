@@ -11,12 +11,10 @@ Memory: one portion of a batch and a bounded cache of word counts per worker.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pageflow.llm.batches import id_and_text, map_portions
+from pageflow.llm.batches import held, id_and_text, map_portions
 from pageflow.llm.pieces import Chunks, PieceModel, merge_pairs
 from pageflow.session import ship
 
@@ -33,9 +31,12 @@ def merge_count(symbols: str, rank: dict[str, float], fallback: bool = True) ->
     return count + sum(len(p.encode()) - 1 for p in left if p not in rank) if fallback else count
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Chunks:
     """One per worker process; its caches are bounded."""
+    return held(("counts", path), lambda: _counter(path))
+
+
+def _counter(path: str) -> Chunks:
     model = PieceModel(path)
     rank = {p: -s for p, s in model.score.items()}
     fallback = bool(model.byte_id)

@@ -10,11 +10,12 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
 from itertools import chain, filterfalse
 
 import numpy as np
 
+from pageflow.llm.batches import held
+
 
 #: Pieces of words in one call of the library.
 TOGETHER = 64
@@ -22,7 +23,7 @@ TOGETHER = 64
 
 class WordIds:
     #: Distinct words and pieces of words that a worker remembers.
-    WORDS, PIECES = 700_000, 900_000
+    WORDS, PIECES = 600_000, 800_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -120,7 +121,6 @@ class WordIds:
         return [b"".join(map(get, words)) for words in split]
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     """One per worker process."""
-    return WordIds(path)
+    return held(("words", path), lambda: WordIds(path))
