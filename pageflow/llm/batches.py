@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts are taken from an Arrow batch in portions of about this many characters, which bounds a task's Python objects.
-PORTION_CHARS = 4_000_000
+PORTION_CHARS = 2_000_000
 
 
 _HELD: dict[tuple, object] = {}

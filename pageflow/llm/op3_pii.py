@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageflow.llm.batches import id_and_text, map_portions
+from pageflow.llm.batches import held, id_and_text, map_portions, portions
 from pageflow.session import ship
 
 KINDS = ("email", "ip", "card", "phone")
@@ -442,8 +442,7 @@ def mask_column(docs: DataFrame, model: Tagger, text_col: str = "text", count_co
     counted = names.index(count_col) if count_col in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pageflow.llm.batches import portions
-
+        held(("pii",), object)  # caches of earlier stages go
         for batch in batches:
             for part in portions(batch, text_col):
                 texts = part.column(at).to_pylist()

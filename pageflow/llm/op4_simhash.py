@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageflow.llm.batches import id_and_text, map_portions
+from pageflow.llm.batches import held, id_and_text, map_portions
 from pageflow.session import materialise, ship
 
 BITS, SHARED_BYTES = 3, 5
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, words_each: int = 3, id_col: str = "doc_id", t
     ship(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held(("simhash",), object)  # caches of earlier stages go
         fps = np.array([simhash(t, words_each) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
