@@ -37,7 +37,7 @@ EDITORS = [
     ".cm-editor",
     ".monaco-editor",
 ]
-RESULT_CLASS, DONE_ATTR = "imp-translate-result", "data-imp-translated"
+RESULT_CLASS, DONE_ATTR = "pageflow-result", "data-pageflow-done"
 
 WHITE = "\t\n\x0b\x0c\r \xa0                　﻿"
 BLANK_LINE = re.compile(f"\n[{WHITE.replace(chr(10), '')}]*\n")

@@ -28,7 +28,7 @@ def texts(html, **k):
         ("<div><template shadowrootmode=open><p>shadow text</p></template><p>light text</p></div>", ["light text", "shadow text"]),
         ("<div>text here <span aria-expanded=false>state ful</span><p>blocky one</p></div>", ["state ful", "blocky one"]),
         ("<div class=cm-editor><p>code code</p></div><pre>pre text</pre><script>var x</script><p>real text</p>", ["real text"]),
-        ("<p data-imp-translated=true>done before</p><p>new text</p>", ["new text"]),
+        ("<p data-pageflow-done=true>done before</p><p>new text</p>", ["new text"]),
     ],
 )
 def test_blocks(html, expected):

@@ -54,8 +54,8 @@ google.*##.a
 mail.google.*#+#.b
 *.wikipedia.org##:matches-path(/^\\/wiki\\/(a|b)/) .c
 x.co.uk###id
-imp.test##:matches-path(/foo).d
-imp.test##:matches-path(/[/)x
+sample.test##:matches-path(/foo).d
+sample.test##:matches-path(/[/)x
 *.ex.*##.e
 bad.test##:matches-path(/open.f"""
 
@@ -67,8 +67,8 @@ bad.test##:matches-path(/open.f"""
     ("wikipedia.org", "/wiki/a", [".c"], []),
     ("de.wikipedia.org", "/other", [], []),
     ("x.co.uk", "/", ["#id"], []),
-    ("imp.test", "/a/foo", [".d"], []),
-    ("imp.test", "/[/", [], []),
+    ("sample.test", "/a/foo", [".d"], []),
+    ("sample.test", "/[/", [], []),
     ("a.b.ex.de", "/", [".e"], []),
     ("1.2.3.4", "/", [], []),
     ("bad.test", "/", [":matches-path(/open.f"], []),
