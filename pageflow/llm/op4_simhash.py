@@ -13,12 +13,17 @@ as members at most, with the same components. Components are joined over all pos
 
 Null and empty texts have fingerprint zero and link like any other. Rows with null ids take part; a component's id is
 the smallest non-null doc_id in it. Repeated rows share their component. Extra columns are not read.
+
+keep_one, a stage of the pipeline, goes by the texts' likeness itself: every pair whose five-word shingles have a Jaccard
+likeness of 0.8 is found by prefix filtering and compared exactly (shingles are told apart by 64-bit hashes).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
+from math import ceil, log
 
 import numpy as np
 import pandas as pd
@@ -34,6 +39,10 @@ BITS, SHARED_BYTES = 3, 5
 HOT = 8192
 #: Shingles whose bits are counted at once.
 AT_ONCE = 200_000
+#: keep_one: texts of a block, texts of the sample that tells common shingles, and how many of these are told.
+BLOCK, TOLD, COMMON = 512, 8192, 200_000
+#: Pairs are listed for shingles of so many rows at most.
+LIGHT = 64
 
 TRIPLES = [t for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for t in combinations(half, 3)]
 
@@ -200,13 +209,178 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are the first of their component, with all their columns.
+# --- one row of each group of near copies, by exact likeness
+def shingle_set(text: str | None, words_each: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order; a shorter text is one shingle, an empty one has none."""
+    import xxhash
+
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    if len(words) < words_each:
+        return np.array([digest(join(words), 42)], np.uint64)
+    return np.unique(np.array([digest(join(s), 42) for s in zip(*(words[k:] for k in range(words_each)))], np.uint64))
+
+
+def _shared(n: int) -> int:
+    """So many members of their prefixes, of the smaller set's count, two near copies share at least."""
+    return max(1, n // 25)
+
+
+def _prefix_length(n: int, least: Fraction) -> int:
+    """Of their first so many members, in any common order, two sets as alike as ``least`` share _shared at least."""
+    return min(n, n - ceil(least * n) + _shared(n)) if n else 0
 
-    A component whose ids are all null keeps its rows: none can be named. Of rows with a repeated id one stays.
+
+def _common(texts: DataFrame, words_each: int) -> np.ndarray:
+    """Shingles that several texts of a bounded sample have, rarer first. It sets an order only: any order finds all pairs."""
+    n = texts.count()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, words_each) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
+
+    some = texts.where(F.pmod(F.xxhash64("tk", F.lit("sample")), F.lit(1_000_000)) * n < TOLD * 1_000_000)
+    counts = map_portions(some.select("text"), run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
+
+
+def _sketches(texts: DataFrame, words_each: int, least: Fraction) -> DataFrame:
+    """doc_id, tk, sid (a hash of the text's set of shingles), size and prefix (its rarest shingles, enough to meet every near copy)."""
+    common = _common(texts, words_each)
+    by = np.argsort(common)
+    ranked = common[by]
+
+    def prefix(s: np.ndarray) -> np.ndarray:
+        k = _prefix_length(len(s), least)
+        if not len(ranked):
+            return s[:k]
+        at = np.minimum(np.searchsorted(ranked, s), len(ranked) - 1)
+        known = ranked[at] == s
+        rare = s[~known]
+        return rare[:k] if len(rare) >= k else np.concatenate([rare, common[np.sort(by[at[known]])]])[:k]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        import xxhash
+
+        held(("simhash",), object)  # caches of earlier stages go
+        sids, sizes, firsts = [], [], []
+        for t in batch.column("text").to_pylist():
+            s = shingle_set(t, words_each)
+            sids.append(xxhash.xxh64_intdigest(s.tobytes(), 42) if len(s) else 0)
+            sizes.append(len(s))
+            firsts.append(prefix(s))
+        offsets = pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(firsts).view(np.int64)))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], ["doc_id", "tk", "sid", "size", "prefix"])
+
+    return map_portions(texts, run, "doc_id long, tk long, sid long, size int, prefix array<long>")
+
+
+def near_links(sets: list[np.ndarray], least: Fraction, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs whose Jaccard likeness is ``least`` or more; with side, of those across sides only."""
+    n = len(sets)
+    sizes, found = np.array([len(s) for s in sets]), _Sets(n)
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(n), sizes), count[at] > 1
+    column = (np.cumsum(count > 1) - 1)[at[shared]]
+    owner = owner[shared]
+    by = np.argsort(column, kind="stable")
+    column, owner = column[by], owner[by]
+    both, width = np.zeros((n, n), np.float32), 2048
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [start, start + width])
+        x = np.zeros((n, min(width, int(column[-1]) + 1 - start)), np.float32)
+        x[owner[lo:hi], column[lo:hi] - start] = 1
+        both += x @ x.T
+    p, q = least.numerator, least.denominator
+    alike = both.astype(np.int64) * (p + q) >= p * (sizes[:, None] + sizes[None, :])
+    a, b = np.nonzero(np.triu(alike, 1))
+    if side is not None:
+        across = side[a] != side[b]
+        a, b = a[across], b[across]
+    found.join(a, b)
+    return found.links()
+
+
+def _may_be_near(rows: DataFrame, least: Fraction) -> DataFrame:
+    """Edges (a, b) between sets; every near pair lies within one component of these.
+
+    Pairs are listed for shingles of few sets, filtered by size and by the count of shared prefix members. The sets of a
+    shingle that more have are linked to the smallest among those of like size, without a filter: no list grows by squares.
+    """
+    p, q = least.numerator, least.denominator
+    listed = rows.select("sid", "size", F.explode("prefix").alias("h"))
+    repeated = listed.groupBy("h").agg(F.min("sid").alias("m"), F.max("sid").alias("x"), F.count("*").alias("n")).where("m <> x")
+    listed = listed.join(repeated.select("h", (F.col("n") > LIGHT).alias("many")), "h").distinct()
+    listed = materialise(listed, "op4-listed")
+    few = listed.where("not many").select("h", "sid", "size")
+    pairs = few.join(few.select("h", F.col("sid").alias("b"), F.col("size").alias("other")), "h").where(f"sid < b and size * {q} >= other * {p} and other * {q} >= size * {p}")
+    counted = pairs.groupBy(F.col("sid").alias("a"), "b").agg(F.count("*").alias("n"), F.min(F.least("size", "other")).alias("size"))
+    counted = counted.where("n >= greatest(1, size div 25)").select("a", "b")  # _shared
+    # sizes of a near pair differ by one level at most, so both have one of two levels
+    level = F.floor(F.log("size") / float(log(q / p * 1.01))).cast("int")
+    levels = listed.where("many").select("h", "sid", F.explode(F.array(level, level + 1)).alias("level"))
+    least_of = levels.groupBy("h", "level").agg(F.min("sid").alias("b"))
+    stars = levels.join(least_of, ["h", "level"]).where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
+    return counted.union(stars).distinct()
+
+
+def _likeness_links(texts: DataFrame, rows: DataFrame, words_each: int, least: Fraction) -> DataFrame:
+    """Links (a, b) between sets of shingles that give all components of pairs as alike as ``least``; none is left out.
+
+    Small components of pairs that may be near are compared whole, larger ones by pairs of blocks, so no task meets more
+    than two blocks at once.
     """
-    found = materialise(near_duplicates(docs, id_col, text_col), "op4-found")
-    first = found.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("__first")), "left_semi")
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col]) if repeated else kept
+    edges = materialise(_may_be_near(rows, least), "op4-may")
+    met = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
+    groups = materialise(components(met, edges).withColumnRenamed("fp", "sid"), "op4-groups")
+    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    small = max(1, groups.count() // BLOCK)
+    members = groups.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    named = rows.join(groups.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.min("tk").alias("tk"))
+    members = materialise(members.join(named, "sid"), "op4-members")
+    bodies = texts.select("tk", "text").join(members.select("tk"), "tk", "left_semi").groupBy("tk").agg(F.first("text").alias("text"))
+    whole = F.col("blocks") == 1
+    met = members.join(bodies, "tk").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("sid", "root", "block", "text", F.when(whole, F.pmod(F.xxhash64("root"), F.lit(small))).otherwise(F.col("root")).alias("g"), whole.alias("whole"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
+        for _, part in pdf.groupby("root"):
+            side = part["block"].to_numpy() if key[2] != key[3] else None
+            sids = part["sid"].to_numpy(np.int64)
+            a, b = near_links([shingle_set(t, words_each) for t in part["text"]], least, side)
+            out.append(pd.DataFrame({"a": sids[a], "b": sids[b]}))
+        return pd.concat(out)
+
+    return met.groupBy("g", "whole", "lo", "hi").applyInPandas(search, "a long, b long")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
+    """One row of each group of near copies, with all its columns: of the smallest id, rows without an id last.
+
+    Texts whose sets of ``words_each``-word shingles have a Jaccard likeness of ``least`` or more are linked, and links
+    carry on. Of an id's rows in one group the one with the smallest hash of its text stays, of rows of equal id and
+    text the first by their columns; rows of one id in different groups all stay, and so do different texts without an id.
+    """
+    ship(docs.sparkSession)
+    texts = id_and_text(docs, id_col, text_col).withColumn("tk", F.xxhash64("text"))
+    rows = materialise(_sketches(texts, words_each, least), "op4-sketches")
+    links_ = materialise(_likeness_links(texts, rows, words_each, least), "op4-near")
+    linked = links_.select(F.col("a").alias("fp")).union(links_.select("b")).distinct()
+    classes = components(linked, links_).select(F.col("fp").alias("sid"), "root")
+    each = rows.groupBy("doc_id", "tk").agg(F.first("sid").alias("sid"), F.count("*").alias("n"))
+    each = each.join(classes, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    first = each.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "tk", "n")).alias("w"))
+    first = materialise(first.select(F.col("w.doc_id").alias("__doc"), F.col("w.tk").alias("__text"), F.col("w.n").alias("__n")), "op4-first")
+    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__tk": F.xxhash64(F.col(text_col).cast("string"))})
+
+    def those(chosen: DataFrame) -> DataFrame:
+        return keyed.join(chosen, (F.col("__tk") == F.col("__text")) & F.col("__id").eqNullSafe(F.col("__doc")), "left_semi")
+
+    row = F.struct(*docs.columns)
+    repeated = those(first.where("__n > 1")).groupBy("__id", "__tk").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return those(first.where("__n = 1")).select(*docs.columns).unionByName(repeated)

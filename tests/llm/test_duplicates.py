@@ -152,3 +152,45 @@ def test_edits(spark, docs, none, sample):
 def test_colliding_hashes_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(op10_digest, "wide_hash", lambda form: F.lpad((F.length(form) % 3).cast("string"), 32, "0"))
     check_edits(spark.createDataFrame([(i, t) for i, t in enumerate(["aa", "AA", "bb", "cccc", "cc", "dddd", "", "aa "])], "doc_id long, text string"))
+
+
+def edited(words, rng, share):
+    return [f"new{rng.randrange(10**6)}" if rng.random() < share else w for w in words]
+
+
+def likeness_classes(texts):
+    """Components of all pairs with a five-word Jaccard likeness of 0.8, by brute force."""
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, parent = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_keep_one_finds_every_near_copy(spark, monkeypatch):
+    monkeypatch.setattr(op4_simhash, "BLOCK", 8)
+    monkeypatch.setattr(op4_simhash, "LIGHT", 20)
+    rng = random.Random(6)
+    line, texts = [f"line{i}" for i in range(12)], []
+    for n in (3, 6, 30, 100, 300):
+        for _ in range(6):
+            base = [f"w{rng.randrange(3000)}" for _ in range(n)]
+            texts += [" ".join(base + line)] + [" ".join(edited(base, rng, s) + line) for s in (0.01, 0.02, 0.03, 0.04, 0.05)]
+    base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    texts += [" ".join(edited(base, rng, 0.02)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = sorted(set(likeness_classes(texts)))
+    assert len(texts) / 4 < len(want) < len(texts)
+    assert sorted(r["doc_id"] for r in op4_simhash.keep_one(docs).collect()) == want
