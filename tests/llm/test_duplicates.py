@@ -194,3 +194,14 @@ def test_keep_one_finds_every_near_copy(spark, monkeypatch):
     want = sorted(set(likeness_classes(texts)))
     assert len(texts) / 4 < len(want) < len(texts)
     assert sorted(r["doc_id"] for r in op4_simhash.keep_one(docs).collect()) == want
+
+
+def test_keep_one_with_repeated_and_missing_ids(spark):
+    texts = [" ".join(f"{k}x{i}" for i in range(60)) for k in "abcdef"]
+    near = texts[0] + " end"
+    rows = [(None, texts[0]), (None, near), (None, texts[1]), (None, texts[1]), (None, texts[2]), (4, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5]), (8, texts[5])]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    got = sorted((r["doc_id"] or -1, r["n"]) for r in op4_simhash.keep_one(docs).collect())
+    assert [g for g in got if g[0] > 0] == [(4, 5), (7, 6), (7, 7), (8, 8)]
+    none = [n for i, n in got if i < 0]
+    assert len(none) == 2 and none[0] in (0, 1) and none[1] == 2
