@@ -46,3 +46,15 @@ def test_entry(spark):
 def test_language_accuracy(spark, sf):
     p = catalog.queries()["lang_detect"](spark, sf).toPandas()
     assert (p["lang"] == p["detected"]).mean() > 0.9
+
+
+def test_language_detection_gives_every_document(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = docs.where("lang = 'de' and n_chars > 300").first()["text"]
+    extra = spark.createDataFrame([(None, text), (None, None), (-7, text), (-7, "???")], "doc_id long, text string")
+    docs.unionByName(extra, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["lang_detect"](spark, str(tmp_path)).collect()
+    assert len(got) == docs.count() + 4
+    assert sorted(r["detected"] for r in got if r["doc_id"] is None) == ["", "de"]
+    assert sorted(r["detected"] for r in got if r["doc_id"] == -7) == ["", "de"]
+    assert {r["fold"] for r in got} == {0, 1}
