@@ -12,8 +12,11 @@ pruned when its bound lies under the worst kth score of the queries below the qu
 multiplied out in float64, which is exact below 2^53. Ties go to the smaller id and are never pruned (only lower bounds
 are). A query's results from all chunks meet in one window.
 
-Vectors that are null or have null or non-finite components take no part, nor do those beyond +-LARGEST after scaling,
-for which sums would not be exact; nor those with a null id. Shorter vectors count as having zeros at the end. A
+Vectors with components for which float64 sums might not be exact (beyond +-LARGEST after scaling, or less if there are
+very many dimensions) stay out of the trees: they meet all others block by block, and what float64 cannot rule out is
+scored in integers. Integers or scores beyond 64 bits raise an error, as they do in SQL.
+
+Vectors that are null or have null or non-finite components take no part, nor do those with a null id. Shorter vectors count as having zeros at the end. A
 repeated id is a row of its own, but a query never meets a row of its own id. With fewer than k candidates all are
 given. An empty table gives an empty result. Extra columns are not read.
 """
@@ -22,6 +25,8 @@ from __future__ import annotations
 
 
 from collections.abc import Iterator
+from functools import reduce
+from math import isqrt
 
 
 import numpy as np
@@ -36,6 +41,8 @@ from pageflow.session import materialise, ship
 #: Rows to find the centres from, centres, rows of a chunk, queries of a group, rows of a tree's leaf, chunks that one task may meet a set of groups with.
 SAMPLE, CELLS, CHUNK, GROUP, LEAF, TOGETHER = 4096, 32, 16_384, 1024, 64, 64
 LARGEST = 1 << 20
+#: Rows of a block of the exact search.
+EXACT = 4096
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -159,9 +166,49 @@ def dual_search(queries: Tree, refs: Tree, best: Best) -> None:
 # --- the distributed search
 def scaled(vectors: DataFrame, scale: float, id_col: str, vector_col: str) -> DataFrame:
     """vec_id and v, the scaled integers, of the vectors that take part."""
-    v = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    fine = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) * float(scale) < LARGEST)
-    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(F.forall(F.col(vector_col), fine), F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<int>").alias("v"))
+    wide = lambda x: F.lit(float(scale)) * x.cast("double")
+    v = F.transform(F.col(vector_col), lambda x: F.when(F.abs(wide(x)) < 2.0**63, F.floor(wide(x))).otherwise(F.raise_error(F.lit("a scaled component is beyond 64 bits")).cast("long")))
+    fine = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
+    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(F.forall(F.col(vector_col), fine), F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+
+
+def exact_best(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(query id, id, score) of the k best for each query, in integers: float64 only rules out what its error cannot lift."""
+    qf, rf = q.astype(np.float64), r.astype(np.float64)
+    product = qf @ rf.T
+    slack = (q.shape[1] + 8) * 2.0**-51 * (np.abs(qf) @ np.abs(rf).T) + 1
+    own, out = q_ids[:, None] == r_ids[None], []
+    low, high = np.where(own, -np.inf, product - slack), np.where(own, -np.inf, product + slack)
+    for i in range(len(q)):
+        least = np.partition(low[i], -k)[-k] if len(r) > k else -np.inf
+        at = np.flatnonzero((high[i] >= least) & ~own[i])
+        mine = q[i].tolist()
+        scores = sorted((-sum(a * b for a, b in zip(mine, r[j].tolist())), int(r_ids[j])) for j in at)[:k]
+        if any(abs(s) >= 1 << 63 for s, _ in scores):
+            raise OverflowError("a score is beyond 64 bits")
+        out += [(int(q_ids[i]), j, -s) for s, j in scores]
+    return out
+
+
+def _exact(asked: DataFrame, rows: DataFrame, k: int, width: int, many_asked: int, many_rows: int) -> DataFrame:
+    """query_id, vec_id, score of the k best of every query in every block of rows."""
+    a, b = max(1, -(-many_asked // GROUP)), max(1, -(-many_rows // EXACT))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def integers(pdf: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((len(pdf), width), np.int64)
+        for i, x in enumerate(pdf["v"]):
+            out[i, : len(x)] = x
+        return out
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = exact_best(left["vec_id"].to_numpy(np.int64), integers(left), right["vec_id"].to_numpy(np.int64), integers(right), k) if len(left) and len(right) else []
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+
+    left = asked.select("vec_id", "v", dealt(a).alias("qb"), each(b).alias("rb")).groupBy("qb", "rb")
+    right = rows.select("vec_id", "v", dealt(b).alias("rb"), each(a).alias("qb")).groupBy("qb", "rb")
+    return left.cogroup(right).applyInPandas(run, RESULT)
 
 
 def _matrix(lists, width: int) -> np.ndarray:
@@ -241,9 +288,19 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
     """query_id, rank, vec_id, score: for every row that the condition ``queries`` (on id_col) holds for, its k best others."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = materialise(scaled(vectors, scale, id_col, vector_col), "op1-rows")
-    asked = materialise(scaled(vectors.where(queries), scale, id_col, vector_col), "op1-queries")
-    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    all_rows = materialise(scaled(vectors, scale, id_col, vector_col), "op1-rows")
+    all_asked = materialise(scaled(vectors.where(queries), scale, id_col, vector_col), "op1-queries")
+    width = all_rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+    limit = min(LARGEST, isqrt((1 << 53) // max(1, width)))
+    large = F.exists("v", lambda x: (x >= limit) | (x <= -limit))
+    split = lambda df, which: df.where(which).withColumn("v", F.col("v").cast("array<int>"))
+    rows, asked = split(all_rows, ~large), split(all_asked, ~large)
+    total, n, asked_total, asked_n = (x for df in (all_rows, all_asked) for x in df.agg(F.count("*"), F.count_if(~large)).first())
+    exact = []
+    if total > n:
+        exact.append(_exact(asked, all_rows.where(large), k, width, asked_n, total - n))
+    if asked_total > asked_n:
+        exact.append(_exact(all_asked.where(large), all_rows, k, width, asked_total - asked_n, total))
     share = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1_000_000)) * n < SAMPLE * 1_000_000
     sample = _matrix([r.v for r in rows.where(share).select("v").limit(2 * SAMPLE).collect()], width)  # bounded
     centres = choose_centres(sample[np.lexsort(sample.T)] if width and len(sample) else sample, max(1, min(CELLS, n // 1024)))
@@ -286,7 +343,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
     where = asked_cells.select("vec_id", "cell", F.pmod(F.xxhash64("vec_id"), F.get(F.lit([max(1, -(-asked_sizes.get(c, 0) // GROUP)) for c in range(len(centres))]).cast("array<int>"), F.col("cell"))).cast("int").alias("group"))
     told = where.join(kth, where["vec_id"] == kth["query_id"]).groupBy("cell", "group").agg(F.collect_list("vec_id").alias("known_ids"), F.collect_list(F.col("kth").cast("double")).alias("known_worst"))
     far = _meet(groups.join(told, ["cell", "group"], "left").mapInArrow(lambda it: to_pairs(it, False), schema), chunks, k, parts)
-    return _best_of(own.unionByName(far), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = reduce(DataFrame.unionByName, exact, own.unionByName(far))
+    return _best_of(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 PAIRS = pa.schema([("cell", pa.int32()), ("chunk", pa.int32()), ("part", pa.int32()), ("worst", pa.binary()), ("n", pa.int64()), ("width", pa.int64()), *((x, pa.binary()) for x in ("ids", "rows", "first", "end", "radius", "kids"))])

@@ -189,6 +189,22 @@ def test_top_k(spark, monkeypatch, n, dims, groups):
     assert got == brute(rows, lambda i: i % 50 == 0)
 
 
+def test_top_k_with_large_components(spark, monkeypatch):
+    monkeypatch.setattr(op1_covertree, "EXACT", 40)
+    rng = np.random.default_rng(8)
+    # the fourth kind gives scores that float64 cannot tell apart
+    kinds = [lambda: rng.normal(size=4), lambda: rng.normal(size=4) * 5000, lambda: rng.normal(size=4) * 1e6, lambda: 4_000_000 + rng.integers(0, 3, 4) / 256]
+    rows = [(i, [float(x) for x in kinds[i % 4]()]) for i in range(160)] + [(160, [float("inf"), 1.0, 1.0, 1.0]), (161, [float("nan")] * 4)]
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows[:160]}
+    want = set()
+    for q in whole:
+        if q % 5 == 0:
+            best = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q)[:5]
+            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert {tuple(r) for r in op1_covertree.top_k(df, F.col("vec_id") % 5 == 0).collect()} == want
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(4)
     a = op1_covertree.Tree.build(np.arange(300), rng.integers(-99, 99, (300, 8)).astype(float), 16)
