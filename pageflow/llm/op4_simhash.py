@@ -28,7 +28,7 @@ from math import ceil, log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageflow.llm.batches import held, id_and_text, map_portions
@@ -305,6 +305,12 @@ def near_links(sets: list[np.ndarray], least: Fraction, side: np.ndarray | None
     return found.links()
 
 
+def _levels(least: Fraction) -> Column:
+    """The level of a set's size and the next one: sizes of a near pair differ by one level at most, so both have one of these."""
+    level = F.floor(F.log("size") / float(log(1.01 / least))).cast("int")
+    return F.array(level, level + 1)
+
+
 def _may_be_near(rows: DataFrame, least: Fraction) -> DataFrame:
     """Edges (a, b) between sets; every near pair lies within one component of these.
 
@@ -320,9 +326,7 @@ def _may_be_near(rows: DataFrame, least: Fraction) -> DataFrame:
     pairs = few.join(few.select("h", F.col("sid").alias("b"), F.col("size").alias("other")), "h").where(f"sid < b and size * {q} >= other * {p} and other * {q} >= size * {p}")
     counted = pairs.groupBy(F.col("sid").alias("a"), "b").agg(F.count("*").alias("n"), F.min(F.least("size", "other")).alias("size"))
     counted = counted.where("n >= greatest(1, size div 25)").select("a", "b")  # _shared
-    # sizes of a near pair differ by one level at most, so both have one of two levels
-    level = F.floor(F.log("size") / float(log(q / p * 1.01))).cast("int")
-    levels = listed.where("many").select("h", "sid", F.explode(F.array(level, level + 1)).alias("level"))
+    levels = listed.where("many").select("h", "sid", F.explode(_levels(least)).alias("level"))
     least_of = levels.groupBy("h", "level").agg(F.min("sid").alias("b"))
     stars = levels.join(least_of, ["h", "level"]).where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
     return counted.union(stars).distinct()
@@ -331,32 +335,34 @@ def _may_be_near(rows: DataFrame, least: Fraction) -> DataFrame:
 def _likeness_links(texts: DataFrame, rows: DataFrame, words_each: int, least: Fraction) -> DataFrame:
     """Links (a, b) between sets of shingles that give all components of pairs as alike as ``least``; none is left out.
 
-    Small components of pairs that may be near are compared whole, larger ones by pairs of blocks, so no task meets more
-    than two blocks at once.
+    Small components of pairs that may be near are compared whole, larger ones among sets of like size and by pairs of
+    blocks, so no task meets more than two blocks at once.
     """
     edges = materialise(_may_be_near(rows, least), "op4-may")
     met = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
     groups = materialise(components(met, edges).withColumnRenamed("fp", "sid"), "op4-groups")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     small = max(1, groups.count() // BLOCK)
-    members = groups.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
-    named = rows.join(groups.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.min("tk").alias("tk"))
-    members = materialise(members.join(named, "sid"), "op4-members")
+    named = rows.join(groups.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.min("tk").alias("tk"), F.first("size").alias("size"))
+    whole = groups.groupBy("root").agg((F.count("*") <= BLOCK).alias("whole"))
+    members = groups.join(whole, "root").join(named, "sid").withColumn("level", F.explode(F.when(F.col("whole"), F.array(F.lit(-1))).otherwise(_levels(least))))
+    members = materialise(members, "op4-members")
+    blocks = members.groupBy("root", "level").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = members.join(blocks, ["root", "level"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
     bodies = texts.select("tk", "text").join(members.select("tk"), "tk", "left_semi").groupBy("tk").agg(F.first("text").alias("text"))
-    whole = F.col("blocks") == 1
-    met = members.join(bodies, "tk").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.select("sid", "root", "block", "text", F.when(whole, F.pmod(F.xxhash64("root"), F.lit(small))).otherwise(F.col("root")).alias("g"), whole.alias("whole"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    met = dealt.join(bodies, "tk").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    group = F.when(F.col("whole"), F.pmod(F.xxhash64("root"), F.lit(small))).otherwise(F.col("root"))
+    met = met.select("sid", "root", "block", "text", "whole", "level", group.alias("g"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
         for _, part in pdf.groupby("root"):
-            side = part["block"].to_numpy() if key[2] != key[3] else None
+            side = part["block"].to_numpy() if key[3] != key[4] else None
             sids = part["sid"].to_numpy(np.int64)
             a, b = near_links([shingle_set(t, words_each) for t in part["text"]], least, side)
             out.append(pd.DataFrame({"a": sids[a], "b": sids[b]}))
         return pd.concat(out)
 
-    return met.groupBy("g", "whole", "lo", "hi").applyInPandas(search, "a long, b long")
+    return met.groupBy("g", "whole", "level", "lo", "hi").applyInPandas(search, "a long, b long")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
