@@ -14,14 +14,18 @@ as members at most, with the same components. Components are joined over all pos
 Null and empty texts have fingerprint zero and link like any other. Rows with null ids take part; a component's id is
 the smallest non-null doc_id in it. Repeated rows share their component. Extra columns are not read.
 
-keep_one, a stage of the pipeline, goes by the texts' likeness itself: every pair whose five-word shingles have a Jaccard
-likeness of 0.8 is found by prefix filtering and compared exactly (shingles are told apart by 64-bit hashes).
+keep_one, a stage of the pipeline, links texts whose sets of five-word shingles have a Jaccard likeness of 0.8. SimHash
+fingerprints of five-word shingles and the index above give the closest pairs. No radius of a fingerprint reaches every
+pair as alike as that, so an inverted index of the shingles with count filtering adds the others: two such texts share
+a known number of the rarest of their shingles. What both find is compared exactly, so no link rests on a fingerprint.
+Shingles and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 from itertools import combinations
 from math import ceil, log
 
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageflow.llm.batches import held, id_and_text, map_portions
+from pageflow.llm.batches import held, id_and_text, map_portions, portions
 from pageflow.session import materialise, ship
 
 BITS, SHARED_BYTES = 3, 5
@@ -39,29 +43,42 @@ BITS, SHARED_BYTES = 3, 5
 HOT = 8192
 #: Shingles whose bits are counted at once.
 AT_ONCE = 200_000
-#: keep_one: texts of a block, texts of the sample that tells common shingles, and how many of these are told.
-BLOCK, TOLD, COMMON = 512, 8192, 200_000
-#: Pairs are listed for shingles of so many rows at most.
-LIGHT = 64
+#: keep_one: texts of a block and their shingles, texts of the sample that tells common shingles, and how many are told.
+BLOCK, BLOCK_SHINGLES, TOLD, COMMON = 512, 4_000_000, 8192, 200_000
+#: Pairs are listed for shingles of so many texts at most. Those that probably have more, by so many texts of the sample at least, are dealt to all tasks.
+LIGHT, SALTED = 64, 3
+#: Postings that a task holds before it deals them, postings of a bucket, pairs that a task holds before it counts them.
+HELD, BUCKET, PAIRS = 2_000_000, 1_500_000, 2_000_000
+#: Texts of a large group that all others of it are compared with first.
+CENTRES = 64
 
 TRIPLES = [t for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for t in combinations(half, 3)]
 
 
-def simhash(text: str | None, words_each: int = 3, seed: int = 42) -> int:
+def shingle_hashes(text: str | None, words_each: int, seed: int = 42) -> np.ndarray:
+    """Hashes of all shingles in order, repeats included; a shorter text is one shingle, an empty one has none."""
     import xxhash
 
     words = text.encode().lower().split() if text else []  # on bytes: A-Z only, ASCII white space only
     if not words:
-        return 0
-    if len(words) < words_each:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
+        return np.zeros(0, np.uint64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    total, ones = len(words) - words_each + 1, np.zeros(64, np.int64)
-    for start in range(0, total, AT_ONCE):
-        part = words[start : min(start + AT_ONCE, total) + words_each - 1]
-        h = np.array([digest(join(s), seed) for s in zip(*(part[k:] for k in range(words_each)))], ">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
+    if len(words) < words_each:
+        return np.array([digest(join(words), seed)], np.uint64)
+    return np.fromiter((digest(join(s), seed) for s in zip(*(words[k:] for k in range(words_each)))), np.uint64, len(words) - words_each + 1)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), AT_ONCE):
+        part = hashes[start : start + AT_ONCE].astype(">u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
+def simhash(text: str | None, words_each: int = 3, seed: int = 42) -> int:
+    return fingerprint(shingle_hashes(text, words_each, seed))
 
 
 def fingerprints(docs: DataFrame, words_each: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,16 +228,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # --- one row of each group of near copies, by exact likeness
 def shingle_set(text: str | None, words_each: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, in order; a shorter text is one shingle, an empty one has none."""
+    """The distinct hashes of a text's shingles, in order."""
+    return np.unique(shingle_hashes(text, words_each))
+
+
+def set_id(s: np.ndarray) -> int:
+    """A hash of a set of shingles; 0 for the empty one."""
     import xxhash
 
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    if len(words) < words_each:
-        return np.array([digest(join(words), 42)], np.uint64)
-    return np.unique(np.array([digest(join(s), 42) for s in zip(*(words[k:] for k in range(words_each)))], np.uint64))
+    return xxhash.xxh64_intdigest(s.tobytes(), 42) if len(s) else 0
 
 
 def _shared(n: int) -> int:
@@ -233,50 +249,204 @@ def _prefix_length(n: int, least: Fraction) -> int:
     return min(n, n - ceil(least * n) + _shared(n)) if n else 0
 
 
-def _common(texts: DataFrame, words_each: int) -> np.ndarray:
-    """Shingles that several texts of a bounded sample have, rarer first. It sets an order only: any order finds all pairs."""
+class Told:
+    """Shingles that several texts of a bounded sample have. They set an order only: any order finds all pairs."""
+
+    def __init__(self, hashes: np.ndarray, times: np.ndarray, n: int):
+        """hashes: rarer first; times: texts of the sample that have them; n: all texts."""
+        self.hashes, self.by = hashes, np.argsort(hashes)
+        self.ranked, self.many = hashes[self.by], (times >= max(SALTED, LIGHT * TOLD / max(n, TOLD)))[self.by]
+
+    def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.ranked, h), max(0, len(self.ranked) - 1))
+        return at, self.ranked[at] == h if len(self.ranked) else np.zeros(len(h), bool)
+
+    def prefix(self, s: np.ndarray, k: int) -> np.ndarray:
+        """The k rarest of a set: those not told, in order, then told ones."""
+        at, known = self._places(s)
+        rare = s[~known]
+        return rare[:k] if len(rare) >= k else np.concatenate([rare, self.hashes[np.sort(self.by[at[known]])]])[:k]
+
+    def salted(self, h: np.ndarray) -> np.ndarray:
+        at, known = self._places(h)
+        known[known] = self.many[at[known]]
+        return known
+
+
+def _told(texts: DataFrame, words_each: int) -> Told:
     n = texts.count()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, words_each) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
 
-    some = texts.where(F.pmod(F.xxhash64("tk", F.lit("sample")), F.lit(1_000_000)) * n < TOLD * 1_000_000)
+    some = texts.where(F.pmod(F.xxhash64("tk", F.lit("sample")), F.lit(1_000_000)) * n < TOLD * 1_000_000).dropDuplicates(["tk"])
     counts = map_portions(some.select("text"), run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    top = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
+    top = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()[::-1]  # bounded
+    return Told(np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64), n)
 
 
 def _sketches(texts: DataFrame, words_each: int, least: Fraction) -> DataFrame:
-    """doc_id, tk, sid (a hash of the text's set of shingles), size and prefix (its rarest shingles, enough to meet every near copy)."""
-    common = _common(texts, words_each)
-    by = np.argsort(common)
-    ranked = common[by]
-
-    def prefix(s: np.ndarray) -> np.ndarray:
-        k = _prefix_length(len(s), least)
-        if not len(ranked):
-            return s[:k]
-        at = np.minimum(np.searchsorted(ranked, s), len(ranked) - 1)
-        known = ranked[at] == s
-        rare = s[~known]
-        return rare[:k] if len(rare) >= k else np.concatenate([rare, common[np.sort(by[at[known]])]])[:k]
+    """doc_id, tk, sid (a hash of the text's set of shingles), fp (its fingerprint), size and the length of its prefix."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        import xxhash
-
         held(("simhash",), object)  # caches of earlier stages go
-        sids, sizes, firsts = [], [], []
+        sids, fps, sizes, prefixes = [], [], [], []
         for t in batch.column("text").to_pylist():
-            s = shingle_set(t, words_each)
-            sids.append(xxhash.xxh64_intdigest(s.tobytes(), 42) if len(s) else 0)
+            h = shingle_hashes(t, words_each)
+            s = np.unique(h)
+            sids.append(set_id(s))
+            fps.append(fingerprint(h))
             sizes.append(len(s))
-            firsts.append(prefix(s))
-        offsets = pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32())
-        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(firsts).view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], ["doc_id", "tk", "sid", "size", "prefix"])
+            prefixes.append(_prefix_length(len(s), least))
+        longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sids, fps)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tk"), *longs, pa.array(sizes, pa.int32()), pa.array(prefixes, pa.int32())], ["doc_id", "tk", "sid", "fp", "size", "prefix"])
+
+    return map_portions(texts, run, "doc_id long, tk long, sid long, fp long, size int, prefix int")
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _postings(texts: DataFrame, words_each: int, least: Fraction, told: Told, buckets: int) -> DataFrame:
+    """bucket and packed postings: h (a shingle), sid and size of a set that has it in its prefix. Copies within a task are one."""
+
+    def dealt(h: np.ndarray, sid: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bucket = (np.where(told.salted(h), _mix(h ^ _mix(sid)), _mix(h)) % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        bucket, h, sid, size = bucket[by], h[by], sid[by], size[by]
+        cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = [*cut[1:].tolist(), len(h)]
+        parts = [[x[a:b].tobytes() for a, b in zip(cut.tolist(), ends)] for x in (h, sid, size)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), *(pa.array(p, pa.binary()) for p in parts)], ["bucket", "h", "sid", "size"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("simhash",), object)
+        have: dict[int, tuple[np.ndarray, int]] = {}
+        n = 0
+
+        def leave() -> Iterator[pa.RecordBatch]:
+            if have:
+                counts = [len(p) for p, _ in have.values()]
+                yield from dealt(np.concatenate([p for p, _ in have.values()]), np.repeat(np.array(list(have), np.uint64), counts), np.repeat(np.array([z for _, z in have.values()], np.int32), counts))
+                have.clear()
+
+        for batch in batches:
+            for part in portions(batch):
+                for t in part.column("text").to_pylist():
+                    s = shingle_set(t, words_each)
+                    if len(s) and (sid := set_id(s)) not in have:
+                        have[sid] = told.prefix(s, _prefix_length(len(s), least)), len(s)
+                        n += len(have[sid][0])
+                if n >= HELD:
+                    yield from leave()
+                    n = 0
+        yield from leave()
+
+    return texts.select("text").mapInArrow(run, "bucket int, h binary, sid binary, size binary")
+
+
+PAIR, STAR, CENTRE = range(3)
+FOUND = "kind int, a long, b long, n int, size int, level int"
+
+
+def _level(size: np.ndarray, least: Fraction) -> np.ndarray:
+    """The level of a set's size; with the next one, sizes of a near pair share one of their two levels."""
+    return np.floor(np.log(size) / log(1.01 / least)).astype(np.int64)
+
+
+def _joint_postings(h: np.ndarray, sid: np.ndarray, size: np.ndarray, told: Told, least: Fraction) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Columns of FOUND from a bucket's postings: counted pairs of short lists, stars of long ones, and the salted ones' centres."""
+    by = np.lexsort((sid, h))
+    h, sid, size = h[by], sid[by], size[by]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])
+    h, sid, size = h[new], sid[new], size[new]
+    start = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
+    count = np.diff([*start, len(h)])
+    salted = told.salted(h[start])
+    p, q = least.numerator, least.denominator
+    kept: list[np.ndarray] = []
+    total = 0
+
+    def counted():
+        a, b, z = (np.concatenate(x) for x in zip(*kept))
+        by = np.lexsort((b, a))
+        a, b, z = a[by], b[by], z[by]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        return PAIR, a[first], b[first], np.diff([*first, len(a)]), z[first], np.zeros(len(first))
+
+    for m in range(2, LIGHT + 1):
+        runs = start[(count == m) & ~salted]
+        x, y = np.triu_indices(m, 1)
+        step = max(1, PAIRS // len(x))
+        for i in range(0, len(runs), step):
+            some = runs[i : i + step, None]
+            a, b, za, zb = (v.ravel() for v in (sid[some + x], sid[some + y], size[some + x].astype(np.int64), size[some + y].astype(np.int64)))
+            fits = (za * q >= zb * p) & (zb * q >= za * p)
+            kept.append((a[fits], b[fits], np.minimum(za, zb)[fits]))
+            total += len(kept[-1][0])
+            if total >= PAIRS:
+                yield counted()
+                kept, total = [], 0
+    if total:
+        yield counted()
+    long = np.flatnonzero((count > LIGHT) | salted)
+    if not len(long):
+        return
+    at = np.concatenate([np.arange(start[i], start[i] + count[i]) for i in long])
+    run = np.repeat(long, count[long])
+    level = _level(size[at], least)
+    at, run, level = np.concatenate([at, at]), np.concatenate([run, run]), np.concatenate([level, level + 1])
+    by = np.lexsort((sid[at], level, run))
+    at, run, level = at[by], run[by], level[by]
+    head = np.r_[True, (run[1:] != run[:-1]) | (level[1:] != level[:-1])]
+    centre = sid[at][np.flatnonzero(head)[np.cumsum(head) - 1]]
+    own = sid[at]
+    edge = np.unique(np.stack([own, centre], axis=1)[own != centre], axis=0)
+    yield STAR, edge[:, 0], edge[:, 1], np.zeros(len(edge)), np.zeros(len(edge)), np.zeros(len(edge))
+    told_of = head & salted[run]
+    yield CENTRE, h[at[told_of]], centre[told_of], np.zeros(told_of.sum()), np.zeros(told_of.sum()), level[told_of]
+
+
+def _may_be_near(texts: DataFrame, rows: DataFrame, words_each: int, least: Fraction) -> DataFrame:
+    """Edges (a, b) between sets; every near pair lies within one component of these.
 
-    return map_portions(texts, run, "doc_id long, tk long, sid long, size int, prefix array<long>")
+    Fingerprints give the closest pairs. Of the shingles, pairs are listed for those of few sets, filtered by size and
+    by the tally of shared prefix members. The sets of a shingle that more have are linked to the smallest among those of
+    like size, without a filter: no list grows by squares. Very common shingles are dealt to all tasks, and their centres
+    are linked in one more step.
+    """
+    told = _told(texts, words_each)
+    total = rows.agg(F.coalesce(F.sum("prefix"), F.lit(0))).first()[0]
+    buckets = max(texts.sparkSession.sparkContext.defaultParallelism, -(-total // BUCKET))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = {k: [] for k in ("bucket", "h", "sid", "size")}
+        for b in batches:
+            for k, v in blobs.items():
+                v += b.column(k).to_pylist()
+        for bucket in sorted(set(blobs["bucket"])):
+            mine = [i for i, x in enumerate(blobs["bucket"]) if x == bucket]
+            h, sid, size = (np.frombuffer(b"".join(blobs[k][i] for i in mine), t) for k, t in (("h", "<u8"), ("sid", "<u8"), ("size", "<i4")))
+            for kind, a, b, n, z, level in _joint_postings(h, sid, size, told, least):
+                columns = [np.full(len(a), kind, np.int32), a.view(np.int64), b.view(np.int64), *(x.astype(np.int32) for x in (n, z, level))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "a", "b", "n", "size", "level"])
+
+    found = materialise(_postings(texts, words_each, least, told, buckets).repartitionById(buckets, "bucket").mapInArrow(join, FOUND), "op4-found")
+    pairs = found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("size").alias("size"))
+    pairs = pairs.where("n >= greatest(1, size div 25)").select("a", "b")  # _shared
+    stars = found.where(F.col("kind") == STAR).select("a", "b")
+    centres = found.where(F.col("kind") == CENTRE).select(F.col("a").alias("h"), "level", F.col("b").alias("a"))
+    least_of = centres.groupBy("h", "level").agg(F.min("a").alias("b"))
+    centres = centres.join(least_of, ["h", "level"]).select("a", "b")
+    prints = materialise(rows.groupBy("fp").agg(F.min("sid").alias("first")), "op4-prints")
+    same = rows.join(prints, "fp").select(F.col("sid").alias("a"), F.col("first").alias("b"))
+    of = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_sid"))
+    close = links(prints.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
+    return pairs.union(stars).union(centres).union(same).union(close).where("a <> b").distinct()
 
 
 def near_links(sets: list[np.ndarray], least: Fraction, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -305,64 +475,77 @@ def near_links(sets: list[np.ndarray], least: Fraction, side: np.ndarray | None
     return found.links()
 
 
+def _compared(met: DataFrame, keys: list[str], words_each: int, least: Fraction) -> DataFrame:
+    """Links (a, b) between the texts (sid, text, root, side) of each group; where side isn't null, across sides only."""
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
+        for _, part in pdf.groupby("root"):
+            side = None if part["side"].isna().all() else part["side"].to_numpy()
+            sids = part["sid"].to_numpy(np.int64)
+            a, b = near_links([shingle_set(t, words_each) for t in part["text"]], least, side)
+            out.append(pd.DataFrame({"a": sids[a], "b": sids[b]}))
+        return pd.concat(out)
+
+    return met.groupBy(*keys).applyInPandas(search, "a long, b long").where("a <> b")
+
+
 def _levels(least: Fraction) -> Column:
-    """The level of a set's size and the next one: sizes of a near pair differ by one level at most, so both have one of these."""
-    level = F.floor(F.log("size") / float(log(1.01 / least))).cast("int")
+    """Both levels of a set's size (see _level)."""
+    level = F.floor(F.log(F.greatest("size", F.lit(1))) / float(log(1.01 / least))).cast("int")
     return F.array(level, level + 1)
 
 
-def _may_be_near(rows: DataFrame, least: Fraction) -> DataFrame:
-    """Edges (a, b) between sets; every near pair lies within one component of these.
+def _blocks(n: Column, size: Column) -> Column:
+    """In how many blocks so many texts with so many shingles are compared."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
 
-    Pairs are listed for shingles of few sets, filtered by size and by the count of shared prefix members. The sets of a
-    shingle that more have are linked to the smallest among those of like size, without a filter: no list grows by squares.
-    """
-    p, q = least.numerator, least.denominator
-    listed = rows.select("sid", "size", F.explode("prefix").alias("h"))
-    repeated = listed.groupBy("h").agg(F.min("sid").alias("m"), F.max("sid").alias("x"), F.count("*").alias("n")).where("m <> x")
-    listed = listed.join(repeated.select("h", (F.col("n") > LIGHT).alias("many")), "h").distinct()
-    listed = materialise(listed, "op4-listed")
-    few = listed.where("not many").select("h", "sid", "size")
-    pairs = few.join(few.select("h", F.col("sid").alias("b"), F.col("size").alias("other")), "h").where(f"sid < b and size * {q} >= other * {p} and other * {q} >= size * {p}")
-    counted = pairs.groupBy(F.col("sid").alias("a"), "b").agg(F.count("*").alias("n"), F.min(F.least("size", "other")).alias("size"))
-    counted = counted.where("n >= greatest(1, size div 25)").select("a", "b")  # _shared
-    levels = listed.where("many").select("h", "sid", F.explode(_levels(least)).alias("level"))
-    least_of = levels.groupBy("h", "level").agg(F.min("sid").alias("b"))
-    stars = levels.join(least_of, ["h", "level"]).where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
-    return counted.union(stars).distinct()
+
+def _all_blocks(n: Column | str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _block(n: str, salt: str) -> Column:
+    return F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(n)).cast("int")
 
 
 def _likeness_links(texts: DataFrame, rows: DataFrame, words_each: int, least: Fraction) -> DataFrame:
     """Links (a, b) between sets of shingles that give all components of pairs as alike as ``least``; none is left out.
 
-    Small components of pairs that may be near are compared whole, larger ones among sets of like size and by pairs of
-    blocks, so no task meets more than two blocks at once.
+    Components of pairs that may be near are compared whole if small. Of a large one, all texts meet some CENTRES of
+    them first. The texts that this leaves outside the largest class then meet all of like size, block by block: pairs
+    within the largest class need no look, so a large group of near copies is not compared pair by pair.
     """
-    edges = materialise(_may_be_near(rows, least), "op4-may")
+    edges = materialise(_may_be_near(texts, rows, words_each, least), "op4-may")
     met = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
-    groups = materialise(components(met, edges).withColumnRenamed("fp", "sid"), "op4-groups")
-    small = max(1, groups.count() // BLOCK)
-    named = rows.join(groups.select("sid"), "sid", "left_semi").groupBy("sid").agg(F.min("tk").alias("tk"), F.first("size").alias("size"))
-    whole = groups.groupBy("root").agg((F.count("*") <= BLOCK).alias("whole"))
-    members = groups.join(whole, "root").join(named, "sid").withColumn("level", F.explode(F.when(F.col("whole"), F.array(F.lit(-1))).otherwise(_levels(least))))
-    members = materialise(members, "op4-members")
-    blocks = members.groupBy("root", "level").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = members.join(blocks, ["root", "level"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
-    bodies = texts.select("tk", "text").join(members.select("tk"), "tk", "left_semi").groupBy("tk").agg(F.first("text").alias("text"))
-    met = dealt.join(bodies, "tk").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    group = F.when(F.col("whole"), F.pmod(F.xxhash64("root"), F.lit(small))).otherwise(F.col("root"))
-    met = met.select("sid", "root", "block", "text", "whole", "level", group.alias("g"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-
-    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
-        for _, part in pdf.groupby("root"):
-            side = part["block"].to_numpy() if key[3] != key[4] else None
-            sids = part["sid"].to_numpy(np.int64)
-            a, b = near_links([shingle_set(t, words_each) for t in part["text"]], least, side)
-            out.append(pd.DataFrame({"a": sids[a], "b": sids[b]}))
-        return pd.concat(out)
-
-    return met.groupBy("g", "whole", "level", "lo", "hi").applyInPandas(search, "a long, b long")
+    groups = components(met, edges).withColumnRenamed("fp", "sid")
+    named = rows.groupBy("sid").agg(F.min("tk").alias("tk"), F.first("size").alias("size"))
+    groups = materialise(groups.join(named, "sid"), "op4-groups")
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n"), _blocks(F.count("*"), F.sum("size")).alias("blocks"))
+    members = groups.join(sizes, "root").join(texts.select("tk", "text").join(groups.select("tk"), "tk", "left_semi").groupBy("tk").agg(F.first("text").alias("text")), "tk")
+    members = materialise(members.select("sid", "root", "size", "n", "blocks", "text"), "op4-members")
+    together = max(1, groups.count() // BLOCK)
+    whole = members.where("blocks = 1").select("sid", "text", "root", F.lit(None).cast("int").alias("side"), F.pmod(F.xxhash64("root"), F.lit(together)).alias("g"))
+    out = [_compared(whole, ["g"], words_each, least)]
+    large = members.where("blocks > 1")
+    if not large.isEmpty():
+        own = lambda side, *more: ("sid", "text", "root", F.lit(side).alias("side"), *more)
+        centres = large.where(F.pmod(F.xxhash64("sid", F.lit("centre")), F.col("n")) < CENTRES)
+        first = large.select(*own(0, _block("blocks", "block").alias("block"))).union(centres.select(*own(1, _all_blocks("blocks").alias("block"))))
+        first = materialise(_compared(first, ["root", "block"], words_each, least), "op4-near")
+        linked = first.select(F.col("a").alias("fp")).union(first.select("b")).distinct()
+        classes = components(linked, first).select(F.col("fp").alias("sid"), F.col("root").alias("class"))
+        classed = materialise(large.select("sid", "root").join(classes, "sid", "left").withColumn("class", F.coalesce("class", "sid")), "op4-classed")
+        largest = classed.groupBy("root", "class").agg(F.count("*").alias("m")).groupBy("root").agg(F.max_by("class", F.struct("m", "class")).alias("largest"))
+        outside = classed.join(largest, "root").where("class <> largest").select("sid")
+        levelled = large.withColumn("level", F.explode(_levels(least)))
+        asked = levelled.join(outside, "sid", "left_semi")
+        of_level = lambda df, name: df.groupBy("root", "level").agg(_blocks(F.count("*"), F.sum("size")).alias(name))
+        blocks = materialise(of_level(levelled, "blocks").join(of_level(asked, "asked"), ["root", "level"]), "op4-blocks")
+        left = levelled.drop("blocks").join(blocks, ["root", "level"]).select(*own(0, "level", _block("blocks", "block").alias("block"), _all_blocks("asked").alias("by")))
+        right = asked.drop("blocks").join(blocks, ["root", "level"]).select(*own(1, "level", _all_blocks("blocks").alias("block"), _block("asked", "asked").alias("by")))
+        out += [first, _compared(left.union(right), ["root", "level", "block", "by"], words_each, least)]
+    return reduce(DataFrame.union, out)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:

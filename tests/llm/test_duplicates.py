@@ -3,6 +3,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pytest
 import xxhash
 from conftest import *  # noqa: F403
 from pyspark.sql import functions as F
@@ -179,9 +180,10 @@ def likeness_classes(texts):
     return [find(i) for i in range(len(texts))]
 
 
-def test_keep_one_finds_every_near_copy(spark, monkeypatch):
-    monkeypatch.setattr(op4_simhash, "BLOCK", 8)
-    monkeypatch.setattr(op4_simhash, "LIGHT", 20)
+@pytest.mark.parametrize("salted", [3, 10**9])
+def test_keep_one_finds_every_near_copy(spark, monkeypatch, salted):
+    for name, value in {"BLOCK": 8, "LIGHT": 20, "TOLD": 100, "CENTRES": 2, "SALTED": salted}.items():
+        monkeypatch.setattr(op4_simhash, name, value)
     rng = random.Random(6)
     line, texts = [f"line{i}" for i in range(12)], []
     for n in (3, 6, 30, 100, 300):
