@@ -1,10 +1,15 @@
 """Operator 2: sum-of-squares online packing of documents into windows.
 
-A level array counts the open windows of every fill level. A document (its ids and an end id) goes to the level, or to
-a new window, for which the sum of the squared counts grows least; of equals, to the fullest. A document of a window or
-more fills windows of its own first and only its rest is placed. Tasks pack their partitions independently and in one
-pass, without a shuffle. At a task's end, what stands in windows still open is laid end to end and cut anew: full
-windows, then powers of two, which need no padding. So a task adds no padding at all, whatever its size.
+A level array counts the open windows of every fill level, LEVELS of them. A document (its ids and an end id) goes to
+the level, or to a new window, for which the sum of the squared counts grows least; of equals, to the fullest. Squared
+counts keep few windows open at each level, so a task has some LEVELS open windows at any time, however much it packs. A
+window with less room than a level is ended by the head of the next long document. A document of a window or more
+fills windows of its own first and only its rest is placed. Tasks pack their partitions independently and in one pass,
+without a shuffle.
+
+At a task's end, the fullest open windows stay as they are; the pieces of the others are placed once more by the same rule,
+in the room of those, and cut where they are longer than any room. What is left is less than a window and is cut in
+powers of two, which need no padding. So a task adds no padding, and what moves at its end is bounded by the open windows.
 
 Null and empty texts are one end id. Rows with null or repeated ids are documents of their own, extra columns are not
 read, an empty table gives no pieces. Memory: one portion of a batch, the level array, and the ids in open windows.
@@ -23,6 +28,8 @@ from pageflow.llm.batches import id_and_text, portions
 from pageflow.llm.words import word_ids
 from pageflow.session import ship
 
+#: Fill levels of a window; a document of so many levels may give its head to end a window.
+LEVELS, LONG_ENOUGH = 64, 4
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 #: A piece: doc_id, start in its document, ids, tokens of its document.
@@ -32,19 +39,44 @@ Piece = tuple[int | None, int, np.ndarray, int]
 class SumOfSquares:
     """Online packing; placed pieces leave as (piece, sequence, offset) once their window is full."""
 
-    def __init__(self, window: int, first_sequence: int = 0):
+    def __init__(self, window: int, first_sequence: int = 0, levels: int = LEVELS):
         self.window, self.next = window, first_sequence
-        self.level = np.zeros(window + 1, np.int64)  # open windows by fill; 0 and window stay 0
-        self.open: dict[int, list[list[Piece]]] = {}
-
-    def choose(self, size: int) -> int:
-        """The fill level to add to (0: a new window)."""
-        fits = self.level[: self.window - size + 1]
-        growth = 2 * (self.level[size:] - fits) + 2
-        growth[0] -= 1  # no window leaves level 0
-        growth[-1] -= 1  # nor enters the full level
-        growth[1:][fits[1:] == 0] = np.iinfo(np.int64).max
-        return len(growth) - 1 - int(np.argmin(growth[::-1]))
+        self.grain = max(1, window // levels)
+        top = (window - 1) // self.grain
+        self.count = np.zeros(top + 1, np.int64)  # the level array: open windows by fill
+        self.fill = np.zeros(top + 1, np.int64)  # of the window of each level that is next in turn
+        self.open: list[list[tuple[int, list[Piece]]]] = [[] for _ in range(top + 1)]
+        self.placed = self.moved = 0  # ids packed; of these, moved at the end
+
+    def choose(self, size: int, may_open: bool = True) -> int:
+        """The fill level to add to; -1: a new window. None fits and none may be opened: -2."""
+        after = self.fill + size
+        fits = (self.count > 0) & (after <= self.window)
+        to = np.minimum(after, self.window - 1) // self.grain
+        own = np.arange(len(to))
+        growth = np.where(to == own, 0, 2 * (self.count[to] - self.count) + 2)
+        growth = np.where(after == self.window, 1 - 2 * self.count, growth)  # the window leaves the array
+        growth[~fits] = np.iinfo(np.int64).max
+        best = len(growth) - 1 - int(np.argmin(growth[::-1]))  # of equals, the fullest
+        if may_open and (not fits[best] or 2 * self.count[size // self.grain] + 1 < growth[best]):
+            return -1
+        return best if fits[best] else -2
+
+    def _take(self, level: int) -> tuple[int, list[Piece]]:
+        fill, pieces = self.open[level].pop()
+        self.count[level] -= 1
+        self.fill[level] = self.open[level][-1][0] if self.open[level] else 0
+        return fill, pieces
+
+    def _put(self, fill: int, pieces: list[Piece]) -> Iterator[tuple[Piece, int, int]]:
+        """Give a window back to its level; a full one leaves."""
+        if fill == self.window:
+            yield from self._sequence(pieces)
+            return
+        level = fill // self.grain
+        self.open[level].append((fill, pieces))
+        self.count[level] += 1
+        self.fill[level] = fill
 
     def _sequence(self, pieces: list[Piece]) -> Iterator[tuple[Piece, int, int]]:
         at = 0
@@ -53,44 +85,70 @@ class SumOfSquares:
             at += len(piece[2])
         self.next += 1
 
+    def _top_up(self, piece: Piece, level: int) -> tuple[Piece, Iterator[tuple[Piece, int, int]]]:
+        """Fill the rest of a window of a level with the head of a piece; what is left of the piece, and the full window."""
+        fill, pieces = self._take(level)
+        (doc_id, start, ids, n), room = piece, self.window - fill
+        return (doc_id, start + room, ids[room:], n), self._put(self.window, [*pieces, (doc_id, start, ids[:room], n)])
+
+    def _place(self, piece: Piece, may_open: bool = True) -> Iterator[tuple[Piece, int, int]]:
+        while len(piece[2]):
+            level = self.choose(len(piece[2]), may_open)
+            if level == -2:  # only at the end: it is longer than the room of any window, so the emptiest takes its head
+                piece, out = self._top_up(piece, int(np.flatnonzero(self.count)[0]))
+                yield from out
+                continue
+            fill, pieces = self._take(level) if level >= 0 else (0, [])
+            pieces.append(piece)
+            yield from self._put(fill + len(piece[2]), pieces)
+            return
+
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[tuple[Piece, int, int]]:
         n, w = len(ids), self.window
         whole = n - n % w
         for start in range(0, whole, w):
             yield from self._sequence([(doc_id, start, ids[start : start + w], n)])
-        if not (size := n - whole):
-            return
+        self.placed += n
         piece = (doc_id, whole, ids[whole:], n)
-        at = self.choose(size)
-        if at:
-            pieces = self.open[at].pop()
-            self.level[at] -= 1
-        else:
-            pieces = []
-        pieces.append(piece)
-        if at + size == w:
-            yield from self._sequence(pieces)
-        else:
-            self.open.setdefault(at + size, []).append(pieces)
-            self.level[at + size] += 1
+        # a window with less room than a level is ended by the head of a long document
+        while self.count[-1] and len(piece[2]) >= LONG_ENOUGH * self.grain:
+            piece, out = self._top_up(piece, len(self.count) - 1)
+            yield from out
+        yield from self._place(piece)
 
     def close(self) -> Iterator[tuple[Piece, int, int]]:
-        """Cut what stands in open windows into full windows and, at last, powers of two."""
-        left = [p for fill in sorted(self.open, reverse=True) for pieces in self.open[fill] for p in pieces]
-        total = sum(len(p[2]) for p in left)
-        sizes = [self.window] * (total // self.window) + [1 << b for b in range(self.window.bit_length(), -1, -1) if total % self.window >> b & 1]
-        self.open, self.level[:] = {}, 0
-        pieces: list[Piece] = []
-        room, sizes = (sizes[0], sizes[1:]) if sizes else (0, [])
-        for doc_id, start, ids, n in left:
-            while len(ids):
-                take = min(room, len(ids))
-                pieces.append((doc_id, start, ids[:take], n))
-                start, ids, room = start + take, ids[take:], room - take
-                if not room:
-                    yield from self._sequence(pieces)
-                    pieces = []
-                    room, sizes = (sizes[0], sizes[1:]) if sizes else (0, [])
+        """Full windows from what is open. The fullest stay as they are; the pieces of the others are placed once more, by the same
+        rule, in their room. What is left at last is cut in powers of two."""
+        w = self.window
+        left = sorted((x for level in self.open for x in level), key=lambda x: -x[0])
+        stay = sum(f for f, _ in left) // w
+        for level in self.open:
+            level.clear()
+        self.count[:] = self.fill[:] = 0
+        for fill, pieces in left[:stay]:
+            yield from self._put(fill, pieces)
+        pieces = sorted((p for _, ps in left[stay:] for p in ps), key=lambda p: -len(p[2]))
+        self.moved += sum(len(p[2]) for p in pieces)
+        rest: list[Piece] = []
+        for piece in pieces:
+            if not self.count.any():
+                rest.append(piece)
+                continue
+            room = sum((w - fill) for level in self.open for fill, _ in level)
+            doc_id, start, ids, n = piece
+            if len(ids) > room:
+                rest.append((doc_id, start + room, ids[room:], n))
+            yield from self._place((doc_id, start, ids[:room], n), may_open=False)
+        sizes = [1 << b for b in range(w.bit_length(), -1, -1) if sum(len(p[2]) for p in rest) >> b & 1]
+        for size in sizes:
+            sequence, room = [], size
+            while room:
+                doc_id, start, ids, n = rest.pop(0)
+                sequence.append((doc_id, start, ids[:room], n))
+                if len(ids) > room:
+                    rest.insert(0, (doc_id, start + room, ids[room:], n))
+                room -= len(sequence[-1][2])
+            yield from self._sequence(sequence)
 
 
 def _batch(placed: list[tuple[Piece, int, int]]) -> pa.RecordBatch:
