@@ -44,9 +44,12 @@ HOT = 8192
 #: Shingles whose bits are counted at once.
 AT_ONCE = 200_000
 #: keep_one: texts of a block and their shingles, texts of the sample that tells common shingles, and how many are told.
-BLOCK, BLOCK_SHINGLES, TOLD, COMMON = 512, 4_000_000, 8192, 200_000
-#: Pairs are listed for shingles of so many texts at most. Those that probably have more, by so many texts of the sample at least, are dealt to all tasks.
-LIGHT, SALTED = 64, 3
+#: The sample is a part of the texts between bounds.
+BLOCK, BLOCK_SHINGLES, TOLD, TOLD_MOST, TOLD_PART, COMMON = 512, 800_000, 8192, 200_000, 16, 400_000
+#: Pairs are listed for shingles of so many texts at most. Shingles of so many texts of the sample are long, and dealt to all tasks.
+LIGHT, LONG, SALTED = 256, 3, 8
+#: Texts of so many shingles about, and smaller ones, are found by two long shingles together.
+SMALL = 64
 #: Postings that a task holds before it deals them, postings of a bucket, pairs that a task holds before it counts them.
 HELD, BUCKET, PAIRS = 2_000_000, 1_500_000, 2_000_000
 #: Texts of a large group that all others of it are compared with first.
@@ -240,22 +243,37 @@ def set_id(s: np.ndarray) -> int:
 
 
 def _shared(n: int) -> int:
-    """So many members of their prefixes, of the smaller set's count, two near copies share at least."""
-    return max(1, n // 25)
+    """So many members of their prefixes, of the smaller set's count, two near copies of two or more shingles share at least."""
+    return max(2, n // 25)
 
 
-def _prefix_length(n: int, least: Fraction) -> int:
-    """Of their first so many members, in any common order, two sets as alike as ``least`` share _shared at least."""
-    return min(n, n - ceil(least * n) + _shared(n)) if n else 0
+def _prefix_length(n: int, least: Fraction, shared: int | None = None) -> int:
+    """Of their first so many members, in any common order, two sets as alike as ``least`` share so many (_shared) at least."""
+    return min(n, n - ceil(least * n) + (_shared(n) if shared is None else shared))
+
+
+def _level(size: np.ndarray | int, least: Fraction) -> np.ndarray:
+    """The level of a set's size; with the next one, sizes of a near pair share one of their two levels."""
+    return np.floor(np.log(size) / log(1.01 / least)).astype(np.int64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+#: Kinds of postings: shingles whose shared members are tallied; keys of long shingles, whose texts are all linked; the same, dealt to all tasks.
+TALLIED, LINKED, DEALT = range(3)
 
 
 class Told:
-    """Shingles that several texts of a bounded sample have. They set an order only: any order finds all pairs."""
+    """Shingles that several texts of a bounded sample have. What it tells changes orders and costs only: any table finds all pairs."""
 
-    def __init__(self, hashes: np.ndarray, times: np.ndarray, n: int):
-        """hashes: rarer first; times: texts of the sample that have them; n: all texts."""
+    def __init__(self, hashes: np.ndarray, times: np.ndarray, share: float):
+        """hashes: rarer first; times: texts of the sample that have them; share: the sample's part of all texts."""
         self.hashes, self.by = hashes, np.argsort(hashes)
-        self.ranked, self.many = hashes[self.by], (times >= max(SALTED, LIGHT * TOLD / max(n, TOLD)))[self.by]
+        self.ranked, times = hashes[self.by], times[self.by]
+        self.long, self.salted = times >= max(LONG, LIGHT * share), times >= max(SALTED, LIGHT * share)
 
     def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.ranked, h), max(0, len(self.ranked) - 1))
@@ -267,36 +285,58 @@ class Told:
         rare = s[~known]
         return rare[:k] if len(rare) >= k else np.concatenate([rare, self.hashes[np.sort(self.by[at[known]])]])[:k]
 
-    def salted(self, h: np.ndarray) -> np.ndarray:
-        at, known = self._places(h)
-        known[known] = self.many[at[known]]
-        return known
+    def postings(self, s: np.ndarray, least: Fraction) -> tuple[np.ndarray, np.ndarray, int]:
+        """Keys of a set's prefix, their kinds, and how many long shingles the prefix has.
+
+        Two near copies share a member of their shortest prefixes, and _shared of those that are longer by as many. Where
+        that is a long shingle, it is a key by itself, or for small sets together with any other member: such sets
+        share two. Keys of long shingles hold a level of the size, so that only texts of like size are linked.
+        """
+        n = len(s)
+        p = self.prefix(s, _prefix_length(n, least))
+        at, known = self._places(p)
+        long, salted = known.copy(), known.copy()
+        long[known], salted[known] = self.long[at[known]], self.salted[at[known]]
+        keys, kinds = [p[~long]], [np.full(int((~long).sum()), TALLIED, np.uint8)]
+        if n > 1 and long.any():
+            own, small, first = int(_level(n, least)), int(_level(SMALL, least)), _prefix_length(n, least, 1)
+            i, j = np.triu_indices(len(p), 1)
+            i, j = (x[long[i] | long[j]] for x in (i, j))
+            alone = np.flatnonzero(long[:first])
+            for level in (own, own + 1):
+                if level <= small:
+                    keys.append(_mix(_mix(p[i]) * np.uint64(3) ^ _mix(p[j]) + np.uint64(level)))
+                    kinds.append(np.where(salted[i] & salted[j], DEALT, LINKED))
+                else:
+                    keys.append(_mix(p[alone] ^ _mix(np.uint64([level]))))
+                    kinds.append(np.where(salted[alone], DEALT, LINKED))
+        return np.concatenate(keys), np.concatenate(kinds).astype(np.uint8), int(long.sum())
 
 
 def _told(texts: DataFrame, words_each: int) -> Told:
     n = texts.count()
+    take = max(TOLD, min(TOLD_MOST, n // TOLD_PART))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, words_each) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
 
-    some = texts.where(F.pmod(F.xxhash64("tk", F.lit("sample")), F.lit(1_000_000)) * n < TOLD * 1_000_000).dropDuplicates(["tk"])
+    some = texts.where(F.pmod(F.xxhash64("tk", F.lit("sample")), F.lit(1_000_000)) * n < take * 1_000_000).dropDuplicates(["tk"])
     counts = map_portions(some.select("text"), run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     top = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()[::-1]  # bounded
-    return Told(np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64), n)
+    return Told(np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64), min(1.0, take / max(n, 1)))
 
 
 def _sketches(texts: DataFrame, words_each: int, least: Fraction) -> DataFrame:
-    """doc_id, tk, sid (a hash of the text's set of shingles), fp (its fingerprint), size and the length of its prefix."""
+    """doc_id, tk, sid (a hash of the text's set of shingles), fp (the set's fingerprint), size and the length of its prefix."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         held(("simhash",), object)  # caches of earlier stages go
         sids, fps, sizes, prefixes = [], [], [], []
         for t in batch.column("text").to_pylist():
-            h = shingle_hashes(t, words_each)
-            s = np.unique(h)
+            s = shingle_set(t, words_each)
             sids.append(set_id(s))
-            fps.append(fingerprint(h))
+            fps.append(fingerprint(s))
             sizes.append(len(s))
             prefixes.append(_prefix_length(len(s), least))
         longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sids, fps)]
@@ -305,143 +345,150 @@ def _sketches(texts: DataFrame, words_each: int, least: Fraction) -> DataFrame:
     return map_portions(texts, run, "doc_id long, tk long, sid long, fp long, size int, prefix int")
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+POSTINGS = {"h": "<u8", "sid": "<u8", "size": "<i4", "long": "<i4", "kind": "u1"}
 
 
 def _postings(texts: DataFrame, words_each: int, least: Fraction, told: Told, buckets: int) -> DataFrame:
-    """bucket and packed postings: h (a shingle), sid and size of a set that has it in its prefix. Copies within a task are one."""
+    """bucket and packed POSTINGS: a key, sid and size of a set that has it, its long shingles, the key's kind. Copies within a task are one."""
 
-    def dealt(h: np.ndarray, sid: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bucket = (np.where(told.salted(h), _mix(h ^ _mix(sid)), _mix(h)) % np.uint64(buckets)).astype(np.int64)
+    def dealt(columns: list[np.ndarray]) -> pa.RecordBatch:
+        h, sid, _, _, kind = columns
+        bucket = (np.where(kind == DEALT, _mix(h ^ _mix(sid)), _mix(h)) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
-        bucket, h, sid, size = bucket[by], h[by], sid[by], size[by]
+        bucket = bucket[by]
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
         ends = [*cut[1:].tolist(), len(h)]
-        parts = [[x[a:b].tobytes() for a, b in zip(cut.tolist(), ends)] for x in (h, sid, size)]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), *(pa.array(p, pa.binary()) for p in parts)], ["bucket", "h", "sid", "size"])
+        parts = [pa.array([x[a:b].tobytes() for a, b in zip(cut.tolist(), ends)], pa.binary()) for x in (c[by].astype(t) for c, t in zip(columns, POSTINGS.values()))]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), *parts], ["bucket", *POSTINGS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held(("simhash",), object)
-        have: dict[int, tuple[np.ndarray, int]] = {}
+        have: dict[int, tuple[np.ndarray, np.ndarray, int, int]] = {}
         n = 0
 
-        def leave() -> Iterator[pa.RecordBatch]:
-            if have:
-                counts = [len(p) for p, _ in have.values()]
-                yield from dealt(np.concatenate([p for p, _ in have.values()]), np.repeat(np.array(list(have), np.uint64), counts), np.repeat(np.array([z for _, z in have.values()], np.int32), counts))
-                have.clear()
+        def leave() -> pa.RecordBatch:
+            keys, kinds, longs, sizes = zip(*have.values())
+            each = lambda x, t: np.repeat(np.array(x, t), [len(k) for k in keys])
+            out = dealt([np.concatenate(keys), each(list(have), np.uint64), each(sizes, np.int32), each(longs, np.int32), np.concatenate(kinds)])
+            have.clear()
+            return out
 
         for batch in batches:
             for part in portions(batch):
                 for t in part.column("text").to_pylist():
                     s = shingle_set(t, words_each)
                     if len(s) and (sid := set_id(s)) not in have:
-                        have[sid] = told.prefix(s, _prefix_length(len(s), least)), len(s)
+                        have[sid] = *told.postings(s, least), len(s)
                         n += len(have[sid][0])
                 if n >= HELD:
-                    yield from leave()
+                    yield leave()
                     n = 0
-        yield from leave()
+        if n:
+            yield leave()
 
-    return texts.select("text").mapInArrow(run, "bucket int, h binary, sid binary, size binary")
+    return texts.select("text").mapInArrow(run, "bucket int, h binary, sid binary, size binary, long binary, kind binary")
 
 
 PAIR, STAR, CENTRE = range(3)
-FOUND = "kind int, a long, b long, n int, size int, level int"
+FOUND = "kind int, a long, b long, n int, size int, long int"
+Found = tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _level(size: np.ndarray, least: Fraction) -> np.ndarray:
-    """The level of a set's size; with the next one, sizes of a near pair share one of their two levels."""
-    return np.floor(np.log(size) / log(1.01 / least)).astype(np.int64)
+def _stars(group: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different (sid, centre) of groups of rows, sorted by group and sid; the centre is a group's smallest."""
+    head = np.r_[True, group[1:] != group[:-1]]
+    centre = sid[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    edge = np.unique(np.stack([sid, centre], axis=1)[sid != centre], axis=0)
+    return edge[:, 0], edge[:, 1]
 
 
-def _joint_postings(h: np.ndarray, sid: np.ndarray, size: np.ndarray, told: Told, least: Fraction) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Columns of FOUND from a bucket's postings: counted pairs of short lists, stars of long ones, and the salted ones' centres."""
+def _joint_postings(h: np.ndarray, sid: np.ndarray, size: np.ndarray, long: np.ndarray, kind: np.ndarray, least: Fraction) -> Iterator[Found]:
+    """Columns of FOUND from a bucket's postings: counted pairs of short lists, stars of others, and centres of keys dealt to all tasks."""
     by = np.lexsort((sid, h))
-    h, sid, size = h[by], sid[by], size[by]
+    h, sid, size, long, kind = (x[by] for x in (h, sid, size.astype(np.int64), long, kind))
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])
-    h, sid, size = h[new], sid[new], size[new]
-    start = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
+    h, sid, size, long, kind = (x[new] for x in (h, sid, size, long, kind))
+    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     count = np.diff([*start, len(h)])
-    salted = told.salted(h[start])
+    tallied = kind[start] == TALLIED
     p, q = least.numerator, least.denominator
-    kept: list[np.ndarray] = []
+    small = _level(np.maximum(size, 1), least) <= int(_level(SMALL, least))
+    kept: list[tuple[np.ndarray, ...]] = []
     total = 0
 
-    def counted():
-        a, b, z = (np.concatenate(x) for x in zip(*kept))
+    def counted() -> Found:
+        a, b, z, w = (np.concatenate(x) for x in zip(*kept))
         by = np.lexsort((b, a))
-        a, b, z = a[by], b[by], z[by]
+        a, b, z, w = a[by], b[by], z[by], w[by]
         first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        return PAIR, a[first], b[first], np.diff([*first, len(a)]), z[first], np.zeros(len(first))
+        return PAIR, a[first], b[first], np.diff([*first, len(a)]), z[first], w[first]
 
     for m in range(2, LIGHT + 1):
-        runs = start[(count == m) & ~salted]
+        runs = start[(count == m) & tallied]
         x, y = np.triu_indices(m, 1)
         step = max(1, PAIRS // len(x))
         for i in range(0, len(runs), step):
-            some = runs[i : i + step, None]
-            a, b, za, zb = (v.ravel() for v in (sid[some + x], sid[some + y], size[some + x].astype(np.int64), size[some + y].astype(np.int64)))
-            fits = (za * q >= zb * p) & (zb * q >= za * p)
-            kept.append((a[fits], b[fits], np.minimum(za, zb)[fits]))
-            total += len(kept[-1][0])
+            a, b = ((runs[i : i + step, None] + v).ravel() for v in (x, y))
+            fits = (size[a] * q >= size[b] * p) & (size[b] * q >= size[a] * p)
+            a, b = a[fits], b[fits]
+            # two small sets meet by two keys at once, if long shingles are among them
+            kept.append((sid[a], sid[b], np.minimum(size[a], size[b]), np.where(small[a] & small[b], 0, np.minimum(long[a], long[b]))))
+            total += len(a)
             if total >= PAIRS:
                 yield counted()
                 kept, total = [], 0
     if total:
         yield counted()
-    long = np.flatnonzero((count > LIGHT) | salted)
-    if not len(long):
-        return
-    at = np.concatenate([np.arange(start[i], start[i] + count[i]) for i in long])
-    run = np.repeat(long, count[long])
-    level = _level(size[at], least)
-    at, run, level = np.concatenate([at, at]), np.concatenate([run, run]), np.concatenate([level, level + 1])
-    by = np.lexsort((sid[at], level, run))
-    at, run, level = at[by], run[by], level[by]
-    head = np.r_[True, (run[1:] != run[:-1]) | (level[1:] != level[:-1])]
-    centre = sid[at][np.flatnonzero(head)[np.cumsum(head) - 1]]
-    own = sid[at]
-    edge = np.unique(np.stack([own, centre], axis=1)[own != centre], axis=0)
-    yield STAR, edge[:, 0], edge[:, 1], np.zeros(len(edge)), np.zeros(len(edge)), np.zeros(len(edge))
-    told_of = head & salted[run]
-    yield CENTRE, h[at[told_of]], centre[told_of], np.zeros(told_of.sum()), np.zeros(told_of.sum()), level[told_of]
+    none = lambda a: (np.zeros(len(a)),) * 3
+    # tallied keys that have turned out long: texts of like size
+    many = np.flatnonzero((count > LIGHT) & tallied)
+    if len(many):
+        at = np.concatenate([np.arange(start[i], start[i] + count[i]) for i in many])
+        run, level = np.repeat(many, count[many]), _level(size[at], least)
+        at, run, level = np.concatenate([at, at]), np.concatenate([run, run]), np.concatenate([level, level + 1])
+        by = np.lexsort((sid[at], level, run))
+        at, run, level = at[by], run[by], level[by]
+        a, b = _stars(run * 1000 + level, sid[at])
+        yield STAR, a, b, *none(a)
+    linked = kind != TALLIED
+    if linked.any():
+        a, b = _stars(h[linked], sid[linked])
+        yield STAR, a, b, *none(a)
+    dealt = start[kind[start] == DEALT]
+    if len(dealt):
+        yield CENTRE, h[dealt], sid[dealt], *none(dealt)
 
 
 def _may_be_near(texts: DataFrame, rows: DataFrame, words_each: int, least: Fraction) -> DataFrame:
     """Edges (a, b) between sets; every near pair lies within one component of these.
 
     Fingerprints give the closest pairs. Of the shingles, pairs are listed for those of few sets, filtered by size and
-    by the tally of shared prefix members. The sets of a shingle that more have are linked to the smallest among those of
-    like size, without a filter: no list grows by squares. Very common shingles are dealt to all tasks, and their centres
-    are linked in one more step.
+    by the tally of shared prefix members. The sets of a long shingle (small sets: of two shingles) are linked to the
+    smallest among those of like size, so no list grows by squares. Keys of very common shingles are dealt to all tasks,
+    and their centres are linked in one more step.
     """
     told = _told(texts, words_each)
     total = rows.agg(F.coalesce(F.sum("prefix"), F.lit(0))).first()[0]
     buckets = max(texts.sparkSession.sparkContext.defaultParallelism, -(-total // BUCKET))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = {k: [] for k in ("bucket", "h", "sid", "size")}
+        blobs: dict[int, list[dict]] = {}
         for b in batches:
-            for k, v in blobs.items():
-                v += b.column(k).to_pylist()
-        for bucket in sorted(set(blobs["bucket"])):
-            mine = [i for i, x in enumerate(blobs["bucket"]) if x == bucket]
-            h, sid, size = (np.frombuffer(b"".join(blobs[k][i] for i in mine), t) for k, t in (("h", "<u8"), ("sid", "<u8"), ("size", "<i4")))
-            for kind, a, b, n, z, level in _joint_postings(h, sid, size, told, least):
-                columns = [np.full(len(a), kind, np.int32), a.view(np.int64), b.view(np.int64), *(x.astype(np.int32) for x in (n, z, level))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "a", "b", "n", "size", "level"])
+            for row in b.to_pylist():
+                blobs.setdefault(row["bucket"], []).append(row)
+        for rows_ in blobs.values():
+            for kind, *columns in _joint_postings(*(np.frombuffer(b"".join(r[k] for r in rows_), t) for k, t in POSTINGS.items()), least):
+                a, b, *small = columns
+                arrays = [np.full(len(a), kind, np.int32), a.view(np.int64), b.view(np.int64), *(x.astype(np.int32) for x in small)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["kind", "a", "b", "n", "size", "long"])
 
     found = materialise(_postings(texts, words_each, least, told, buckets).repartitionById(buckets, "bucket").mapInArrow(join, FOUND), "op4-found")
-    pairs = found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("size").alias("size"))
-    pairs = pairs.where("n >= greatest(1, size div 25)").select("a", "b")  # _shared
+    pairs = found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("size").alias("size"), F.min("long").alias("long"))
+    pairs = pairs.where("n >= greatest(1, greatest(2, size div 25) - long)").select("a", "b")  # _shared, but for long ones
     stars = found.where(F.col("kind") == STAR).select("a", "b")
-    centres = found.where(F.col("kind") == CENTRE).select(F.col("a").alias("h"), "level", F.col("b").alias("a"))
-    least_of = centres.groupBy("h", "level").agg(F.min("a").alias("b"))
-    centres = centres.join(least_of, ["h", "level"]).select("a", "b")
+    centres = found.where(F.col("kind") == CENTRE).select(F.col("a").alias("h"), F.col("b").alias("a"))
+    centres = centres.join(centres.groupBy("h").agg(F.min("a").alias("b")), "h").select("a", "b")
     prints = materialise(rows.groupBy("fp").agg(F.min("sid").alias("first")), "op4-prints")
     same = rows.join(prints, "fp").select(F.col("sid").alias("a"), F.col("first").alias("b"))
     of = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_sid"))
