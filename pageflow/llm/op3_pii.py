@@ -3,13 +3,14 @@
 Patterns give the base spans; those always stay. A bidirectional LSTM over characters with a linear-chain CRF, written
 and trained in numpy, adds spans in other forms (grouped otherwise, without a country code and so on). It is trained
 on labelled spans: the base spans of at most about TRAIN_TEXTS texts (the documented bound), taken by a hash over all
-rows, and written variants of the four kinds set in their surroundings, with numbers that are no personal data between.
+rows, and written variants of the four kinds set in their surroundings, with numbers that are no personal data between. Copies count once in the sample, and places are taken by a hash.
 
-Every kind of span holds a digit or an at sign. A window without any would decode to no span under that constraint, so
-overlapping windows are laid over the stretches around those characters, wherever in a text they stand. Each window is
-decoded; the spans of all windows of a text are then reconciled globally: those cut by an inner edge of a window give
-way to the neighbour's, each must hold what its kind needs (check digits, number ranges), and of overlapping ones the
-set with the greatest sum of window scores stays. Added spans that overlap base spans go.
+Every kind of span holds a mark: a digit, an at sign or an at in brackets. A window without any would decode to no span
+under that constraint, so overlapping windows are laid over the stretches around marks, wherever in a text they stand.
+Each window is decoded; the spans of all windows of a text are then reconciled globally: those cut by an inner edge of a
+window give way to the neighbour's, which has them whole up to LONGEST characters, each must hold what its kind needs
+(form, check digits, number ranges), and of overlapping ones the set with the greatest sum of window scores stays. Added
+spans that overlap base spans go.
 
 Null and empty texts have no spans. Repeated rows get repeated results, null ids are kept, extra columns are not read;
 an empty table trains on written variants alone and returns nothing. Memory: one portion of a batch and one batch of
@@ -40,7 +41,9 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_MARK = re.compile(r"[0-9@]")
+#: No span of any kind is without one of these.
+MARK = r"[0-9@]|[\[(](?:at|AT)[\])]"
+_MARK = re.compile(MARK)
 
 
 def luhn(digits: str) -> bool:
@@ -80,22 +83,26 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+_DOT = r" ?(?:\.|\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?"
 _LOOSE = {
-    "email": re.compile(r"[\w.%+-]+ ?(?:@|\[at\]|\(at\)) ?[\w-]+(?: ?\. ?[\w-]+)+"),
-    "ip": re.compile(r"[0-9]{1,3}(?: ?[.,] ?[0-9]{1,3}){3}"),
+    "email": re.compile(rf"[\w%+-]+(?:\.[\w%+-]+)* ?(?:@|\[(?:at|AT)\]|\((?:at|AT)\)) ?[\w-]+(?:{_DOT}[\w-]+)+"),
+    "ip": re.compile(rf"[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}"),
+    "card": re.compile(r"[0-9](?:[ ._/-]{0,2}[0-9])+"),
+    "phone": re.compile(r"(?:\+ ?)?[(]?[0-9](?:[ ()./-]{0,3}[0-9])+"),
 }
 
 
 def plausible(kind: str, s: str) -> bool:
-    """What an added span must hold."""
+    """What an added span must hold: its kind's form, numbers in range, check digits."""
+    if len(s) > LONGEST or not _LOOSE[kind].fullmatch(s):
+        return False
     d = digits_of(s)
-    if kind == "email":
-        return bool(_LOOSE["email"].fullmatch(s)) and "@" in s
     if kind == "ip":
-        return bool(_LOOSE["ip"].fullmatch(s)) and all(int(p) <= 255 for p in re.findall("[0-9]+", s))
+        return all(int(p) <= 255 for p in re.findall("[0-9]+", s))
     if kind == "card":
-        return 14 <= len(d) <= 19 and luhn(d) and not re.search(r"[^0-9 ./_-]", s)
-    return 10 <= len(d) <= 15 and not re.search(r"[^0-9 ().+/-]", s) and bool(re.search(r"[0-9][ ().+/-]+[0-9]", s))
+        return 14 <= len(d) <= 19 and luhn(d)
+    # a plain number is no phone number, nor is one with a decimal point
+    return kind == "email" or 10 <= len(d) <= 15 and sum(not c.isdigit() for c in s) >= 2
 
 
 # --- the model
@@ -104,8 +111,11 @@ ALPHABET, PAD = 95 + 4, 99
 #: Tags: none, then a first and an inner tag for each kind.
 TAGS = 1 + 2 * len(KINDS)
 EMBED, HIDDEN = 12, 16
-WINDOW, STRIDE, MARGIN = 64, 32, 24
-TRAIN_TEXTS, STEPS, BATCH, SEED = 2000, 220, 48, 7
+#: Characters of the longest span that is added; of a window, and from one window to the next, so that each such span lies
+#: whole in one; around a mark, so that every span with the mark lies between.
+LONGEST, WINDOW, STRIDE, MARGIN = 64, 112, 46, 64
+#: The bounds of training: texts, places of each that are cut out, windows of texts and of written values, their characters, steps, windows of one.
+TRAIN_TEXTS, PLACES, TRAIN_WINDOWS, TRAIN_WIDTH, STEPS, BATCH, SEED = 2000, 4, 1500, 80, 600, 96, 7
 
 
 def codes(text: str) -> np.ndarray:
@@ -130,44 +140,42 @@ class Tagger:
         rng = np.random.default_rng(seed)
         r = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.p = {"E": r(ALPHABET + 1, EMBED) * 3, "O": r(2 * HIDDEN, TAGS), "o": np.zeros(TAGS, np.float32), "T": np.zeros((TAGS, TAGS), np.float32)}
-        for d in "fb":
-            self.p |= {f"W{d}": r(EMBED + HIDDEN, 4 * HIDDEN), f"c{d}": np.zeros(4 * HIDDEN, np.float32)}
-            self.p[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1  # remember at first
+        # both directions side by side: forwards, backwards
+        self.p |= {"W": r(EMBED + HIDDEN, 2, 4 * HIDDEN).transpose(1, 0, 2).copy(), "c": np.zeros((2, 1, 4 * HIDDEN), np.float32)}
+        self.p["c"][:, :, HIDDEN : 2 * HIDDEN] = 1  # remember at first
         self.forbidden = np.zeros((TAGS, TAGS), np.float32)  # an inner tag follows its own kind only
         for k in range(len(KINDS)):
             self.forbidden[[t for t in range(TAGS) if t not in (1 + 2 * k, 2 + 2 * k)], 2 + 2 * k] = -1e4
 
-    def _lstm(self, x: np.ndarray, d: str, keep: bool):
-        steps, batch, _ = x.shape
-        W, c = self.p[f"W{d}"], self.p[f"c{d}"]
-        pre = x @ W[:EMBED] + c
-        h, s = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
-        out, trace = np.empty((steps, batch, HIDDEN), np.float32), []
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            g = pre[t] + h @ W[EMBED:]
-            ifo = _sigmoid(g[:, : 3 * HIDDEN])
-            i, f, o = ifo[:, :HIDDEN], ifo[:, HIDDEN : 2 * HIDDEN], ifo[:, 2 * HIDDEN :]
-            u = np.tanh(g[:, 3 * HIDDEN :])
-            before, h0 = s, h
-            s = f * s + i * u
+    def _lstm(self, x: np.ndarray, keep: bool):
+        """x: direction, time, batch, feature; the second direction has its time turned."""
+        W, steps = self.p["W"], x.shape[1]
+        pre = x @ W[:, None, :EMBED] + self.p["c"][:, None]
+        h = s = np.zeros((2, x.shape[2], HIDDEN), pre.dtype)
+        out, trace = np.empty((*x.shape[:3], HIDDEN), pre.dtype), []
+        for t in range(steps):
+            g = pre[:, t] + h @ W[:, EMBED:]
+            gates = _sigmoid(g[:, :, : 3 * HIDDEN])
+            i, f, o = (gates[:, :, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
+            u = np.tanh(g[:, :, 3 * HIDDEN :])
+            before, s = s, f * s + i * u
             th = np.tanh(s)
-            h = o * th
-            out[t] = h
+            h = out[:, t] = o * th
             if keep:
-                trace.append((t, i, f, o, u, before, th, h0))
+                trace.append((gates, i, f, o, u, before, th))
         return out, trace
 
     def emissions(self, x: np.ndarray, keep: bool = False):
         """x: codes, time by batch."""
         e = self.p["E"][x]
-        f, tf = self._lstm(e, "f", keep)
-        b, tb = self._lstm(e, "b", keep)
-        h = np.concatenate([f, b], axis=2)
-        return h @ self.p["O"] + self.p["o"], (e, h, tf, tb)
+        e = np.stack([e, e[::-1]])
+        out, trace = self._lstm(e, keep)
+        h = np.concatenate([out[0], out[1, ::-1]], axis=2)
+        return h @ self.p["O"] + self.p["o"], (e, h, out, trace)
 
     def gradients(self, x: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the tags and its gradients."""
-        em, (e, h, tf, tb) = self.emissions(x, keep=True)
+        em, (e, h, out, trace) = self.emissions(x, keep=True)
         steps, batch, _ = em.shape
         T = self.p["T"] + self.forbidden
         lse = lambda a, axis: (m := a.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis=axis))
@@ -189,23 +197,23 @@ class Tagger:
         d_em /= batch
         g = {"T": d_T / batch, "O": h.reshape(-1, 2 * HIDDEN).T @ d_em.reshape(-1, TAGS), "o": d_em.sum(axis=(0, 1))}
         d_h = d_em @ self.p["O"].T
-        d_e = np.zeros_like(e)
-        for d, trace, part in (("f", tf, d_h[:, :, :HIDDEN]), ("b", tb, d_h[:, :, HIDDEN:])):
-            W = self.p[f"W{d}"]
-            gW, gc = np.zeros_like(W), np.zeros(4 * HIDDEN, np.float32)
-            dh_next, ds_next = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
-            for t, i, f, o, u, before, th, h0 in reversed(trace):
-                dh = part[t] + dh_next
-                ds = dh * o * (1 - th * th) + ds_next
-                dg = np.concatenate([ds * u * i * (1 - i), ds * before * f * (1 - f), dh * th * o * (1 - o), ds * i * (1 - u * u)], axis=1)
-                gW[:EMBED] += e[t].T @ dg
-                gW[EMBED:] += h0.T @ dg
-                gc += dg.sum(axis=0)
-                d_e[t] += dg @ W[:EMBED].T
-                dh_next, ds_next = dg @ W[EMBED:].T, ds * f
-            g |= {f"W{d}": gW, f"c{d}": gc}
-        g["E"] = np.zeros_like(self.p["E"])
-        np.add.at(g["E"], x, d_e)
+        d_out = np.stack([d_h[:, :, :HIDDEN], d_h[::-1, :, HIDDEN:]])
+        W, d_g = self.p["W"], np.empty((2, steps, batch, 4 * HIDDEN), em.dtype)
+        back = W[:, EMBED:].transpose(0, 2, 1)
+        dh_next = ds_next = np.zeros((2, batch, HIDDEN), em.dtype)
+        for t in range(steps - 1, -1, -1):
+            gates, i, f, o, u, before, th = trace[t]
+            dh = d_out[:, t] + dh_next
+            ds = dh * o * (1 - th * th) + ds_next
+            d_gates = np.concatenate([ds * u, ds * before, dh * th], axis=2) * gates * (1 - gates)
+            d_g[:, t] = np.concatenate([d_gates, ds * i * (1 - u * u)], axis=2)
+            dh_next, ds_next = d_g[:, t] @ back, ds * f
+        h_before = np.concatenate([np.zeros_like(out[:, :1]), out[:, :-1]], axis=1)
+        flat = lambda a: a.reshape(2, steps * batch, -1)
+        g |= {"W": np.concatenate([flat(e), flat(h_before)], axis=2).transpose(0, 2, 1) @ flat(d_g), "c": flat(d_g).sum(axis=1, keepdims=True)}
+        d_e = d_g @ W[:, None, :EMBED].transpose(0, 1, 3, 2)
+        d_e = (d_e[0] + d_e[1, ::-1]).reshape(-1, EMBED)
+        g["E"] = np.stack([np.bincount(x.ravel(), d_e[:, k], ALPHABET + 1) for k in range(EMBED)], axis=1).astype(em.dtype)
         return float((z - gold).mean()), g
 
     def fit(self, windows: list[tuple[np.ndarray, np.ndarray]], steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = SEED) -> float:
@@ -250,34 +258,44 @@ def _digits(rng, n: int) -> str:
 def written(kind: str, rng) -> str:
     """A made-up value of a kind in one of its usual forms."""
     d, pick = (lambda n: _digits(rng, n)), (lambda *o: o[rng.integers(len(o))])
-    word = lambda: "".join(rng.choice(list("abcdefghiklmnoprstuvw"), int(rng.integers(3, 9))))
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvwxz"), int(rng.integers(2, 9))))
     if kind == "email":
-        return word() + pick("", ".", "_") + pick(word(), d(2)) + pick("@", "@", " @ ") + word() + pick(".com", ".org", ".net", ".example.com", " . com")
+        at, dot = pick(("@", "."), ("@", "."), (" @ ", "."), (" @ ", " . "), (" [at] ", "."), (" (at) ", "."), ("[at]", "[dot]"), ("(at)", "."), (" [at] ", " [dot] "))
+        name = word() + pick("", "", ".", "_", "-", "+") + pick(word(), d(2), "")
+        return name.strip("._-+") + at + dot.join([word(), *pick([], [], [word()]), pick("com", "org", "net", "de", "io")])
     if kind == "ip":
-        return pick(".", ".", " . ").join(str(rng.integers(1, 256)) for _ in range(4))
+        return pick(".", ".", " . ", "[.]", "(.)", "[.]").join(str(rng.integers(0, 256)) for _ in range(4))
     if kind == "card":
         body = pick("4", "5", "37", "6011")
         body += d(15 - len(body))
         body += next(c for c in "0123456789" if luhn(body + c))
-        sep = pick("", "", " ", "-", ".")
+        sep = pick("", " ", "-", ".", "_", "/", "  ")
         return sep.join(body[i : i + 4] for i in range(0, 16, 4))
-    return pick("+1 ({}) {}-{}", "({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "+49 {} {} {}", "{} {} {}", "({}){}-{}").format(d(3), d(3), d(4))
+    three, four = lambda: pick("2", "3", "4", "5", "6", "7", "8", "9") + d(2), lambda: d(4)
+    area, mid, end = three(), three(), four()
+    return pick(f"+1 ({area}) {mid}-{end}", f"({area}) {mid}-{end}", f"({area}) {mid} {end}", f"{area}-{mid}-{end}", f"{area}.{mid}.{end}", f"{area} {mid} {end}", f"({area}){mid}-{end}", f"1-{area}-{mid}-{end}", f"+49 {area} {mid} {end}", f"0{d(2)} {d(4)} {d(4)}", f"00{d(2)} {area} {d(3)} {d(4)}", f"0{d(3)}/{d(7)}", f"0{d(3)}-{d(3)}-{d(4)}", f"{area}/{mid}-{end}")
 
 
 def harmless(rng) -> str:
+    """Numbers and signs that are no personal data."""
     d, pick = (lambda n: _digits(rng, n)), (lambda *o: o[rng.integers(len(o))])
-    return pick(d(4), d(2) + "." + d(1), "version " + d(1) + "." + d(1) + "." + d(1), f"20{d(2)}-0{d(1)}-1{d(1)}", "".join(rng.choice(list("0123456789abcdef"), 32)), "$" + d(3) + "." + d(2), d(1) + "," + d(3), "AK" + "".join(rng.choice(list("ABCDEFGHIJ0123456789"), 18)), "@" + "".join(rng.choice(list("abcdefgh"), 6)), d(int(rng.integers(5, 9))), f"{d(2)}:{d(2)}:{d(2)}")
+    n = int(rng.integers(2, 7))
+    return pick(
+        d(4), d(2) + "." + d(1), f"version {d(1)}.{d(1)}.{d(1)}", f"20{d(2)}-0{d(1)}-1{d(1)}", f"1{d(1)}/0{d(1)}/20{d(2)}", "".join(rng.choice(list("0123456789abcdef"), 32)), f"${d(3)}.{d(2)}", f"{d(1)},{d(3)}", f"{d(1)},{d(3)},{d(3)}",
+        "AK" + "".join(rng.choice(list("ABCDEFGHIJ0123456789"), 18)), "@" + "".join(rng.choice(list("abcdefgh"), 6)), d(int(rng.integers(5, 9))), d(int(rng.integers(9, 20))), f"{d(2)}:{d(2)}:{d(2)}", f"20{d(2)}-0{d(1)}-1{d(1)} {d(2)}:{d(2)}:{d(2)}", f"20{d(2)}-20{d(2)}",
+        " ".join(d(int(rng.integers(1, 5))) for _ in range(n)), ", ".join(d(int(rng.integers(1, 4))) for _ in range(n)), f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"No. {d(3)}-{d(2)}", f"({d(1)}) {d(3)}", f"{d(3)} @ {d(2)}", f"[{d(2)}]", f"{d(1)}.{d(6)}", f"{d(3)}.{d(3)} {d(3)}.{d(3)}",
+    )
 
 
-def training_windows(texts: list[str], rng, n: int = 1500) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Windows with tags: stretches of texts around their base spans, and around written values and harmless numbers."""
+def training_windows(texts: list[str], rng, n: int = TRAIN_WINDOWS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Windows with tags: n at most around the marks of texts, by their base spans, and n around written values and harmless ones."""
 
     def window(text: str, spans: list[Span], start: int) -> tuple[np.ndarray, np.ndarray]:
-        x, y = np.full(WINDOW, PAD), np.zeros(WINDOW, np.int64)
-        part = text[start : start + WINDOW]
+        x, y = np.full(TRAIN_WIDTH, PAD), np.zeros(TRAIN_WIDTH, np.int64)
+        part = text[start : start + TRAIN_WIDTH]
         x[: len(part)] = codes(part)
         for kind, a, b in spans:
-            if a >= start and b <= start + WINDOW and not y[a - start : b - start].any():
+            if a >= start and b <= start + TRAIN_WIDTH and not y[a - start : b - start].any():
                 y[a - start : b - start] = 2 + 2 * KINDS.index(kind)
                 y[a - start] -= 1
         return x, y
@@ -285,34 +303,42 @@ def training_windows(texts: list[str], rng, n: int = 1500) -> list[tuple[np.ndar
     out = []
     for text in texts:
         spans = base_spans(text)
-        for m in list(_MARK.finditer(text))[:40:9]:
-            start = max(0, m.start() - int(rng.integers(4, WINDOW - 30)))
+        marks = [m.start() for m in _MARK.finditer(text)]
+        for at in rng.choice(marks, min(PLACES, len(marks)), replace=False).tolist() if marks else []:
+            start = max(0, at - int(rng.integers(4, TRAIN_WIDTH - 30)))
             # spans that the window cuts would teach the wrong thing
-            if not any(a < start < b or a < start + WINDOW < b for _, a, b in spans):
+            if not any(a < start < b or a < start + TRAIN_WIDTH < b for _, a, b in spans):
                 out.append(window(text, spans, start))
     if len(out) > n:
         out = [out[i] for i in rng.choice(len(out), n, replace=False)]
-    plain = [s for t in texts for s in re.split(r"[0-9@]+", t[:2000]) if len(s) > 60][:500] or ["the quick brown fox jumps over the lazy dog and runs along the old river bank. "]
+    plain = [s for t in texts for s in re.split(r"[0-9@]+", t) if len(s) > 40] or ["the quick brown fox jumps over the lazy dog and runs along the old river bank. "]
     for _ in range(n):
         around = plain[rng.integers(len(plain))]
         at = int(rng.integers(0, max(1, len(around) - 50)))
-        before, after = around[at : at + int(rng.integers(0, 20))], around[at + 20 : at + 60]
-        kind = KINDS[rng.integers(len(KINDS))] if rng.random() < 0.65 else None
+        before, after = around[at : at + int(rng.integers(0, 30))].rstrip(), around[at + 20 : at + 80]
+        kind = KINDS[rng.integers(len(KINDS))] if rng.random() < 0.6 else None
         value = written(kind, rng) if kind else harmless(rng)
-        gap = "" if not before else " "
-        text = before.rstrip() + gap + value + rng.choice([" ", ". ", ", "]) + after
-        spans = [(kind, len(before.rstrip()) + len(gap), len(before.rstrip()) + len(gap) + len(value))] if kind else []
-        out.append(window(text, spans, 0))
+        before += "" if not before else rng.choice([" ", " ", ": ", " (" if kind == "email" else " "])
+        text = before + value + rng.choice([" ", ". ", ", ", "\n"]) + after
+        out.append(window(text, [(kind, len(before), len(before) + len(value))] if kind else [], 0))
     return out
 
 
-def train(docs: DataFrame, limit: int = TRAIN_TEXTS, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> Tagger:
-    """A tagger from the base spans of about ``limit`` texts that hold a digit or an at sign."""
-    marked = id_and_text(docs, id_col, text_col).where(F.col("text").rlike("[0-9@]")).select("text", F.pmod(F.xxhash64("text"), F.lit(1_000_000)).alias("h"))
+def training_texts(docs: DataFrame, limit: int, id_col: str, text_col: str) -> DataFrame:
+    """text: surroundings of marks, PLACES at most from each of about ``limit`` different texts, taken by a hash over all rows."""
+    marked = id_and_text(docs, id_col, text_col).where(F.col("text").rlike(MARK)).select("text", F.xxhash64("text").alias("key"))
     n = marked.count()
-    # bounded: the share is set by the count, long texts give their surroundings only
-    around = F.slice(F.regexp_extract_all("text", F.lit(r"(?s).{0,60}[0-9@].{0,60}"), F.lit(0)), 1, 4)
-    rows = marked.where(F.col("h") * n < limit * 1_000_000).select(F.explode(around).alias("text")).toPandas()["text"].sort_values().tolist()
+    found = F.regexp_extract_all("text", F.lit(rf"(?s).{{0,{WINDOW}}}(?:{MARK}).{{0,{WINDOW}}}"), F.lit(0))
+    # different places of a text, not its beginning
+    places = F.slice(F.array_sort(F.transform(found, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("text")))), 1, PLACES)
+    some = marked.where(F.pmod("key", F.lit(1_000_000)) * n < limit * 1_000_000)
+    # copies are one text
+    return some.select("key", places.alias("places")).groupBy("key").agg(F.first("places").alias("places")).select(F.explode("places.text").alias("text")).limit(2 * PLACES * limit)
+
+
+def train(docs: DataFrame, limit: int = TRAIN_TEXTS, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> Tagger:
+    """A tagger from the base spans of about ``limit`` texts that hold a mark, and from written values."""
+    rows = training_texts(docs, limit, id_col, text_col).toPandas()["text"].sort_values().tolist()  # bounded
     rng = np.random.default_rng(seed)
     out = Tagger(seed)
     out.fit(training_windows(rows, rng), seed=seed)
@@ -321,23 +347,21 @@ def train(docs: DataFrame, limit: int = TRAIN_TEXTS, id_col: str = "doc_id", tex
 
 # --- windows, decoding, reconciliation
 def window_starts(text: str) -> list[int]:
-    """Starts of overlapping windows over the stretches around digits and at signs."""
+    """Starts of overlapping windows over the stretches around marks: every span of LONGEST characters with a mark lies whole in one."""
     out: list[int] = []
     low = high = -1
-    stretches = []
+
+    def stretch() -> range:
+        return range(low, max(low + 1, high - (WINDOW - STRIDE)), STRIDE)
+
     for m in _MARK.finditer(text):
         a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
         if a <= high:
-            high = max(high, b)
+            high = b
         else:
-            if high >= 0:
-                stretches.append((low, high))
+            out += stretch() if high >= 0 else []
             low, high = a, b
-    if high >= 0:
-        stretches.append((low, high))
-    for a, b in stretches:
-        out += range(a, max(a + 1, b - (WINDOW - STRIDE)), STRIDE)
-    return out
+    return out + list(stretch()) if high >= 0 else out
 
 
 def reconcile(text: str, found: list[tuple[float, str, int, int]], base: list[Span]) -> list[Span]:
