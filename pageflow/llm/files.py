@@ -28,10 +28,9 @@ def write_whole(uri: str, parts: Iterable[bytes]) -> int:
     return n
 
 
-def read_whole(uri: str) -> bytes:
+def file_size(uri: str) -> int:
     system, path = located(uri)
-    with system.open_input_file(path) as f:
-        return f.read()
+    return system.get_file_info(path).size
 
 
 def read_range(uri: str, start: int, length: int) -> bytes:

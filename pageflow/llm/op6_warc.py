@@ -11,7 +11,11 @@ copies are aggregated before anything is shuffled, and only groups of two or mor
 A null html is an empty payload. A null page_id is written as a record without a number and read back as null; it can
 refer to another record, and if all ids of a group are null its records are all responses. Rows that repeat the largest
 page_id are all responses. A null url has no target header. An empty table gives no bundles and an empty result. Only
-the id, url and html columns are read. Memory: one frame and one batch. Bundles are moved to their names when whole.
+the id, url and html columns are read. Memory: one frame and one batch.
+
+Bundles are moved to their names when whole. A name holds the attempt that wrote it, and an index row names its bundle, so
+a repeated or speculative attempt that sees its rows in another order never replaces a file that an index describes.
+Reading back is one task for each bundle.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pageflow.llm.batches import portions
-from pageflow.llm.files import located, read_range, write_whole
+from pageflow.llm.files import file_size, read_range, write_whole
 from pageflow.session import materialise, shared_dir, ship
 
 #: Bytes of records in a frame and in a bundle, about; compression level.
@@ -99,8 +104,7 @@ def seek_table(frames: list[tuple[int, int, int]]) -> bytes:
 
 def read_seek_table(uri: str) -> list[tuple[int, int, int, int]]:
     """Start, compressed size, size and checksum of every frame."""
-    system, path = located(uri)
-    total = system.get_file_info(path).size
+    total = file_size(uri)
     n, flags, magic = FOOT.unpack(read_range(uri, total - FOOT.size, FOOT.size))
     if magic != SEEKABLE or flags != WITH_CHECKSUM:
         raise ValueError("no seek table")
@@ -170,7 +174,7 @@ def write_warc(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", ur
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         rows = ((i, record(i, u, h.encode(), r)) for b in batches for p in portions(b, "html") for i, u, h, r in zip(*(p.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))))
         more = next(rows, None)
         number = 0
@@ -186,7 +190,7 @@ def write_warc(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", ur
                 more = now
 
             index: list[tuple] = []
-            path = f"{folder}/{part:08d}-{number:04d}.warc.zst"
+            path = f"{folder}/{part:08d}-{number:04d}-{attempt}.warc.zst"
             write_whole(path, bundle_parts(some(), index))
             number += 1
             page, frame, start, packed, offset, length = map(list, zip(*index))
@@ -214,7 +218,9 @@ def read_warc(index: DataFrame) -> DataFrame:
                     page, n, digest, kind, refers = map(list, zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(n, pa.int64()), pa.array(digest), pa.array(kind), pa.array(refers, pa.int64())], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return index.select("bundle").distinct().mapInArrow(read, RECORDS)
+    # a small row for each bundle; numbered, so that each has a partition of its own
+    bundles = materialise(index.select("bundle").distinct().select("bundle", (F.row_number().over(Window.orderBy("bundle")) - 1).alias("n")), "op6-bundles")
+    return bundles.repartitionById(max(1, bundles.count()), "n").select("bundle").mapInArrow(read, RECORDS)
 
 
 #: The same by SQL; DuckDB has no base32, so the digest is cut in groups of five bits.

@@ -1,7 +1,8 @@
 """Operator 7: token ids in binary files, by a canonical length-limited Huffman code of the ids' global counts.
 
 The ids of every text are counted over the whole table; code lengths come from the package-merge method under a limit,
-codes are canonical. Documents go to files by ranges of their id, ascending within and between files. A file is
+codes are canonical. Documents go to files by ranges of their id, ascending within and between files; rows of a repeated
+or null id, which may be many, are ranged by a hash of their ids and by their place in the table. A file is
 
     magic | code bits | documents (int64 id, uint64 ids) | null ids (uint8) | checkpoints (uint64) | code (uint32 id, uint8 bits) | footer
 
@@ -9,8 +10,9 @@ A checkpoint is the bit at which a block of BLOCK ids begins. Blocks decode inde
 of all values of the next bits. The footer holds the counts of the other parts and the magic again.
 
 Null and empty texts are one end id. Null ids come first; repeated ids keep one row each. An empty table gives an empty
-result. Extra columns are not read. Memory: one file's ids in compact form and one group of blocks. Tasks write files
-under another name and move them, so that lost executors and repeated tasks leave whole files.
+result. Extra columns are not read. Memory: the documents' numbers of one file and one group of blocks. Tasks write files
+under another name and move them; a name holds the attempt, so that lost executors and repeated tasks leave whole files.
+There are at most FILES files and the tasks' number of them at least, so files grow with the table, not the list of them.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +30,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageflow.llm.batches import id_and_text, portions
-from pageflow.llm.files import read_whole, write_whole
+from pageflow.llm.files import file_size, read_range, write_whole
 from pageflow.llm.words import word_ids
 from pageflow.session import materialise, shared_dir, ship
 
 MAGIC = b"IDHUFF01"
-#: Ids in a block; blocks decoded together; ids encoded together.
-BLOCK, GROUP, SEGMENT = 4096, 256, 1 << 20
+#: Ids in a block; blocks decoded together; ids encoded together; documents read back together.
+BLOCK, GROUP, SEGMENT, READ_AT_ONCE = 4096, 256, 1 << 20, 10_000
 #: Documents, null ids are counted with them, blocks, codes, limit in bits, bits.
 FOOTER = struct.Struct("<QQQIIQ8s")
-#: Ids to a file, about.
-FILE_IDS = 8_000_000
+#: Ids to a file, about, until there are so many files; then files grow.
+FILE_IDS, FILES = 8_000_000, 20_000
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -154,11 +157,10 @@ def file_parts(docs: Iterator[tuple[int | None, np.ndarray]], code: Code, stats:
 
 
 def decode_blocks(data: bytes, marks: np.ndarray, length: int, table: np.ndarray, limit: int) -> np.ndarray:
-    """Ids of the blocks that begin at the given bits, all of the same length, decoded side by side."""
-    low, high = int(marks[0]) >> 3, (int(marks[-1]) + length * limit >> 3) + 8
-    b = np.frombuffer(data[low:high] + bytes(8), np.uint8).astype(np.int64)
+    """Ids of the blocks that begin at the given bits of data, all of the same length, decoded side by side."""
+    b = np.frombuffer(data + bytes(8), np.uint8).astype(np.int64)
     four = b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
-    at, out = marks.astype(np.int64) - 8 * low, np.empty((length, len(marks)), np.uint32)
+    at, out = marks.astype(np.int64), np.empty((length, len(marks)), np.uint32)
     shift, mask = 32 - limit, (1 << limit) - 1
     for k in range(length):
         got = table[four[at >> 3] >> (shift - (at & 7)) & mask] if shift >= 7 else table[(four[at >> 3] << (at & 7) & 0xFFFFFFFF) >> shift]
@@ -168,15 +170,16 @@ def decode_blocks(data: bytes, marks: np.ndarray, length: int, table: np.ndarray
 
 
 class IdFile:
-    """A file read back."""
+    """A file read back: its tables at once, its coded ids some blocks at a time."""
 
-    def __init__(self, data: bytes):
-        n_docs, self.n_ids, n_blocks, n_codes, self.limit, n_bits, magic = FOOTER.unpack(data[-FOOTER.size :])
-        if magic != MAGIC or data[: len(MAGIC)] != MAGIC:
+    def __init__(self, uri: str):
+        self.uri = uri
+        total = file_size(uri)
+        n_docs, self.n_ids, n_blocks, n_codes, self.limit, n_bits, magic = FOOTER.unpack(read_range(uri, total - FOOTER.size, FOOTER.size))
+        if magic != MAGIC or read_range(uri, 0, len(MAGIC)) != MAGIC:
             raise ValueError("not a file of coded ids")
-        at = len(MAGIC)
-        self.bits = data[at : at + n_bits // 8]
-        at += n_bits // 8
+        self.n_bits, start = n_bits, len(MAGIC) + n_bits // 8
+        data, at = read_range(uri, start, total - FOOTER.size - start), 0
 
         def part(dtype: str, n: int) -> np.ndarray:
             nonlocal at
@@ -187,17 +190,24 @@ class IdFile:
         self.doc_ids, self.lengths, self.nulls = part("<i8", n_docs), part("<u8", n_docs).astype(np.int64), part("u1", n_docs)
         self.marks = part("<u8", n_blocks).astype(np.int64)
         self.code = Code(part("<u4", n_codes), part("u1", n_codes))
+        self.table: np.ndarray | None = None
+
+    def blocks(self, first: int, end: int) -> np.ndarray:
+        """Ids of some blocks, by their checkpoints; the last one of a file may be shorter and is asked for alone."""
+        if self.table is None:
+            self.table = self.code.decode_table()
+        length = min(BLOCK, self.n_ids - first * BLOCK)
+        low = int(self.marks[first]) >> 3
+        high = min(self.n_bits, int(self.marks[end - 1]) + length * self.code.limit + 64) >> 3
+        return decode_blocks(read_range(self.uri, len(MAGIC) + low, high - low), self.marks[first:end] - 8 * low, length, self.table, self.code.limit)
 
     def groups(self) -> Iterator[np.ndarray]:
         """All ids, some blocks at a time."""
-        if not len(self.marks):
-            return
-        table = self.code.decode_table()
-        whole = len(self.marks) - (1 if self.n_ids % BLOCK else 0)
+        whole = self.n_ids // BLOCK
         for start in range(0, whole, GROUP):
-            yield decode_blocks(self.bits, self.marks[start : min(start + GROUP, whole)], BLOCK, table, self.code.limit)
+            yield self.blocks(start, min(start + GROUP, whole))
         if whole < len(self.marks):
-            yield decode_blocks(self.bits, self.marks[whole:], self.n_ids % BLOCK, table, self.code.limit)
+            yield self.blocks(whole, whole + 1)
 
     def documents(self) -> Iterator[tuple[int | None, int, int, int]]:
         """(id, start in the file, ids, crc32 of the ids as little-endian unsigned 32-bit integers)."""
@@ -245,17 +255,19 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 2, file_ids: i
     bits = code_lengths(n, limit) if len(ids) else np.zeros(0, np.int64)
     dtype = word_ids(tokenizer_path).dtype
     folder = f"{shared_dir(spark)}/op7-{uuid.uuid4().hex}"
-    files = max(spark.sparkContext.defaultParallelism, -(-int(n.sum()) // file_ids))
+    files = max(spark.sparkContext.defaultParallelism, min(FILES, -(-int(n.sum()) // file_ids)))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, stats = TaskContext.get().partitionId(), {}
+        part, attempt, stats = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), {}
         rows = ((i, np.frombuffer(x, dtype)) for b in batches for i, x in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()))
-        path = f"{folder}/{part:08d}.ids"
+        path = f"{folder}/{part:08d}-{attempt}.ids"
         write_whole(path, file_parts(rows, Code(ids, bits), stats))
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([path]), pa.array([stats["docs"]], pa.int64()), pa.array([stats["ids"]], pa.int64())], ["part", "path", "docs", "ids"])
 
-    ranged = tokens.where("counts is null").select("doc_id", "ids").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.crc32("ids"))
-    # one small row per file
+    # the place is that of a written table, the same in every attempt
+    keyed = tokens.where("counts is null").select("doc_id", "ids", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("place"))
+    ranged = keyed.repartitionByRange(files, "doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "place").select("doc_id", "ids")
+    # one small row per file, FILES or the tasks' number at most
     made = sorted(ranged.mapInArrow(write, "part long, path string, docs long, ids long").collect())
     rows, start = [], 0
     for r in made:
@@ -275,9 +287,10 @@ def read_ids(files: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
-                found = list(IdFile(read_whole(path)).documents())
-                longs = [pa.array(list(x), pa.int64()) for x in (zip(*found) if found else [[]] * 4)]
-                longs[1] = pa.array([base + f[1] for f in found], pa.int64())
-                yield pa.RecordBatch.from_arrays(longs, ["doc_id", "start", "n_tokens", "ids_crc32"])
+                found = IdFile(path).documents()
+                while some := list(islice(found, READ_AT_ONCE)):
+                    longs = [pa.array(list(x), pa.int64()) for x in zip(*some)]
+                    longs[1] = pa.array([base + f[1] for f in some], pa.int64())
+                    yield pa.RecordBatch.from_arrays(longs, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
