@@ -10,7 +10,7 @@ the id over all of them, in one aggregation. Every text is labelled whole, and o
 
 A null text and one without a letter are ``und`` with score 0. Nothing is learned from null labels or ids that are held
 out; if nothing is learned at all (an empty table), every text is ``und``. Repeated rows get repeated results, null ids
-are kept and held_out is false for them. Extra columns are not read. Memory: one portion of a batch, BUCKETS numbers per
+are kept and held_out is false for them. More than LANGS languages raise an error. Extra columns are not read. Memory: one portion of a batch, BUCKETS numbers per
 language, and a bounded cache of word scores per worker.
 """
 
@@ -33,6 +33,8 @@ from pageflow.session import ship
 BUCKETS = 1 << 16
 #: Labelled documents of each language to learn from, about; longest n-gram.
 TRAIN_DOCS, LONGEST = 4000, 4
+#: Languages that a model may have; it and what is broadcast grow with their number, so more raise an error.
+LANGS = 256
 #: Cost of a change of language between two words, in nats; least share of a language's letters for a script to count.
 SWITCH, SCRIPT_SHARE = 12.0, 0.001
 #: Words whose scores a worker remembers; texts of more words than LONG are decoded one by one.
@@ -108,9 +110,13 @@ class Model:
 def training_sample(docs: DataFrame, held_out, per_lang: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """text and lang of about per_lang documents of each language, by a hash of the id."""
     usable = docs.where(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = usable.groupBy(F.col(lang_col).alias("lang_")).agg(F.count("*").alias("n"))
+    sizes = usable.groupBy(F.col(lang_col).cast("string").alias("lang_")).agg(F.count("*").alias("n"))
     picked = usable.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang_"), F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit("train")), F.lit(1_000_000)).alias("h"))
-    # one row per language
+    known = sizes.limit(LANGS + 1).collect()
+    if len(known) > LANGS:
+        raise ValueError(f"over {LANGS} languages are labelled")
+    sizes = docs.sparkSession.createDataFrame([tuple(r) for r in known], "lang_ string, n long")
+    # one row per language, LANGS at most
     return picked.join(F.broadcast(sizes), "lang_").where(F.col("h") * F.col("n") < per_lang * 1_000_000).select("text", F.col("lang_").alias("lang"))
 
 
