@@ -3,8 +3,11 @@
 A text's canonical form is its NFC normal form, then case folded, then with runs of white space folded to one space and
 none at the ends. Its fingerprint is a 128-bit xxhash of that form. Documents are grouped by it, and within groups of equal
 hashes the forms themselves are compared byte by byte; should two differ, the fingerprints of that hash get the SHA-256
-of the form as well, so equal fingerprints of
-documents always mean equal forms. Edited texts are told apart by the hash, and in the same way where documents clash.
+of the form as well, so equal fingerprints of documents always mean equal forms. Edited texts are told apart by the
+hash, and in the same way where documents clash.
+
+Forms are computed once for the texts and once for the edited texts, and again only for texts that share a hash without
+being the same. One shuffle deals the texts to ranges of ids, for the next document; nothing else moves texts.
 
 Normalisation costs one look at each character where a text has no mark that could combine (NFC quick check); other
 texts are cut in a starter and what may combine with it, decomposed, put in canonical order and composed again.
@@ -25,9 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pageflow.llm.batches import id_and_text
+from pageflow.session import materialise
 
 #: Lookup tables are cut in so many parts by code point. Bits of the filter of repeated hashes, in maps of 2^15.
 PARTS, MAPS = 64, 256
+#: Bytes of text in a range of ids, about; ranges at most, then they grow; hashes that forms may clash on.
+RANGE_BYTES, RANGES, CLASHES = 1 << 27, 20_000, 1000
 
 
 def _char_class(chars: list[int]) -> str:
@@ -154,20 +160,28 @@ def wide_hash(form: Column) -> Column:
     return F.lower(F.concat(part(F.xxhash64(form)), part(F.xxhash64(F.lit(1), form))))
 
 
-def repeated_filter(hashes: DataFrame) -> DataFrame:
-    """map and bits: a filter of MAPS * 2^15 bits at most that passes every hash which occurs more than once."""
-    twice = hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("hash").alias("h"))
-    place = twice.select(F.pmod("h", F.lit(MAPS)).alias("map"), F.pmod(F.shiftright("h", 8), F.lit(1 << 15)).alias("bit"))
+def _placed(key: Column) -> dict[str, Column]:
+    return {"map": F.pmod(key, F.lit(MAPS)), "bit": F.pmod(F.shiftright(key, 8), F.lit(1 << 15))}
+
+
+def repeated_filter(rows: DataFrame) -> DataFrame:
+    """map and bits: a filter of MAPS * 2^15 bits at most that passes the key of every row whose hash occurs with several keys."""
+    several = rows.groupBy("hash").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("hash")
+    place = rows.join(several, "hash", "left_semi").select(*(c.alias(k) for k, c in _placed(F.col("key")).items()))
     return place.groupBy("map").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
 
 
-def collisions(docs: DataFrame) -> DataFrame:
-    """Hashes shared by different canonical forms; docs: hash, form. Forms are compared within equal hashes."""
-    h = F.xxhash64("hash")
-    placed = docs.withColumns({"map": F.pmod(h, F.lit(MAPS)), "bit": F.pmod(F.shiftright(h, 8), F.lit(1 << 15))})
+def collisions(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Hashes shared by different canonical forms; within equal hashes, forms are compared byte by byte.
+
+    texts: text; rows: key (a hash of the text), hash. Copies have one key, so only texts that share a hash and are not the
+    same need their form again. The filter lets those through and, when it is full, others too.
+    """
+    keyed = texts.withColumns(_placed(F.xxhash64("text")))
     # MAPS rows of 4 KB at most
-    again = placed.join(F.broadcast(repeated_filter(docs.select("hash"))), "map").where("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) & 1 = 1")
-    return again.groupBy("hash", "form").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("forms")).where("forms > 1").select("hash")
+    again = keyed.join(F.broadcast(repeated_filter(rows)), "map").where("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) & 1 = 1")
+    forms = with_canonical(again.select("text"), "text", "form").select(wide_hash(F.col("form")).alias("hash"), "form")
+    return forms.groupBy("hash").agg(F.min("form").alias("a"), F.max("form").alias("b")).where("a <> b").select("hash")
 
 
 def _range_of(key: Column, bounds: list[float]) -> Column:
@@ -177,28 +191,67 @@ def _range_of(key: Column, bounds: list[float]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(all_bounds, at + step - 1) <= key.cast("double"), at + step).otherwise(at))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row with next_<column> of the row after it, by doc_id and then by these columns; after the last comes the first.
+def with_range(rows: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """rows (doc_id, hash, ...) with range, ascending with doc_id, nulls first, and how many ranges there are: about n, of like size.
 
-    Rows are dealt to as many ranges of the id as there are shuffle partitions, found from approximate quantiles. The
-    first row of a range is dealt to the end of the range before it too, so that one window finds every next row.
+    Bounds are approximate quantiles of the ids. An id that several of them fall on, null included, is cut by its rows'
+    hashes in as many ranges, so rows of one id need not stand together.
+    """
+    least = -(1 << 63)  # stands for null
+    keys = rows.select(F.coalesce("doc_id", F.lit(least)).alias("key"))
+    found = keys.approxQuantile("key", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
+    bounds = sorted(set(found))
+    ids = [None, *(None if b == float(least) else int(b) for b in bounds)]
+    # in how many ranges the id of a bound is cut; beyond 2^53 a bound may stand for several ids
+    cuts = [0, *(m if (m := found.count(b)) > 1 and (abs(b) < 1 << 53 or b == float(least)) else 0 for b in bounds)]
+    starts = [sum(c + 1 for c in cuts[:i]) for i in range(len(cuts))]
+    of = lambda values, kind: F.get(F.lit(values).cast(f"array<{kind}>"), F.col("own"))
+    place = F.conv(F.substring("hash", 1, 8), 16, 10).cast("long")  # of 2^32
+    inner = F.when(of(cuts, "int") == 0, 0).when(F.col("doc_id").eqNullSafe(of(ids, "bigint")), F.shiftright(place * of(cuts, "int"), 32)).otherwise(of(cuts, "int"))
+    owned = rows.withColumn("own", _range_of(F.coalesce("doc_id", F.lit(least)), bounds))
+    return owned.withColumn("range", (of(starts, "int") + inner).cast("int")).drop("own"), starts[-1] + cuts[-1] + 1
+
+
+def with_next(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, hash and text with next_hash and next_text, those of the row after it in its range, by doc_id, hash and text.
+
+    range, first and last tell a row's range and whether it stands at an end of it; the last one has no next row here.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    keys = docs.select(key.alias("key"))
-    bounds = sorted(set(keys.approxQuantile("key", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    # a row for each range
-    first = {r["range"]: r["first"] for r in keys.groupBy(_range_of(F.col("key"), bounds).alias("range")).agg(F.min("key").alias("first")).collect()}
-    full = sorted(first)
-    before = dict(zip(full, [*full[-1:], *full[:-1]]))
-    size = len(bounds) + 1
-    firsts, befores = F.lit([first.get(i, 0) for i in range(size)]).cast("array<bigint>"), F.lit([before.get(i, 0) for i in range(size)]).cast("array<int>")
-    placed = docs.select("doc_id", *columns, key.alias("key")).withColumn("own", _range_of(F.col("key"), bounds))
-    place = lambda r, ends: F.struct(r.alias("range"), F.lit(ends).alias("ends"))
-    places = F.when(F.col("key") == F.get(firsts, F.col("own")), F.array(place(F.col("own"), False), place(F.get(befores, F.col("own")), True))).otherwise(F.array(place(F.col("own"), False)))
-    dealt = placed.withColumn("place", F.explode(places)).select("doc_id", *columns, "key", "place.range", "place.ends").repartition(n, "range")
-    by = Window.partitionBy("range").orderBy("ends", "key", *columns)
-    return dealt.withColumns({f"next_{c}": F.lead(c).over(by) for c in columns}).where("not ends").drop("ends", "key", "range")
+    ranged, ranges = with_range(docs, n)
+    by = Window.partitionBy("range").orderBy("doc_id", "hash", "text")
+    lead = {f"next_{c}": F.lead(c).over(by) for c in ("hash", "text")}
+    return ranged.repartitionById(ranges, "range").withColumns({**lead, "first": F.row_number().over(by) == 1}).withColumn("last", F.isnull("next_hash"))
+
+
+def _told_apart(form: Column, clash: list[str]) -> Column:
+    """The hash of a form; where documents' forms clash, with its SHA-256."""
+    h = wide_hash(form)
+    return F.when(h.isin(clash), F.concat(h, F.sha2(form.cast("binary"), 256))).otherwise(h) if clash else h
+
+
+def _edited(rows: DataFrame, clash: list[str], *more: Column) -> DataFrame:
+    """Digests of rows with doc_id, hash, text, next_hash and next_text."""
+    n = F.length("text")
+    q = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - q), F.substring("next_text", F.lit(1), q))
+    rows = with_canonical(rows.withColumn("edited", edited), "edited", "edited_form")
+    near = lambda h: F.when(F.col("hash") == h, 1.0).otherwise(0.0)
+    rows = rows.withColumn("edited_hash", _told_apart(F.col("edited_form"), clash))
+    return rows.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("hash").alias("fingerprint"), F.col("edited_hash").alias("edited_fingerprint"), near(F.col("edited_hash")).alias("near_edited"), near(F.col("next_hash")).alias("near_next"), *more)
+
+
+def _digests(texts: DataFrame, n: int, clash: list[str]) -> DataFrame:
+    """The result's rows and their key, written; a range's last row meets the first one of the next range afterwards."""
+    own = with_canonical(texts, "text", "form").select("doc_id", _told_apart(F.col("form"), clash).alias("hash"), "text")
+    ends = F.when(F.col("first") | F.col("last"), F.col("text")).alias("text")
+    rows = materialise(_edited(with_next(own, n), clash, F.xxhash64("text").alias("key"), F.col("range"), F.col("first"), F.col("last"), ends), "op10-rows")
+    # two rows for each range from here on
+    firsts = rows.where("first").select("range", F.col("fingerprint").alias("next_hash"), F.col("text").alias("next_text"))
+    by = Window.orderBy("range")
+    after = firsts.select(F.col("range").alias("before"), F.coalesce(F.lead("range").over(by), F.min("range").over(Window.partitionBy())).alias("range"))
+    lasts = rows.where("last").select("doc_id", F.col("fingerprint").alias("hash"), "text", "key", F.col("range").alias("before"))
+    joined = _edited(lasts.join(after, "before").join(firsts, "range"), clash, F.col("key"))
+    return rows.where("not last").select(joined.columns).union(joined)
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,19 +259,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     near_edited and near_next are 1 where the fingerprints are equal, else 0: an exact digest knows no other likeness.
     """
-    own = with_canonical(id_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))), "text", "form")
-    own = own.withColumn("hash", wide_hash(F.col("form")))
-    clash = collisions(own.select("hash", "form"))
-    n = F.length("text")
-    q = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - q), F.substring("next_text", F.lit(1), q))
-    rows = with_next(own.select("doc_id", "hash", "text"), ["hash", "text"]).select("doc_id", n.cast("long").alias("n_chars"), "text", "hash", edited.alias("edited"), "next_text", "next_hash")
-    rows = with_canonical(rows, "edited", "edited_form").withColumn("edited_hash", wide_hash(F.col("edited_form")))
-    if not clash.isEmpty():  # it takes some 2^64 different forms to expect one
-        for name in ("", "edited_", "next_"):
-            form = "edited_form" if name == "edited_" else f"{name}form"
-            rows = rows if form in rows.columns else with_canonical(rows, f"{name}text", form)
-            rows = rows.join(clash.select(F.col("hash").alias(f"{name}hash"), F.lit(True).alias("clashes")), f"{name}hash", "left")
-            rows = rows.withColumn(f"{name}hash", F.when(F.col("clashes"), F.concat(f"{name}hash", F.sha2(F.col(form).cast("binary"), 256))).otherwise(F.col(f"{name}hash"))).drop("clashes")
-    near = lambda h: F.when(F.col("hash") == F.col(h), 1.0).otherwise(0.0)
-    return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("hash").alias("fingerprint"), F.col("edited_hash").alias("edited_fingerprint"), near("edited_hash").alias("near_edited"), near("next_hash").alias("near_next"))
+    texts = id_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(RANGES, -(-size // RANGE_BYTES)))
+    rows = _digests(texts, n, [])
+    clash = [r["hash"] for r in collisions(texts.select("text"), rows.select("key", F.col("fingerprint").alias("hash"))).limit(CLASHES + 1).collect()]
+    if len(clash) > CLASHES:
+        raise RuntimeError("too many different forms share a hash")
+    if clash:  # it takes some 2^64 different forms to expect one
+        rows = _digests(texts, n, clash)
+    return rows.drop("key")
