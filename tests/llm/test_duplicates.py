@@ -130,16 +130,36 @@ def expect_edits(rows):
 def check_edits(table):
     import hashlib
 
-    rows = sorted(((r["doc_id"], r["text"] or "") for r in table.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    got = sorted(op10_digest.fingerprint_edits(table).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
-    prints, own = {}, {}
-    for r, (i, n, edited, a, b, c) in zip(got, expect_edits(rows), strict=True):
-        assert (r["doc_id"], r["n_chars"], r["edited_sha256"]) == (i, n, hashlib.sha256(edited.encode()).hexdigest())
-        assert (r["near_edited"], r["near_next"]) == (float(a == b), float(a == c))
-        own[a] = r["fingerprint"]
-        for form, fp in ((a, r["fingerprint"]), (b, r["edited_fingerprint"])):
-            assert prints.setdefault(form, fp) == fp
-    assert len(set(own.values())) == len(own)
+    rows = [(r["doc_id"], r["text"] or "") for r in table.select("doc_id", "text").collect()]
+    forms = op10_digest.with_canonical(table.select(F.coalesce("text", F.lit("")).alias("text")).distinct(), "text", "form")
+    hashes = {r["text"]: r["h"] for r in forms.select("text", op10_digest.wide_hash(F.col("form")).alias("h")).collect()}
+    # rows of one id are ordered by their hashes
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]], r[1].encode()))
+    want = sorted(expect_edits(rows), key=lambda x: (x[0] is not None, x[0] or 0, hashlib.sha256(x[2].encode()).hexdigest(), x[3]))
+    result = op10_digest.fingerprint_edits(table).collect()
+    prints, own, got = {}, {}, {}
+    for r in result:
+        got.setdefault((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]), []).append(r)
+    for i, n, edited, a, b, c in want:
+        r = got[i, n, hashlib.sha256(edited.encode()).hexdigest(), float(a == b), float(a == c)].pop()
+        own.setdefault(a, set()).add(r["fingerprint"])
+        prints.setdefault(b, set()).add(r["edited_fingerprint"])
+    assert not any(got.values())
+    assert all(len(own.get(f, set()) | prints.get(f, set())) == 1 for f in {*own, *prints})
+    assert len({x for xs in own.values() for x in xs}) == len(own)
+
+
+def test_edits_of_rows_with_one_id(spark):
+    """A third of the rows without an id and a third with one id: their ranges are cut by the hash."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    rows = [(i, " ".join(word() for _ in range(8))) for i in [None] * 40 + [7] * 40 + list(range(-5, 35))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keyed = table.withColumn("hash", F.lower(F.hex(F.xxhash64("text"))))
+    ranged, n = op10_digest.with_range(keyed, 12)
+    sizes = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}
+    assert max(sizes) < n and max(sizes.values()) <= 30
+    check_edits(table)
 
 
 def test_edits(spark, docs, none, sample):

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 import public_tokenizers as P
 import sentencepiece
 from conftest import *  # noqa: F403
@@ -60,10 +61,25 @@ def test_encoding(docs, none):
     got = {(r["doc_id"], bytes(r["ids"])): r["decoded"] for r in op5_pieces.encode_texts(docs, PIECES).collect()}
     want = {(i, np.array([1, *sp.encode(t or ""), 2], "<u4").tobytes()): sp.decode([1, *sp.encode(t or ""), 2]) for i, t in TEXTS}  # noqa: F405
     assert got == want
-    assert op5_pieces.encode_digests(docs, PIECES).count() == len(TEXTS)  # noqa: F405
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    digests = {tuple(r) for r in op5_pieces.encode_digests(docs, PIECES).collect()}
+    assert digests == {(i, len(x) // 4, sha(x), sha(t.encode())) for (i, x), t in want.items()}
+    assert {tuple(r) for r in op5_pieces.encode_digests(docs, PIECES, checked=0.0).collect()} == digests
     assert op5_pieces.encode_digests(none, PIECES).count() == 0
 
 
+def test_a_wrong_encoding_raises():
+    """Every text is checked whole, however long; with a lower share, new sequences still are."""
+    text = "the quick brown fox " * 5000
+    for checked in (1.0, 0.0):
+        own = op5_pieces.Encoder(PIECES, checked)
+        own.model.id["▁quick"] = own.model.id["▁fox"]
+        with pytest.raises(AssertionError):
+            own.encode([text])
+
+
 def test_packing(docs, none):
     pieces = op2_packing.pack_documents(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), WORDS).toPandas()
     texts = {i: t for i, t in TEXTS if i is not None}  # noqa: F405
