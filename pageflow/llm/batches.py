@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -22,6 +23,9 @@ def held(key: tuple, make: Callable[[], object]) -> object:
     if key not in _HELD:
         _HELD.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # freed memory goes back, so that a worker's stages don't add up
+            trim(0)
         _HELD[key] = make()
     return _HELD[key]
 

@@ -51,7 +51,7 @@ LIGHT, LONG, SALTED = 256, 3, 8
 #: Texts of so many shingles about, and smaller ones, are found by two long shingles together.
 SMALL = 64
 #: Postings that a task holds before it deals them, postings of a bucket, pairs that a task holds before it counts them.
-HELD, BUCKET, PAIRS = 2_000_000, 1_500_000, 2_000_000
+HELD, BUCKET, PAIRS = 600_000, 800_000, 1_000_000
 #: Texts of a large group that all others of it are compared with first.
 CENTRES = 64
 
