@@ -10,13 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pageflow import config
 from pageflow.functions import language
 from pageflow.functions import text as T
 from pageflow.operators import batching, blocks, cache
 from pageflow.operators import rules as rule_ops
-from pageflow.operators.extract import extract_blocks
+from pageflow.operators.extract import RESULT_CLASS, extract_blocks
 from pageflow.plans import bilingual
 from pageflow.sources import rules as rule_text
 from pageflow.sources import settings
@@ -37,6 +38,10 @@ m.example.*##div.ad
 no rule here
 """
 
+CUSTOM = """*.example.org##.note
+example.com#+#article
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -105,9 +110,16 @@ def lang_detect(spark, d):
 
     Copies of a text share its fold and its score, so no row is scored by profiles that learned its text.
     """
-    docs = table(spark, d, "documents").select("doc_id", "lang", "text", F.xxhash64("text").alias("text_key")).withColumn("fold", F.pmod("text_key", F.lit(2)).cast("int"))
-    parts = [language.detect(docs.where(F.col("fold") == k), language.profiles(docs.where(F.col("fold") != k)), "text_key") for k in (0, 1)]
-    return parts[0].unionByName(parts[1]).select("doc_id", "lang", "detected", "fold")
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"))
+    return language.detect(docs, language.profiles(docs, [0, 1]), fold="fold").select("doc_id", "lang", "detected", "fold")
+
+
+@query("translate_other_languages", "select doc_id, '[fr] ' || source as translated from documents where lang <> 'fr'")
+def translate_other_languages(spark, d):
+    """Texts that are in the target language are left out before anything is asked for; here the label is the detected language."""
+    rows = language.other_language(table(spark, d, "documents").select("doc_id", F.col("lang").alias("detected"), "source"), F.lit("fr"))
+    return rows.join(bilingual.translate_texts(rows, bilingual.echo_translator, "fr"), "source").select("doc_id", "translated")
+
 
 
 # --- rules
@@ -169,13 +181,25 @@ def rule_selectors(spark, d):
     return found.select("page_id", F.array_join("skip", "|").alias("skip"), F.array_join("include", "|").alias("include"))
 
 
-@query("custom_rules_union", f"with {DUCK_PARSED} select domain, type, selector, count(*) as n from (select * from rules union all select * from rules where type = 'include') group by all")
+@query("custom_rules_union", f"with {DUCK_PARSED} select domain, type, selector, count(*) as n from (select domain, type, selector from rules union all values ('*.example.org', 'exclude', '.note'), ('example.com', 'include', 'article')) group by all")
 def custom_rules_union(spark, d):
-    built_in = sample_rules(spark)
-    both = built_in.unionByName(built_in.where("type = 'include'"))
+    both = sample_rules(spark).unionByName(rule_text.parse_rules(rule_text.rule_lines(spark, CUSTOM)))
     return both.groupBy("domain", "type", "selector").agg(F.count("*").alias("n"))
 
 
+@query("broken_rules", f"with {DUCK_PARSED} select rule_id, path_pattern = '/[/' as broken_path, false as broken_selector from rules where path_pattern is not null")
+def broken_rules(spark, d):
+    """Rules that are marked when they are loaded: a broken path or selector matches nothing and fails no job."""
+    rows = rule_ops.parse_patterns(sample_rules(spark)).where("path_pattern is not null")
+    return rows.select("rule_id", (~F.col("valid_path")).alias("broken_path"), (~F.col("valid_selector")).alias("broken_selector"))
+
+
+@query("rule_refresh_due", "select event_id, coalesce(ts <= timestamp '2024-01-15 00:00:00' - to_hours(24), true) as due from events")
+def rule_refresh_due(spark, d):
+    now = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    return table(spark, d, "events").select("event_id", incremental.refresh_due(F.col("ts"), now).alias("due"))
+
+
 # --- requests, batches
 @query("dedupe_requests", "select text, min(conv_id * 1000 + turn) as first_seq, count(*) as waiters from conversations group by text")
 def dedupe_requests(spark, d):
@@ -225,12 +249,21 @@ def sentence_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-@query("long_parts", "select doc_id, length(text) as n_chars from documents")
+LONG_PARTS = f"""with recursive s as (select doc_id, unnest(range(len(p))) as i, unnest(p) as t from (select doc_id, regexp_extract_all(text, '{SENTENCE}') as p from documents)),
+c as (select doc_id, i, unnest(range(0, length(t), 950)) as j, t from s),
+o as (select doc_id, substr(t, j::int + 1, 950) as t, row_number() over (partition by doc_id order by i, j) as n from c),
+u as (select *, {units("t")} as cost from o),
+f as (select doc_id, n, t, 0 as part, cost as total from u where n = 1 union all
+      select u.doc_id, u.n, u.t, case when f.total + u.cost > 950 then f.part + 1 else f.part end, case when f.total + u.cost > 950 then u.cost else f.total + u.cost end
+      from f join u on u.doc_id = f.doc_id and u.n = f.n + 1)
+select doc_id, part::int as part, md5(string_agg(t, '' order by n)) as part_md5 from f group by doc_id, part"""
+
+
+@query("long_parts", LONG_PARTS)
 def long_parts(spark, d):
-    """Long texts cut at sentences into requests: put together, the parts are the text again (no sentence is lost), and none is too long."""
+    """Long texts cut into requests: whole sentences as far as they fit, longer ones cut hard."""
     parts = batching.long_parts(table(spark, d, "documents").select("doc_id", "text"), "text")
-    whole = parts.groupBy("doc_id").agg(F.sum(F.length("part_text")).alias("n_chars"), F.max(T.utf16_length(F.col("part_text"))).alias("longest"))
-    return whole.where(F.col("longest") <= config.REQUEST_CHARS).select("doc_id", "n_chars")
+    return parts.select("doc_id", "part", F.md5(F.col("part_text").cast("binary")).alias("part_md5"))
 
 
 # --- codec
@@ -239,9 +272,7 @@ ENTITIES = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '
 
 @query("entity_decode", f"select page_id, md5({ENTITIES.format('html')}) as decoded from pages")
 def entity_decode(spark, d):
-    # the pages' own entities; numeric ones are in the tests
-    only = F.regexp_replace("html", "&(middot|copy);", "&amp;$1;")
-    return table(spark, d, "pages").select("page_id", F.md5(F.regexp_replace(T.decode_entities(only), "&(middot|copy);", "&$1;").cast("binary")).alias("decoded"))
+    return table(spark, d, "pages").select("page_id", F.md5(T.decode_entities(F.col("html")).cast("binary")).alias("decoded"))
 
 
 @query("escape_html", "select page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) as escaped from pages")
@@ -277,10 +308,35 @@ def tag_decode(spark, d):
     return _turns(spark, d).select("conv_id", F.array_join(T.tag_decode(texts, reply), "\x01").alias("decoded"))
 
 
-@query("line_codec", f"select conv_id, len(texts) = len(string_split(array_to_string(texts, chr(10)), chr(10))) as aligned from {DUCK_TURNS}")
+@query("line_codec", f"""select conv_id, (unnest(r)).pos::int as pos, (unnest(r)).s as source, (unnest(r)).t as translated from (
+  select conv_id, list_transform(texts, lambda t, i: {{'pos': i - 1, 's': t, 't': case when len(lines) = len(texts) then {trim("lines[i]")} end}}) as r
+  from (select *, string_split(array_to_string(list_transform(texts, lambda t: '[fr] ' || t || ' '), chr(10)), chr(10)) as lines from {DUCK_TURNS}))""")
 def line_codec(spark, d):
-    texts = F.col("texts")
-    return _turns(spark, d).select("conv_id", T.line_decode(texts, F.array_join(texts, "\n")).isNotNull().alias("aligned"))
+    """Lines of a reply placed by position; where their number differs, every text is asked for again alone."""
+    reply = F.array_join(F.transform("texts", lambda t: F.concat(F.lit("[fr] "), t, F.lit(" "))), "\n")
+    return _turns(spark, d).select("conv_id", F.inline(T.placed_results(F.col("texts"), reply)))
+
+
+@query("reply_texts", "select conv_id, turn, case when turn % 3 <> 0 then nullif(text, '') end as translated, case when turn % 3 = 0 or text = '' then 'Microsoft translate failed: ' || substr(case when turn % 3 = 0 then '{\"statusCode\":' || (400 + conv_id) || '}' else '[{\"translations\":[{\"text\":\"\"}]}]' end, 1, 200) end as error from conversations")
+def reply_texts(spark, d):
+    """Replies in a list hold a translation; an object tells an error."""
+    answer = F.to_json(F.array(F.struct(F.array(F.struct(F.col("text").alias("text"))).alias("translations"))))
+    body = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('{"statusCode":'), (400 + F.col("conv_id")).cast("string"), F.lit("}"))).otherwise(answer)
+    return table(spark, d, "conversations").select("conv_id", "turn", T.first_translation(body).alias("translated"), T.reply_error(body).alias("error"))
+
+
+@query("iso_times", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as iso, date_trunc('millisecond', ts) as back, timestamp '1970-01-01 00:00:00' as missing from events")
+def iso_times(spark, d):
+    iso = T.to_iso(F.col("ts").cast("timestamp"))
+    utc = lambda c: F.to_timestamp_ntz(F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))
+    return table(spark, d, "events").select("event_id", iso.alias("iso"), utc(T.from_iso(iso)).alias("back"), utc(T.from_iso(F.lit(None).cast("string"))).alias("missing"))
+
+
+@query("stale_clones", "select doc_id, cut = '' or (case when length(cut[:32]) < 8 then contains(text, cut) else contains(text, cut[:32]) end) as stale from (select doc_id, text, " + trim("case doc_id % 4 when 0 then text when 1 then substr(text, 5, 40) when 2 then 'x' || substr(text, 1, 3) else '' end") + " as cut from documents)")
+def stale_clones(spark, d):
+    k, text = F.col("doc_id") % 4, F.col("text")
+    clone = F.when(k == 0, text).when(k == 1, F.substring(text, 5, 40)).when(k == 2, F.concat(F.lit("x"), F.substring(text, 1, 3))).otherwise("")
+    return table(spark, d, "documents").select("doc_id", T.is_stale_clone(clone, text).alias("stale"))
 
 
 @query("explanation_guard", f"select conv_id, turn, {units('text')} < 20 and {units('(text || text || text || text)')} > 3 * {units('text')} as is_explanation from conversations")
@@ -289,51 +345,71 @@ def explanation_guard(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.is_explanation(t, F.concat(t, t, t, t)).alias("is_explanation"))
 
 
-@query("request_body", "select conv_id, turn, 'To ' || role || ': {{targetLang}}' as prompt, 'https://api.openai.com/v1/chat/completions' as url from conversations")
+@query("request_body", "select conv_id, turn, 'To ' || role || ': {{targetLang}}' as prompt, 'https://h' || (conv_id % 7) || '.example/v1/chat/completions' as url from conversations")
 def request_body(spark, d):
     prompt = T.fill_prompt(F.lit("To {{targetLang}}: {{targetLang}}"), F.col("role"))
-    return table(spark, d, "conversations").select("conv_id", "turn", prompt.alias("prompt"), T.completions_url(F.lit("https://api.openai.com/v1//")).alias("url"))
+    base = F.concat(F.lit("https://h"), (F.col("conv_id") % 7).cast("string"), F.lit(".example/v1"), F.repeat(F.lit("/"), (F.col("turn") % 3).cast("int")))
+    return table(spark, d, "conversations").select("conv_id", "turn", prompt.alias("prompt"), T.completions_url(base).alias("url"))
 
 
-@query("request_json", "select conv_id, turn, text as user_text, 'none' as effort from conversations")
-def request_json(spark, d):
-    """A request's body as JSON, read back: user text and effort."""
-    body = T.request_body(F.lit("gpt-9"), F.lit("system"), F.col("text"), T.reasoning_effort(F.lit("https://api.openai.com/v1"), F.lit("gpt-9")))
-    rows = table(spark, d, "conversations").select("conv_id", "turn", body.alias("b"))
-    return rows.select("conv_id", "turn", F.get_json_object("b", "$.messages[1].content").alias("user_text"), F.get_json_object("b", "$.reasoning_effort").alias("effort"))
+EFFORTS = [("https://api.openai.com/v1", "gpt-4o-mini", None), ("https://api.openai.com/v1", "gpt-5", "minimal"), ("https://api.openai.com/v1", "gpt-5-mini", "none"), ("https://api.openai.com/v1", "o3", "none"), ("https://api.deepseek.com/x", "deepseek-v4", "low"), ("https://api.deepseek.com/x", "deepseek-chat", None), ("https://generativelanguage.googleapis.com/v1", "gemini-2.5-pro", "low"), ("https://other.example/v1", "gpt-5", None)]
+DUCK_EFFORTS = "(values " + ", ".join("({}, '{}', '{}', {})".format(i, e, m, f"'{x}'" if x else "null") for i, (e, m, x) in enumerate(EFFORTS)) + ") as e(i, endpoint, model, effort)"
 
 
-EFFORTS = [("https://api.openai.com/v1", "gpt-4o-mini", None), ("https://api.openai.com/v1", "gpt-5", "minimal"), ("https://api.openai.com/v1", "gpt-5-mini", "none"), ("https://api.openai.com/v1", "o3", "none"), ("https://api.deepseek.com/x", "deepseek-v4", "low"), ("https://api.deepseek.com/x", "deepseek-chat", None), ("https://generativelanguage.googleapis.com/v1", "gemini-2.5-pro", "low"), ("https://other.example/v1", "gpt-5", None)]
+@query("request_json", f"select conv_id, turn, text as user_text, role as system_text, model, effort from conversations join {DUCK_EFFORTS} on i = (conv_id + turn) % {len(EFFORTS)}")
+def request_json(spark, d):
+    """A request's body as JSON, read back: model, texts and effort, which is left out where it isn't set."""
+    cases = F.array(*(F.struct(F.lit(e).alias("endpoint"), F.lit(m).alias("model")) for e, m, _ in EFFORTS))
+    case = F.get(cases, ((F.col("conv_id") + F.col("turn")) % len(EFFORTS)).cast("int"))
+    body = T.request_body(case["model"], F.col("role"), F.col("text"), T.reasoning_effort(case["endpoint"], case["model"]))
+    of = lambda path: F.get_json_object("b", path)
+    rows = table(spark, d, "conversations").select("conv_id", "turn", body.alias("b"))
+    return rows.select("conv_id", "turn", of("$.messages[1].content").alias("user_text"), of("$.messages[0].content").alias("system_text"), of("$.model").alias("model"), of("$.reasoning_effort").alias("effort"))
 
 
-@query("interceptor_case", "select * from (values " + ", ".join("('{}', '{}', {})".format(e, m, f"'{x}'" if x else "null") for e, m, x in EFFORTS) + ") as t(endpoint, model, effort)")
+@query("interceptor_case", f"select endpoint, model, effort, case when model like '%chat%' then 'high' else effort end as extended from {DUCK_EFFORTS}")
 def interceptor_case(spark, d):
+    """The list of rewrites, and the list with one more of the user's."""
     rows = spark.createDataFrame([(e, m) for e, m, _ in EFFORTS], "endpoint string, model string")
-    return rows.select("endpoint", "model", T.reasoning_effort(F.col("endpoint"), F.col("model")).alias("effort"))
+    more = [*T.REWRITES, lambda host, model, effort: F.when(model.contains("chat"), "high").otherwise(effort)]
+    e, m = F.col("endpoint"), F.col("model")
+    return rows.select("endpoint", "model", T.reasoning_effort(e, m).alias("effort"), T.reasoning_effort(e, m, more).alias("extended"))
 
 
-@query("lang_code_map", "select lang, case lang when 'zh' then 'zh-Hans' when 'no' then 'nb' when 'sr' then 'sr-Cyrl' else lang end as code, split_part(lang || '-XX', '-', 1) as subtag, count(*) as n from documents group by all")
+@query("lang_code_map", "select c.lang, code, subtag, (select count(*) from documents d where d.lang = c.lang) as n from (values ('zh', 'zh-Hans', 'zh'), ('zh-cn', 'zh-Hans', 'zh'), ('zh-CN', 'zh-Hans', 'zh'), ('zh-tw', 'zh-Hant', 'zh'), ('zh-TW', 'zh-Hant', 'zh'), ('tl', 'fil', 'tl'), ('iw', 'he', 'iw'), ('no', 'nb', 'no'), ('sr', 'sr-Cyrl', 'sr'), ('mn', 'mn-Cyrl', 'mn'), ('hmn', 'mww', 'hmn'), ('ku', 'kmr', 'ku'), ('en', 'en', 'en'), ('pt-BR', 'pt-BR', 'pt'), ('', '', 'zh'), ('fr', 'fr', 'fr')) as c(lang, code, subtag)")
 def lang_code_map(spark, d):
+    codes = spark.createDataFrame([(c,) for c in [*config.LANG_CODES, "en", "pt-BR", "", "fr"]], "lang string")
+    counts = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
     lang = F.col("lang")
-    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n")).select("lang", T.provider_lang(lang).alias("code"), T.primary_subtag(F.concat(lang, F.lit("-XX"))).alias("subtag"), "n")
+    return codes.join(counts, "lang", "left").select("lang", T.provider_lang(lang).alias("code"), T.primary_subtag(lang).alias("subtag"), F.coalesce("n", F.lit(0)).alias("n"))
+
 
+#: The order of ICU's root collation, by hand: Latin by letters, then Cyrillic, Arabic, Thai, Hangul, Han.
+BY_NAME = "id cs de en es fr it nl pl pt sv vi tr ru uk ar th ko zh ja".split()
 
-@query("languages_sorted", "select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in config.LANGUAGES.items()) + ") as t(code, name)")
+
+@query("languages_sorted", "select * from (values " + ", ".join(f"({i}, '{k}', '{config.LANGUAGES[k]}')" for i, k in enumerate(BY_NAME)) + ") as t(pos, code, name)")
 def languages_sorted(spark, d):
     rows = spark.createDataFrame(list(config.LANGUAGES.items()), "code string, name string")
-    return rows.orderBy(F.collate("name", "UNICODE"))
+    by = Window.orderBy(F.collate("name", "UNICODE"))  # a fixed list
+    return rows.select((F.row_number().over(by) - 1).alias("pos"), "code", "name")
 
 
-@query("shown_errors", "select event_id, case when contains(m, '401') then 'Invalid API key.' when contains(m, '403') then 'Forbidden — check your API key permissions.' when contains(m, '429') then 'Rate limited — try again in a moment.' when contains(m, '404') then 'Model or URL not found — verify the base URL and model name.' when contains(m, '400') then 'Bad request — likely the model is not supported by this provider, or required fields are missing.' when regexp_matches(m, '\\b5\\d\\d\\b') then 'Provider error — try again later.' else m end as shown from (select event_id, 'status ' || (400 + event_id % 200) as m from events)")
+@query("shown_errors", "select event_id, case when contains(m, '401') then 'Invalid API key.' when contains(m, '403') then 'Forbidden — check your API key permissions.' when contains(m, '429') then 'Rate limited — try again in a moment.' when contains(m, '404') then 'Model or URL not found — verify the base URL and model name.' when contains(m, '400') then 'Bad request — likely the model is not supported by this provider, or required fields are missing. Some newer models (e.g. gpt-5 family) only work via OpenAI''s Responses API, which this extension doesn''t support. Raw: ' || m when regexp_matches(m, '\\b5\\d\\d\\b') then 'Provider error — try again later.' when contains(lower(m), 'failed to fetch') then 'Cannot reach the server — check the base URL and your network.' else m end as shown from (select event_id, case when event_id % 11 = 0 then 'Failed to fetch' else 'status ' || (400 + event_id % 200) end as m from events)")
 def shown_errors(spark, d):
-    m = F.concat(F.lit("status "), (400 + F.col("event_id") % 200).cast("string"))
+    m = F.when(F.col("event_id") % 11 == 0, "Failed to fetch").otherwise(F.concat(F.lit("status "), (400 + F.col("event_id") % 200).cast("string")))
     return table(spark, d, "events").select("event_id", T.shown_error(m).alias("shown"))
 
 
-@query("settings_defaults", "select event_id, coalesce(json_extract_string(props, '$.provider'), 'google') as provider, 'de' as target_lang, 'https://api.openai.com/v1' as base_url from events")
+STORED = ['{"provider":"microsoft","targetLang":"it"}', '{"openai":{"endpoint":"https://x.example/v1/chat/completions/","model":"m"}}', '{"openai":{"baseUrl":"https://y.example/v2"},"provider":"openai"}', "{}"]
+
+
+@query("settings_defaults", "select event_id, (['microsoft', 'google', 'openai', 'google'])[k] as provider, (['it', 'de', 'de', 'de'])[k] as target_lang, (['https://api.openai.com/v1', 'https://x.example/v1', 'https://y.example/v2', 'https://api.openai.com/v1'])[k] as base_url, (['gpt-4o-mini', 'm', null, 'gpt-4o-mini'])[k] as model from (select event_id, (event_id % 4 + 1)::int as k from events)")
 def settings_defaults(spark, d):
-    rows = settings.read_settings(table(spark, d, "events").select("event_id", "props"), F.lit("de-AT"), "props")
-    return rows.select("event_id", "provider", F.col("targetLang").alias("target_lang"), F.col("openai_baseUrl").alias("base_url"))
+    """Stored documents with values of their own, with a full endpoint of an old version, and without any."""
+    document = F.get(F.array(*map(F.lit, STORED)), (F.col("event_id") % 4).cast("int")).alias("document")
+    rows = settings.read_settings(table(spark, d, "events").select("event_id", document), F.lit("de-AT"))
+    return rows.select("event_id", "provider", F.col("targetLang").alias("target_lang"), F.col("openai_baseUrl").alias("base_url"), F.col("openai_model").alias("model"))
 
 
 # --- cache
@@ -405,8 +481,9 @@ def result_status(spark, d):
 
 
 # --- pages
-DUCK_BLOCKS = rf"""
-raw as (select page_id, regexp_extract(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<nav.*?</nav>', '<div>', 'g'), '(?s)<body[^>]*>(.*)$', 1) as h from pages),
+def duck_blocks(source: str) -> str:
+    return rf"""
+raw as (select page_id, regexp_extract(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<nav.*?</nav>', '<div>', 'g'), '(?s)<body[^>]*>(.*)$', 1) as h from {source}),
 cut as (select page_id, case when contains(h, '<footer') then substr(h, 1, strpos(h, '<footer') - 1) else h end as h from raw),
 pieces as (select page_id, unnest(list_transform(regexp_split_to_array(h, '</?(?:div|article|h1|p|body|html)(?:\s[^>]*)?>'), lambda x, i: {{'i': i, 't': x}})) as s from cut),
 texts as (select page_id, s.i as i, {trim("replace(replace(replace(replace(regexp_replace(s.t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + "'), '&amp;', '&')")} as text from pieces),
@@ -414,6 +491,9 @@ blocks as (select page_id, (row_number() over (partition by page_id order by i)
 """
 
 
+DUCK_BLOCKS = duck_blocks("pages")
+
+
 @query("extract_blocks", f"with {DUCK_BLOCKS} select page_id, block_ord, text from blocks")
 def extract_blocks_query(spark, d):
     return extract_blocks(table(spark, d, "pages")).select("page_id", "block_ord", "text")
@@ -425,13 +505,55 @@ def bilingual_pages(spark, d):
     return bilingual.bilingual(table(spark, d, "pages"), "fr")
 
 
-@query("bilingual_ruled")
+# what a rule leaves out becomes the edge of a block, and so does what stands before an included part
+DUCK_RULED = f"""with {DUCK_PARSED}, {DUCK_HOSTS}, {DUCK_PATTERNS}, {DUCK_ACTIVE},
+sel as (select page_id, list(selector) filter (type = 'exclude') as skip, list(selector) filter (type = 'include') as include from active group by 1),
+inside as (select p.page_id, s.skip, case when list_contains(s.include, 'article') then regexp_replace(html, '(?s)<body>.*?<article>', '<body><article>') else html end as html from pages p left join sel s using (page_id)),
+ruled as (select page_id, case when list_contains(skip, 'h1') then regexp_replace(h, '(?s)<h1>.*?</h1>', '<div>', 'g') else h end as html from (
+  select page_id, skip, case when list_has_any(skip, ['.ad', 'div.ad']) then regexp_replace(html, '(?s)<div class="ad">.*?</div>', '<div>', 'g') else html end as h from inside)),
+{duck_blocks("ruled")},
+kept as (select distinct replace(replace(replace(replace(unnest(regexp_extract_all(html, '<p>([^<]*)</p>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as text from pages where page_id % 2 = 0)
+"""
+
+
+def _kept(pages: DataFrame) -> DataFrame:
+    """A cache of the plain paragraphs of pages with an even id."""
+    found = pages.where("page_id % 2 = 0").select(F.explode(F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), F.lit(1))).alias("text")).distinct()
+    text = T.decode_entities(F.col("text"))
+    return found.select(text.alias("source")).distinct().select(F.lit("fr").alias("target_lang"), "source", F.concat(F.lit("[kept] "), "source").alias("translated"), as_of().alias("ts"))
+
+
+@query("bilingual_ruled", DUCK_RULED + f"select page_id, block_ord, b.text as source, case when k.text is null then '[fr] ' else '[kept] ' end || b.text as translated, 'done' as status, case when {units('b.text')} <= 40 then 'inline' else 'break' end as layout from blocks b left join kept k on k.text = b.text")
 def bilingual_ruled(spark, d):
     """The same with site rules, a cache and a translator that runs in tasks."""
     pages = table(spark, d, "pages")
-    known = bilingual.page_blocks(pages.where("page_id % 2 = 0")).select("text").distinct()
-    kept = known.select(F.lit("fr").alias("target_lang"), F.col("text").alias("source"), F.concat(F.lit("[fr] "), "text").alias("translated"), as_of().alias("ts"))
-    return bilingual.bilingual(pages, "fr", sample_rules(spark), kept, as_of(), bilingual.echo_translator)
+    return bilingual.bilingual(pages, "fr", sample_rules(spark), _kept(pages), as_of(), bilingual.echo_translator)
+
+
+def _failing(texts: list[str], lang: str) -> list[str]:
+    """A provider that rejects requests with a letter too many."""
+    if any(len(t) % 7 == 0 for t in texts):
+        raise RuntimeError("429 too many requests")
+    return bilingual.echo_translator(texts, lang)
+
+
+@query("errors_and_retry", "select conv_id, turn, case when length(text) % 7 = 0 then 'error' else 'done' end as before, 'done' as after, '[fr] ' || text as translated from conversations where text <> ''")
+def errors_and_retry(spark, d):
+    """A failed request fails all that wait for it; all failed rows are sent again, the others stay."""
+    c = table(spark, d, "conversations").where("text <> ''").select(F.col("conv_id").alias("page_id"), F.col("turn").cast("int").alias("block_ord"), "text", F.lit(False).alias("tail_block"))
+    answers = bilingual.translate_texts(c, _failing, "fr", batch=1, source="text").withColumnRenamed("source", "text")
+    first = blocks.apply_results(c.join(answers, "text", "left"))
+    again = bilingual.retry_errors(first, bilingual.echo_translator, "fr")
+    both = first.select("page_id", "block_ord", F.col("status").alias("before")).join(again, ["page_id", "block_ord"])
+    return both.select(F.col("page_id").alias("conv_id"), F.col("block_ord").cast("long").alias("turn"), "before", F.col("status").alias("after"), "translated")
+
+
+@query("bilingual_cache", DUCK_RULED + f"select md5(text) as source_md5, translated from (select text, '[kept] ' || text as translated from kept union all select distinct text, '[fr] ' || text from blocks b where not exists (select 1 from kept k where k.text = b.text) and lower('[fr] ' || text) <> lower(text)) order by text desc limit {config.CACHE_ENTRIES}")
+def bilingual_cache(spark, d):
+    """The cache after a run: what is new and worth keeping has been written to it, then it was evicted."""
+    pages = table(spark, d, "pages")
+    after = bilingual.bilingual_and_cache(pages, "fr", _kept(pages), as_of(), sample_rules(spark))[1]
+    return after.select(F.md5(F.col("source").cast("binary")).alias("source_md5"), "translated")
 
 
 def _paths(spark: SparkSession, d: str) -> DataFrame:
@@ -511,6 +633,86 @@ def late_content(spark, d):
     return incremental.late_content(rows).select("conv_id", "turn")
 
 
+# --- nodes over time
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Versions of nodes: a user's event types are nodes, props their texts."""
+    return table(spark, d, "events").select(F.col("user_id").alias("page_id"), F.col("event_type").alias("node_path"), "event_id", "ts", F.col("props").alias("text"))
+
+
+DUCK_NEWEST = "newest as (select user_id as page_id, event_type as node_path, arg_max(props, event_id) as text from events group by all)"
+
+
+@query("reread_at_flush", f"with {DUCK_NEWEST} select e.event_id, n.text from events e join newest n on n.page_id = e.user_id and n.node_path = e.event_type")
+def reread_at_flush(spark, d):
+    """A queued node leaves with its newest text."""
+    rows = _nodes(spark, d)
+    state = incremental.newest_text(rows.withColumn("version", F.col("event_id")), ["page_id", "node_path"])
+    return blocks.reread(rows.select("page_id", "node_path", "event_id", F.lit("queued").alias("text")), state, ["page_id", "node_path"]).select("event_id", "text")
+
+
+@query("recheck_changed", f"with {DUCK_NEWEST} select e.event_id, n.text || case when e.user_id % 2 = 0 then chr(10) || ' ' || chr(10) || 'more' else '' end as new_text, case when e.user_id % 2 = 0 and e.user_id % 3 = 0 then 'segment' else 'translate' end as action from events e join newest n on n.page_id = e.user_id and n.node_path = e.event_type where n.text || case when e.user_id % 2 = 0 then chr(10) || ' ' || chr(10) || 'more' else '' end <> e.props")
+def recheck_changed(spark, d):
+    """Sent nodes whose text has changed since: to be sent again, or cut anew where blank lines count."""
+    rows, key = _nodes(spark, d), ["page_id", "node_path"]
+    state = incremental.newest_text(rows.withColumn("version", F.col("event_id")), key)
+    more = F.when(F.col("page_id") % 2 == 0, "\n \nmore").otherwise("")
+    state = state.select(*key, F.concat("text", more).alias("text"), (F.col("page_id") % 3 == 0).alias("keeps_lines"))
+    return blocks.recheck(rows.select(*key, "event_id", "text"), state, key).select("event_id", "new_text", "action")
+
+
+@query("append_blocks", f"with {DUCK_PATHS}, firsts as (select page_id, node_path, arg_min(event_id, (event_id % 2, event_id)) as event_id from paths group by all), open as (select * from firsts a where not exists (select 1 from paths b where b.event_id % 50 = 0 and b.page_id = a.page_id and (a.node_path = b.node_path or starts_with(a.node_path, b.node_path || '/')))) select page_id, event_id, node_path from open a where not exists (select 1 from open b where b.page_id = a.page_id and starts_with(a.node_path, b.node_path || '/'))")
+def append_blocks(spark, d):
+    """Queued blocks and newly extracted ones, without those that are processed or stand under others."""
+    rows = _paths(spark, d).withColumn("block_ord", F.col("event_id"))
+    out = blocks.appended(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), rows.where("event_id % 50 = 0"))
+    return out.select("page_id", "event_id", "node_path")
+
+
+@query("mark_and_clear", f"with {DUCK_PATHS} select distinct page_id, node_path from paths a where not exists (select 1 from paths b where b.event_id % 25 = 0 and b.page_id = a.page_id and (a.node_path = b.node_path or starts_with(a.node_path, b.node_path || '/')))")
+def mark_and_clear(spark, d):
+    """Nodes that are marked, and what is left once everything at and below some of them has been cleared."""
+    rows = _paths(spark, d)
+    done = blocks.marked(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"))
+    return blocks.cleared(done, rows.where("event_id % 25 = 0")).select("page_id", "node_path")
+
+
+@query("moved_results", "select event_id, '/' || (event_id % 5) as to_target from events where event_id % 5 <> event_id % 3")
+def moved_results(spark, d):
+    """Results whose place is another in the newest extraction."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("page_id"), F.lit("/").alias("node_path"))
+    at = lambda k: F.concat(F.lit("/"), (F.col("page_id") % k).cast("string"))
+    now = e.withColumns({"target_path": at(5), "before_path": F.lit(None).cast("string")})
+    return blocks.moved(e.withColumn("target_path", at(3)), now).select(F.col("page_id").alias("event_id"), "to_target")
+
+
+@query("visible_blocks", "select event_id from events where value + 40 > 0 and value < 60 * 2")
+def visible_blocks(spark, d):
+    return blocks.visible(table(spark, d, "events"), F.col("value"), F.col("value") + 40, F.lit(60)).select("event_id")
+
+
+@query("mutation_sets", "select user_id as page_id, 'again' as kind, event_type as node_path, count(distinct 1) as n from events where event_id % 3 = 0 and event_id % 5 <> 0 group by all union all select user_id, 'added', event_type, count(*) from events where event_id % 3 = 1 and event_id % 5 <> 0 group by all")
+def mutation_sets(spark, d):
+    """Mutation records as nodes to check again and added nodes; records of results are left out."""
+    e, id_ = table(spark, d, "events"), F.col("event_id")
+    records = e.select(F.col("user_id").alias("page_id"), F.col("event_type").alias("node_path"), F.when(id_ % 3 == 2, "text").otherwise("added").alias("kind"), F.when(id_ % 3 == 0, F.col("event_type")).alias("under"), F.when(id_ % 5 == 0, f"x {RESULT_CLASS}").alias("classes"))
+    again, added = incremental.mutations(records)
+    return again.withColumn("kind", F.lit("again")).unionByName(added.select("page_id", "node_path", F.lit("added").alias("kind"))).groupBy("page_id", "kind", "node_path").agg(F.count("*").alias("n"))
+
+
+@query("delayed_rescans", "select event_id, ts + interval 1000 millisecond as fire_ts from events")
+def delayed_rescans(spark, d):
+    return incremental.delayed(table(spark, d, "events"), config.RESCAN_MS).select("event_id", "fire_ts")
+
+
+@query("tab_resets", "select user_id, last_type = 'start' as active, since, n from (select user_id, arg_max(t, (ts, event_id, k)) as last_type, max(ts) as since, count(*) as n from (select user_id, ts, event_id, 0 as k, 'start' as t from events where event_type = 'view' union all select user_id, ts, event_id, 1, 'stop' from events where event_type = 'error' and event_id % 4 <> 3) group by user_id)")
+def tab_resets(spark, d):
+    """Reloads, PDFs and the end of a tab stop it; other navigations leave it as it is."""
+    e, k = table(spark, d, "events"), F.col("event_id") % 4
+    went = e.where("event_type = 'error'").select("user_id", "event_id", "ts", F.when(k == 2, "https://a.example/x.PDF?y=1").otherwise("https://a.example/x.html").alias("url"), F.when(k == 0, "reload").when(k == 1, "close").otherwise("link").alias("kind"))
+    starts = e.where("event_type = 'view'").select("user_id", "event_id", "ts", F.lit("start").alias("event_type"))
+    return incremental.tab_states(starts.unionByName(incremental.navigation_stops(went)), ["start"], ["reload", "pdf", "close"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in QUERIES.items()}
 

@@ -56,7 +56,13 @@ LANGUAGES = {
 }
 
 # Named entities.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0"}
+
+# Hours between two reads of a rule file; characters of a message that are kept; of a clone that are compared, and the least.
+RULE_HOURS, MESSAGE_CHARS, CLONE_CHARS, CLONE_LEAST = 24, 200, 32, 8
+
+# Milliseconds until a toggle takes effect, and until a page is scanned again after its start or a change of address.
+TOGGLE_MS, RESCAN_MS = 100, 1000
 
 # What a provider's error text holds, and what is shown for it, in order.
 ERRORS = [
@@ -64,6 +70,6 @@ ERRORS = [
     ("403", "Forbidden — check your API key permissions."),
     ("429", "Rate limited — try again in a moment."),
     ("404", "Model or URL not found — verify the base URL and model name."),
-    ("400", "Bad request — likely the model is not supported by this provider, or required fields are missing."),
+    ("400", "Bad request — likely the model is not supported by this provider, or required fields are missing. Some newer models (e.g. gpt-5 family) only work via OpenAI's Responses API, which this extension doesn't support. Raw: {}"),
 ]
 PROVIDER_DOWN, UNREACHABLE = "Provider error — try again later.", "Cannot reach the server — check the base URL and your network."

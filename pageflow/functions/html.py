@@ -147,6 +147,13 @@ def compile_selector(s: str) -> tuple:
     return tuple(_compile_one(x) for x in _split_list(s))
 
 
+def valid_selector(s: str | None) -> bool:
+    try:
+        return s is not None and bool(compile_selector(s))
+    except ValueError:
+        return False
+
+
 def _compile_one(s: str) -> tuple:
     parts: list[tuple[str, list]] = [(" ", [])]
     i = 0

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pageflow.session import portions, ship
 
 # Scripts that one language stands for here.
 SCRIPTS = [("\\p{IsHangul}", "ko"), ("[\\p{IsHiragana}\\p{IsKatakana}]", "ja"), ("\\p{IsHan}", "zh"), ("\\p{IsCyrillic}", "ru"), ("\\p{IsArabic}", "ar"), ("\\p{IsThai}", "th")]
 
-#: Trigrams kept for each language; letters of a text that are looked at by spans of this size.
-PROFILE = 400
+#: Trigrams kept for each language; languages that a model may have; weight of a trigram that a profile lacks.
+PROFILE, LANGUAGES, FLOOR = 400, 256, -12.0
+#: Bytes of text that a task holds at once, about; words whose scores it remembers.
+PORTION, WORDS = 4_000_000, 200_000
+
+#: Weights by trigram and language, for each fold.
+Profiles = dict[int, tuple[list[str], dict[str, list[float]]]]
 
 
 def by_script(text: Column) -> Column:
@@ -20,36 +32,109 @@ def by_script(text: Column) -> Column:
     return out.otherwise(None)
 
 
-def trigrams(text: Column) -> Column:
-    """Trigrams of a text's lower-case words, marked at their ends."""
-    words = F.filter(F.split(F.lower(text), "[^\\p{L}]+"), lambda w: w != "")
-    each = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(3)))
-    return F.flatten(F.transform(words, each))
+def words_of(text: str) -> list[str]:
+    """Lower-case runs of letters."""
+    import regex
 
+    return regex.findall(r"\p{L}+", text.lower())
 
-def profiles(labelled: DataFrame, keep: int = PROFILE) -> DataFrame:
-    """gram, lang, weight: the most frequent trigrams of each language, by log share. ``keep`` rows a language.
 
-    Counts are aggregated before languages are ranked, so a language of most rows is no long partition.
-    """
-    counts = labelled.select("lang", F.explode(trigrams(F.col("text"))).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    ranked = counts.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "gram")), asc=False), 1, keep).alias("top"))
-    rows = ranked.join(totals, "lang").select("lang", "total", F.explode("top").alias("t"))
-    return rows.select("lang", F.col("t.gram").alias("gram"), F.log(F.col("t.n") / F.col("total")).alias("weight"))
+def trigrams(word: str) -> list[str]:
+    """Trigrams of a word with its ends marked."""
+    marked = f" {word} "
+    return [marked[i : i + 3] for i in range(len(word))]
+
 
+def count_trigrams(labelled: DataFrame) -> DataFrame:
+    """fold, lang, gram, n of rows with text, lang and fold. Each task adds up a portion of texts before anything is shuffled."""
+    ship(labelled.sparkSession)
 
-def detect(docs: DataFrame, model: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """docs with detected: by script, else the language whose profile fits best; empty, never null, if none does.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch, "text", PORTION):
+                words: dict[tuple, Counter] = {}
+                for text, lang, fold in zip(*(part.column(c).to_pylist() for c in ("text", "lang", "fold"))):
+                    words.setdefault((fold, lang), Counter()).update(words_of(text))
+                rows = []
+                for key, found in words.items():
+                    grams: Counter = Counter()
+                    for word, n in found.items():
+                        for g in trigrams(word):
+                            grams[g] += n
+                    rows += [(*key, g, n) for g, n in grams.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int32(), pa.string(), pa.string(), pa.int64()))], ["fold", "lang", "gram", "n"])
 
-    A text's distinct trigrams are counted in its own row, so that only they are joined with the small profiles.
+    usable = labelled.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"), F.col("fold").cast("int").alias("fold"))
+    return usable.mapInArrow(run, "fold int, lang string, gram string, n long").groupBy("fold", "lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def profiles(labelled: DataFrame, folds: list[int], keep: int = PROFILE) -> Profiles:
+    """For each fold, the most frequent trigrams of each language in the other folds, by log share: ``keep`` a language.
+
+    Counts are aggregated before languages are ranked, so a language of most rows is no long partition. More than
+    LANGUAGES languages raise an error; with that, what comes to the driver is bounded.
+    """
+    counts = count_trigrams(labelled)
+    of = F.explode(F.array(*(F.lit(k) for k in folds)))
+    others = counts.withColumn("of", of).where("fold <> of or fold is null").groupBy("of", "lang", "gram").agg(F.sum("n").alias("n"))
+    top = F.slice(F.sort_array(F.collect_list(F.struct("n", "gram")), asc=False), 1, keep)
+    ranked = others.groupBy("of", "lang").agg(top.alias("top"), F.sum("n").alias("total"))
+    rows = ranked.select("of", "lang", F.transform("top", lambda t: F.struct(t["gram"].alias("gram"), F.log(t["n"] / F.col("total")).alias("weight"))).alias("top")).limit(len(folds) * LANGUAGES + 1).collect()
+    if len(rows) > len(folds) * LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages are labelled")
+    out: Profiles = {}
+    for fold in folds:
+        own = sorted((r for r in rows if r["of"] == fold), key=lambda r: r["lang"])
+        table: dict[str, list[float]] = {}
+        for k, r in enumerate(own):
+            for g in r["top"]:
+                table.setdefault(g["gram"], [0.0] * len(own))[k] = g["weight"] - FLOOR
+        out[fold] = [r["lang"] for r in own], table
+    return out
+
+
+def best_language(text: str, langs: list[str], table: dict[str, list[float]], known: dict[str, list[float]]) -> str | None:
+    """The language whose profile has the greatest sum of weights; of equals, the last by name; none if no trigram is known."""
+    if not langs:
+        return None
+    total, any_known = [0.0] * len(langs), False
+    for word, n in Counter(words_of(text)).items():
+        score = known.get(word)
+        if score is None:
+            score = [0.0] * len(langs)
+            for g in trigrams(word):
+                if g in table:
+                    score = [a + b for a, b in zip(score, table[g])]
+            if len(known) >= WORDS:
+                known.clear()
+            known[word] = score
+        for k, x in enumerate(score):
+            total[k] += n * x
+        any_known = any_known or any(score)
+    return max(zip(total, langs))[1] if any_known else None
+
+
+def detect(rows: DataFrame, model: Profiles, text: str = "text", fold: str | None = None) -> DataFrame:
+    """rows with detected: by script, else the language whose profile fits best; empty, never null, if none does.
+
+    Texts are scored in the task that reads them; nothing is shuffled. Null and empty texts are of no language.
     """
-    # keep * languages rows
-    floor = -12.0
-    rows = docs.where(F.col(text).isNotNull()).select(key, F.explode(trigrams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
-    scored = rows.join(F.broadcast(model), "gram").groupBy(key, "lang").agg(F.sum(F.col("n") * (F.col("weight") - floor)).alias("score"))
-    best = scored.groupBy(key).agg(F.max_by("lang", F.struct("score", "lang")).alias("_best"))
-    return docs.join(best, key, "left").withColumn("detected", F.coalesce(by_script(F.col(text)), F.col("_best"), F.lit(""))).drop("_best")
+    spark = rows.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)  # PROFILE weights a language
+    schema = T.StructType([*rows.schema.fields, T.StructField("_best", T.StringType())])
+    at = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, dict[str, list[float]]] = {k: {} for k in shared.value}
+        only = next(iter(known))
+        for batch in batches:
+            for part in portions(batch, text, PORTION):
+                folds = part.column(part.schema.get_field_index(fold)).to_pylist() if fold else [only] * part.num_rows
+                best = [best_language(t, *shared.value[k], known[k]) if t else None for t, k in zip(part.column(at).to_pylist(), folds)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.string())], [*part.schema.names, "_best"])
+
+    return rows.mapInArrow(run, schema).withColumn("detected", F.coalesce(by_script(F.col(text)), F.col("_best"), F.lit(""))).drop("_best")
 
 
 def other_language(rows: DataFrame, target: Column, detected: str = "detected") -> DataFrame:

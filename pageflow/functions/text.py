@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,9 +48,10 @@ def is_worth_caching(source: Column, translated: Column) -> Column:
     return (utrim(translated) != "") & ~same_ignoring_case(source, translated)
 
 
-def result_status(source: Column, translated: Column) -> Column:
-    """pending (no answer yet), noop (empty, or the source but for case; not trimmed), done."""
-    return F.when(translated.isNull(), "pending").when((translated == "") | same_ignoring_case(source, translated), "noop").otherwise("done")
+def result_status(source: Column, translated: Column, error: Column | None = None) -> Column:
+    """error (a failed batch), pending (no answer yet), noop (empty, or the source but for case; not trimmed), done."""
+    failed = F.lit(False) if error is None else error.isNotNull()
+    return F.when(failed, "error").when(translated.isNull(), "pending").when((translated == "") | same_ignoring_case(source, translated), "noop").otherwise("done")
 
 
 def layout(source: Column) -> Column:
@@ -87,6 +90,7 @@ def _char(n: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
 
+# The forms of entities.
 ENTITY = "&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z][a-zA-Z0-9]*);"
 
 
@@ -118,6 +122,7 @@ def tag_encode(texts: Column) -> Column:
     return F.when(F.size(texts) == 1, F.get(texts, F.lit(0))).otherwise(tagged)
 
 
+# A closed tag of a reply.
 CLOSED = '(?s)<t id="(\\d{1,9})">(.*?)</t>'
 
 
@@ -137,6 +142,22 @@ def tag_decode(texts: Column, reply: Column) -> Column:
     return F.when(F.size(texts) == 1, alone).otherwise(F.transform(texts, slot))
 
 
+def placed_results(texts: Column, reply: Column) -> Column:
+    """An array of (pos, source, translated): lines of a reply by their places; if their number differs, translated is null and each text is sent again alone."""
+    lines = line_decode(texts, reply)
+    return F.transform(texts, lambda t, i: F.struct(i.cast("int").alias("pos"), t.alias("source"), F.get(lines, i).alias("translated")))
+
+
+def first_translation(body: Column) -> Column:
+    """The text of a provider's reply in a list; null for any other reply, such as an object that tells an error."""
+    return F.when(utrim(body).startswith("["), F.nullif(F.get_json_object(body, "$[0].translations[0].text"), F.lit("")))
+
+
+def reply_error(body: Column) -> Column:
+    """The message for a reply without a translation; null if it has one."""
+    return F.when(first_translation(body).isNull(), F.concat(F.lit("Microsoft translate failed: "), F.substring(body, 1, config.MESSAGE_CHARS)))
+
+
 def line_decode(texts: Column, reply: Column) -> Column:
     """Lines of a reply, trimmed, if there is one for each text; else null: the texts are then sent one by one."""
     lines = F.split(reply, "\n")
@@ -170,19 +191,27 @@ def primary_subtag(c: Column) -> Column:
 def shown_error(c: Column) -> Column:
     out = F
     for part, shown in config.ERRORS:
-        out = out.when(c.contains(part), shown)
+        out = out.when(c.contains(part), F.replace(F.lit(shown), F.lit("{}"), c) if "{}" in shown else F.lit(shown))
     return out.when(c.rlike("\\b5\\d\\d\\b"), config.PROVIDER_DOWN).when(F.lower(c).contains("failed to fetch"), config.UNREACHABLE).otherwise(c)
 
 
-def reasoning_effort(endpoint: Column, model: Column) -> Column:
-    """What a request's reasoning effort is set to, by host and model; null leaves it unset."""
-    host = url_host(endpoint)
-    openai = F.when(model.rlike("\\bgpt-(3|4)"), None).when(model.rlike("\\bgpt-5\\b\\z"), "minimal").otherwise("none")
-    return (
-        F.when(host == "api.openai.com", openai)
-        .when((host == "api.deepseek.com") & model.rlike("\\bdeepseek-v4\\b"), "low")
-        .when((host == "generativelanguage.googleapis.com") & model.rlike("\\bgemini-(2\\.5|3)"), "low")
-    )
+#: A rewrite of a request: host, model and the effort set so far to the effort after it; null is unset.
+Rewrite = Callable[[Column, Column, Column], Column]
+
+# Hosts, and the models whose effort is set.
+REWRITES: list[Rewrite] = [
+    lambda host, model, effort: F.when((host == "api.openai.com") & ~model.rlike("\\bgpt-(3|4)"), F.when(model.rlike("\\bgpt-5\\b\\z"), "minimal").otherwise("none")).otherwise(effort),
+    lambda host, model, effort: F.when((host == "api.deepseek.com") & model.rlike("\\bdeepseek-v4\\b"), "low").otherwise(effort),
+    lambda host, model, effort: F.when((host == "generativelanguage.googleapis.com") & model.rlike("\\bgemini-(2\\.5|3)"), "low").otherwise(effort),
+]
+
+
+def reasoning_effort(endpoint: Column, model: Column, rewrites: list[Rewrite] | None = None) -> Column:
+    """What a request's reasoning effort is set to after all rewrites, in order; a user may append to the list."""
+    effort = F.lit(None).cast("string")
+    for rewrite in REWRITES if rewrites is None else rewrites:
+        effort = rewrite(url_host(endpoint), model, effort)
+    return effort
 
 
 def request_body(model: Column, system: Column, user: Column, effort: Column) -> Column:
@@ -200,9 +229,27 @@ def session_expiry(now: Column, seconds: Column) -> Column:
     return now + F.make_dt_interval(secs=F.least(F.coalesce(seconds, F.lit(3600)), F.lit(3600)) - 60)
 
 
+# A sentence.
 SENTENCE = "[^.!?。！？]*[.!?。！？]+[\"')\\]]*[\\s\\x0B\\p{Z}\\x{FEFF}]*|[^.!?。！？]+\\z"
 
 
+def to_iso(ts: Column) -> Column:
+    """A time as ISO 8601 text in UTC with milliseconds."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def from_iso(c: Column) -> Column:
+    """Its time; the epoch if there is none."""
+    return F.coalesce(F.try_to_timestamp(c), F.timestamp_seconds(F.lit(0)))
+
+
+def is_stale_clone(clone: Column, source: Column) -> Column:
+    """Whether a part cut from an earlier text is out of date: it is empty, or its beginning stands in the new text."""
+    probe = utrim(clone)
+    head = F.substring(probe, 1, config.CLONE_CHARS)
+    return (probe == "") | F.when(F.length(head) < config.CLONE_LEAST, F.contains(source, probe)).otherwise(F.contains(source, head))
+
+
 def sentences(c: Column) -> Column:
     """Runs up to closing marks with what closes them and white space; the rest."""
     return F.regexp_extract_all(c, F.lit(SENTENCE), F.lit(0))

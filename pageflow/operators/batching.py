@@ -1,11 +1,14 @@
 """Ordered folds: greedy batches, packed groups and long texts cut at sentences.
 
-A fold with resets is no plain window. Rows of a key are folded in order in one Arrow group; when keys are few and
-large, give a finer key (a page, a conversation), which bounds a group and keeps its batches independent of others.
+A fold with resets is no plain window. Rows of a key are sorted and folded in order as they stream through one task, with
+a small state carried on; a finer key (a page, a conversation) keeps batches independent of others and spreads the work.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,26 +26,48 @@ def fixed_batches(rows: DataFrame, key: list[str], order: list[str], size: int)
     return rows.withColumn("batch_id", F.floor((n - 1) / size).cast("int"))
 
 
+def fold_in_order(rows: DataFrame, key: list[str], order: list[str], schema: str | T.StructType, step: Callable[[object, pd.DataFrame], tuple[object, pd.DataFrame]]) -> DataFrame:
+    """An ordered fold over each key: rows are dealt by key, sorted by key and order, and streamed batch by batch.
+
+    step takes the state after the key's rows so far (None at first) and its next rows; it gives the new state and rows.
+    Nothing but one batch and one state is held, so a key of many rows takes time but no memory; sorting spills.
+    """
+    ship(rows.sparkSession)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for pdf in parts:
+            keys = pd.MultiIndex.from_frame(pdf[key].astype(object).where(pdf[key].notna(), None))
+            changed = np.flatnonzero([x != y for x, y in zip(keys, [last, *keys[:-1]])])
+            starts = sorted({0, *changed.tolist()}) if len(pdf) else []
+            for a, b in zip(starts, [*starts[1:], len(pdf)]):
+                if keys[a] != last:
+                    last, state = keys[a], None
+                state, out = step(state, pdf.iloc[a:b])
+                yield out
+
+    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
+
+
 def greedy_batches(rows: DataFrame, key: list[str], order: list[str], size: int | None, chars: int | None, cost: Column) -> DataFrame:
     """rows with batch_id: a batch closes before a row that would exceed ``chars`` and after its ``size``-th row.
 
     A row dearer than ``chars`` travels alone; a sum equal to it fits. A null cost counts as 0.
     """
-    ship(rows.sparkSession)
     costed = rows.withColumn("_cost", F.coalesce(cost, F.lit(0)).cast("long"))
     schema = T.StructType([*rows.schema.fields, T.StructField("batch_id", T.IntegerType())])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        ids, batch, held, total = [], 0, 0, 0
-        for c in pdf.pop("_cost").tolist():
+    def fold(state, pdf: pd.DataFrame):
+        batch, held, total = state or (0, 0, 0)
+        ids = []
+        for c in pdf["_cost"].tolist():
             if held and (chars is not None and total + c > chars or size is not None and held >= size):
                 batch, held, total = batch + 1, 0, 0
             ids.append(batch)
             held, total = held + 1, total + c
-        return pdf.assign(batch_id=pd.Series(ids, index=pdf.index, dtype="int32"))
+        return (batch, held, total), pdf.drop(columns="_cost").assign(batch_id=np.array(ids, np.int32))
 
-    return costed.groupBy(*key).applyInPandas(fold, schema)
+    return fold_in_order(costed, key, order, schema, fold)
 
 
 def packed_groups(rows: DataFrame, key: list[str], order: list[str], text: str, limit: int = REQUEST_CHARS) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pageflow.config import CACHE_DAYS, CACHE_ENTRIES
 
@@ -52,8 +51,3 @@ def hit_counts(looked_up: DataFrame) -> DataFrame:
     hit = F.col("translated").isNotNull()
     return looked_up.agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"))
 
-
-def newest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by an order."""
-    by = Window.partitionBy(*key).orderBy(*(F.desc(o) for o in order))
-    return rows.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")

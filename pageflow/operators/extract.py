@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageflow.functions.html import Node, compile_selector, matches, parse
-from pageflow.session import ship
+from pageflow.functions.html import Node, compile_selector, matches, parse, valid_selector
+from pageflow.session import portions, ship
 
 # How tags are treated.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i input ins kbd label mark nobr q rp rt ruby s samp small span strong sub sup tt u var wbr img".split())
@@ -44,7 +44,7 @@ BLANK_LINE = re.compile(f"\n[{WHITE.replace(chr(10), '')}]*\n")
 SEPARATOR = re.compile(f"([{WHITE}]*\n[{WHITE.replace(chr(10), '')}]*\n[{WHITE}]*)")
 SHORT = re.compile(r"[a-zA-Z0-9]{1,2}")
 
-SCHEMA = "page_id long, block_ord int, tag string, node_path string, text string, synthetic boolean, target_path string, tail_block boolean"
+SCHEMA = "page_id long, block_ord int, tag string, node_path string, text string, synthetic boolean, target_path string, tail_block boolean, before_path string"
 
 
 def is_white(n: Node) -> bool:
@@ -52,7 +52,7 @@ def is_white(n: Node) -> bool:
 
 
 class Walk:
-    """The blocks of one page, as (tag, path, text, synthetic, target path, whether a block ends the target)."""
+    """The blocks of one page, as (tag, path, text, synthetic, target path, whether a block ends the target, what the result goes before)."""
 
     def __init__(self, root: Node, skip: list[str], include: list[str]):
         self.root, self.blocks, self.facts = root, [], {}
@@ -196,6 +196,18 @@ class Walk:
         last = next((k for k in reversed(n.kids) if k.tag == "#text" and k.text.strip(WHITE) or k.is_element and self.all_text(k).strip(WHITE)), None)
         return last is not None and last.is_element and not self.inline(last)
 
+    def before(self, n: Node) -> str | None:
+        """The first of the nodes without text at the end, before which a result goes; none: at the end."""
+        ref = None
+        for i in range(len(n.kids) - 1, -1, -1):
+            k = n.kids[i]
+            if k.is_element and RESULT_CLASS in k.attrs.get("class", "").split():
+                continue
+            if self.all_text(k).strip(WHITE):
+                break
+            ref = k.path or f"{n.path}#{i}"
+        return ref
+
     # --- the walk
     def add(self, nodes: list[Node], at: Node, synthetic: bool) -> bool:
         text = self.text_of(nodes).strip(WHITE)
@@ -203,7 +215,7 @@ class Walk:
             return False
         target = at if synthetic else self.target(at)
         path = f"{at.path}#{next((i for i, k in enumerate(at.kids) if k is nodes[0]), 0)}" if synthetic else at.path
-        self.blocks.append(("font" if synthetic else at.tag, path, text, synthetic, target.path, self.ends_in_block(target)))
+        self.blocks.append(("font" if synthetic else at.tag, path, text, synthetic, target.path, self.ends_in_block(target), self.before(target)))
         return True
 
     def extract(self, n: Node) -> bool:
@@ -317,31 +329,31 @@ def blocks_of(html: str | None, skip: list[str] | None = None, include: list[str
     return Walk(parse(html), skip or [], include or []).blocks
 
 
-def valid_selectors(selectors: list[str]) -> list[str]:
-    """What a rule's selectors can be compiled to; others are left out when rules are loaded."""
-    out = []
-    for s in selectors:
-        try:
-            compile_selector(s)
-            out.append(s)
-        except ValueError:
-            pass
-    return out
+#: Bytes of pages whose blocks are held at once, about.
+PORTION = 4_000_000
+
+
+def valid(selectors: list[str] | None) -> list[str]:
+    """Selectors that can be compiled; loaded rules have no others."""
+    return [s for s in selectors or [] if valid_selector(s)]
 
 
 def extract_blocks(pages: DataFrame) -> DataFrame:
     """page_id, html and optionally skip and include (arrays of selectors) to one row per block. One pass, no shuffle.
 
-    Null and empty pages have no blocks; null ids and repeated rows are pages of their own.
+    Null and empty pages have no blocks; null ids and repeated rows are pages of their own. Memory: the blocks of about PORTION
+    bytes of pages, one page at least.
     """
     ship(pages.sparkSession)
     arrays = [F.col(c) if c in pages.columns else F.array().cast("array<string>").alias(c) for c in ("skip", "include")]
 
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.bool_(), pa.string()]
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, n, *block) for i, html, s, x in zip(*(b.column(c).to_pylist() for c in ("page_id", "html", "skip", "include"))) for n, block in enumerate(blocks_of(html, valid_selectors(s or []), valid_selectors(x or [])))]
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.bool_()]
-            names = ["page_id", "block_ord", "tag", "node_path", "text", "synthetic", "target_path", "tail_block"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
+            for part in portions(b, "html", PORTION):
+                rows = [(i, n, *block) for i, html, s, x in zip(*(part.column(c).to_pylist() for c in ("page_id", "html", "skip", "include"))) for n, block in enumerate(blocks_of(html, valid(s), valid(x)))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "html", *arrays).mapInArrow(run, SCHEMA)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageflow.session import ship
+from pageflow.session import materialise, ship
+from pageflow.functions.html import valid_selector
 from pageflow.sources.rules import is_regex, valid_pattern
 from pageflow.sources.suffixes import entity_of, split_hosts
 
@@ -15,7 +16,10 @@ BROADCAST_RULES = 50_000
 
 
 def parse_patterns(rules: DataFrame) -> DataFrame:
-    """rules with p_entity, p_subdomain (`*`: any), p_suffix (null: any) and valid_path. Patterns without a site go."""
+    """rules with p_entity, p_subdomain (`*`: any), p_suffix (null: any), valid_path and valid_selector. Patterns without a site go.
+
+    Rules whose selector cannot be compiled are marked here (``where("not valid_selector")`` tells them); they match no element.
+    """
     ship(rules.sparkSession)
     d = F.col("domain")
     any_sub, any_suffix = d.startswith("*."), d.endswith(".*")
@@ -25,7 +29,7 @@ def parse_patterns(rules: DataFrame) -> DataFrame:
     entity = F.when(F.col("_head").isNotNull(), entity_of(F.col("_head"))).otherwise(F.col("entity"))
     before = F.regexp_extract("_head", "^(.*)\\.[^.]*\\z", 1)
     subdomain = F.when(any_sub, "*").when(F.col("_head").isNotNull(), before).otherwise(F.col("subdomain"))
-    out = split.select(*rules.columns, entity.alias("p_entity"), subdomain.alias("p_subdomain"), F.when(~any_suffix, F.col("suffix")).alias("p_suffix"), F.udf(valid_pattern, "boolean")(F.col("path_pattern")).alias("valid_path"))
+    out = split.select(*rules.columns, entity.alias("p_entity"), subdomain.alias("p_subdomain"), F.when(~any_suffix, F.col("suffix")).alias("p_suffix"), F.udf(valid_pattern, "boolean")(F.col("path_pattern")).alias("valid_path"), F.udf(valid_selector, "boolean")(F.col("selector")).alias("valid_selector"))
     return out.where(F.coalesce(F.col("p_entity") != "", F.lit(False)))
 
 
@@ -39,11 +43,9 @@ def path_matches(pattern: Column, path: Column, valid: Column) -> Column:
 
 
 def loaded(rules: DataFrame) -> DataFrame:
-    """Parsed rules as a table of their own: they are configuration, read once, and their number is known then."""
-    parsed = parse_patterns(rules)
-    rows = parsed.collect()
-    table = rules.sparkSession.createDataFrame(rows, parsed.schema)
-    return F.broadcast(table) if len(rows) <= BROADCAST_RULES else table
+    """Parsed rules as a written table: they are configuration, parsed once, and their number is known then."""
+    table = materialise(parse_patterns(rules), "rules")
+    return F.broadcast(table) if table.count() <= BROADCAST_RULES else table
 
 
 def match_hosts(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -65,8 +67,12 @@ def selectors(matched: DataFrame, key: list[str]) -> DataFrame:
     return matched.groupBy(*key).agg(of("exclude").alias("skip"), of("include").alias("include"))
 
 
+def place_selectors(places: DataFrame, rules: DataFrame) -> DataFrame:
+    """host, path, skip, include of the places (host, path) that rules hold for. Each is matched once, however many pages share it."""
+    return selectors(match_paths(match_hosts(places.select("host", "path").distinct(), rules)), ["host", "path"])
+
+
 def page_selectors(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """page_id, skip, include. Each site and path is matched once, however many pages share it."""
-    places = pages.select("host", "path").distinct()
-    found = selectors(match_paths(match_hosts(places, rules)), ["host", "path"])
+    """page_id, skip, include of every row of pages."""
+    found = place_selectors(pages, rules)
     return pages.join(found, ["host", "path"], "left").select("page_id", F.coalesce("skip", F.array().cast("array<string>")).alias("skip"), F.coalesce("include", F.array().cast("array<string>")).alias("include"))

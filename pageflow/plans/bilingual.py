@@ -8,12 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageflow.config import MESSAGE_CHARS
 from pageflow.functions import text as T
+from pageflow.functions.language import other_language
 from pageflow.operators import blocks as B
 from pageflow.operators import cache as C
 from pageflow.operators.extract import extract_blocks
-from pageflow.operators.rules import page_selectors
-from pageflow.session import ship
+from pageflow.operators.rules import place_selectors
+from pageflow.session import materialise, ship
 
 #: A translator: texts and a target language to as many texts.
 Translator = Callable[[list[str], str], list[str]]
@@ -24,10 +26,13 @@ def with_places(pages: DataFrame) -> DataFrame:
 
 
 def page_blocks(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Blocks of pages, with the selectors of the rules that hold for each. PDFs have none; URL-only blocks go."""
+    """Blocks of pages, with the selectors of the rules that hold for each. PDFs have none; URL-only blocks go.
+
+    Selectors depend on host and path alone and are joined by them: each page is extracted once, whatever its id.
+    """
     rows = with_places(pages.where(~T.is_pdf_url(F.col("url"))))
     if rules is not None:
-        rows = rows.join(page_selectors(rows.select("page_id", "host", "path"), rules), "page_id", "left")
+        rows = rows.join(place_selectors(rows.select("host", "path"), rules), ["host", "path"], "left")
     return extract_blocks(rows).where(~T.is_url_only(F.col("text")))
 
 
@@ -49,7 +54,7 @@ def translate_texts(texts: DataFrame, translator: Translator, target_lang: str,
                     errors += [None] * len(some)
                 except Exception as e:  # noqa: BLE001  an error belongs to the rows of its batch
                     out += [None] * len(some)
-                    errors += [str(e)[:200]] * len(some)
+                    errors += [str(e)[:MESSAGE_CHARS]] * len(some)
             yield pd.DataFrame({"source": rows, "translated": out, "error": errors})
 
     return texts.select(source).distinct().mapInPandas(run, "source string, translated string, error string")
@@ -60,23 +65,61 @@ def echo_translator(texts: list[str], target_lang: str) -> list[str]:
     return [f"[{target_lang}] {t}" for t in texts]
 
 
-def bilingual(pages: DataFrame, target_lang: str, rules: DataFrame | None = None, cache: DataFrame | None = None, as_of: Column | None = None, translator: Translator | None = None) -> DataFrame:
+#: Adds ``detected``, the language of each row's text, to rows with text.
+Detector = Callable[[DataFrame], DataFrame]
+
+
+def _answered(found: DataFrame, target_lang: str, cache: DataFrame | None, as_of: Column | None, translator: Translator | None) -> tuple[DataFrame, DataFrame]:
+    """Blocks with translated and error, and the new translations (source, translated, error), both written.
+
+    Blocks are extracted once and written; texts are joined by a hash, and compared.
+    """
+    found = materialise(found, "blocks")
+    asked = found.select(F.lit(target_lang).alias("target_lang"), F.col("text").alias("source"))
+    work = asked if cache is None else C.misses(asked, cache, as_of)
+    new = materialise(translate_texts(work, translator or echo_translator, target_lang), "translations")
+    known = new
+    if cache is not None:
+        live = C.lookup(asked.distinct(), cache, as_of).where("translated is not null")
+        known = new.unionByName(live.select("source", "translated", F.lit(None).cast("string").alias("error")))
+    keyed = known.withColumn("key", F.xxhash64("source"))
+    on = (F.xxhash64(found["text"]) == keyed["key"]) & (found["text"] == keyed["source"])
+    return found.join(keyed, on, "left").drop("source", "key"), new
+
+
+def _wanted(pages: DataFrame, target_lang: str, rules: DataFrame | None, detector: Detector | None) -> DataFrame:
+    """Blocks that are not yet in the target language; those of unknown language stay."""
+    found = page_blocks(pages, rules)
+    return found if detector is None else other_language(detector(found), F.lit(target_lang)).select(found.columns)
+
+
+def bilingual(pages: DataFrame, target_lang: str, rules: DataFrame | None = None, cache: DataFrame | None = None, as_of: Column | None = None, translator: Translator | None = None, detector: Detector | None = None) -> DataFrame:
     """page_id, block_ord, source, translated, status, layout.
 
     Each distinct text is translated once, however often it occurs. Without a translator of its own the echo is a
-    column expression in the same stage as the extraction, and nothing is shuffled at all.
+    column expression in the same stage as the extraction, and nothing is shuffled at all. Blocks of a failed batch have
+    the status error. With a detector, blocks that are in the target language have no row.
     """
-    found = page_blocks(pages, rules)
+    found = _wanted(pages, target_lang, rules, detector)
     if translator is None and cache is None:
         return B.apply_results(found.withColumn("translated", T.echo()(F.col("text"), F.lit(target_lang))))
-    asked = found.select(F.lit(target_lang).alias("target_lang"), F.col("text").alias("source"))
-    if cache is not None:
-        work, live = C.misses(asked, cache, as_of), C.lookup(asked.distinct(), cache, as_of).where("translated is not null").select("source", "translated")
-    else:
-        work, live = asked, None
-    new = translate_texts(work, translator or echo_translator, target_lang).select("source", "translated")
-    known = new if live is None else new.unionByName(live)
-    return B.apply_results(found.join(known.withColumnRenamed("source", "text"), "text", "left"))
+    return B.apply_results(_answered(found, target_lang, cache, as_of, translator)[0])
+
+
+def bilingual_and_cache(pages: DataFrame, target_lang: str, cache: DataFrame, as_of: Column, rules: DataFrame | None = None, translator: Translator | None = None, detector: Detector | None = None) -> tuple[DataFrame, DataFrame]:
+    """The bilingual table, and the cache after it: new translations that are worth keeping are upserted, then it is evicted."""
+    rows, new = _answered(_wanted(pages, target_lang, rules, detector), target_lang, cache, as_of, translator)
+    return B.apply_results(rows), C.evict(C.upsert(cache, cacheable(new, target_lang, as_of)), as_of)
+
+
+def retry_errors(table: DataFrame, translator: Translator, target_lang: str) -> DataFrame:
+    """A bilingual table whose rows with the status error have all been sent again; the others stay as they are."""
+    failed = F.col("status") == "error"
+    again = translate_texts(table.where(failed).select("source"), translator, target_lang)
+    again = again.select(F.col("source").alias("asked"), F.col("translated").alias("got"), F.col("error").alias("failed_again"))
+    joined = table.join(again, failed & (F.col("source") == F.col("asked")), "left")
+    status = F.when(failed, T.result_status(F.col("source"), F.col("got"), F.col("failed_again"))).otherwise(F.col("status"))
+    return joined.select("page_id", "block_ord", "source", F.when(failed, F.col("got")).otherwise(F.col("translated")).alias("translated"), status.alias("status"), "layout")
 
 
 def cacheable(translated: DataFrame, target_lang: str, now: Column) -> DataFrame:

@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: dict[str, str] = {}
@@ -50,3 +53,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def portions(batch: pa.RecordBatch, text: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch in slices of about ``size`` bytes of a text column, one row at least: what a task holds is bounded by bytes, not rows."""
+    start = total = 0
+    for i, n in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
+        if i > start and total + (n or 0) > size:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n or 0
+    if batch.num_rows > start:
+        yield batch.slice(start)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,13 +62,22 @@ def effective_rules(stored: DataFrame | None, built_in: DataFrame) -> DataFrame:
     return stored if stored is not None and not stored.isEmpty() else built_in
 
 
-def refresh_rules(spark: SparkSession, candidate: str, kept: DataFrame) -> DataFrame:
-    """Rules of a candidate file; a file that can't be read or holds no rule leaves the kept ones."""
+def refresh_rules(spark: SparkSession, candidate: str, kept: DataFrame, due: bool = True, forced: bool = False) -> DataFrame:
+    """Rules of a candidate file. A file that can't be read or holds no rule leaves the kept ones; if forced, it is an error.
+
+    ``due`` tells whether the kept ones are old enough to be read again (refresh_due); forced reads in any case.
+    """
+    if not due and not forced:
+        return kept
     try:
         lines = spark.read.text(candidate, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
         found = parse_rules(lines)
-        return found if not found.isEmpty() else kept
-    except Exception:  # noqa: BLE001  any failure of a refresh keeps what is there
+        if found.isEmpty():
+            raise ValueError("the file holds no rule")
+        return found
+    except (AnalysisException, PySparkException, ValueError):
+        if forced:
+            raise
         return kept
 
 

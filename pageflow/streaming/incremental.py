@@ -7,12 +7,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from pageflow.config import RULE_HOURS
+from pageflow.functions.text import is_pdf_url, utf16_length, utrim
+from pageflow.operators.batching import fold_in_order
+from pageflow.operators.extract import RESULT_CLASS
 from pageflow.session import ship
 
 
@@ -33,26 +39,24 @@ def first_anchored(events: DataFrame, key: list[str], window_ms: int, size: int
 
     The windows are unaligned and not extended. Batch form: one ordered fold for each key.
     """
-    ship(events.sparkSession)
-    from pyspark.sql import types as T
-
     schema = T.StructType([*events.schema.fields, T.StructField("batch_id", T.IntegerType())])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, order], kind="stable")
-        ids, batch, opened, held = [], -1, None, 0
-        for t in pdf[ts].astype("int64").tolist() if pdf[ts].dtype.kind != "M" else pdf[ts].astype("datetime64[us]").astype("int64").tolist():
+    def fold(state, pdf: pd.DataFrame):
+        batch, opened, held = state or (-1, None, 0)
+        times, ids = pdf[ts], []
+        for t in (times if times.dtype.kind != "M" else times.astype("datetime64[us]")).astype("int64").tolist():
             if opened is None or t - opened >= window_ms * 1000 or size is not None and held >= size:
                 batch, opened, held = batch + 1, t, 0
             ids.append(batch)
             held += 1
-        return pdf.assign(batch_id=pd.Series(ids, index=pdf.index, dtype="int32"))
+        return (batch, opened, held), pdf.assign(batch_id=np.array(ids, np.int32))
 
-    return events.groupBy(*key).applyInPandas(fold, schema)
+    return fold_in_order(events, key, [ts, order], schema, fold)
 
 
-def stream_batches(requests: DataFrame, size: int, window_ms: int) -> DataFrame:
-    """Streaming batches of requests (lang, seq, text): a batch leaves when it has ``size`` texts or window_ms after its first."""
+def stream_batches(requests: DataFrame, size: int, window_ms: int, chars: int | None = None) -> DataFrame:
+    """Streaming batches of requests (lang, seq, text): a batch leaves when it has ``size`` texts, before a text with which it
+    would have over ``chars`` UTF-16 units, or window_ms after its first. The batch twin is greedy_batches."""
     ship(requests.sparkSession)
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -60,6 +64,7 @@ def stream_batches(requests: DataFrame, size: int, window_ms: int) -> DataFrame:
         texts = list(state.get[1]) if state.exists else []
         number = state.get[2] if state.exists else 0
         out: list[tuple] = []
+        units = lambda t: len((t or "").encode("utf-16-le", "surrogatepass")) // 2
 
         def leave() -> None:
             nonlocal held, texts, number
@@ -70,7 +75,11 @@ def stream_batches(requests: DataFrame, size: int, window_ms: int) -> DataFrame:
             leave()
         else:
             rows = pd.concat(list(pdfs)).sort_values("seq")
+            total = sum(map(units, texts))
             for s, t in zip(rows["seq"].tolist(), rows["text"].tolist()):
+                if held and chars is not None and total + units(t) > chars:
+                    leave()
+                total = units(t) + (total if held else 0)
                 held.append(s)
                 texts.append(t)
                 if len(held) >= size:
@@ -84,12 +93,43 @@ def stream_batches(requests: DataFrame, size: int, window_ms: int) -> DataFrame:
 
 
 def tab_states(events: DataFrame, starts: list[str], stops: list[str]) -> DataFrame:
-    """user_id, active, since, n: the state of each tab after its last event that starts or stops it."""
+    """user_id, active, since, n: the state of each tab after its last event that starts or stops it.
+
+    A reload, a PDF and the tab's end stop it like the user does: give their event types as stops.
+    """
     e = events.where(F.col("event_type").isin([*starts, *stops]))
     last = F.max_by(F.struct("event_type", "ts"), F.struct("ts", "event_id"))
     return e.groupBy("user_id").agg(last.alias("l"), F.count("*").alias("n")).select("user_id", F.col("l.event_type").isin(starts).alias("active"), F.col("l.ts").alias("since"), "n")
 
 
+def navigation_stops(navigations: DataFrame) -> DataFrame:
+    """Navigations (user_id, event_id, ts, url, kind) as events of tabs: ``reload`` and ``pdf`` stop a tab, ``open`` leaves it as it is."""
+    kind = F.when(F.col("kind") == "close", "close").when(F.col("kind") == "reload", "reload").when(is_pdf_url(F.col("url")), "pdf").otherwise("open")
+    return navigations.select("user_id", "event_id", "ts", kind.alias("event_type"))
+
+
+def delayed(events: DataFrame, ms: int, ts: str = "ts") -> DataFrame:
+    """events with fire_ts: each takes effect ms later."""
+    return events.withColumn("fire_ts", F.col(ts) + F.make_dt_interval(secs=F.lit(ms / 1000)))
+
+
+def mutations(records: DataFrame, result_class: str = RESULT_CLASS) -> tuple[DataFrame, DataFrame]:
+    """Mutation records (page_id, node_path, kind, under, classes, ...) as nodes to check again and added nodes to extract.
+
+    ``under`` is the path of the processed node that the record's target stands in, or null. Records of results are no
+    mutations of the page.
+    """
+    own = F.array_contains(F.split(F.coalesce("classes", F.lit("")), "\\s+"), result_class)
+    rows = records.where(~own)
+    again = rows.where("under is not null").select("page_id", F.col("under").alias("node_path")).distinct()
+    return again, rows.where("kind = 'added' and under is null")
+
+
+def refresh_due(last: Column, now: Column, hours: int = RULE_HOURS) -> Column:
+    """Whether rules that were read at ``last`` (null: never) are to be read again."""
+    return F.coalesce(now - F.make_dt_interval(hours=F.lit(hours)) >= last, F.lit(True))
+
+
 def scroll_direction(events: DataFrame, key: str, up: str, down: str, latch_ms: int = 200) -> DataFrame:
     """Down events that count: later than latch_ms after the last up event of the key. Up events always do."""
     by = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -100,8 +140,6 @@ def scroll_direction(events: DataFrame, key: str, up: str, down: str, latch_ms:
 
 def late_content(added: DataFrame) -> DataFrame:
     """Added nodes without a block that call for another scan: more than 20 characters of text, no loader, script or style."""
-    from pageflow.functions.text import utf16_length, utrim
-
     return added.where((F.col("n_blocks") == 0) & (utf16_length(utrim(F.col("text"))) > 20) & ~F.col("tag").isin("script", "style", "link", "noscript") & ~F.coalesce(F.col("is_loader"), F.lit(False)))
 
 

@@ -88,6 +88,10 @@ def test_rule_sources(spark, tmp_path):
     assert rules.refresh_rules(spark, str(tmp_path / "none.txt"), kept) is kept
     (tmp_path / "e.txt").write_text("! nothing\n")
     assert rules.refresh_rules(spark, str(tmp_path / "e.txt"), kept) is kept
+    assert rules.refresh_rules(spark, str(tmp_path / "r.txt"), kept, due=False) is kept
+    assert rules.refresh_rules(spark, str(tmp_path / "r.txt"), kept, due=False, forced=True).count() == 1
+    with pytest.raises(ValueError):
+        rules.refresh_rules(spark, str(tmp_path / "e.txt"), kept, forced=True)
 
 
 def test_suffix_list():
@@ -148,6 +152,79 @@ def test_translator_errors(spark):
     assert got == {"a": ("A", False), "b": ("B", False), "boom": (None, True)}
 
 
+def _pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+
+
+def test_pages_with_repeated_and_missing_ids(spark):
+    """Rules are joined by host and path: a page's row is extracted once, whatever its id."""
+    html = "<p>a plain paragraph</p><div class=ad>an ad to skip</div>"
+    rows = [(1, "http://x.test/a", html), (1, "http://x.test/b", html), (None, "http://x.test/a", html), (1, "http://other.test/", html)]
+    rule = rules.parse_rules(rules.rule_lines(spark, "x.test##.ad\nx.test##p:nth-child(2)"))
+    got = sorted((r["page_id"] or 0, r["source"]) for r in bilingual.bilingual(_pages(spark, rows), "fr", rule).collect())
+    assert got == [(0, "a plain paragraph")] + [(1, "a plain paragraph")] * 3 + [(1, "an ad to skip")]
+    parsed = rule_ops.parse_patterns(rule)
+    assert [r["selector"] for r in parsed.where("not valid_selector").collect()] == ["p:nth-child(2)"]
+
+
+def test_errors_language_and_cache(spark):
+    def picky(texts, lang):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("503 " + "x" * 300)
+        return [t.upper() if "same" not in t else t for t in texts]
+
+    now = F.lit("2024-01-01").cast("timestamp")
+    empty = spark.createDataFrame([], "target_lang string, source string, translated string, ts timestamp")
+    pages = _pages(spark, [(1, "http://x.test/", "<p>good text<p>bad text<p>same text<p>texte en français"), (2, "http://x.test/", "<p>good text")])
+    in_french = lambda rows: rows.withColumn("detected", F.when(F.col("text").contains("français"), "fr").otherwise(""))
+    one_by_one = lambda texts, lang: [picky([t], lang)[0] for t in texts]
+    table, after = bilingual.bilingual_and_cache(pages, "fr", empty, now, translator=one_by_one, detector=in_french)
+    rows = {(r["page_id"], r["source"]): (r["translated"], r["status"]) for r in table.collect()}
+    # a failed batch fails all that wait for it
+    assert set(rows) == {(1, "good text"), (1, "bad text"), (1, "same text"), (2, "good text")}
+    assert rows[1, "bad text"] == (None, "error")
+    again = {r["source"]: (r["translated"], r["status"]) for r in bilingual.retry_errors(table, bilingual.echo_translator, "fr").collect()}
+    assert again["bad text"] == ("[fr] bad text", "done") and "error" not in {s for _, s in again.values()}
+    done = {s for (_, s), (_, status) in rows.items() if status == "done"}
+    assert {r["source"] for r in after.collect()} == done
+    known = spark.createDataFrame([("fr", "good text", "bon texte", datetime.datetime(2024, 1, 1))], empty.schema)
+    kept = {r["source"]: r["translated"] for r in bilingual.bilingual(pages, "fr", cache=known, as_of=now, detector=in_french).collect()}
+    assert kept["good text"] == "bon texte" and kept["same text"] == "[fr] same text"
+
+
+def test_no_translator_needs_no_shuffle(spark):
+    plan = bilingual.bilingual(_pages(spark, [(1, "http://x.test/", "<p>some text")]).coalesce(1), "fr")._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("MapInArrow") == 1
+
+
+def test_fold_in_order_carries_state(spark):
+    rows = spark.range(5000).selectExpr("id % 3 as k", "id as i", "1 as n").union(spark.sql("select cast(null as bigint), 1L, 1"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    got = batching.greedy_batches(rows, ["k"], ["i"], 7, None, F.col("n")).toPandas()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k, g in got.groupby("k"):
+        assert g.sort_values("i")["batch_id"].tolist() == [j // 7 for j in range(len(g))]
+    assert got["k"].isna().sum() == 1
+
+
+def test_too_many_languages(spark, monkeypatch):
+    from pageflow.functions import language
+
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    rows = spark.createDataFrame([(x, f"words of {x}", i % 2) for i, x in enumerate("abcabc")], "lang string, text string, fold int")
+    with pytest.raises(ValueError, match="languages"):
+        language.profiles(rows, [0, 1])
+
+
+def test_where_results_go(spark):
+    from pageflow.operators.extract import blocks_of
+
+    (block,) = blocks_of("<div><p><span>some text</span></p></div>")
+    assert block[4].startswith(block[1]) and block[4].count("/") == block[1].count("/") + 1
+    before = [b[6] for b in blocks_of("<p>some text<img src=x> <br></p><p>more <b>text</b></p>")]
+    assert before[0] is not None and before[1] is None
+
+
 def test_streaming_newest_text(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", F.col("event_id").alias("version"), F.col("props").alias("text"))
     events.repartition(3).write.parquet(str(tmp_path / "in"))
@@ -168,6 +245,18 @@ def test_streaming_batches(spark, tmp_path):
     assert got == {("de", i): i // 3 for i in range(6)}  # what is held waits for its timer
 
 
+def test_streaming_batches_by_characters(spark, tmp_path):
+    texts = ["a" * 5, "b" * 5, "c", "d" * 20, "e" * 3, "😀" * 4, "f" * 3]
+    rows = spark.createDataFrame([("de", i, t) for i, t in enumerate(texts)], "lang string, seq long, text string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = incremental.stream_batches(stream, 100, 3_600_000, chars=10).writeStream.outputMode("append").format("memory").queryName("by_chars").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(120)
+    got = {r["seq"]: r["batch_id"] for r in spark.table("by_chars").collect()}
+    twin = {r["seq"]: r["batch_id"] for r in batching.greedy_batches(rows, ["lang"], ["seq"], 100, 10, T.utf16_length(F.col("text"))).collect()}
+    assert got == {k: v for k, v in twin.items() if v < max(twin.values())} and len(set(twin.values())) == 6
+
+
 def test_first_anchored(spark):
     t0 = pd.Timestamp("2024-01-01")
     rows = spark.createDataFrame(pd.DataFrame({"k": 1, "event_id": range(6), "ts": [t0 + pd.Timedelta(milliseconds=m) for m in (0, 30, 49, 50, 60, 200)]}))
