@@ -43,24 +43,25 @@ class SumOfSquares:
         self.window, self.next = window, first_sequence
         self.grain = max(1, window // levels)
         top = (window - 1) // self.grain
-        self.count = np.zeros(top + 1, np.int64)  # the level array: open windows by fill
-        self.fill = np.zeros(top + 1, np.int64)  # of the window of each level that is next in turn
+        self.count = [0] * (top + 1)  # the level array: open windows by fill
+        self.fill = [0] * (top + 1)  # of the window of each level that is next in turn
         self.open: list[list[tuple[int, list[Piece]]]] = [[] for _ in range(top + 1)]
         self.placed = self.moved = 0  # ids packed; of these, moved at the end
 
     def choose(self, size: int, may_open: bool = True) -> int:
         """The fill level to add to; -1: a new window. None fits and none may be opened: -2."""
-        after = self.fill + size
-        fits = (self.count > 0) & (after <= self.window)
-        to = np.minimum(after, self.window - 1) // self.grain
-        own = np.arange(len(to))
-        growth = np.where(to == own, 0, 2 * (self.count[to] - self.count) + 2)
-        growth = np.where(after == self.window, 1 - 2 * self.count, growth)  # the window leaves the array
-        growth[~fits] = np.iinfo(np.int64).max
-        best = len(growth) - 1 - int(np.argmin(growth[::-1]))  # of equals, the fullest
-        if may_open and (not fits[best] or 2 * self.count[size // self.grain] + 1 < growth[best]):
-            return -1
-        return best if fits[best] else -2
+        w, grain, count, fill = self.window, self.grain, self.count, self.fill
+        best, least = (-1, 2 * count[size // grain] + 1) if may_open else (-2, float("inf"))
+        for level, n in enumerate(count):
+            if n and (after := fill[level] + size) <= w:
+                to = after // grain
+                if after == w:
+                    growth = 1 - 2 * n  # the window leaves the array
+                else:
+                    growth = 2 * (count[to] - n) + 2 if to != level else 0
+                if growth <= least:  # of equals, the fullest
+                    best, least = level, growth
+        return best
 
     def _take(self, level: int) -> tuple[int, list[Piece]]:
         fill, pieces = self.open[level].pop()
@@ -95,7 +96,7 @@ class SumOfSquares:
         while len(piece[2]):
             level = self.choose(len(piece[2]), may_open)
             if level == -2:  # only at the end: it is longer than the room of any window, so the emptiest takes its head
-                piece, out = self._top_up(piece, int(np.flatnonzero(self.count)[0]))
+                piece, out = self._top_up(piece, next(k for k, n in enumerate(self.count) if n))
                 yield from out
                 continue
             fill, pieces = self._take(level) if level >= 0 else (0, [])
@@ -124,14 +125,14 @@ class SumOfSquares:
         stay = sum(f for f, _ in left) // w
         for level in self.open:
             level.clear()
-        self.count[:] = self.fill[:] = 0
+        self.count, self.fill = [0] * len(self.count), [0] * len(self.fill)
         for fill, pieces in left[:stay]:
             yield from self._put(fill, pieces)
         pieces = sorted((p for _, ps in left[stay:] for p in ps), key=lambda p: -len(p[2]))
         self.moved += sum(len(p[2]) for p in pieces)
         rest: list[Piece] = []
         for piece in pieces:
-            if not self.count.any():
+            if not any(self.count):
                 rest.append(piece)
                 continue
             room = sum((w - fill) for level in self.open for fill, _ in level)
