@@ -1,9 +1,10 @@
 """Operator 1: exact top-k search by inner product with dual cover trees.
 
 Vectors become integers, floor(scale * x). A cover tree over a bounded sample (at most SAMPLE vectors) gives at most
-CELLS centres; every vector goes to its nearest centre, and a cell of many vectors is cut into chunks by a hash of the
-id, so that no task holds more than about CHUNK of them. In each chunk a cover tree is built and stored with its vectors.
-Queries are grouped in the same way, with trees of their own.
+CELLS centres, or more for many vectors; every vector goes to its nearest centre, and a cell of many vectors is cut into
+chunks by a hash of the id, so that no task holds more than about CHUNK of them. In each chunk a cover tree is built and
+stored with its vectors as a file of the shared folder. Queries are grouped in the same way, with trees of their own.
+What is shuffled between groups and chunks are names; tasks read the trees they need.
 
 First each query group meets the chunks of its own cell, which gives every query k scores and the group its worst kth.
 A cell whose bound for a group (centres and covering radii, by Cauchy-Schwarz) lies under that worst score is pruned
@@ -23,23 +24,26 @@ given. An empty table gives an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
-
+import io
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from math import isqrt
 
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pageflow.session import materialise, ship
+from pageflow.llm.files import file_size, read_range, write_whole
+from pageflow.session import materialise, shared_dir, ship
 
-#: Rows to find the centres from, centres, rows of a chunk, queries of a group, rows of a tree's leaf, chunks that one task may meet a set of groups with.
-SAMPLE, CELLS, CHUNK, GROUP, LEAF, TOGETHER = 4096, 32, 16_384, 1024, 64, 64
+#: Rows to find the centres from, centres (they grow with the rows, up to the second number), rows of a chunk, queries of a
+#: group, rows of a tree's leaf, groups that one task meets with a chunk.
+SAMPLE, CELLS, MOST_CELLS, CHUNK, GROUP, LEAF, TOGETHER = 4096, 32, 1024, 16_384, 1024, 64, 64
 LARGEST = 1 << 20
 #: Rows of a block of the exact search.
 EXACT = 4096
@@ -95,16 +99,23 @@ class Tree:
             table[i, : len(k)] = k
         return cls(ids[by], rows[by], np.array(first, np.int64), np.array(end, np.int64), np.array(radius), table)
 
-    def pack(self) -> dict[str, bytes | int]:
-        return {"n": len(self.ids), "width": self.rows.shape[1], "ids": self.ids.astype("<i8").tobytes(), "rows": self.rows.astype("<i4").tobytes(), "first": self.first.astype("<i8").tobytes(), "end": self.end.astype("<i8").tobytes(), "radius": self.radius.astype("<f8").tobytes(), "kids": self.kids.astype("<i4").tobytes()}
+    def pack(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, ids=self.ids.astype("<i8"), rows=self.rows.astype("<i4"), first=self.first, end=self.end, radius=self.radius, kids=self.kids)
+        return out.getvalue()
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Tree:
+        x = np.load(io.BytesIO(data))
+        return cls(x["ids"], x["rows"].astype(np.float64), x["first"], x["end"], x["radius"], x["kids"])
 
     @classmethod
-    def unpack(cls, x: dict) -> Tree:
-        first = np.frombuffer(x["first"], "<i8")
-        return cls(np.frombuffer(x["ids"], "<i8"), np.frombuffer(x["rows"], "<i4").reshape(x["n"], x["width"]).astype(np.float64), first, np.frombuffer(x["end"], "<i8"), np.frombuffer(x["radius"], "<f8"), np.frombuffer(x["kids"], "<i4").reshape(len(first), -1))
+    def read(cls, uri: str) -> Tree:
+        return cls.unpack(read_range(uri, 0, file_size(uri)))
 
 
-TREE = "n long, width long, ids binary, rows binary, first binary, end binary, radius binary, kids binary"
+#: A stored tree: its chunk, the greatest distance from the cell's centre, its file, and the radius, centre and ids of its root.
+TREE = "cell int, chunk int, away double, path string, radius double, centre array<double>, ids array<long>"
 
 
 def pair_bound(q: Tree, a: int, r: Tree, b: int) -> float:
@@ -245,38 +256,45 @@ def _dealt(rows: DataFrame, centres: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, v array<int>, cell int")
 
 
-def _trees(dealt: DataFrame, counts: dict[int, int], size: int, width: int, centres: np.ndarray) -> DataFrame:
-    """One tree for each chunk of a cell: cell, chunk, the greatest distance from the cell's centre, the tree."""
+def _trees(dealt: DataFrame, counts: dict[int, int], size: int, width: int, centres: np.ndarray, folder: str, with_ids: bool) -> DataFrame:
+    """One tree for each chunk of a cell, written as a file of the shared folder; its facts as a row."""
     chunks = F.lit([max(1, -(-counts.get(c, 0) // size)) for c in range(len(centres))]).cast("array<int>")
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
         m = _matrix(pdf["v"].to_list(), width)
         away = np.sqrt(((m - centres[key[0]]) ** 2).sum(axis=1)).max()
-        return pd.DataFrame([{"cell": key[0], "chunk": key[1], "away": float(away)} | Tree.build(pdf["vec_id"].to_numpy(np.int64), m).pack()])
+        tree = Tree.build(pdf["vec_id"].to_numpy(np.int64), m)
+        path = f"{folder}/{key[0]}-{key[1]}-{TaskContext.get().taskAttemptId()}.npz"
+        write_whole(path, [tree.pack()])
+        ids = tree.ids.tolist() if with_ids else []
+        return pd.DataFrame([{"cell": key[0], "chunk": key[1], "away": float(away), "path": path, "radius": float(tree.radius[0]), "centre": tree.rows[tree.first[0]].tolist(), "ids": ids}])
 
     keyed = dealt.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.get(chunks, F.col("cell"))).cast("int"))
-    return keyed.groupBy("cell", "chunk").applyInPandas(build, f"cell int, chunk int, away double, {TREE}")
+    return keyed.groupBy("cell", "chunk").applyInPandas(build, TREE)
 
 
-def _meet(pairs: DataFrame, chunks: DataFrame, k: int, parts: int) -> DataFrame:
-    """query_id, vec_id, score of the k best of every query in every chunk it meets; pairs: cell, chunk, part and a query group."""
+def _meet(pairs: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score of the k best of every query in every chunk it meets.
 
-    def run(refs: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
+    pairs: cell, chunk, part, queries and worst, the files of a group's tree and of its worst scores so far (null: none).
+    Rows hold names only. A task reads a chunk's tree once and those of a part of the groups one after another.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")]
-        trees = [Tree.unpack(r) for r in refs.to_dict("records")]
-        for g in groups.to_dict("records"):
-            queries = Tree.unpack(g)
-            worst = np.frombuffer(g["worst"], "<f8")
-            for refs_ in trees:
-                best = Best(len(queries.ids), k, worst)
-                dual_search(queries, refs_, best)
-                q, j = np.nonzero(np.isfinite(best.score) & (best.score >= worst[:, None]))
-                out.append(pd.DataFrame({"query_id": queries.ids[q], "vec_id": best.id[q, j], "score": best.score[q, j].astype(np.int64)}))
+        refs = Tree.read(pdf["path"].iloc[0])
+        for path, told in zip(pdf["queries"], pdf["worst"]):
+            queries = Tree.read(path)
+            worst = np.frombuffer(read_range(told, 0, file_size(told)), "<f8") if isinstance(told, str) else np.full(len(queries.ids), -np.inf)
+            best = Best(len(queries.ids), k, worst)
+            dual_search(queries, refs, best)
+            q, j = np.nonzero(np.isfinite(best.score) & (best.score >= worst[:, None]))
+            out.append(pd.DataFrame({"query_id": queries.ids[q], "vec_id": best.id[q, j], "score": best.score[q, j].astype(np.int64)}))
         return pd.concat(out)
 
-    copies = chunks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return copies.groupBy("cell", "chunk", "part").cogroup(pairs.groupBy("cell", "chunk", "part")).applyInPandas(run, RESULT)
+    named = pairs.join(chunks.select("cell", "chunk", "path"), ["cell", "chunk"])
+    return named.groupBy("cell", "chunk", "part").applyInPandas(run, RESULT)
 
 
 def _best_of(found: DataFrame, k: int) -> DataFrame:
@@ -284,10 +302,14 @@ def _best_of(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for every row that the condition ``queries`` (on id_col) holds for, its k best others."""
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", report: dict[str, int] | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: for every row that the condition ``queries`` (on id_col) holds for, its k best others.
+
+    report, if given, gets the number of pairs of a query group and a chunk, and of those that were not pruned.
+    """
     spark = vectors.sparkSession
     ship(spark)
+    folder = f"{shared_dir(spark)}/op1-{uuid.uuid4().hex}"
     all_rows = materialise(scaled(vectors, scale, id_col, vector_col), "op1-rows")
     all_asked = materialise(scaled(vectors.where(queries), scale, id_col, vector_col), "op1-queries")
     width = all_rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
@@ -303,51 +325,58 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
         exact.append(_exact(all_asked.where(large), all_rows, k, width, asked_total - asked_n, total))
     share = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1_000_000)) * n < SAMPLE * 1_000_000
     sample = _matrix([r.v for r in rows.where(share).select("v").limit(2 * SAMPLE).collect()], width)  # bounded
-    centres = choose_centres(sample[np.lexsort(sample.T)] if width and len(sample) else sample, max(1, min(CELLS, n // 1024)))
+    cells = max(1, min(n // 1024, max(CELLS, n // (2 * CHUNK)), MOST_CELLS))
+    centres = choose_centres(sample[np.lexsort(sample.T)] if width and len(sample) else sample, cells)
     cells, asked_cells = materialise(_dealt(rows, centres), "op1-cells"), materialise(_dealt(asked, centres), "op1-asked")
     count = lambda df: {r["cell"]: r["count"] for r in df.groupBy("cell").count().collect()}  # noqa: E731  a row per cell
     sizes, asked_sizes = count(cells), count(asked_cells)
-    chunks = materialise(_trees(cells, sizes, CHUNK, width, centres), "op1-chunks")
-    groups = materialise(_trees(asked_cells, asked_sizes, GROUP, width, centres), "op1-groups").withColumnsRenamed({"chunk": "group", "away": "group_away"})
+    chunks = materialise(_trees(cells, sizes, CHUNK, width, centres, f"{folder}/chunks", False), "op1-chunks")
+    groups = materialise(_trees(asked_cells, asked_sizes, GROUP, width, centres, f"{folder}/groups", True), "op1-groups").select("cell", F.col("chunk").alias("group"), F.col("path").alias("queries"), "radius", "centre", "ids")
+    # a row, or a number, for each cell
     reach = {r["cell"]: r["away"] for r in chunks.groupBy("cell").agg(F.max("away").alias("away")).collect()}
     in_cell = {c: max(1, -(-m // CHUNK)) for c, m in sizes.items()}
-    parts = max(1, -(-sum(max(1, -(-m // GROUP)) for m in asked_sizes.values()) // TOGETHER))
-
+    many_groups = sum(max(1, -(-m // GROUP)) for m in asked_sizes.values())
+    parts = max(1, -(-many_groups // TOGETHER))
     # the chunks of a group's own cell, or of the nearest that has any
     full = sorted(in_cell)
     home = {c: min(full, key=lambda d: ((centres[c] - centres[d]) ** 2).sum()) for c in range(len(centres))} if full else {}
+    norms = np.sqrt((centres**2).sum(axis=1))
 
     def to_pairs(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
-        names = ["n", "width", "ids", "rows", "first", "end", "radius", "kids"]
         for b in batches:
             out: list[dict] = []
             for g in b.to_pylist():
-                q = Tree.unpack(g)
                 if first:
-                    wanted, worst = [home[g["cell"]]], np.full(len(q.ids), -np.inf)
+                    wanted, told = [home[g["cell"]]], None
                 else:
                     known = dict(zip(g["known_ids"] or [], g["known_worst"] or []))
-                    worst = np.array([known.get(i, -np.inf) for i in q.ids.tolist()])
-                    centre, lowest = q.rows[q.first[0]], worst.min()
-                    bound = {d: float(centre @ centres[d]) + q.radius[0] * float(np.linalg.norm(centres[d])) + reach[d] * float(np.linalg.norm(centre)) + q.radius[0] * reach[d] + 1e-3 for d in full if d != home[g["cell"]]}
-                    wanted = [d for d, x in bound.items() if x >= lowest]
+                    worst = np.array([known.get(i, -np.inf) for i in g["ids"]])
+                    centre, lowest = np.array(g["centre"]), worst.min()
+                    away = np.array([reach[d] for d in full])
+                    bound = centres[full] @ centre + g["radius"] * norms[full] + away * np.linalg.norm(centre) + g["radius"] * away + 1e-3
+                    wanted = [d for d, x in zip(full, bound.tolist()) if x >= lowest and d != home[g["cell"]]]
+                    told = f"{g['queries']}.{TaskContext.get().taskAttemptId()}.worst"
+                    write_whole(told, [worst.astype("<f8").tobytes()])
                 part = (g["cell"] * 7919 + g["group"]) % parts
-                out += [{"cell": d, "chunk": c, "part": part, "worst": worst.astype("<f8").tobytes()} | {x: g[x] for x in names} for d in wanted for c in range(in_cell[d])]
+                out += [{"cell": d, "chunk": c, "part": part, "queries": g["queries"], "worst": told} for d in wanted for c in range(in_cell[d])]
             yield pa.RecordBatch.from_pylist(out, schema=PAIRS)
 
-    schema = f"cell int, chunk int, part int, worst binary, {TREE}"
-    own = _best_of(_meet(groups.mapInArrow(lambda it: to_pairs(it, True), schema), chunks, k, parts), k).select("query_id", "vec_id", "score")
+    schema = "cell int, chunk int, part int, queries string, worst string"
+    own = _best_of(_meet(groups.mapInArrow(lambda it: to_pairs(it, True), schema), chunks, k), k).select("query_id", "vec_id", "score")
     own = materialise(own, "op1-own")
     kth = own.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("have")).where(F.col("have") >= k)
     # the worst known score of each query goes to its group: as many rows as queries, by group
     where = asked_cells.select("vec_id", "cell", F.pmod(F.xxhash64("vec_id"), F.get(F.lit([max(1, -(-asked_sizes.get(c, 0) // GROUP)) for c in range(len(centres))]).cast("array<int>"), F.col("cell"))).cast("int").alias("group"))
     told = where.join(kth, where["vec_id"] == kth["query_id"]).groupBy("cell", "group").agg(F.collect_list("vec_id").alias("known_ids"), F.collect_list(F.col("kth").cast("double")).alias("known_worst"))
-    far = _meet(groups.join(told, ["cell", "group"], "left").mapInArrow(lambda it: to_pairs(it, False), schema), chunks, k, parts)
+    pairs = materialise(groups.join(told, ["cell", "group"], "left").mapInArrow(lambda it: to_pairs(it, False), schema), "op1-pairs")
+    if report is not None:
+        report |= {"pairs": many_groups * sum(in_cell.values()), "met": pairs.count() + sum(max(1, -(-m // GROUP)) * in_cell[home[c]] for c, m in asked_sizes.items() if home)}
+    far = _meet(pairs, chunks, k)
     found = reduce(DataFrame.unionByName, exact, own.unionByName(far))
     return _best_of(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-PAIRS = pa.schema([("cell", pa.int32()), ("chunk", pa.int32()), ("part", pa.int32()), ("worst", pa.binary()), ("n", pa.int64()), ("width", pa.int64()), *((x, pa.binary()) for x in ("ids", "rows", "first", "end", "radius", "kids"))])
+PAIRS = pa.schema([("cell", pa.int32()), ("chunk", pa.int32()), ("part", pa.int32()), ("queries", pa.string()), ("worst", pa.string())])
 
 #: The same by SQL.
 ORACLE = """
