@@ -167,7 +167,8 @@ def _placed(key: Column) -> dict[str, Column]:
 def repeated_filter(rows: DataFrame) -> DataFrame:
     """map and bits: a filter of MAPS * 2^15 bits at most that passes the key of every row whose hash occurs with several keys."""
     several = rows.groupBy("hash").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("hash")
-    place = rows.join(several, "hash", "left_semi").select(*(c.alias(k) for k, c in _placed(F.col("key")).items()))
+    # copies are one row before they meet
+    place = rows.select("hash", "key").distinct().join(several, "hash", "left_semi").select(*(c.alias(k) for k, c in _placed(F.col("key")).items()))
     return place.groupBy("map").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
 
 
