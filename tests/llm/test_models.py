@@ -250,6 +250,18 @@ def test_top_k(spark, monkeypatch, n, dims, groups):
     assert got == brute(rows, lambda i: i % 50 == 0)
 
 
+def test_pairs_are_pruned(spark, monkeypatch):
+    monkeypatch.setattr(op1_covertree, "CHUNK", 200)
+    monkeypatch.setattr(op1_covertree, "GROUP", 20)
+    rng = np.random.default_rng(5)
+    centres = np.eye(16) * 5
+    rows = [(i, (centres[i % 16] + 0.05 * rng.normal(size=16)).tolist()) for i in range(18_000)]
+    report: dict[str, int] = {}
+    got = {tuple(r) for r in op1_covertree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 500 == 0, report=report).collect()}
+    assert got == brute(rows, lambda i: i % 500 == 0)
+    assert 0 < report["met"] < 0.2 * report["pairs"]
+
+
 def test_top_k_with_large_components(spark, monkeypatch):
     monkeypatch.setattr(op1_covertree, "EXACT", 40)
     rng = np.random.default_rng(8)
@@ -289,3 +301,22 @@ def test_pipeline(spark, sf, sample):
     packed = p.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == docs.count()
     assert not docs.where(F.col("text").rlike(PATTERNS["email"])).count()
+
+
+def test_pipeline_on_odd_rows(spark, sf, docs, none):
+    """Null and repeated ids, repeated rows, null, empty and long texts, columns with the stages' own names; and no rows at all."""
+    import corpus_pipeline as p
+
+    now = docs
+    for name, stage in p.STAGES[:-1]:
+        now = stage(spark, now, sf).cache()
+        assert now.columns == docs.columns, name
+    kept = [(r["doc_id"], r["text"]) for r in now.collect()]
+    # without a letter, or copies: gone; the copy without a smaller id stays
+    assert not {1, 2, 4, 6, 8} & {i for i, _ in kept} and len(kept) == len(set(kept))
+    assert {0, 3, 5, None} <= {i for i, _ in kept}
+    packed = p.STAGES[-1][1](spark, now, sf)
+    assert packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("of")).where("n <> of").count() == 0
+    for name, stage in p.STAGES[:-1]:
+        assert stage(spark, none, sf).count() == 0, name
+    assert p.STAGES[-1][1](spark, none, sf).count() == 0
