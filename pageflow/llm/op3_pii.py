@@ -149,12 +149,12 @@ class Tagger:
 
     def _lstm(self, x: np.ndarray, keep: bool):
         """x: direction, time, batch, feature; the second direction has its time turned."""
-        W, steps = self.p["W"], x.shape[1]
-        pre = x @ W[:, None, :EMBED] + self.p["c"][:, None]
+        steps, own = x.shape[1], np.ascontiguousarray(self.p["W"][:, EMBED:])
+        pre = x @ self.p["W"][:, None, :EMBED] + self.p["c"][:, None]
         h = s = np.zeros((2, x.shape[2], HIDDEN), pre.dtype)
         out, trace = np.empty((*x.shape[:3], HIDDEN), pre.dtype), []
         for t in range(steps):
-            g = pre[:, t] + h @ W[:, EMBED:]
+            g = pre[:, t] + h @ own
             gates = _sigmoid(g[:, :, : 3 * HIDDEN])
             i, f, o = (gates[:, :, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
             u = np.tanh(g[:, :, 3 * HIDDEN :])
@@ -178,28 +178,29 @@ class Tagger:
         em, (e, h, out, trace) = self.emissions(x, keep=True)
         steps, batch, _ = em.shape
         T = self.p["T"] + self.forbidden
-        lse = lambda a, axis: (m := a.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis=axis))
-        alpha, beta = np.empty_like(em), np.zeros_like(em)
-        alpha[0] = em[0]
-        for t in range(1, steps):
-            alpha[t] = em[t] + lse(alpha[t - 1][:, :, None] + T, 1)
+        # forwards and backwards over probabilities, scaled at each step; c holds the scales
+        top = em.max(axis=2, keepdims=True)
+        A, w = np.exp(T), np.exp(em - top)
+        alpha, beta, c = np.empty_like(em), np.ones_like(em), np.empty((steps, batch, 1), em.dtype)
+        for t in range(steps):
+            a = w[t] if not t else (alpha[t - 1] @ A) * w[t]
+            c[t] = a.sum(axis=1, keepdims=True) + 1e-30
+            alpha[t] = a / c[t]
         for t in range(steps - 2, -1, -1):
-            beta[t] = lse(T + (em[t + 1] + beta[t + 1])[:, None, :], 2)
-        z = lse(alpha[-1], 1)
+            beta[t] = ((w[t + 1] * beta[t + 1]) @ A.T) / c[t + 1]
+        z = (np.log(c) + top).sum(axis=(0, 2))
         rows = np.arange(batch)
         gold = em[np.arange(steps)[:, None], rows, tags].sum(axis=0) + T[tags[:-1], tags[1:]].sum(axis=0)
-        d_em = np.exp(alpha + beta - z[None, :, None])
+        d_em = alpha * beta
         d_em[np.arange(steps)[:, None], rows, tags] -= 1
-        d_T = np.zeros_like(T)
-        for t in range(1, steps):
-            d_T += np.exp(alpha[t - 1][:, :, None] + T + (em[t] + beta[t])[:, None, :] - z[:, None, None]).sum(axis=0)
+        d_T = A * (alpha[:-1].reshape(-1, TAGS).T @ (w[1:] * beta[1:] / c[1:]).reshape(-1, TAGS))
         np.subtract.at(d_T, (tags[:-1], tags[1:]), 1)
         d_em /= batch
         g = {"T": d_T / batch, "O": h.reshape(-1, 2 * HIDDEN).T @ d_em.reshape(-1, TAGS), "o": d_em.sum(axis=(0, 1))}
         d_h = d_em @ self.p["O"].T
         d_out = np.stack([d_h[:, :, :HIDDEN], d_h[::-1, :, HIDDEN:]])
         W, d_g = self.p["W"], np.empty((2, steps, batch, 4 * HIDDEN), em.dtype)
-        back = W[:, EMBED:].transpose(0, 2, 1)
+        back = np.ascontiguousarray(W[:, EMBED:].transpose(0, 2, 1))
         dh_next = ds_next = np.zeros((2, batch, HIDDEN), em.dtype)
         for t in range(steps - 1, -1, -1):
             gates, i, f, o, u, before, th = trace[t]
