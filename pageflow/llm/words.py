@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -114,11 +113,20 @@ class WordIds:
         split = [t.encode().split() if t else () for t in texts]  # at ASCII white space
         if len(self.words) > self.WORDS:
             self.words.clear()
-        new = set(filterfalse(self.words.__contains__, chain.from_iterable(split)))
-        if new:
-            self._learn(new)
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        # one look for each word; texts with a word that is new are put together once it has been learned
+        get, out, lacking = self.words.get, [], []
+        for words in split:
+            found = list(map(get, words))
+            try:
+                out.append(b"".join(found))
+            except TypeError:
+                lacking.append((len(out), words, found))
+                out.append(b"")
+        if lacking:
+            self._learn({w for _, words, found in lacking for w, ids in zip(words, found) if ids is None})
+            for i, words, _ in lacking:
+                out[i] = b"".join(map(self.words.__getitem__, words))
+        return out
 
 
 def word_ids(path: str) -> WordIds:
