@@ -7,6 +7,8 @@ a small state carried on; a finer key (a page, a conversation) keeps batches ind
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -17,13 +19,22 @@ from pyspark.sql.window import Window
 
 from pageflow.config import REQUEST_CHARS
 from pageflow.functions.text import sentences, utf16_length
-from pageflow.session import ship
+from pageflow.session import materialise, ship
 
 
 def fixed_batches(rows: DataFrame, key: list[str], order: list[str], size: int) -> DataFrame:
-    """rows with batch_id: every ``size`` rows of a key, in order."""
-    n = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return rows.withColumn("batch_id", F.floor((n - 1) / size).cast("int"))
+    """rows with batch_id: every ``size`` rows of a key, in order.
+
+    Rows are dealt to ranges of key and order, numbered there, and shifted by the counts of the ranges before: a key of
+    many rows lies in many ranges. Null keys are a key; ties in the order are numbered in any order.
+    """
+    ranged = materialise(rows.repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("_range", *key).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("_range").alias("_r"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy("_range", *key).orderBy(*order))
+    on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)), F.col("_range") == F.col("_r"))
+    return ranged.withColumn("_here", here).join(before, on).select(*rows.columns, F.floor((F.col("_before") + F.col("_here") - 1) / size).cast("int").alias("batch_id"))
 
 
 def fold_in_order(rows: DataFrame, key: list[str], order: list[str], schema: str | T.StructType, step: Callable[[object, pd.DataFrame], tuple[object, pd.DataFrame]]) -> DataFrame:
