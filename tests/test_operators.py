@@ -1,4 +1,5 @@
 import datetime
+import time
 
 import pandas as pd
 import pytest
@@ -235,12 +236,20 @@ def test_streaming_newest_text(spark, sf, tmp_path):
     assert spark.table("newest").exceptAll(want).count() == 0 and want.exceptAll(spark.table("newest")).count() == 0
 
 
+def until(spark, q, name, n):
+    """Wait for n rows; a query with timers has no end of its own."""
+    end = time.time() + 120
+    while spark.table(name).count() < n and time.time() < end:
+        time.sleep(0.2)
+    q.stop()
+
+
 def test_streaming_batches(spark, tmp_path):
     rows = spark.createDataFrame([("de", i, f"t{i}") for i in range(7)] + [("fr", 7, "x")], "lang string, seq long, text string")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     q = incremental.stream_batches(stream, 3, 3_600_000).writeStream.outputMode("append").format("memory").queryName("batches").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination(120)
+    until(spark, q, "batches", 6)
     got = {(r["lang"], r["seq"]): r["batch_id"] for r in spark.table("batches").collect()}
     assert got == {("de", i): i // 3 for i in range(6)}  # what is held waits for its timer
 
@@ -251,7 +260,7 @@ def test_streaming_batches_by_characters(spark, tmp_path):
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     q = incremental.stream_batches(stream, 100, 3_600_000, chars=10).writeStream.outputMode("append").format("memory").queryName("by_chars").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination(120)
+    until(spark, q, "by_chars", 6)
     got = {r["seq"]: r["batch_id"] for r in spark.table("by_chars").collect()}
     twin = {r["seq"]: r["batch_id"] for r in batching.greedy_batches(rows, ["lang"], ["seq"], 100, 10, T.utf16_length(F.col("text"))).collect()}
     assert got == {k: v for k, v in twin.items() if v < max(twin.values())} and len(set(twin.values())) == 6
