@@ -274,27 +274,29 @@ def _trees(dealt: DataFrame, counts: dict[int, int], size: int, width: int, cent
     return keyed.groupBy("cell", "chunk").applyInPandas(build, TREE)
 
 
-def _meet(pairs: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def _meet(pairs: DataFrame, chunks: DataFrame, k: int, tasks: int) -> DataFrame:
     """query_id, vec_id, score of the k best of every query in every chunk it meets.
 
-    pairs: cell, chunk, part, queries and worst, the files of a group's tree and of its worst scores so far (null: none).
-    Rows hold names only. A task reads a chunk's tree once and those of a part of the groups one after another.
+    pairs: cell, chunk, task, queries and worst, the files of a group's tree and of its worst scores so far (null: none).
+    Rows hold names only; each task number is a partition of its own, one chunk and a part of the groups. A task reads the
+    chunk's tree once and the groups' one after another.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")]
-        refs = Tree.read(pdf["path"].iloc[0])
-        for path, told in zip(pdf["queries"], pdf["worst"]):
-            queries = Tree.read(path)
-            worst = np.frombuffer(read_range(told, 0, file_size(told)), "<f8") if isinstance(told, str) else np.full(len(queries.ids), -np.inf)
-            best = Best(len(queries.ids), k, worst)
-            dual_search(queries, refs, best)
-            q, j = np.nonzero(np.isfinite(best.score) & (best.score >= worst[:, None]))
-            out.append(pd.DataFrame({"query_id": queries.ids[q], "vec_id": best.id[q, j], "score": best.score[q, j].astype(np.int64)}))
-        return pd.concat(out)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, refs = None, None
+        for pdf in parts:
+            for path, asked, told in zip(pdf["path"], pdf["queries"], pdf["worst"]):
+                if path != at:
+                    at, refs = path, Tree.read(path)
+                queries = Tree.read(asked)
+                worst = np.frombuffer(read_range(told, 0, file_size(told)), "<f8") if isinstance(told, str) else np.full(len(queries.ids), -np.inf)
+                best = Best(len(queries.ids), k, worst)
+                dual_search(queries, refs, best)
+                q, j = np.nonzero(np.isfinite(best.score) & (best.score >= worst[:, None]))
+                yield pd.DataFrame({"query_id": queries.ids[q], "vec_id": best.id[q, j], "score": best.score[q, j].astype(np.int64)})
 
     named = pairs.join(chunks.select("cell", "chunk", "path"), ["cell", "chunk"])
-    return named.groupBy("cell", "chunk", "part").applyInPandas(run, RESULT)
+    return named.repartitionById(tasks, "task").mapInPandas(run, RESULT)
 
 
 def _best_of(found: DataFrame, k: int) -> DataFrame:
@@ -337,6 +339,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
     in_cell = {c: max(1, -(-m // CHUNK)) for c, m in sizes.items()}
     many_groups = sum(max(1, -(-m // GROUP)) for m in asked_sizes.values())
     parts = max(1, -(-many_groups // TOGETHER))
+    before, tasks = {}, 0  # a number for each chunk and part
+    for c in sorted(in_cell):
+        before[c], tasks = tasks, tasks + in_cell[c]
+    tasks = max(1, tasks * parts)
     # the chunks of a group's own cell, or of the nearest that has any
     full = sorted(in_cell)
     home = {c: min(full, key=lambda d: ((centres[c] - centres[d]) ** 2).sum()) for c in range(len(centres))} if full else {}
@@ -358,11 +364,11 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
                     told = f"{g['queries']}.{TaskContext.get().taskAttemptId()}.worst"
                     write_whole(told, [worst.astype("<f8").tobytes()])
                 part = (g["cell"] * 7919 + g["group"]) % parts
-                out += [{"cell": d, "chunk": c, "part": part, "queries": g["queries"], "worst": told} for d in wanted for c in range(in_cell[d])]
+                out += [{"cell": d, "chunk": c, "task": (before[d] + c) * parts + part, "queries": g["queries"], "worst": told} for d in wanted for c in range(in_cell[d])]
             yield pa.RecordBatch.from_pylist(out, schema=PAIRS)
 
-    schema = "cell int, chunk int, part int, queries string, worst string"
-    own = _best_of(_meet(groups.mapInArrow(lambda it: to_pairs(it, True), schema), chunks, k), k).select("query_id", "vec_id", "score")
+    schema = "cell int, chunk int, task int, queries string, worst string"
+    own = _best_of(_meet(groups.mapInArrow(lambda it: to_pairs(it, True), schema), chunks, k, tasks), k).select("query_id", "vec_id", "score")
     own = materialise(own, "op1-own")
     kth = own.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("have")).where(F.col("have") >= k)
     # the worst known score of each query goes to its group: as many rows as queries, by group
@@ -371,12 +377,12 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
     pairs = materialise(groups.join(told, ["cell", "group"], "left").mapInArrow(lambda it: to_pairs(it, False), schema), "op1-pairs")
     if report is not None:
         report |= {"pairs": many_groups * sum(in_cell.values()), "met": pairs.count() + sum(max(1, -(-m // GROUP)) * in_cell[home[c]] for c, m in asked_sizes.items() if home)}
-    far = _meet(pairs, chunks, k)
+    far = _meet(pairs, chunks, k, tasks)
     found = reduce(DataFrame.unionByName, exact, own.unionByName(far))
     return _best_of(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-PAIRS = pa.schema([("cell", pa.int32()), ("chunk", pa.int32()), ("part", pa.int32()), ("queries", pa.string()), ("worst", pa.string())])
+PAIRS = pa.schema([("cell", pa.int32()), ("chunk", pa.int32()), ("task", pa.int32()), ("queries", pa.string()), ("worst", pa.string())])
 
 #: The same by SQL.
 ORACLE = """
