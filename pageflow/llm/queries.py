@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageflow.llm import op1_covertree, op10_digest, op2_packing, op3_pii, op4_simhash, op5_pieces, op6_warc, op7_huffman, op8_language, op9_counts
+from pageflow.llm import op1_covertree, op10_digest, op11_merkle, op2_packing, op3_pii, op4_simhash, op5_pieces, op6_warc, op7_huffman, op8_language, op9_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_MODEL = "word_bpe_49k.json"
@@ -68,6 +68,10 @@ def op10_digest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_digest.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_covertree_topk": op1_covertree_query,
@@ -80,8 +84,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_query,
         "op9_token_counts": op9_token_counts,
         "op10_digest": op10_digest_query,
+        "op11_merkle": op11_merkle_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_covertree_topk": op1_covertree.ORACLE, "op6_warc": op6_warc.ORACLE}
+    return {"op1_covertree_topk": op1_covertree.ORACLE, "op6_warc": op6_warc.ORACLE, "op11_merkle": op11_merkle.ORACLE}
