@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -63,3 +65,38 @@ def map_portions(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], s
 
 def hex_or_null(col: Column) -> Column:
     return F.lower(F.hex(col))
+
+
+ARROW = {"string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+#: Rows of a batch that in_order gives.
+ROWS = 5000
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns))
+
+
+def batches_of(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    fields = [x.split() for x in schema.split(", ")]
+
+    def cut(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, ARROW[t]) for v, (_, t) in zip(zip(*out), fields)], [n for n, _ in fields])
+
+    out: list[tuple] = []
+    for row in rows:
+        out.append(row)
+        if len(out) >= ROWS:
+            yield cut(out)
+            out = []
+    if out:
+        yield cut(out)
+
+
+def in_order(df: DataFrame, keys: int, f: Callable[[tuple, Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """f over the rows of each run of equal first ``keys`` columns, as they stream in the order of the partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches_of((row for key, some in groupby(rows_of(batches), itemgetter(*range(keys))) for row in f(key, some)), schema)
+
+    return df.mapInArrow(run, schema)

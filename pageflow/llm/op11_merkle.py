@@ -26,14 +26,12 @@ import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import groupby
-from operator import itemgetter
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pageflow.llm.batches import in_order
 from pageflow.session import materialise, ship
 
 #: Children of a node; leaves of an aligned block, about; levels of a merging round; rows of a range, about.
@@ -65,36 +63,6 @@ def group_key(group: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit(""))
 
 
-# --- rows in tasks
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for b in batches:
-        yield from zip(*(c.to_pylist() for c in b.columns))
-
-
-_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
-
-
-def _in_order(df: DataFrame, keys: int, f: Callable[[tuple, Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
-    """f over the rows of each run of equal first ``keys`` columns, as they stream in the order of the partition."""
-    fields = [x.split() for x in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cut(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(v, _ARROW[t]) for v, (_, t) in zip(zip(*out), fields)], [n for n, _ in fields])
-
-        out = []
-        for key, some in groupby(_rows(batches), itemgetter(*range(keys))):
-            for row in f(key, some):
-                out.append(row)
-                if len(out) >= 5000:
-                    yield cut(out)
-                    out = []
-        if out:
-            yield cut(out)
-
-    return df.mapInArrow(run, schema)
-
-
 # --- the tree
 @dataclass
 class Tree:
@@ -201,12 +169,12 @@ def build(rows: DataFrame, fanout: int = FANOUT) -> Tree:
     heads = counts.select("part", "grp", F.lit(0).alias("kind"), F.col("before").alias("at"), "n", *(F.lit(None).cast(t).alias(c) for c, t in (("num", "long"), ("txt", "string"), ("hash", "string"), ("extra", "string"))))
     leaves = ranged.select("part", "grp", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("n"), "num", "txt", "hash", "extra")
     dealt = heads.union(leaves).repartitionById(parts, "part").sortWithinPartitions("part", "grp", "kind", "num", "txt", "hash")
-    first = materialise(_in_order(dealt, 2, _stack(fanout), NODE), "merkle-nodes")
+    first = materialise(in_order(dealt, 2, _stack(fanout), NODE), "merkle-nodes")
     formed, peaks, top = [first.where("formed")], first.where("peak"), min(low + STEP, height)
     while True:
         under = peaks.select("grp", F.expr(f"idx div cast(pow({fanout}, {top} - level) as long)").alias("block"), "level", "idx", "n", "hash")
         met = under.repartition("grp", "block").sortWithinPartitions("grp", "block", "level", "idx")
-        found = materialise(_in_order(met, 2, _merge(fanout, top), NODE), "merkle-merged")
+        found = materialise(in_order(met, 2, _merge(fanout, top), NODE), "merkle-merged")
         formed.append(found.where("formed"))
         peaks = found.where("peak")
         if top >= height:
@@ -281,7 +249,7 @@ def prove(tree: Tree, beyond: DataFrame | None = None, paths: bool = False) -> D
     heads = heads.select("grp", "block", F.lit(0).alias("kind"), none("int").alias("level"), none("long").alias("idx"), "n", none("string").alias("hash"), none("long").alias("num"), none("string").alias("txt"), path.alias("extra"))
     records = tree.nodes.where(f"level < {low}").select("grp", F.expr(f"idx div cast(pow({f}, {low} - level) as long)").alias("block"), F.lit(1).alias("kind"), "level", "idx", none("long").alias("n"), "hash", "num", "txt", "extra")
     met = heads.union(records).repartition("grp", "block").sortWithinPartitions("grp", "block", "kind", "level", "idx")
-    return _in_order(met, 2, _prove(f, low, paths), PROVEN)
+    return in_order(met, 2, _prove(f, low, paths), PROVEN)
 
 
 # --- documents

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageflow.llm import op1_covertree, op10_digest, op11_merkle, op2_packing, op3_pii, op4_simhash, op5_pieces, op6_warc, op7_huffman, op8_language, op9_counts
+from pageflow.llm import op1_covertree, op10_digest, op11_merkle, op13_divergence, op2_packing, op3_pii, op4_simhash, op5_pieces, op6_warc, op7_huffman, op8_language, op9_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_MODEL = "word_bpe_49k.json"
@@ -72,6 +72,10 @@ def op11_merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_merkle.verify_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_divergence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_covertree_topk": op1_covertree_query,
@@ -85,8 +89,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": op9_token_counts,
         "op10_digest": op10_digest_query,
         "op11_merkle": op11_merkle_query,
+        "op13_divergence": op13_divergence_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_covertree_topk": op1_covertree.ORACLE, "op6_warc": op6_warc.ORACLE, "op11_merkle": op11_merkle.ORACLE}
+    return {"op1_covertree_topk": op1_covertree.ORACLE, "op6_warc": op6_warc.ORACLE, "op11_merkle": op11_merkle.ORACLE, "op13_divergence": op13_divergence.ORACLE}
