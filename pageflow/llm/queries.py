@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageflow.llm import op1_covertree, op10_digest, op11_merkle, op13_divergence, op2_packing, op3_pii, op4_simhash, op5_pieces, op6_warc, op7_huffman, op8_language, op9_counts
+from pageflow.llm import op1_covertree, op10_digest, op11_merkle, op12_quality, op13_divergence, op2_packing, op3_pii, op4_simhash, op5_pieces, op6_warc, op7_huffman, op8_language, op9_counts
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_MODEL = "word_bpe_49k.json"
@@ -72,6 +72,16 @@ def op11_merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_merkle.verify_documents(table(spark, sf_dir, "documents"))
 
 
+#: Least score of the label 1.
+GOOD = 0.3
+
+
+def op12_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = op12_quality.score(docs, op12_quality.train(docs, labels, op12_quality.fifth()))
+    return found.select("doc_id", op12_quality.fifth().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op13_divergence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -89,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": op9_token_counts,
         "op10_digest": op10_digest_query,
         "op11_merkle": op11_merkle_query,
+        "op12_quality": op12_quality_query,
         "op13_divergence": op13_divergence_query,
     }
 
