@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,34 +61,40 @@ class Features:
     """Feature ids of texts; one per worker."""
 
     def __init__(self) -> None:
-        self._clear()
-
-    def _clear(self) -> None:
         self.ids: dict[str, int] = {}
-        self.hashes = np.empty(0, np.uint64)
-        self.shapes = np.empty(0, np.uint64)
+        self.known = np.empty((2, 1 << 12), np.uint64)  # of each token, hashes of its lower case and of its shape
 
     def _learn(self, new: list[str]) -> None:
-        self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
-        self.hashes = np.concatenate([self.hashes, np.array([zlib.crc32(t.lower().encode("utf-8", "surrogatepass")) + 1 for t in new], np.uint64)])
-        self.shapes = np.concatenate([self.shapes, np.array([zlib.crc32(_shape(t).encode("utf-8", "surrogatepass"), 7) + 1 for t in new], np.uint64)])
+        start = len(self.ids)
+        self.ids.update(zip(new, range(start, start + len(new))))
+        if len(self.ids) > self.known.shape[1]:
+            self.known = np.concatenate([self.known, np.empty((2, len(self.ids)), np.uint64)], axis=1)
+        self.known[0, start : len(self.ids)] = [zlib.crc32(t.lower().encode("utf-8", "surrogatepass")) + 1 for t in new]
+        self.known[1, start : len(self.ids)] = [zlib.crc32(_shape(t).encode("utf-8", "surrogatepass"), 7) + 1 for t in new]
+
+    def of_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a text's number and a feature that it has, ascending, each once."""
+        cut = [_TOKEN.findall(t) if t else () for t in texts]
+        tokens = list(chain.from_iterable(cut))
+        if len(self.ids) > TOKENS:
+            self.ids.clear()
+        found = list(map(self.ids.get, tokens))
+        if None in found:
+            self._learn([t for t in dict.fromkeys(t for t, k in zip(tokens, found) if k is None)])
+            found = list(map(self.ids.__getitem__, tokens))
+        at = np.array(found, np.int64)
+        of = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
+        h, s = self.known[0, at], self.known[1, at]
+        two, three = of[1:] == of[:-1], of[2:] == of[:-2]
+        s[1:][two & (h[1:] == h[:-1])] = 3  # a token again
+        kinds = [(of, h), (of[1:][two], (h[:-1] * _MIX + h[1:])[two]), (of, s), (of[1:][two], (s[:-1] * _MIX + s[1:])[two]), (of[2:][three], ((s[:-2] * _MIX + s[1:-1]) * _MIX + s[2:])[three])]
+        both = np.sort(np.concatenate([n * BUCKETS + _hashed(x, kind) for kind, (n, x) in enumerate(kinds, 1)]))
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+        return np.divmod(both, BUCKETS)
 
     def of(self, text: str | None) -> np.ndarray:
         """The ascending ids of a text's features."""
-        tokens = _TOKEN.findall(text or "")
-        if not tokens:
-            return np.empty(0, np.int64)
-        if len(self.ids) > TOKENS:
-            self._clear()
-        known = list(map(self.ids.get, tokens))
-        if None in known:
-            self._learn([t for t in dict.fromkeys(tokens) if t not in self.ids])
-            known = list(map(self.ids.__getitem__, tokens))
-        at = np.array(known)
-        h, s = self.hashes[at], self.shapes[at]
-        s[1:] = np.where(h[1:] == h[:-1], np.uint64(3), s[1:])  # a token again
-        mixed = [_hashed(h, 1), _hashed(h[:-1] * _MIX + h[1:], 2), _hashed(s, 3), _hashed(s[:-1] * _MIX + s[1:], 4), _hashed((s[:-2] * _MIX + s[1:-1]) * _MIX + s[2:], 5)]
-        return np.unique(np.concatenate(mixed))
+        return self.of_texts([text])[1]
 
 
 def _hashed(x: np.ndarray, kind: int) -> np.ndarray:
@@ -121,10 +127,14 @@ def gather(rows: DataFrame, share: float) -> DataFrame:
         counts, find = np.zeros((2, BUCKETS), np.int64), features()
         for b in batches:
             for part in portions(b):
-                for text, label in zip(*(part.column(c).to_pylist() for c in ("text", "label"))):
-                    found = find.of(text)
-                    counts[label, found] += 1
-                    key = zlib.crc32(text.encode())
+                texts, given = (part.column(c).to_pylist() for c in ("text", "label"))
+                of, every = find.of_texts(texts)
+                own = np.array(given)[of]
+                for label in (0, 1):
+                    counts[label] += np.bincount(every[own == label], minlength=BUCKETS)
+                ends = np.searchsorted(of, np.arange(len(texts) + 1)).tolist()
+                for text, label, start, end in zip(texts, given, ends, ends[1:]):
+                    found, key = every[start:end], zlib.crc32(text.encode())
                     if key < share * 2**32:
                         if len(found) > ROW_FEATURES:
                             found = np.sort(found[np.argsort(found * 2654435761 % (1 << 32), kind="stable")[:ROW_FEATURES]])
@@ -197,13 +207,14 @@ class Model:
     def __init__(self, r: np.ndarray | None, w: np.ndarray | None, ab: tuple[float, float] | None, constant: float = 0.5):
         self.r, self.w, self.ab, self.constant = r, w, ab, constant
 
-    def score(self, found: np.ndarray) -> float:
+    def scores(self, n: int, of: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Scores of n texts from the pairs of of_texts."""
         if self.w is None:
-            return self.constant
-        v = self.r[found]
-        n = float(np.sqrt(v @ v))
-        m = float(self.w[found] @ v) / n if n else 0.0
-        return float(1 / (1 + np.exp(-np.clip(self.ab[0] * (m + float(self.w[BUCKETS])) + self.ab[1], -30, 30))))
+            return np.full(n, self.constant)
+        v = self.r[found].astype(np.float64)
+        length = np.sqrt(np.bincount(of, v * v, minlength=n))
+        m = np.bincount(of, self.w[found] * v, minlength=n) / np.where(length > 0, length, 1) + self.w[BUCKETS]
+        return 1 / (1 + np.exp(-np.clip(self.ab[0] * m + self.ab[1], -30, 30)))
 
 
 def fifth(id_col: str = "doc_id") -> Column:
@@ -249,6 +260,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         find = features()
         for b in batches:
             for part in portions(b):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model.score(find.of(t)) for t in part.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(part.num_rows, *find.of_texts(part.column(1).to_pylist())), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
