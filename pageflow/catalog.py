@@ -21,7 +21,7 @@ from pageflow.operators.extract import RESULT_CLASS, extract_blocks
 from pageflow.plans import bilingual
 from pageflow.sources import rules as rule_text
 from pageflow.sources import settings
-from pageflow.streaming import incremental
+from pageflow.streaming import incremental, stateful
 
 #: Rules in the same language as a site owner writes them, over the hosts of the pages table.
 RULES = """! rules for the sample hosts
@@ -713,6 +713,77 @@ def tab_resets(spark, d):
     return incremental.tab_states(starts.unionByName(incremental.navigation_stops(went)), ["start"], ["reload", "pdf", "close"])
 
 
+# --- machines with deadlines, over whole histories; the times of the events table lie hours apart, so waits are hours
+HOUR = 3_600_000
+DUCK_EVENTS = "o as (select event_id, user_id, event_type, ts, props, row_number() over (partition by user_id order by ts, event_id) as n from events)"
+
+
+@query("batch_windows", f"""with recursive {DUCK_EVENTS}, c as (select *, {units("props")} as cost from o),
+f as (select *, 0 as batch_id, ts as opened, 1 as held, cost as total from c where n = 1 union all
+      select c.*, case when {{over}} then f.batch_id + 1 else f.batch_id end, case when {{over}} then c.ts else f.opened end, case when {{over}} then 1 else f.held + 1 end, case when {{over}} then c.cost else f.total + c.cost end
+      from f join c on c.user_id = f.user_id and c.n = f.n + 1)
+select user_id, event_id, batch_id from f""".replace("{over}", "(c.ts >= f.opened + interval 24 hour or f.held >= 4 or f.total + c.cost > 60)"))
+def batch_windows(spark, d):
+    """Requests in batches by size, by units and by the deadline of the first one."""
+    rows = table(spark, d, "events").select("user_id", "event_id", "ts", F.col("event_id").alias("seq"), F.col("props").alias("text"))
+    return stateful.over_table(rows, stateful.Batches(4, 24 * HOUR, 60), ["user_id"]).select("user_id", F.col("seq").alias("event_id"), "batch_id")
+
+
+@query("direction_queues", f"""with recursive {DUCK_EVENTS},
+scrolls as (select *, max(case when event_type = 'view' then ts end) over w as last_up from o window w as (partition by user_id order by n rows unbounded preceding)),
+moves as (select *, case when event_type = 'view' then 'up' when event_type = 'click' then case when last_up is null or ts > last_up + interval 12 hour then 'down' else 'up' end end as turned from scrolls),
+placed as (select *, coalesce(last_value(turned ignore nulls) over (partition by user_id order by n rows unbounded preceding), 'down') as direction, turned is null as seen from moves),
+downs as (select *, row_number() over (partition by user_id order by n) as k from placed where seen and direction = 'down'),
+f as (select *, ts as opened from downs where k = 1 union all
+      select d.*, case when d.ts >= f.opened + interval 8 hour then d.ts else f.opened end from f join downs d on d.user_id = f.user_id and d.k = f.k + 1),
+pushes as (select *, coalesce(ts >= lag(ts) over (partition by user_id order by n) + interval 20 hour, true) as fresh from placed where seen or direction = 'up'),
+bursts as (select *, sum(fresh::int) over (partition by user_id order by n) as burst from pushes),
+ends as (select *, max(ts) over (partition by user_id, burst) + interval 20 hour as fire_ts from bursts)
+select user_id, event_id, 'down' as queue, opened + interval 8 hour as fire_ts from f union all select user_id, event_id, 'up', fire_ts from ends where seen and direction = 'up'""")
+def direction_queues(spark, d):
+    """Views scroll up, clicks down; other events are blocks that come in sight and wait in the queue of their direction."""
+    t = F.col("event_type")
+    rows = table(spark, d, "events").select("user_id", "event_id", "ts", F.when(t == "view", "up").when(t == "click", "down").otherwise("seen").alias("kind"), F.col("event_id").alias("id"))
+    out = stateful.over_table(rows, stateful.Queues(8 * HOUR, 20 * HOUR, 12 * HOUR), ["user_id"])
+    return out.select("user_id", F.col("id").alias("event_id"), "queue", stateful.micros("fire_t").alias("fire_ts"))
+
+
+@query("recheck_actions", f"""with {DUCK_EVENTS}, k as (select *, row_number() over (partition by user_id, event_type order by n) = 1 as first from o),
+c as (select *, coalesce(ts >= lag(ts) over (partition by user_id order by n) + interval 30 hour, true) as fresh from k where not first),
+b as (select *, sum(fresh::int) over (partition by user_id order by n) as burst from c),
+x as (select *, max(ts) over (partition by user_id, burst) + interval 30 hour as fire_ts from b),
+last as (select user_id, event_type, burst, fire_ts, arg_max(props, n) as text from x group by all),
+sent as (select user_id, event_type, 0 as burst, ts as fire_ts, props as text from k where first)
+select user_id, event_type as node, fire_ts, text from sent union all
+select user_id, event_type, fire_ts, text from (select *, lag(text) over (partition by user_id, event_type order by burst) as was from (select * from sent union all select * from last)) where burst > 0 and text <> was""")
+def recheck_actions(spark, d):
+    """A user's event types are a page's nodes: the first event asks for the text, later ones change it; looked at once changes rest."""
+    first = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")) == 1
+    rows = table(spark, d, "events").select("user_id", "event_id", "ts", F.when(first, "sent").otherwise("changed").alias("kind"), F.col("event_type").alias("node"), F.col("props").alias("text"), F.lit(None).cast("string").alias("translated"), F.lit(False).alias("keeps_lines"))
+    out = stateful.over_table(rows, stateful.Rechecks(30 * HOUR), ["user_id"])
+    return out.select("user_id", "node", stateful.micros("t").alias("fire_ts"), "text")
+
+
+@query("tab_changes", f"""with {DUCK_EVENTS}, s as (select *, case when event_type = 'view' then case when event_id % 2 = 0 then 'fr' else 'de' end end as lang from o where event_type in ('view', 'error', 'signup')),
+l as (select *, lag(lang) over (partition by user_id order by n) as was from s)
+select user_id, lang is not null as active, lang, ts as since from l where lang is distinct from was""")
+def tab_changes(spark, d):
+    """Starts, changes of language and ends of tabs; nothing is kept of a tab that has ended."""
+    t, e = F.col("event_type"), table(spark, d, "events").where("event_type in ('view', 'error', 'signup')")
+    rows = e.select("user_id", "event_id", "ts", F.when(t == "view", "start").when(t == "error", "close").otherwise("reload").alias("kind"), F.when(F.col("event_id") % 2 == 0, "fr").otherwise("de").alias("lang"))
+    return stateful.over_table(rows, stateful.Tabs(), ["user_id"]).select("user_id", "active", "lang", stateful.micros("since").alias("since"))
+
+
+@query("seen_again", """with recursive o as (select event_id, user_id, event_type, ts, row_number() over (partition by user_id, event_type order by ts, event_id) as n from events),
+f as (select *, ts as opened from o where n = 1 union all
+      select o.*, case when o.ts >= f.opened + interval 48 hour then o.ts else f.opened end from f join o on o.user_id = f.user_id and o.event_type = f.event_type and o.n = f.n + 1)
+select user_id, event_type, arg_min(event_id, n) as event_id from f group by user_id, event_type, opened""")
+def seen_again(spark, d):
+    """The first event of a key, and the first ones after it was forgotten: two days later."""
+    rows = table(spark, d, "events").select("user_id", "event_type", "event_id", "ts", F.lit("seen").alias("kind"), F.col("event_id").alias("id"))
+    return stateful.over_table(rows, stateful.FirstSeen(48 * HOUR), ["user_id", "event_type"]).select("user_id", "event_type", F.col("id").alias("event_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in QUERIES.items()}
 

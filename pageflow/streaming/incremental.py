@@ -5,21 +5,18 @@ State is keyed, so it is partitioned; every form has a batch twin that gives the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from pageflow.config import RULE_HOURS
 from pageflow.functions.text import is_pdf_url, utf16_length, utrim
 from pageflow.operators.batching import fold_in_order
 from pageflow.operators.extract import RESULT_CLASS
-from pageflow.session import ship
+from pageflow.streaming.stateful import Batches, on_stream
 
 
 def newest_text(mutations: DataFrame, key: list[str]) -> DataFrame:
@@ -55,41 +52,12 @@ def first_anchored(events: DataFrame, key: list[str], window_ms: int, size: int
 
 
 def stream_batches(requests: DataFrame, size: int, window_ms: int, chars: int | None = None) -> DataFrame:
-    """Streaming batches of requests (lang, seq, text): a batch leaves when it has ``size`` texts, before a text with which it
-    would have over ``chars`` UTF-16 units, or window_ms after its first. The batch twin is greedy_batches."""
-    ship(requests.sparkSession)
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        texts = list(state.get[1]) if state.exists else []
-        number = state.get[2] if state.exists else 0
-        out: list[tuple] = []
-        units = lambda t: len((t or "").encode("utf-16-le", "surrogatepass")) // 2
-
-        def leave() -> None:
-            nonlocal held, texts, number
-            out.extend((key[0], s, t, number) for s, t in zip(held, texts))
-            held, texts, number = [], [], number + 1
-
-        if state.hasTimedOut:
-            leave()
-        else:
-            rows = pd.concat(list(pdfs)).sort_values("seq")
-            total = sum(map(units, texts))
-            for s, t in zip(rows["seq"].tolist(), rows["text"].tolist()):
-                if held and chars is not None and total + units(t) > chars:
-                    leave()
-                total = units(t) + (total if held else 0)
-                held.append(s)
-                texts.append(t)
-                if len(held) >= size:
-                    leave()
-        state.update((held, texts, number))
-        if held:
-            state.setTimeoutDuration(window_ms)
-        yield pd.DataFrame(out, columns=["lang", "seq", "text", "batch_id"]).astype({"seq": "int64", "batch_id": "int32"})
-
-    return requests.groupBy("lang").applyInPandasWithState(step, "lang string, seq long, text string, batch_id int", "held array<long>, texts array<string>, number int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    """Streaming batches of requests (lang, seq, text), by the clock: lang, seq, text, batch_id.
+
+    A batch leaves when it has ``size`` texts, before a text with which it would have over ``chars`` UTF-16 units, or window_ms
+    after its first text, however many come until then.
+    """
+    return on_stream(requests.select("lang", "seq", "text"), Batches(size, window_ms, chars), ["lang"], None, "seq")
 
 
 def tab_states(events: DataFrame, starts: list[str], stops: list[str]) -> DataFrame:
@@ -144,7 +112,10 @@ def late_content(added: DataFrame) -> DataFrame:
 
 
 def first_seen(events: DataFrame, key: list[str], ts: str = "ts", within: str = "1 hour") -> DataFrame:
-    """Events whose key was not seen before: dropped on arrival by state, within a watermark when streaming."""
+    """Events whose key was not seen before: by state on arrival, which a stream keeps ``within`` a watermark.
+
+    So a stream may give a key again after that time, and the table form does not; FirstSeen forgets alike in both.
+    """
     if events.isStreaming:
         return events.withWatermark(ts, within).dropDuplicatesWithinWatermark(key)
     return events.dropDuplicates(key)
