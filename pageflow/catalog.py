@@ -21,6 +21,7 @@ from pageflow.operators.extract import RESULT_CLASS, extract_blocks
 from pageflow.plans import bilingual
 from pageflow.sources import rules as rule_text
 from pageflow.sources import settings
+from pageflow.session import materialise
 from pageflow.streaming import incremental, stateful
 
 #: Rules in the same language as a site owner writes them, over the hosts of the pages table.
@@ -35,6 +36,8 @@ m.example.*##div.ad
 *.example.*##:matches-path(/^\\/fr\\//) h1
 *.example.com##:matches-path(/en/) .ad
 *.example.net##:matches-path(/[/) p
+*.example.com##:matches-path(/(?P<x>a)/) .ad
+*.example.net##:matches-path(/^\\/(?<first>e)n\\b/) .note
 no rule here
 """
 
@@ -131,8 +134,8 @@ parsed as (
   from {DUCK_RULES} where line <> '' and not starts_with(line, '!') and regexp_matches(line, '^(.+?)##(.+)$|^(.+?)#\\+#(.+)$')),
 rules as (
   select rule_id, domain, case when inc then 'include' else 'exclude' end as type,
-         case when starts_with(sel, ':matches-path(') then regexp_extract(sel, '^:matches-path\\(([^()]*)\\)', 1) end as path_pattern,
-         case when starts_with(sel, ':matches-path(') then trim(regexp_replace(sel, '^:matches-path\\([^()]*\\)', '')) else sel end as selector
+         case when starts_with(sel, ':matches-path(') then regexp_extract(sel, '^:matches-path\\((.*)\\) ', 1) end as path_pattern,
+         case when starts_with(sel, ':matches-path(') then trim(regexp_replace(sel, '^:matches-path\\(.*\\) ', '')) else sel end as selector
   from parsed)
 """
 DUCK_HOSTS = f"""
@@ -148,8 +151,8 @@ matched as (select h.page_id, h.host, h.path, p.rule_id, p.type, p.path_pattern,
   on h.entity = p.p_entity and (p.p_suffix is null or p.p_suffix = h.suffix)
   and (p.p_sub = '*' or case when p.p_sub = '' then h.sub = '' else h.sub = p.p_sub or ends_with(h.sub, '.' || p.p_sub) end))
 """
-# the one broken pattern never matches; '/en/' is an expression of its own, as any pattern in slashes
-DUCK_ACTIVE = "active as (select * from matched where path_pattern is null or (path_pattern <> '/[/' and case when path_pattern like '/%/' then regexp_matches(path, case path_pattern when '/^\\/fr\\//' then '^/fr/' else substr(path_pattern, 2, length(path_pattern) - 2) end) else contains(path, path_pattern) end))"
+# broken patterns never match; '/en/' is an expression of its own, as any pattern in slashes
+DUCK_ACTIVE = "active as (select * from matched where path_pattern is null or (path_pattern not in ('/[/', '/(?P<x>a)/') and case when path_pattern like '/%/' then regexp_matches(path, case path_pattern when '/^\\/fr\\//' then '^/fr/' when '/^\\/(?<first>e)n\\b/' then '^/(e)n\\b' else substr(path_pattern, 2, length(path_pattern) - 2) end) else contains(path, path_pattern) end))"
 
 
 def sample_rules(spark: SparkSession) -> DataFrame:
@@ -160,9 +163,28 @@ def placed(spark: SparkSession, d: str) -> DataFrame:
     return bilingual.with_places(table(spark, d, "pages")).select("page_id", "host", "path")
 
 
-@query("rule_parse", f"with {DUCK_PARSED} select rule_id, domain, type, path_pattern, selector from rules")
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Rule lines as owners of the pages would write them: each page gives one of seven kinds, some of them no rules or broken ones."""
+    k, host, path = F.col("page_id") % 7, F.col("host"), F.col("path")
+    line = (
+        F.when(k == 0, F.concat(host, F.lit("##.c"), F.col("page_id").cast("string")))
+        .when(k == 1, F.concat(F.lit(" \t"), host, F.lit("#+#article > p "))).when(k == 2, F.concat(F.lit("! "), host, F.lit("##p")))
+        .when(k == 3, F.concat(host, F.lit("##:matches-path(/^"), path, F.lit("(?:x|y)*$/) h1"))).when(k == 4, host)
+        .when(k == 5, F.concat(F.lit("*."), host, F.lit("##:matches-path("), path, F.lit(")"))).otherwise(F.concat(host, F.lit("##:matches-path(/(?P<x>a)/) p:first-line")))
+    )
+    return materialise(placed(spark, d).select(F.col("page_id").alias("line_no"), line.alias("value")), "lines")
+
+
+DUCK_LINES = f"""lines as (select page_id, page_id % 7 as k, {HOST} as host, {PATH} as path from pages),
+page_rules as (select page_id as rule_id, case k when 5 then '*.' else '' end || host as domain, case k when 1 then 'include' else 'exclude' end as type,
+  case k when 3 then '/^' || path || '(?:x|y)*$/' when 5 then path when 6 then '/(?P<x>a)/' end as path_pattern,
+  case k when 0 then '.c' || page_id when 1 then 'article > p' when 3 then 'h1' when 5 then '*' else 'p:first-line' end as selector, k from lines where k not in (2, 4))
+"""
+
+
+@query("rule_parse", f"with {DUCK_LINES} select rule_id, domain, type, path_pattern, selector from page_rules")
 def rule_parse(spark, d):
-    return sample_rules(spark)
+    return rule_text.parse_rules(_lines(spark, d))
 
 
 @query("rule_match_host", f"with {DUCK_PARSED}, {DUCK_HOSTS}, {DUCK_PATTERNS} select page_id, rule_id, type, selector from matched")
@@ -181,16 +203,17 @@ def rule_selectors(spark, d):
     return found.select("page_id", F.array_join("skip", "|").alias("skip"), F.array_join("include", "|").alias("include"))
 
 
-@query("custom_rules_union", f"with {DUCK_PARSED} select domain, type, selector, count(*) as n from (select domain, type, selector from rules union all values ('*.example.org', 'exclude', '.note'), ('example.com', 'include', 'article')) group by all")
+@query("custom_rules_union", f"with {DUCK_PARSED}, {DUCK_LINES} select domain, type, selector, count(*) as n from (select domain, type, selector from rules union all select domain, type, selector from page_rules) group by all")
 def custom_rules_union(spark, d):
-    both = sample_rules(spark).unionByName(rule_text.parse_rules(rule_text.rule_lines(spark, CUSTOM)))
+    """The common rules and those of a site's own."""
+    both = sample_rules(spark).unionByName(rule_text.parse_rules(_lines(spark, d)))
     return both.groupBy("domain", "type", "selector").agg(F.count("*").alias("n"))
 
 
-@query("broken_rules", f"with {DUCK_PARSED} select rule_id, path_pattern = '/[/' as broken_path, false as broken_selector from rules where path_pattern is not null")
+@query("broken_rules", f"with {DUCK_LINES} select rule_id, k = 6 as broken_path, k = 6 as broken_selector from page_rules")
 def broken_rules(spark, d):
     """Rules that are marked when they are loaded: a broken path or selector matches nothing and fails no job."""
-    rows = rule_ops.parse_patterns(sample_rules(spark)).where("path_pattern is not null")
+    rows = rule_ops.parse_patterns(rule_text.parse_rules(_lines(spark, d)))
     return rows.select("rule_id", (~F.col("valid_path")).alias("broken_path"), (~F.col("valid_selector")).alias("broken_selector"))
 
 
@@ -367,13 +390,14 @@ def request_json(spark, d):
     return rows.select("conv_id", "turn", of("$.messages[1].content").alias("user_text"), of("$.messages[0].content").alias("system_text"), of("$.model").alias("model"), of("$.reasoning_effort").alias("effort"))
 
 
-@query("interceptor_case", f"select endpoint, model, effort, case when model like '%chat%' then 'high' else effort end as extended from {DUCK_EFFORTS}")
+@query("interceptor_case", f"select conv_id, turn, endpoint, model, effort, case when model like '%chat%' or role = 'system' then 'high' else effort end as extended from conversations join {DUCK_EFFORTS} on i = (conv_id + turn) % {len(EFFORTS)}")
 def interceptor_case(spark, d):
-    """The list of rewrites, and the list with one more of the user's."""
-    rows = spark.createDataFrame([(e, m) for e, m, _ in EFFORTS], "endpoint string, model string")
-    more = [*T.REWRITES, lambda host, model, effort: F.when(model.contains("chat"), "high").otherwise(effort)]
-    e, m = F.col("endpoint"), F.col("model")
-    return rows.select("endpoint", "model", T.reasoning_effort(e, m).alias("effort"), T.reasoning_effort(e, m, more).alias("extended"))
+    """Each turn's request by the list of rewrites, and by the list with one more of the user's."""
+    cases = F.array(*(F.struct(F.lit(e).alias("endpoint"), F.lit(m).alias("model")) for e, m, _ in EFFORTS))
+    rows = table(spark, d, "conversations").withColumn("case", F.get(cases, ((F.col("conv_id") + F.col("turn")) % len(EFFORTS)).cast("int")))
+    e, m = F.col("case.endpoint"), F.col("case.model")
+    more = [*T.REWRITES, lambda host, model, effort: F.when(model.contains("chat") | (F.col("role") == "system"), "high").otherwise(effort)]
+    return rows.select("conv_id", "turn", e.alias("endpoint"), m.alias("model"), T.reasoning_effort(e, m).alias("effort"), T.reasoning_effort(e, m, more).alias("extended"))
 
 
 @query("lang_code_map", "select c.lang, code, subtag, (select count(*) from documents d where d.lang = c.lang) as n from (values ('zh', 'zh-Hans', 'zh'), ('zh-cn', 'zh-Hans', 'zh'), ('zh-CN', 'zh-Hans', 'zh'), ('zh-tw', 'zh-Hant', 'zh'), ('zh-TW', 'zh-Hant', 'zh'), ('tl', 'fil', 'tl'), ('iw', 'he', 'iw'), ('no', 'nb', 'no'), ('sr', 'sr-Cyrl', 'sr'), ('mn', 'mn-Cyrl', 'mn'), ('hmn', 'mww', 'hmn'), ('ku', 'kmr', 'ku'), ('en', 'en', 'en'), ('pt-BR', 'pt-BR', 'pt'), ('', '', 'zh'), ('fr', 'fr', 'fr')) as c(lang, code, subtag)")
@@ -388,11 +412,13 @@ def lang_code_map(spark, d):
 BY_NAME = "id cs de en es fr it nl pl pt sv vi tr ru uk ar th ko zh ja".split()
 
 
-@query("languages_sorted", "select * from (values " + ", ".join(f"({i}, '{k}', '{config.LANGUAGES[k]}')" for i, k in enumerate(BY_NAME)) + ") as t(pos, code, name)")
+@query("languages_sorted", "select pos, code, name, (select count(*) from documents d where d.lang = t.code) as n from (values " + ", ".join(f"({i}, '{k}', '{config.LANGUAGES[k]}')" for i, k in enumerate(BY_NAME)) + ") as t(pos, code, name)")
 def languages_sorted(spark, d):
+    """The languages to choose from, by name, with their documents."""
     rows = spark.createDataFrame(list(config.LANGUAGES.items()), "code string, name string")
+    n = table(spark, d, "documents").groupBy(F.col("lang").alias("code")).agg(F.count("*").alias("n"))
     by = Window.orderBy(F.collate("name", "UNICODE"))  # a fixed list
-    return rows.select((F.row_number().over(by) - 1).alias("pos"), "code", "name")
+    return rows.join(n, "code", "left").select((F.row_number().over(by) - 1).alias("pos"), "code", "name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("shown_errors", "select event_id, case when contains(m, '401') then 'Invalid API key.' when contains(m, '403') then 'Forbidden — check your API key permissions.' when contains(m, '429') then 'Rate limited — try again in a moment.' when contains(m, '404') then 'Model or URL not found — verify the base URL and model name.' when contains(m, '400') then 'Bad request — likely the model is not supported by this provider, or required fields are missing. Some newer models (e.g. gpt-5 family) only work via OpenAI''s Responses API, which this extension doesn''t support. Raw: ' || m when regexp_matches(m, '\\b5\\d\\d\\b') then 'Provider error — try again later.' when contains(lower(m), 'failed to fetch') then 'Cannot reach the server — check the base URL and your network.' else m end as shown from (select event_id, case when event_id % 11 = 0 then 'Failed to fetch' else 'status ' || (400 + event_id % 200) end as m from events)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pageflow.session import materialise, ship
 from pageflow.functions.html import valid_selector
-from pageflow.sources.rules import is_regex, valid_pattern
+from pageflow.sources.rules import is_regex, path_expression
 from pageflow.sources.suffixes import entity_of, split_hosts
 
 
@@ -29,17 +29,18 @@ def parse_patterns(rules: DataFrame) -> DataFrame:
     entity = F.when(F.col("_head").isNotNull(), entity_of(F.col("_head"))).otherwise(F.col("entity"))
     before = F.regexp_extract("_head", "^(.*)\\.[^.]*\\z", 1)
     subdomain = F.when(any_sub, "*").when(F.col("_head").isNotNull(), before).otherwise(F.col("subdomain"))
-    out = split.select(*rules.columns, entity.alias("p_entity"), subdomain.alias("p_subdomain"), F.when(~any_suffix, F.col("suffix")).alias("p_suffix"), F.udf(valid_pattern, "boolean")(F.col("path_pattern")).alias("valid_path"), F.udf(valid_selector, "boolean")(F.col("selector")).alias("valid_selector"))
-    return out.where(F.coalesce(F.col("p_entity") != "", F.lit(False)))
+    out = split.select(*rules.columns, entity.alias("p_entity"), subdomain.alias("p_subdomain"), F.when(~any_suffix, F.col("suffix")).alias("p_suffix"), path_expression(F.col("path_pattern")).alias("path_regex"), F.udf(valid_selector, "boolean")(F.col("selector")).alias("valid_selector"))
+    valid_path = ~F.coalesce(is_regex(F.col("path_pattern")), F.lit(False)) | F.col("path_regex").isNotNull()
+    return out.withColumn("valid_path", valid_path).where(F.coalesce(F.col("p_entity") != "", F.lit(False)))
 
 
 def subdomain_matches(pattern: Column, subdomain: Column) -> Column:
     return F.when(pattern == "*", True).when(pattern == "", subdomain == "").otherwise((subdomain == pattern) | subdomain.endswith(F.concat(F.lit("."), pattern)))
 
 
-def path_matches(pattern: Column, path: Column, valid: Column) -> Column:
-    """No pattern always; in slashes a regular expression; else a substring."""
-    return F.when(pattern.isNull(), True).when(~valid, False).when(is_regex(pattern), F.expr("path rlike substring(path_pattern, 2, length(path_pattern) - 2)")).otherwise(F.contains(path, pattern))
+def path_matches(pattern: Column, regex: Column, path: Column) -> Column:
+    """No pattern always; in slashes a regular expression (regex, null: a broken one, never); else a substring."""
+    return F.when(pattern.isNull(), True).when(is_regex(pattern), F.coalesce(F.rlike(path, regex), F.lit(False))).otherwise(F.contains(path, pattern))
 
 
 def loaded(rules: DataFrame) -> DataFrame:
@@ -53,12 +54,12 @@ def match_hosts(pages: DataFrame, rules: DataFrame) -> DataFrame:
     rules = loaded(rules)
     hosts = split_hosts(pages, "host").where("entity is not null")
     on = (hosts["entity"] == rules["p_entity"]) & (rules["p_suffix"].isNull() | (rules["p_suffix"] == hosts["suffix"])) & subdomain_matches(rules["p_subdomain"], hosts["subdomain"])
-    return hosts.join(rules, on).select(*pages.columns, "rule_id", "type", "path_pattern", "selector", "valid_path")
+    return hosts.join(rules, on).select(*pages.columns, "rule_id", "type", "path_pattern", "selector", "path_regex")
 
 
 def match_paths(matched: DataFrame) -> DataFrame:
     """Rows of match_hosts whose rule holds for the page's path."""
-    return matched.where(path_matches(F.col("path_pattern"), F.col("path"), F.col("valid_path")))
+    return matched.where(path_matches(F.col("path_pattern"), F.col("path_regex"), F.col("path")))
 
 
 def selectors(matched: DataFrame, key: list[str]) -> DataFrame:

@@ -81,16 +81,77 @@ def refresh_rules(spark: SparkSession, candidate: str, kept: DataFrame, due: boo
         return kept
 
 
+#: Escapes that mean in Java what they mean in a browser; other escaped letters stand for themselves there.
+_ESCAPES = frozenset("dDwWsSbBnrtfvux0123456789")
+_QUANTIFIER = re.compile(r"\{[0-9]+(?:,[0-9]*)?\}")
+_GROUP = re.compile(r"\?(?:[:=!]|<[=!]|<([A-Za-z_$][\w$]*)>)")
+
+
 @lru_cache(maxsize=4096)
-def valid_pattern(pattern: str | None) -> bool:
-    """Whether a path pattern in slashes is a regular expression; broken ones never match and never fail a job."""
+def java_pattern(pattern: str | None) -> str | None:
+    """The expression of a path pattern in slashes, as browsers read it, in the words of Java; null if it is none.
+
+    What only one of the two knows is rewritten (brackets in classes, names with a dollar sign, literal braces) or is no
+    expression (inline flags, possessive quantifiers, atomic groups). Whether the rest compiles is for Java to say.
+    """
     if pattern is None or len(pattern) < 2 or pattern[0] != "/" or pattern[-1] != "/":
-        return True
-    try:
-        re.compile(pattern[1:-1])
-        return True
-    except re.error:
-        return False
+        return None
+    s, out, i, names, quantified = pattern[1:-1], [], 0, {}, False
+    while i < len(s):
+        c, again = s[i], False
+        if c == "\\":
+            if i + 1 == len(s):
+                return None
+            e = s[i + 1]
+            if e == "k" and (m := re.match(r"<([A-Za-z_$][\w$]*)>", s[i + 2 :])):
+                out.append(f"\\k<{names.setdefault(m[1], f'g{len(names)}')}>")
+                i += 2 + m.end()
+                quantified = False
+                continue
+            out.append(e if e.isascii() and e.isalnum() and e not in _ESCAPES else "\\x0B" if e == "v" else "\\" + e)
+            i += 2
+        elif c == "[":
+            j, inner, negated = i + 1, [], s[i + 1 : i + 2] == "^"
+            j += negated
+            while j < len(s) and s[j] != "]":
+                if s[j] == "\\" and j + 1 < len(s):
+                    e = s[j + 1]
+                    inner.append("\\x08" if e == "b" else "\\x0B" if e == "v" else e if e.isascii() and e.isalnum() and e not in _ESCAPES else "\\" + e)
+                    j += 2
+                else:
+                    inner.append("\\" + s[j] if s[j] in "[&^" else s[j])
+                    j += 1
+            if j >= len(s):
+                return None
+            out.append("[" + "^" * negated + "".join(inner) + "]" if inner else "[\\s\\S]" if negated else "(?!)")
+            i = j + 1
+        elif c == "(" and s[i + 1 : i + 2] == "?":
+            m = _GROUP.match(s, i + 1)
+            if not m:
+                return None
+            out.append("(" + (f"?<{names.setdefault(m[1], f'g{len(names)}')}>" if m[1] else m[0]))
+            i = m.end()
+        elif c in "*+?" or c == "{" and _QUANTIFIER.match(s, i):
+            m = _QUANTIFIER.match(s, i) if c == "{" else None
+            end = m.end() if m else i + 1
+            if quantified or s[end : end + 1] == "+":  # repeated, or possessive
+                return None
+            out.append(s[i:end])
+            if s[end : end + 1] == "?":
+                out.append("?")
+                end += 1
+            i, again = end, True
+        else:
+            out.append("\\" + c if c in "{}" else c)
+            i += 1
+        quantified = again
+    return "".join(out)
+
+
+def path_expression(pattern: Column) -> Column:
+    """The Java expression of a pattern in slashes; null for other patterns, and for what does not compile there."""
+    java = F.udf(lambda p: java_pattern(p), "string")(pattern)
+    return F.when(is_regex(pattern), F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), java))
 
 
 def is_regex(pattern: Column) -> Column:

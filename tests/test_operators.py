@@ -25,6 +25,24 @@ def test_entities(spark, s, out):
     assert one(spark, T.decode_entities(F.col("s")), s=s) == out
 
 
+@pytest.mark.parametrize("pattern,path,holds", [
+    ("/(?<x>a)/", "/a", True), ("/(?P<x>a)/", "/a", False), ("/(?<$y_1>a)\\k<$y_1>/", "/aa", True), ("/[/", "/[", False), ("/[[]x/", "/[x", True),
+    ("/[a&&b]/", "/&", True), ("/[^]/", "/", True), ("/[]/", "/", False), ("/a++/", "/aa", False), ("/(?>a)/", "/a", False), ("/(?i)A/", "/a", False),
+    ("/\\A/", "/A", True), ("/\\Qa/", "/Qa", True), ("/x{/", "/x{", True), ("/x{2}y/", "/xxy", True), ("/a{1}{2}/", "/aa", False), ("/(?<!b)a/", "/a", True), ("/\\/fr\\//", "/fr/", True),
+    ("/", "/a/", True), ("//", "/a", True), ("/*/", "/*", False), ("a.c", "/a.c", True), ("a.c", "/abc", False), (None, "/", True), ("/a|/", "/zzz", True), ("/[\\d-z]/", "/-", True), ("/a\\/", "/a", False),
+])
+def test_path_patterns_are_those_of_browsers(spark, pattern, path, holds):
+    rows = spark.createDataFrame([(pattern, path)], "path_pattern string, path string").withColumn("path_regex", rules.path_expression(F.col("path_pattern")))
+    assert rows.select(rule_ops.path_matches(F.col("path_pattern"), F.col("path_regex"), F.col("path")).alias("x")).first()["x"] is holds
+
+
+def test_a_broken_path_fails_no_job(spark):
+    text = "example.com##:matches-path(/(?P<x>a)/) .ad\nexample.com##:matches-path(/(?<x>a)/) .note\nexample.com##:matches-path(/[/) p"
+    pages = spark.createDataFrame([(1, "example.com", "/a")], "page_id long, host string, path string")
+    found = rule_ops.page_selectors(pages, rules.parse_rules(rules.rule_lines(spark, text))).first()
+    assert found["skip"] == [".note"]
+
+
 def test_units_and_trim(spark):
     assert one(spark, T.utf16_length(F.col("s")), s="a😀") == 3
     assert one(spark, T.utrim(F.col("s")), s="\xa0\t x ﻿　") == "x"
