@@ -21,20 +21,49 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 P_SCOPE = frozenset("td th caption table button html body".split())
 
 
+#: Elements nest so deep at most: further ones become siblings, as browsers have it (a fixed value), so a page of tags that
+#: are never closed costs no more than another one of its size.
+DEPTH = 512
+
+
 class Node:
-    """An element, or a text or comment when its tag is #text or #comment."""
+    """An element, or a text or comment when its tag is #text or #comment.
+
+    index is its place among its parent's kids, nth its place among the elements there, prev the element before it; last
+    is its own last element.
+    """
 
-    __slots__ = ("tag", "attrs", "kids", "parent", "text", "path", "shadow")
+    __slots__ = ("tag", "attrs", "kids", "parent", "text", "own_path", "index", "nth", "prev", "last", "shadow")
 
-    def __init__(self, tag: str, parent: Node | None = None, attrs: dict | None = None, text: str = "", path: str = ""):
-        self.tag, self.parent, self.attrs, self.text, self.path = tag, parent, attrs or {}, text, path
+    def __init__(self, tag: str, parent: Node | None = None, attrs: dict | None = None, text: str = "", path: str | None = None):
+        self.tag, self.parent, self.attrs, self.text, self.own_path = tag, parent, attrs or {}, text, path
         self.kids: list[Node] = []
         self.shadow: list[Node] = []
+        self.index = self.nth = 0
+        self.prev = self.last = None
 
     @property
     def is_element(self) -> bool:
         return self.tag[0] != "#"
 
+    @property
+    def path(self) -> str:
+        """Indexes from the root on; written when it is asked for."""
+        parts, n = [], self
+        while n is not None and n.own_path is None and n.parent is not None:
+            parts.append(str(n.index))
+            n = n.parent
+        head = n.own_path or "" if n is not None else ""
+        return "/".join([head, *reversed(parts)]) if parts else head
+
+    def put(self, node: Node) -> None:
+        """Append a node."""
+        node.index = len(self.kids)
+        self.kids.append(node)
+        if node.is_element:
+            node.prev, self.last = self.last, node
+            node.nth = node.prev.nth + 1 if node.prev is not None else 0
+
     def elements(self):
         return [k for k in self.kids if k.is_element]
 
@@ -52,58 +81,61 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
+        self.at: dict[str, list[int]] = {}  # where in open each tag stands
 
     def _close_to(self, i: int) -> None:
+        for n in self.open[i:]:
+            self.at[n.tag].pop()
         del self.open[i:]
 
+    def _nearest(self, tags) -> int:
+        """Where the innermost open element of some tags stands; 0: nowhere."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=0)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("html", "body", "head") and any(n.tag == tag for n in self.open):
+        if tag in ("html", "body", "head") and self.at.get(tag):
             return
-        if tag in ENDS_P:
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i].tag == "p":
-                    self._close_to(i)
-                    break
-                if self.open[i].tag in P_SCOPE:
-                    break
+        if tag in ENDS_P and (i := self._nearest("p".split())) > self._nearest(P_SCOPE):
+            self._close_to(i)
         if tag in ENDS:
             ends, stops = ENDS[tag]
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i].tag in ends:
-                    self._close_to(i)
-                    break
-                if self.open[i].tag in stops:
-                    break
+            if (i := self._nearest(ends)) > self._nearest(stops - ends):
+                self._close_to(i)
         parent = self.open[-1]
-        node = Node(tag, parent, {k: v or "" for k, v in attrs}, path=f"{parent.path}/{len(parent.kids)}")
-        parent.kids.append(node)
+        if len(self.open) > DEPTH:
+            parent = parent.parent
+        node = Node(tag, parent, {k: v or "" for k, v in attrs})
+        parent.put(node)
         if tag not in VOID:
+            self.at.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].parent is not None and tag in ("svg", "path", "use", "math"):
-            self.open.pop()
+            self._close_to(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                node = self.open[i]
-                self._close_to(i)
-                if tag == "template" and node.attrs.get("shadowrootmode") == "open":
-                    host = node.parent
-                    host.kids.remove(node)
-                    host.shadow = node.kids
-                    for k in node.kids:
-                        k.parent = host
-                return
+        i = self._nearest([tag])
+        if not i:
+            return
+        node = self.open[i]
+        self._close_to(i)
+        if tag == "template" and node.attrs.get("shadowrootmode") == "open" and node.parent.last is node:
+            host = node.parent
+            host.kids.remove(node)
+            host.last, host.shadow = node.prev, node.kids
+            for k in node.kids:
+                k.own_path = k.path
+            for k in node.kids:
+                k.parent = host
 
     def _leaf(self, tag: str, text: str) -> None:
         parent = self.open[-1]
         if tag == "#text" and parent.kids and parent.kids[-1].tag == "#text":
             parent.kids[-1].text += text
         else:
-            parent.kids.append(Node(tag, parent, text=text, path=f"{parent.path}/{len(parent.kids)}"))
+            parent.put(Node(tag, parent, text=text))
 
     def handle_data(self, data: str) -> None:
         self._leaf("#text", data)
@@ -121,7 +153,19 @@ def parse(html: str) -> Node:
 
 
 # --- selectors
-_TOKEN = re.compile(r"""\s*([>+])\s*|(\s+)|([A-Za-z*][\w-]*)|\#([\w-]+)|\.([\w-]+)|\[\s*([\w-]+)\s*(?:([\^*]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]*)))?\s*\]|:(not|has|is)\(""")
+_TOKEN = re.compile(r"""\s*([>+~])\s*|(\s+)|([A-Za-z*][\w-]*)|\#([\w-]+)|\.([\w-]+)|\[\s*([\w-]+)\s*(?:([\^*]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]*)))?\s*\]|:(not|has|is)\(|:(nth-child|nth-last-child)\(\s*([^()]*?)\s*\)|:(first-child|last-child|only-child)(?![\w-])""")
+_NTH = re.compile(r"([+-]?\d*)n(?:\s*([+-])\s*(\d+))?|([+-]?\d+)")
+
+
+def _nth(s: str) -> tuple[int, int]:
+    """a and b of an+b."""
+    s = {"odd": "2n+1", "even": "2n"}.get(s.lower(), s.lower())
+    m = _NTH.fullmatch(s)
+    if not m:
+        raise ValueError(f"selector not supported: {s!r}")
+    if m[4]:
+        return 0, int(m[4])
+    return int(m[1] + "1" if m[1] in ("", "+", "-") else m[1]), int((m[2] or "+") + (m[3] or "0"))
 
 
 def _split_list(s: str) -> list[str]:
@@ -180,6 +224,10 @@ def _compile_one(s: str) -> tuple:
             tests.append(("class", m[5]))
         elif m[6]:
             tests.append((m[7] or "has-attr", (m[6].lower(), m[8] or m[9] or m[10] or "")))
+        elif m[12]:
+            tests.append((m[12], _nth(m[13])))
+        elif m[14]:
+            tests += [(k, (0, 1)) for k in {"first-child": ["nth-child"], "last-child": ["nth-last-child"]}.get(m[14], ["nth-child", "nth-last-child"])]
         else:
             depth, j = 1, i
             while j < len(s) and depth:
@@ -207,18 +255,18 @@ def _test(n: Node, kind: str, x) -> bool:
         return matches(n, x)
     if kind == ":has":
         return any(_has(n, alternative) for alternative in x)
+    if kind in ("nth-child", "nth-last-child"):
+        if n.parent is None:
+            return False
+        a, b = x
+        at = n.nth + 1 if kind == "nth-child" else n.parent.last.nth - n.nth + 1 if n.parent.last is not None else 1
+        return at == b if a == 0 else (at - b) % a == 0 and (at - b) // a >= 0
     value = n.attrs.get(x[0])
     if value is None:
         return False
     return kind == "has-attr" or kind == "=" and value == x[1] or bool(x[1]) and (kind == "^=" and value.startswith(x[1]) or kind == "*=" and x[1] in value)
 
 
-def _before(n: Node) -> Node | None:
-    siblings = n.parent.elements() if n.parent else []
-    at = next((i for i, s in enumerate(siblings) if s is n), 0)
-    return siblings[at - 1] if at else None
-
-
 def _fits(n: Node, steps: tuple, scope: Node | None = None) -> bool:
     """Whether n is what the steps end in; the first step hangs on scope, if there is one."""
     combinator, tests = steps[-1]
@@ -228,7 +276,12 @@ def _fits(n: Node, steps: tuple, scope: Node | None = None) -> bool:
     if not rest and scope is None:
         return True
     if combinator == "+":
-        near = [_before(n)]
+        near = [n.prev]
+    elif combinator == "~":
+        near, p = [], n.prev
+        while p is not None:
+            near.append(p)
+            p = p.prev
     elif combinator == ">":
         near = [n.parent]
     else:
@@ -243,12 +296,17 @@ def _fits(n: Node, steps: tuple, scope: Node | None = None) -> bool:
 
 def _has(n: Node, steps: tuple) -> bool:
     pool = n.below()
-    if steps[0][0] == "+":
+    if steps[0][0] in "+~":
         siblings = n.parent.elements() if n.parent else []
         at = next((i for i, s in enumerate(siblings) if s is n), len(siblings))
         pool = siblings[at + 1 :]
     return any(_fits(d, steps, n) for d in pool)
 
 
+def asks_attributes(selector: tuple) -> bool:
+    """Whether no element without attributes can match."""
+    return all(any(kind in ("class", "has-attr", "=", "^=", "*=") for kind, _ in steps[-1][1]) for steps in selector)
+
+
 def matches(n: Node, selector: tuple) -> bool:
     return any(_fits(n, steps) for steps in selector)

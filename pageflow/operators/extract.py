@@ -1,8 +1,9 @@
 """Readable text blocks of HTML pages.
 
 The tree of a page is walked once. Facts that many decisions need (does an element hold a block, is it laid out in
-line, is it hidden, is it inside or above an included part) are noted once per element, so a page takes time in
-proportion to its size. Layout is static: inline styles and the usual display of each tag; style sheets are not read.
+line, is it hidden, does it keep lines, has it a text, is it inside or above an included part) are noted once per element, and
+the tree is no deeper than a browser's, so a page takes time in proportion to its size, however its tags nest. Layout is
+static: inline styles and the usual display of each tag; style sheets are not read.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageflow.functions.html import Node, compile_selector, matches, parse, valid_selector
+from pageflow.functions.html import DEPTH, Node, asks_attributes, compile_selector, matches, parse, valid_selector
 from pageflow.session import portions, ship
 
 # How tags are treated.
@@ -47,6 +48,9 @@ SHORT = re.compile(r"[a-zA-Z0-9]{1,2}")
 SCHEMA = "page_id long, block_ord int, tag string, node_path string, text string, synthetic boolean, target_path string, tail_block boolean, before_path string"
 
 
+NO_STYLE: dict[str, str] = {}
+
+
 def is_white(n: Node) -> bool:
     return n.tag == "#text" and not n.text.strip(WHITE)
 
@@ -57,6 +61,7 @@ class Walk:
     def __init__(self, root: Node, skip: list[str], include: list[str]):
         self.root, self.blocks, self.facts = root, [], {}
         self.skip = [compile_selector(s) for s in skip]
+        self.skip_bare = [s for s in self.skip if not asks_attributes(s)]
         self.editors = [compile_selector(s) for s in EDITORS]
         self.included = self._included(root, [compile_selector(s) for s in include]) if include else None
         self.walk(root)
@@ -84,6 +89,8 @@ class Walk:
         return known[name]
 
     def style(self, n: Node) -> dict[str, str]:
+        if "style" not in n.attrs:
+            return NO_STYLE
         return self.fact(n, "style", lambda n: {k.strip().lower(): v.strip().lower() for k, _, v in (p.partition(":") for p in n.attrs.get("style", "").split(";")) if v})
 
     def inline(self, n: Node) -> bool:
@@ -105,7 +112,7 @@ class Walk:
             if k.tag in NEVER:
                 return False
             if k.tag not in INLINE:
-                if "-" in k.tag and not self.all_text(k).strip(WHITE):
+                if "-" in k.tag and not self.has_text(k):
                     return False
                 if not self.inline(k):
                     return True
@@ -118,7 +125,20 @@ class Walk:
         return n.tag == "#text" or n.is_element and n.tag not in NEVER and not self.holds_block(n) and self.inline(n)
 
     def all_text(self, n: Node) -> str:
-        return n.text if n.tag == "#text" else "".join(map(self.all_text, n.kids)) if n.is_element or n.tag == "#root" else ""
+        out, stack = [], [n]
+        while stack:
+            n = stack.pop()
+            if n.tag == "#text":
+                out.append(n.text)
+            elif n.tag != "#comment":
+                stack += n.kids[::-1]
+        return "".join(out)
+
+    def has_text(self, n: Node) -> bool:
+        """A text that isn't white, in it or below."""
+        if n.tag == "#text":
+            return bool(n.text.strip(WHITE))
+        return n.tag != "#comment" and self.fact(n, "has_text", lambda n: any(map(self.has_text, n.kids)))
 
     def hidden(self, n: Node) -> bool:
         def gone(n: Node) -> bool:  # not laid out, with all below
@@ -142,7 +162,8 @@ class Walk:
 
     def in_editor(self, n: Node) -> bool:
         def find(n: Node) -> bool:
-            return n.is_element and any(matches(n, s) for s in self.editors) or n.parent is not None and self.fact(n.parent, "in_editor", find)
+            # all of these ask for a class or an attribute
+            return n.is_element and bool(n.attrs) and any(matches(n, s) for s in self.editors) or n.parent is not None and self.fact(n.parent, "in_editor", find)
 
         return self.fact(n, "in_editor", find)
 
@@ -151,26 +172,31 @@ class Walk:
         classes = n.attrs.get("class", "").split()
         return n.tag in NEVER or "notranslate" in classes or RESULT_CLASS in classes or n.attrs.get("translate") == "no" or self.editable(n)
 
+    def left_out(self, n: Node) -> bool:
+        """By a rule."""
+        return any(matches(n, s) for s in (self.skip if n.attrs else self.skip_bare))
+
     def skipped(self, n: Node) -> bool:
         if self.included is not None and id(n) not in self.included and not n.shadow and not any(d.shadow for d in n.below()):
             return True
-        return any(matches(n, s) for s in self.skip) or self.off_limits(n) or self.in_editor(n) or DONE_ATTR in n.attrs
+        return self.left_out(n) or self.off_limits(n) or self.in_editor(n) or DONE_ATTR in n.attrs
 
     def text_of(self, nodes: list[Node]) -> str:
         out = []
         for n in nodes:
             if n.tag == "#text":
                 out.append(n.text)
-            elif n.is_element and not self.off_limits(n) and not self.hidden(n) and not any(matches(n, s) for s in self.skip):
+            elif n.is_element and not self.off_limits(n) and not self.hidden(n) and not self.left_out(n):
                 out.append(self.text_of(n.kids))
         return "".join(out)
 
     def keeps_lines(self, n: Node) -> bool:
-        while n is not None:
+        def find(n: Node) -> bool:
             if n.is_element and (own := self.style(n).get("white-space")):
                 return own.startswith("pre") or own == "break-spaces"
-            n = n.parent
-        return False
+            return n.parent is not None and self.fact(n.parent, "keeps_lines", find)
+
+        return self.fact(n, "keeps_lines", find)
 
     def has_br_pair(self, n: Node) -> bool:
         count = 0
@@ -187,13 +213,13 @@ class Walk:
     def target(self, n: Node) -> Node:
         """Down while the only visible child is an element."""
         while True:
-            seen = [k for k in n.kids if k.tag == "#text" and k.text.strip(WHITE) or k.is_element and not self.hidden(k) and self.all_text(k).strip(WHITE)]
+            seen = [k for k in n.kids if k.tag == "#text" and k.text.strip(WHITE) or k.is_element and not self.hidden(k) and self.has_text(k)]
             if len(seen) != 1 or not seen[0].is_element:
                 return n
             n = seen[0]
 
     def ends_in_block(self, n: Node) -> bool:
-        last = next((k for k in reversed(n.kids) if k.tag == "#text" and k.text.strip(WHITE) or k.is_element and self.all_text(k).strip(WHITE)), None)
+        last = next((k for k in reversed(n.kids) if k.tag == "#text" and k.text.strip(WHITE) or k.is_element and self.has_text(k)), None)
         return last is not None and last.is_element and not self.inline(last)
 
     def before(self, n: Node) -> str | None:
@@ -203,7 +229,7 @@ class Walk:
             k = n.kids[i]
             if k.is_element and RESULT_CLASS in k.attrs.get("class", "").split():
                 continue
-            if self.all_text(k).strip(WHITE):
+            if self.has_text(k):
                 break
             ref = k.path or f"{n.path}#{i}"
         return ref
@@ -325,7 +351,7 @@ def blocks_of(html: str | None, skip: list[str] | None = None, include: list[str
     """Blocks of one page, in document order."""
     if not html:
         return []
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEPTH))
     return Walk(parse(html), skip or [], include or []).blocks
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from pageflow.functions.html import compile_selector, matches, parse
@@ -43,8 +45,41 @@ def test_rules():
     assert texts("<p>whole <b class=x>leaf</b> text</p>", include=[".x"]) == ["whole leaf text"]
 
 
-def test_deep_page():
-    assert texts("<div>" * 3000 + "deep text" + "</div>" * 3000) == ["deep text"]
+@pytest.mark.parametrize("tag", ["div", "span", "p", "li", "x-y", "div style='white-space:pre'", "span class=c", "div hidden", "b"])
+def test_deep_pages(tag):
+    """Tags that are never closed: the page ends in time, and twice the depth takes some twice the time."""
+    name, took = tag.split()[0], []
+    for n in (50_000, 100_000) if tag in ("div", "span") else (10_000, 20_000):
+        start = time.process_time()
+        found = texts(f"<{tag}>" * n + "deep text" + f"</{name}></u>" * n + "<p>last text", skip=[".a .b", ".c + .d"])
+        took.append(time.process_time() - start)
+        assert found == (["last text"] if "hidden" in tag else ["deep text", "last text"])
+    assert took[1] < 30 and took[1] < 4 * took[0]
+
+
+def test_browsers_nest_512_deep():
+    root = parse("<div>" * 600 + "text")
+    depth, n = 0, root
+    while n.elements():
+        n, depth = n.elements()[-1], depth + 1
+    assert depth == 512 and n.kids[0].text == "text" and len(n.parent.elements()) == 600 - 511
+
+
+def test_places_of_nodes():
+    root = parse("<div>a<p>x</p><!-- c --><p>y<b>z</b></p></div>")
+    div = root.kids[0]
+    assert [k.path for k in div.kids] == ["/0/0", "/0/1", "/0/2", "/0/3"] and div.kids[3].kids[1].path == "/0/3/1"
+    assert [k.nth for k in div.elements()] == [0, 1] and div.last.prev is div.kids[1]
+
+
+@pytest.mark.parametrize(
+    "selector,ids",
+    [("li:nth-child(2)", "b"), ("li:nth-child(odd)", "ac"), ("li:nth-child(2n)", "bd"), ("li:nth-child(-n+2)", "ab"), ("li:nth-child(n + 3)", "cd"), ("li:nth-last-child(1)", "d"), ("li:nth-last-child(-n+2)", "cd"),
+     ("li:first-child", "a"), ("li:last-child", "d"), ("li:only-child", ""), (".x ~ li", "cd"), (".x + li", "c"), (".x ~ li:last-child", "d"), ("#a ~ .x ~ #d", "d"), ("ul:has(~ ol) > li", "abcd"), ("ol:has(~ ul) > li", ""), ("li:nth-child(0)", "")],
+)
+def test_sibling_selectors(selector, ids):
+    root = parse("<ul>\n<li id=a>1</li><!-- n --> text <li id=b class=x>2</li><li id=c>3<li id=d>4</ul><ol><i>n</i></ol>")
+    assert "".join(n.attrs["id"] for n in root.below() if n.tag == "li" and matches(n, compile_selector(selector))) == ids
 
 
 def test_blocks_never_nest():
@@ -63,7 +98,7 @@ def test_selectors(selector, ids):
     assert "".join(d.attrs["n"] for d in root.below() if matches(d, s)) == ids
 
 
-@pytest.mark.parametrize("selector", ["a:nth-child(2)", "a ~ b", "a >", "", ":not(a"])
+@pytest.mark.parametrize("selector", ["a:nth-child(2 of b)", "a:nth-child(n+)", "a:hover", "a >", "", ":not(a"])
 def test_unsupported_selectors(selector):
     with pytest.raises(ValueError):
         compile_selector(selector)
