@@ -160,8 +160,14 @@ def wide_hash(form: Column) -> Column:
     return F.lower(F.concat(part(F.xxhash64(form)), part(F.xxhash64(F.lit(1), form))))
 
 
+def copy_key(text: Column) -> Column:
+    """What only copies share: the text's SHA-256, so that texts with one fingerprint that are not the same have several keys."""
+    return F.sha2(text.cast("binary"), 256)
+
+
 def _placed(key: Column) -> dict[str, Column]:
-    return {"map": F.pmod(key, F.lit(MAPS)), "bit": F.pmod(F.shiftright(key, 8), F.lit(1 << 15))}
+    bits = F.conv(F.substring(key, 1, 12), 16, 10).cast("long")
+    return {"map": F.pmod(bits, F.lit(MAPS)), "bit": F.pmod(F.shiftright(bits, 8), F.lit(1 << 15))}
 
 
 def repeated_filter(rows: DataFrame) -> DataFrame:
@@ -175,10 +181,10 @@ def repeated_filter(rows: DataFrame) -> DataFrame:
 def collisions(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """Hashes shared by different canonical forms; within equal hashes, forms are compared byte by byte.
 
-    texts: text; rows: key (a hash of the text), hash. Copies have one key, so only texts that share a hash and are not the
+    texts: text; rows: key (copy_key of the text), hash. Copies have one key, so only texts that share a hash and are not the
     same need their form again. The filter lets those through and, when it is full, others too.
     """
-    keyed = texts.withColumns(_placed(F.xxhash64("text")))
+    keyed = texts.withColumns(_placed(copy_key(F.col("text"))))
     # MAPS rows of 4 KB at most
     again = keyed.join(F.broadcast(repeated_filter(rows)), "map").where("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) & 1 = 1")
     forms = with_canonical(again.select("text"), "text", "form").select(wide_hash(F.col("form")).alias("hash"), "form")
@@ -245,7 +251,7 @@ def _digests(texts: DataFrame, n: int, clash: list[str]) -> DataFrame:
     """The result's rows and their key, written; a range's last row meets the first one of the next range afterwards."""
     own = with_canonical(texts, "text", "form").select("doc_id", _told_apart(F.col("form"), clash).alias("hash"), "text")
     ends = F.when(F.col("first") | F.col("last"), F.col("text")).alias("text")
-    rows = materialise(_edited(with_next(own, n), clash, F.xxhash64("text").alias("key"), F.col("range"), F.col("first"), F.col("last"), ends), "op10-rows")
+    rows = materialise(_edited(with_next(own, n), clash, copy_key(F.col("text")).alias("key"), F.col("range"), F.col("first"), F.col("last"), ends), "op10-rows")
     # two rows for each range from here on
     firsts = rows.where("first").select("range", F.col("fingerprint").alias("next_hash"), F.col("text").alias("next_text"))
     by = Window.orderBy("range")

@@ -44,6 +44,8 @@ from pageflow.session import materialise, shared_dir, ship
 #: Rows to find the centres from, centres (they grow with the rows, up to the second number), rows of a chunk, queries of a
 #: group, rows of a tree's leaf, groups that one task meets with a chunk.
 SAMPLE, CELLS, MOST_CELLS, CHUNK, GROUP, LEAF, TOGETHER = 4096, 32, 1024, 16_384, 1024, 64, 64
+#: Partitions of a meeting at most.
+MOST_TASKS = 8000
 LARGEST = 1 << 20
 #: Rows of a block of the exact search.
 EXACT = 4096
@@ -274,13 +276,20 @@ def _trees(dealt: DataFrame, counts: dict[int, int], size: int, width: int, cent
     return keyed.groupBy("cell", "chunk").applyInPandas(build, TREE)
 
 
-def _meet(pairs: DataFrame, chunks: DataFrame, k: int, tasks: int) -> DataFrame:
+def partitions_for(pairs: int, least: int) -> int:
+    """As many partitions as give each about TOGETHER pairs of a group and a chunk; ``least`` while there are fewer, never over MOST_TASKS."""
+    return max(1, min(pairs, max(least, min(MOST_TASKS, -(-pairs // TOGETHER)))))
+
+
+def _meet(pairs: DataFrame, chunks: DataFrame, k: int, many: int) -> DataFrame:
     """query_id, vec_id, score of the k best of every query in every chunk it meets.
 
-    pairs: cell, chunk, task, queries and worst, the files of a group's tree and of its worst scores so far (null: none).
-    Rows hold names only; each task number is a partition of its own, one chunk and a part of the groups. A task reads the
-    chunk's tree once and the groups' one after another.
+    pairs, of which there are ``many``: cell, chunk, task, queries and worst, the files of a group's tree and of its worst
+    scores so far (null: none). Rows hold names only. A task number stands for a chunk and a part of the groups; numbers
+    are dealt to partitions in proportion to the pairs, sorted by chunk: a task reads a chunk's tree once and the groups' one
+    after another.
     """
+    n = partitions_for(many, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, refs = None, None
@@ -296,7 +305,7 @@ def _meet(pairs: DataFrame, chunks: DataFrame, k: int, tasks: int) -> DataFrame:
                 yield pd.DataFrame({"query_id": queries.ids[q], "vec_id": best.id[q, j], "score": best.score[q, j].astype(np.int64)})
 
     named = pairs.join(chunks.select("cell", "chunk", "path"), ["cell", "chunk"])
-    return named.repartitionById(tasks, "task").mapInPandas(run, RESULT)
+    return named.repartitionById(n, F.pmod("task", F.lit(n)).cast("int")).sortWithinPartitions("path", "queries").mapInPandas(run, RESULT)
 
 
 def _best_of(found: DataFrame, k: int) -> DataFrame:
@@ -339,10 +348,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
     in_cell = {c: max(1, -(-m // CHUNK)) for c, m in sizes.items()}
     many_groups = sum(max(1, -(-m // GROUP)) for m in asked_sizes.values())
     parts = max(1, -(-many_groups // TOGETHER))
-    before, tasks = {}, 0  # a number for each chunk and part
+    before, at = {}, 0  # numbers of a cell's chunks
     for c in sorted(in_cell):
-        before[c], tasks = tasks, tasks + in_cell[c]
-    tasks = max(1, tasks * parts)
+        before[c], at = at, at + in_cell[c]
     # the chunks of a group's own cell, or of the nearest that has any
     full = sorted(in_cell)
     home = {c: min(full, key=lambda d: ((centres[c] - centres[d]) ** 2).sum()) for c in range(len(centres))} if full else {}
@@ -367,22 +375,24 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
                 out += [{"cell": d, "chunk": c, "task": (before[d] + c) * parts + part, "queries": g["queries"], "worst": told} for d in wanted for c in range(in_cell[d])]
             yield pa.RecordBatch.from_pylist(out, schema=PAIRS)
 
-    schema = "cell int, chunk int, task int, queries string, worst string"
-    own = _best_of(_meet(groups.mapInArrow(lambda it: to_pairs(it, True), schema), chunks, k, tasks), k).select("query_id", "vec_id", "score")
+    schema = "cell int, chunk int, task long, queries string, worst string"
+    near = sum(max(1, -(-m // GROUP)) * in_cell[home[c]] for c, m in asked_sizes.items() if home)
+    own = _best_of(_meet(groups.mapInArrow(lambda it: to_pairs(it, True), schema), chunks, k, near), k).select("query_id", "vec_id", "score")
     own = materialise(own, "op1-own")
     kth = own.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("have")).where(F.col("have") >= k)
     # the worst known score of each query goes to its group: as many rows as queries, by group
     where = asked_cells.select("vec_id", "cell", F.pmod(F.xxhash64("vec_id"), F.get(F.lit([max(1, -(-asked_sizes.get(c, 0) // GROUP)) for c in range(len(centres))]).cast("array<int>"), F.col("cell"))).cast("int").alias("group"))
     told = where.join(kth, where["vec_id"] == kth["query_id"]).groupBy("cell", "group").agg(F.collect_list("vec_id").alias("known_ids"), F.collect_list(F.col("kth").cast("double")).alias("known_worst"))
     pairs = materialise(groups.join(told, ["cell", "group"], "left").mapInArrow(lambda it: to_pairs(it, False), schema), "op1-pairs")
+    left = pairs.count()
     if report is not None:
-        report |= {"pairs": many_groups * sum(in_cell.values()), "met": pairs.count() + sum(max(1, -(-m // GROUP)) * in_cell[home[c]] for c, m in asked_sizes.items() if home)}
-    far = _meet(pairs, chunks, k, tasks)
+        report |= {"pairs": many_groups * sum(in_cell.values()), "met": left + near}
+    far = _meet(pairs, chunks, k, left)
     found = reduce(DataFrame.unionByName, exact, own.unionByName(far))
     return _best_of(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-PAIRS = pa.schema([("cell", pa.int32()), ("chunk", pa.int32()), ("task", pa.int32()), ("queries", pa.string()), ("worst", pa.string())])
+PAIRS = pa.schema([("cell", pa.int32()), ("chunk", pa.int32()), ("task", pa.int64()), ("queries", pa.string()), ("worst", pa.string())])
 
 #: The same by SQL.
 ORACLE = """

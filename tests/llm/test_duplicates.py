@@ -175,6 +175,17 @@ def test_colliding_hashes_are_told_apart(spark, monkeypatch):
     check_edits(spark.createDataFrame([(i, t) for i, t in enumerate(["aa", "AA", "bb", "cccc", "cc", "dddd", "", "aa "])], "doc_id long, text string"))
 
 
+def test_canonical_texts_with_one_fingerprint_are_told_apart(spark, monkeypatch):
+    """Every xxhash is weak here, so canonical texts of one length share both halves of the fingerprint; the key is the code's own."""
+    monkeypatch.setattr(op10_digest.F, "xxhash64", lambda *cols: F.length(cols[-1] if not isinstance(cols[-1], str) else F.col(cols[-1])).cast("long"))
+    texts = ["abc", "abd", "abc", "xyz", "ab", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_edits(rows)
+    got = {r["doc_id"]: r["fingerprint"] for r in op10_digest.fingerprint_edits(rows).collect()}
+    assert len({got[i] for i in (0, 1, 3)}) == 3 and got[0] == got[2] and got[5] == got[6]
+    assert {got[i][:32] for i in (0, 1, 3)} == {got[0][:32]}
+
+
 def edited(words, rng, share):
     return [f"new{rng.randrange(10**6)}" if rng.random() < share else w for w in words]
 

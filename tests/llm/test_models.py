@@ -262,6 +262,10 @@ def test_pairs_are_pruned(spark, monkeypatch):
     assert 0 < report["met"] < 0.2 * report["pairs"]
 
 
+def test_partitions_of_a_meeting_follow_its_pairs():
+    assert [op1_covertree.partitions_for(n, 200) for n in (0, 1, 150, 1000, 64_000, 10**6, 10**9, 10**13)] == [1, 1, 150, 200, 1000, 8000, 8000, 8000]
+
+
 def test_top_k_with_large_components(spark, monkeypatch):
     monkeypatch.setattr(op1_covertree, "EXACT", 40)
     rng = np.random.default_rng(8)
