@@ -6,6 +6,7 @@ tables lack is derived from ids: a cached entry's time, a block's version. Array
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,13 +16,14 @@ from pyspark.sql.window import Window
 from pageflow import config
 from pageflow.functions import language
 from pageflow.functions import text as T
-from pageflow.operators import batching, blocks, cache
+from pageflow.operators import batching, blocks, cache, spread
 from pageflow.operators import rules as rule_ops
+from pageflow.operators.cache_store import CacheStore
 from pageflow.operators.extract import RESULT_CLASS, extract_blocks
 from pageflow.plans import bilingual
 from pageflow.sources import rules as rule_text
 from pageflow.sources import settings
-from pageflow.session import materialise
+from pageflow.session import materialise, shared_dir
 from pageflow.streaming import incremental, stateful
 
 #: Rules in the same language as a site owner writes them, over the hosts of the pages table.
@@ -264,6 +266,29 @@ def pack_groups(spark, d):
     return batching.packed_groups(table(spark, d, "conversations"), ["conv_id"], ["turn"], "text").select("conv_id", "turn", "batch_id")
 
 
+@query("batch_spread", fold_sql("1", "conv_id, turn", units("text"), "30", "4000", "conversations", "conv_id, turn"))
+def batch_spread(spark, d):
+    """The whole table as one key: ranges are folded in parallel and put together."""
+    return spread.spread_batches(table(spark, d, "conversations"), [], ["conv_id", "turn"], 30, 4000, T.utf16_length(F.col("text"))).select("conv_id", "turn", "batch_id")
+
+
+def merging_translator(text: str, lang: str) -> str:
+    """A provider that merges the lines of some messages, by their length."""
+    out = "\n".join(f"[{lang}] {x} " for x in text.split("\n"))
+    return out.replace("\n", " ", 1) if len(text) % 3 == 0 else out
+
+
+FLAT = trim(f"regexp_replace(text, '{WS}*\\n{WS}*', ' ', 'g')")
+
+
+@query("line_requests", fold_sql("conv_id", "turn", units("flat") + " + 1", "1000000", "950", f"(select conv_id, turn, {FLAT} as flat from conversations where length({FLAT}) between 1 and 950)", "conv_id, turn, flat").replace("select conv_id, turn, flat, batch_id from f", """select conv_id, turn, '[fr] ' || flat || case when alone then ' ' else '' end as translated, alone from (
+  select *, length(string_agg(flat, chr(10)) over (partition by conv_id, batch_id order by turn rows between unbounded preceding and unbounded following)) % 3 = 0 and count(*) over (partition by conv_id, batch_id) > 1 as alone from f)"""))
+def line_requests(spark, d):
+    """Texts of a conversation, a line each in a request; where lines come back merged, each is sent again alone."""
+    rows = table(spark, d, "conversations").where(F.length(T.flatten_lines(F.col("text"))).between(1, 950))
+    return bilingual.translate_by_lines(rows, ["conv_id"], ["turn"], "text", merging_translator, "fr").select("conv_id", "turn", "translated", "alone")
+
+
 SENTENCE = "[^.!?。！？]*[.!?。！？]+[\"'')\\]]*[\\s\\x0B\\p{Z}\\x{FEFF}]*|[^.!?。！？]+$"
 
 
@@ -491,6 +516,19 @@ def cache_evict(spark, d):
     return cache.evict(_cache(spark, d), as_of(), entries=200).select(F.md5(F.col("source").cast("binary")).alias("source_md5"), F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+@query("cache_snapshots", f"""with e as (select text, max(doc_id) as m, doc_id % 3 as batch from documents group by text, doc_id % 3),
+last as (select text, arg_max(m, batch) as m from e group by text)
+select md5(text) as source_md5, 'v' || m as translated from last order by text desc limit {config.CACHE_ENTRIES}""")
+def cache_snapshots(spark, d):
+    """Three batches of translations, one of them written twice, as commits of the cache; its newest snapshot."""
+    store = CacheStore(spark, f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}")
+    docs = table(spark, d, "documents")
+    for batch in (0, 1, 1, 2):
+        new = docs.where(F.col("doc_id") % 3 == batch).groupBy("text").agg(F.max("doc_id").alias("m"))
+        store.commit(new.select(F.lit("fr").alias("target_lang"), F.col("text").alias("source"), F.concat(F.lit("v"), F.col("m").cast("string")).alias("translated"), F.timestamp_seconds(F.lit(1_717_200_000)).alias("ts")), "docs", batch)
+    return store.read().select(F.md5(F.col("source").cast("binary")).alias("source_md5"), "translated")
+
+
 @query("cache_write_filter", f"select doc_id, {trim('out')} <> '' and lower(out) <> lower(text) as cached from (select doc_id, text, case doc_id % 4 when 0 then lower(text) when 1 then ' ' when 2 then '' else '[fr] ' || text end as out from documents)")
 def cache_write_filter(spark, d):
     return _answers(spark, d).select("doc_id", T.is_worth_caching(F.col("text"), F.col("out")).alias("cached"))

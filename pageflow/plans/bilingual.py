@@ -8,11 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageflow.config import MESSAGE_CHARS
+from pageflow.config import MESSAGE_CHARS, REQUEST_CHARS
 from pageflow.functions import text as T
 from pageflow.functions.language import other_language
 from pageflow.operators import blocks as B
 from pageflow.operators import cache as C
+from pageflow.operators.batching import long_parts, packed_groups
 from pageflow.operators.extract import extract_blocks
 from pageflow.operators.rules import place_selectors
 from pageflow.session import materialise, ship
@@ -65,6 +66,63 @@ def echo_translator(texts: list[str], target_lang: str) -> list[str]:
     return [f"[{target_lang}] {t}" for t in texts]
 
 
+#: A translator of one message: a text and a target language to a text. It may merge or split lines.
+OneTranslator = Callable[[str, str], str]
+
+
+def _sent(messages: DataFrame, text: str, translator: OneTranslator, target_lang: str, *keep: str) -> DataFrame:
+    """keep, reply and error: each row's text sent alone."""
+    ship(messages.sparkSession)
+    schema = ", ".join([*(f"`{k}` {messages.schema[k].dataType.simpleString()}" for k in keep), "reply string", "error string"])
+
+    def ask(x: str) -> tuple[str | None, str | None]:
+        try:
+            return translator(x, target_lang), None
+        except Exception as e:  # noqa: BLE001  an error belongs to its message
+            return None, str(e)[:MESSAGE_CHARS]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            replies = [ask(x) for x in pdf[text].tolist()]
+            yield pdf[list(keep)].assign(reply=[r for r, _ in replies], error=[e for _, e in replies])
+
+    return messages.select(*keep, *([] if text in keep else [text])).mapInPandas(run, schema)
+
+
+def translate_by_lines(rows: DataFrame, key: list[str], order: list[str], text: str, translator: OneTranslator, target_lang: str, limit: int = REQUEST_CHARS) -> DataFrame:
+    """key, order, translated, error and alone of every row: texts of a key in order, many to a request, a line each.
+
+    Line ends inside texts become spaces first. A request holds up to ``limit`` units with its line ends. If the number of a
+    reply's lines is not that of the texts, the translator has merged or split some, and each text of that request is sent
+    again alone (``alone``). A text over the limit is sent in parts at its sentences, an empty one not at all. An error is that of
+    all rows of its request. Rows of a key are told apart by order.
+    """
+    if taken := {"flat", "place", "message", "units"} & {*key, *order}:
+        raise ValueError(f"columns with names of their own: {sorted(taken)}")
+    ident = [*key, *order]
+    flat = rows.select(*ident, T.flatten_lines(F.coalesce(F.col(text), F.lit(""))).alias("flat")).withColumn("units", T.utf16_length(F.col("flat")))
+    flat = materialise(flat, "lines")
+    empty = flat.where("flat = ''").select(*ident, F.lit("").alias("translated"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("alone"))
+    # in requests of many
+    short = packed_groups(flat.where((F.col("flat") != "") & (F.col("units") <= limit)), key, order, "flat", limit)
+    by_place = F.array_sort(F.collect_list(F.struct(*(F.col(c) for c in order), F.col("flat"))))
+    grouped = short.groupBy(*key, "batch_id").agg(by_place.alias("place"))  # a request: limit units at most
+    grouped = grouped.select(*key, "place", F.array_join(F.col("place.flat"), "\n").alias("message"))
+    replies = materialise(_sent(grouped, "message", translator, target_lang, *key, "place"), "replies")
+    lines = F.split("reply", "\n", -1)
+    fits = F.size(lines) == F.size("place")
+    each = F.explode(F.transform("place", lambda p, i: F.struct(*(p[c].alias(c) for c in order), p["flat"].alias("flat"), F.when(fits, T.utrim(F.get(lines, i))).alias("line"))))
+    placed = replies.select(*key, "error", each.alias("x")).select(*key, *(F.col(f"x.{c}").alias(c) for c in order), "x.flat", F.col("x.line").alias("translated"), "error")
+    done = placed.where("translated is not null or error is not null").select(*ident, "translated", "error", F.lit(False).alias("alone"))
+    # again, one by one
+    again = _sent(placed.where("translated is null and error is null"), "flat", translator, target_lang, *ident).select(*ident, F.col("reply").alias("translated"), "error", F.lit(True).alias("alone"))
+    parts = long_parts(flat.where(F.col("units") > limit), "flat", limit)
+    long_ = _sent(parts, "part_text", translator, target_lang, *ident, "part")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "reply"))), lambda x: x["reply"]), "")
+    long_ = long_.groupBy(*ident).agg(F.when(F.max("error").isNull(), whole).alias("translated"), F.max("error").alias("error")).withColumn("alone", F.lit(False))
+    return done.unionByName(again).unionByName(long_).unionByName(empty)
+
+
 #: Adds ``detected``, the language of each row's text, to rows with text.
 Detector = Callable[[DataFrame], DataFrame]
 

@@ -289,3 +289,34 @@ def test_first_anchored(spark):
     rows = spark.createDataFrame(pd.DataFrame({"k": 1, "event_id": range(6), "ts": [t0 + pd.Timedelta(milliseconds=m) for m in (0, 30, 49, 50, 60, 200)]}))
     got = incremental.first_anchored(rows, ["k"], 50).orderBy("event_id").collect()
     assert [r["batch_id"] for r in got] == [0, 0, 0, 1, 1, 2]
+
+
+def test_merged_lines_are_asked_for_again_alone(spark):
+    """A translator that loses lines, one that fails, texts with line ends, long and empty ones: every text has its answer or its error."""
+    texts = ["one", "two\n  lines", "", "four", None, "Long sentence here. " * 80, "bad", "last", "  x  "]
+    rows = spark.createDataFrame([(k, i, t) for k in ("a", None) for i, t in enumerate(texts)], "k string, i long, t string")
+    asked = spark.sparkContext.accumulator(0)
+
+    def loses(text, lang):
+        asked.add(1)
+        if text == "bad":
+            raise RuntimeError("429")
+        return " ".join(f"<{lang}>{x}" for x in text.split("\n"))
+
+    got = bilingual.translate_by_lines(rows, ["k"], ["i"], "t", loses, "fr").collect()
+    assert len(got) == 18
+    of = {(r["k"], r["i"]): r for r in got}
+    for k in ("a", None):
+        assert [of[k, i]["translated"] for i in (0, 1, 2, 3, 4, 7, 8)] == ["<fr>one", "<fr>two lines", "", "<fr>four", "", "<fr>last", "<fr>x"]
+        assert [of[k, i]["alone"] for i in range(9)] == [True, True, False, True, False, False, True, True, True]
+        assert of[k, 5]["translated"].count("Long sentence here.") == 80 and of[k, 5]["translated"].count("<fr>") == 2
+        assert (of[k, 6]["translated"], of[k, 6]["error"]) == (None, "429")
+    # a whole reply needs no second request; a failed one is its rows' error
+    keeps = lambda text, lang: "\n".join(f" {x}! " for x in text.split("\n"))
+    whole = {r["i"]: (r["translated"], r["alone"]) for r in bilingual.translate_by_lines(rows.where("k = 'a' and i in (0, 1, 3)"), ["k"], ["i"], "t", keeps, "fr").collect()}
+    assert whole == {0: ("one!", False), 1: ("two lines!", False), 3: ("four!", False)}
+
+    def fails(text, lang):
+        raise RuntimeError("no")
+
+    assert {(r["translated"], r["error"], r["alone"]) for r in bilingual.translate_by_lines(rows.where("i in (0, 1)"), ["k"], ["i"], "t", fails, "fr").collect()} == {(None, "no", False)}
