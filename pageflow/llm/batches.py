@@ -51,6 +51,17 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_portions(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", setup: Callable[[], object] | None = None) -> DataFrame:
     """mapInArrow over portions of batches. setup() runs once a task and its result is passed to f."""
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageflow.llm.batches import held, id_and_text, map_portions, portions
+from pageflow.llm.batches import free_names, held, id_and_text, map_portions, portions
 from pageflow.session import materialise, ship
 
 BITS, SHARED_BYTES = 3, 5
@@ -46,6 +46,8 @@ AT_ONCE = 200_000
 #: keep_one: texts of a block and their shingles, texts of the sample that tells common shingles, and how many are told.
 #: The sample is a part of the texts between bounds.
 BLOCK, BLOCK_SHINGLES, TOLD, TOLD_MOST, TOLD_PART, COMMON = 512, 800_000, 8192, 200_000, 16, 400_000
+#: Bytes of the texts of small components in one group, about.
+GROUP_BYTES = 4_000_000
 #: Pairs are listed for shingles of so many texts at most. Shingles of so many texts of the sample are long, and dealt to all tasks.
 LIGHT, LONG, SALTED = 256, 3, 8
 #: Texts of so many shingles about, and smaller ones, are found by two long shingles together.
@@ -570,8 +572,11 @@ def _likeness_links(texts: DataFrame, rows: DataFrame, words_each: int, least: F
     groups = materialise(groups.join(named, "sid"), "op4-groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"), _blocks(F.count("*"), F.sum("size")).alias("blocks"))
     members = groups.join(sizes, "root").join(texts.select("tk", "text").join(groups.select("tk"), "tk", "left_semi").groupBy("tk").agg(F.first("text").alias("text")), "tk")
-    members = materialise(members.select("sid", "root", "size", "n", "blocks", "text"), "op4-members")
-    together = max(1, groups.count() // BLOCK)
+    members = materialise(members.select("sid", "root", "size", "n", "blocks", "text", F.octet_length("text").alias("bytes")), "op4-members")
+    # small components share a task's group as far as their number and their bytes allow
+    small = members.where("blocks = 1").agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    members = members.drop("bytes")
+    together = max(1, small[0] // BLOCK, -(-small[1] // GROUP_BYTES))
     whole = members.where("blocks = 1").select("sid", "text", "root", F.lit(None).cast("int").alias("side"), F.pmod(F.xxhash64("root"), F.lit(together)).alias("g"))
     out = [_compared(whole, ["g"], words_each, least)]
     large = members.where("blocks > 1")
@@ -601,6 +606,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     Texts whose sets of ``words_each``-word shingles have a Jaccard likeness of ``least`` or more are linked, and links
     carry on. Of an id's rows in one group the one with the smallest hash of its text stays, of rows of equal id and
     text the first by their columns; rows of one id in different groups all stay, and so do different texts without an id.
+    An empty table gives an empty one. Columns of any names are kept as they are.
     """
     ship(docs.sparkSession)
     texts = id_and_text(docs, id_col, text_col).withColumn("tk", F.xxhash64("text"))
@@ -611,12 +617,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     each = rows.groupBy("doc_id", "tk").agg(F.first("sid").alias("sid"), F.count("*").alias("n"))
     each = each.join(classes, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     first = each.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "tk", "n")).alias("w"))
-    first = materialise(first.select(F.col("w.doc_id").alias("__doc"), F.col("w.tk").alias("__text"), F.col("w.n").alias("__n")), "op4-first")
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__tk": F.xxhash64(F.col(text_col).cast("string"))})
+    first = materialise(first.select(F.col("w.doc_id").alias("kept_id"), F.col("w.tk").alias("kept_text"), F.col("w.n").alias("kept_n")), "op4-first")
+    own_id, own_text = free_names(docs, "own_id", "own_text")
+    keyed = docs.withColumns({own_id: F.col(id_col).cast("long"), own_text: F.xxhash64(F.col(text_col).cast("string"))})
 
     def those(chosen: DataFrame) -> DataFrame:
-        return keyed.join(chosen, (F.col("__tk") == F.col("__text")) & F.col("__id").eqNullSafe(F.col("__doc")), "left_semi")
+        return keyed.join(chosen, (keyed[own_text] == chosen["kept_text"]) & keyed[own_id].eqNullSafe(chosen["kept_id"]), "left_semi")
 
     row = F.struct(*docs.columns)
-    repeated = those(first.where("__n > 1")).groupBy("__id", "__tk").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
-    return those(first.where("__n = 1")).select(*docs.columns).unionByName(repeated)
+    repeated = those(first.where("kept_n > 1")).groupBy(own_id, own_text).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return those(first.where("kept_n = 1")).select(*docs.columns).unionByName(repeated)

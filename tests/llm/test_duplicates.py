@@ -229,6 +229,16 @@ def test_keep_one_finds_every_near_copy(spark, monkeypatch, salted):
     assert sorted(r["doc_id"] for r in op4_simhash.keep_one(docs).collect()) == want
 
 
+def test_keep_one_leaves_columns_of_any_name_alone(spark):
+    text = " ".join(f"x{i}" for i in range(40))
+    rows = [(1, text, 11, "a", "k", 5), (2, text + " end", 12, "b", "l", 6), (3, None, 13, "c", "m", 7), (4, None, 14, "d", "n", 8), (5, "", 15, "e", "o", 9), (1, text, 10, "a", "k", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id int, __tk string, Own_ID string, kept_n int")
+    got = sorted(tuple(r) for r in op4_simhash.keep_one(docs).collect())
+    assert got[0] == (1, text, 10, "a", "k", 5) and all(r in rows for r in got)
+    assert {r[0] for r in got} >= {1, 3} and 2 not in {r[0] for r in got}
+    assert op4_simhash.keep_one(docs.limit(0)).columns == docs.columns and op4_simhash.keep_one(docs.limit(0)).collect() == []
+
+
 def test_keep_one_with_repeated_and_missing_ids(spark):
     texts = [" ".join(f"{k}x{i}" for i in range(60)) for k in "abcdef"]
     near = texts[0] + " end"
