@@ -126,26 +126,31 @@ def tag_encode(texts: Column) -> Column:
 CLOSED = '(?s)<t id="(\\d{1,9})">(.*?)</t>'
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once: inside a lambda a column is computed again for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def tag_decode(texts: Column, reply: Column) -> Column:
     """The reply's texts by number: the last of several counts, numbers out of range don't; an unclosed last tag fills an empty slot; what is missing or an explanation gives the source."""
     ids, bodies = F.regexp_extract_all(reply, F.lit(CLOSED), F.lit(1)), F.regexp_extract_all(reply, F.lit(CLOSED), F.lit(2))
-    pairs = F.reverse(F.arrays_zip(ids.alias("id"), bodies.alias("body")))
     tail = '(?s)^.*<t id="(\\d{1,9})">(.+)\\z'
     tail_id, tail_body = F.regexp_extract(reply, tail, 1), F.regexp_extract(reply, tail, 2)
+    parts = F.struct(F.reverse(ids.cast("array<int>")).alias("ids"), F.reverse(bodies).alias("bodies"), tail_id.alias("tail_id"), tail_body.alias("tail_body"))
 
-    def slot(source: Column, i: Column) -> Column:
-        closed = utrim(F.coalesce(F.get(F.filter(pairs, lambda p: p["id"].cast("int") == i), F.lit(0))["body"], F.lit("")))
-        found = F.when((closed == "") & (tail_id != "") & (tail_id.cast("int") == i), utrim(tail_body)).otherwise(closed)
+    def slot(source: Column, i: Column, p: Column) -> Column:
+        closed = utrim(F.coalesce(F.get(p["bodies"], (F.array_position(p["ids"], i) - 1).cast("int")), F.lit("")))
+        found = F.when((closed == "") & (p["tail_id"] != "") & (p["tail_id"].cast("int") == i), utrim(p["tail_body"])).otherwise(closed)
         return F.when((found == "") | is_explanation(source, found), source).otherwise(found)
 
     alone = F.transform(texts, lambda t: F.when(is_explanation(t, utrim(reply)), t).otherwise(utrim(reply)))
-    return F.when(F.size(texts) == 1, alone).otherwise(F.transform(texts, slot))
+    return F.when(F.size(texts) == 1, alone).otherwise(_bound(parts, lambda p: F.transform(texts, lambda t, i: slot(t, i, p))))
 
 
 def placed_results(texts: Column, reply: Column) -> Column:
     """An array of (pos, source, translated): lines of a reply by their places; if their number differs, translated is null and each text is sent again alone."""
-    lines = line_decode(texts, reply)
-    return F.transform(texts, lambda t, i: F.struct(i.cast("int").alias("pos"), t.alias("source"), F.get(lines, i).alias("translated")))
+    place = lambda lines: F.transform(texts, lambda t, i: F.struct(i.cast("int").alias("pos"), t.alias("source"), F.get(lines, i).alias("translated")))
+    return _bound(line_decode(texts, reply), place)
 
 
 def first_translation(body: Column) -> Column:
