@@ -20,6 +20,7 @@ from pageflow.operators import batching, blocks, cache, spread
 from pageflow.operators import rules as rule_ops
 from pageflow.operators.cache_store import CacheStore
 from pageflow.operators.extract import RESULT_CLASS, extract_blocks
+from pageflow.operators.nodes import node_blocks
 from pageflow.plans import bilingual
 from pageflow.sources import rules as rule_text
 from pageflow.sources import settings
@@ -563,6 +564,12 @@ def extract_blocks_query(spark, d):
     return extract_blocks(table(spark, d, "pages")).select("page_id", "block_ord", "text")
 
 
+@query("node_blocks", f"with {DUCK_BLOCKS} select page_id, block_ord, text from blocks")
+def node_blocks_query(spark, d):
+    """The same blocks, every decision a column of the table of nodes."""
+    return node_blocks(table(spark, d, "pages")).select("page_id", "block_ord", "text")
+
+
 @query("bilingual_pages", f"with {DUCK_BLOCKS} select page_id, block_ord, text as source, '[fr] ' || text as translated, 'done' as status, case when {units('text')} <= 40 then 'inline' else 'break' end as layout from blocks")
 def bilingual_pages(spark, d):
     """The flagship: pages to the bilingual table, in one stage without a shuffle."""
