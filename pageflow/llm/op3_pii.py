@@ -8,8 +8,8 @@ rows, and written variants of the four kinds set in their surroundings, with num
 Every kind of span holds a mark: a digit, an at sign or an at in brackets. A window without any would decode to no span
 under that constraint, so overlapping windows are laid over the stretches around marks, wherever in a text they stand.
 Each window is decoded; the spans of all windows of a text are then reconciled globally: those cut by an inner edge of a
-window give way to the neighbour's, which has them whole up to LONGEST characters, each must hold what its kind needs
-(form, check digits, number ranges), and of overlapping ones the set with the greatest sum of window scores stays. Added
+window give way to the neighbour's, which has them whole up to LONGEST characters; one that does not hold what its kind needs
+(form, check digits, number ranges) grows to the run of its form around it that does, or goes; and of overlapping ones the set with the greatest sum of window scores stays. Added
 spans that overlap base spans go.
 
 Null and empty texts have no spans. Repeated rows get repeated results, null ids are kept, extra columns are not read;
@@ -105,6 +105,19 @@ def plausible(kind: str, s: str) -> bool:
     return kind == "email" or 10 <= len(d) <= 15 and sum(not c.isdigit() for c in s) >= 2
 
 
+def whole(kind: str, text: str, a: int, b: int) -> Span:
+    """A span that the model found: as it is if it holds what its kind needs, else the run of its kind's form, or of a card's, around it that does."""
+    if plausible(kind, text[a:b]):
+        return kind, a, b
+    low = max(0, a - LONGEST)
+    near = text[low : b + LONGEST]
+    for k in dict.fromkeys((kind, "card") if kind != "email" else (kind,)):
+        for m in _LOOSE[k].finditer(near):
+            if m.start() < b - low and m.end() > a - low and plausible(k, m[0]):
+                return k, low + m.start(), low + m.end()
+    return kind, a, b
+
+
 # --- the model
 #: Characters with an input of their own: printable ASCII; then other letters, digits, spaces, the rest, padding.
 ALPHABET, PAD = 95 + 4, 99
@@ -267,11 +280,11 @@ def written(kind: str, rng) -> str:
     if kind == "ip":
         return pick(".", ".", " . ", "[.]", "(.)", "[.]").join(str(rng.integers(0, 256)) for _ in range(4))
     if kind == "card":
-        body = pick("4", "5", "37", "6011")
-        body += d(15 - len(body))
+        groups = pick((4, 4, 4, 4), (4, 4, 4, 4), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3))
+        body = d(sum(groups) - 1)
         body += next(c for c in "0123456789" if luhn(body + c))
-        sep = pick("", " ", "-", ".", "_", "/", "  ")
-        return sep.join(body[i : i + 4] for i in range(0, 16, 4))
+        sep = pick("", " ", "-", ".", ".", "_", "_", "/", "/", "  ")
+        return sep.join(body[sum(groups[:i]) : sum(groups[: i + 1])] for i in range(len(groups)))
     three, four = lambda: pick("2", "3", "4", "5", "6", "7", "8", "9") + d(2), lambda: d(4)
     area, mid, end = three(), three(), four()
     return pick(f"+1 ({area}) {mid}-{end}", f"({area}) {mid}-{end}", f"({area}) {mid} {end}", f"{area}-{mid}-{end}", f"{area}.{mid}.{end}", f"{area} {mid} {end}", f"({area}){mid}-{end}", f"1-{area}-{mid}-{end}", f"+49 {area} {mid} {end}", f"0{d(2)} {d(4)} {d(4)}", f"00{d(2)} {area} {d(3)} {d(4)}", f"0{d(3)}/{d(7)}", f"0{d(3)}-{d(3)}-{d(4)}", f"{area}/{mid}-{end}")
@@ -415,7 +428,7 @@ def find_spans(texts: list[str | None], model: Tagger, at_once: int = 512) -> li
                     b += 1
                 if b == WINDOW and s + b < size or a == 0 and s > 0:
                     continue  # an inner edge cuts it; the next window has it whole
-                found.setdefault(i, []).append((float(margin[a:b, n].mean()), KINDS[kind], s + a, s + b))
+                found.setdefault(i, []).append((float(margin[a:b, n].mean()), *whole(KINDS[kind], texts[i], s + a, s + b)))
     out = []
     for i, t in enumerate(texts):
         added = reconcile(t, found[i], base[i]) if i in found else []
@@ -459,7 +472,10 @@ def masked(text: str | None, spans: list[Span]) -> str | None:
 
 
 def mask_column(docs: DataFrame, model: Tagger, text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
-    """docs with the personal data of a text column masked, all other columns kept; count_col, if there, is counted anew."""
+    """docs with the personal data of a text column masked, all other columns kept; count_col, if there, is counted anew.
+
+    Null texts stay null with a null count, empty ones empty with 0; repeated rows and null ids stay; an empty table gives none.
+    """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)

@@ -91,26 +91,47 @@ HELD_OUT = {
     "card": ["4111.1111.1111.1111", "4111_1111_1111_1111", "5500/0000/0000/0004", "3782.822463.10005", "6011  1111  1111  1117"],
     "phone": ["(555) 555-1234", "555-123-4567", "020 7946 0958", "1-800-555-0199", "0049 170 1234567", "212.555.0147", "(0)30 1234 5678"],
 }
+#: A second set, written before the forms of training were widened and not looked at for it.
+UNSEEN = {
+    "email": ["mia.k [at] example.com", "t-j(at)lab.example.org", "ned @ example.com", "ola[at]firm[dot]com", "pat_q (at) example.co.uk"],
+    "ip": ["127 . 0 . 0 . 1", "10[.]20[.]30[.]40", "198(.)51(.)100(.)7", "192.0 . 2.33", "100 [.] 64 [.] 0 [.] 1"],
+    "card": ["4242.4242.4242.4242", "5555_5555_5555_4444", "3714/496353/98431", "6011.0009.9013.9424", "4012  8888  8888  1881", "3056.930902.5904", "5105/1051/0510/5100"],
+    "phone": ["(212) 555-0123", "646-555-0188", "0171 234 5678", "1-888-555-0101", "0033 1 2345 6789", "415.555.0132", "(0)89 4321 8765"],
+}
+AROUND_UNSEEN = ["My number or address is {} and it has not changed.", "Reference {} was noted on the form; see the annex.", "{} is what they wrote on the envelope.", "Ask for it (it reads {}) at the front office today."]
 AROUND = ["Please write to {} before Monday or ask at the desk.", "The old record says {} and nothing else was found, said the clerk.", "contact: {}\nThanks", "We saw {}, then it was gone again last night in the town."]
 NUMBERS = ["The war of 1914-1918 cost 1,234,567 lives.", "Room 12, seats 4 5 6 7, price $12.50 on 2024-05-01 10:22:33", "pi is 3.14159265 and e 2.71828182", "call 911 now, id 1234567890123456", "section 4.2.1, page 33 of 512, lines 10-20", "scores: 12, 7, 33, 4, 90, 118", "a[0] and b(1) at [12], see @home"]
 
 
-def test_held_out_forms(tagger):
+@pytest.mark.parametrize("forms, surroundings", [(HELD_OUT, AROUND), (UNSEEN, AROUND_UNSEEN)])
+def test_held_out_forms(tagger, forms, surroundings):
     """Recall by kind of spans exactly as written, and precision over the same texts and texts with other numbers."""
     right = added = 0
-    for kind, values in HELD_OUT.items():
+    for kind, values in forms.items():
         hit = 0
         for value in values:
-            for around in AROUND:
+            for around in surroundings:
                 text = around.format(value)
                 base, spans = op3_pii.find_spans([text], tagger)[0]
                 at = text.index(value)
                 hit += (kind, at, at + len(value)) in spans
                 added += len(spans) - len(base)
         right += hit
-        assert hit >= 0.5 * len(values) * len(AROUND), kind
+        assert hit >= (0.9 if kind == "card" else 0.5) * len(values) * len(surroundings), kind
     added += sum(len(a) - len(b) for b, a in op3_pii.find_spans(NUMBERS, tagger))
-    assert right >= 0.75 * added
+    assert right >= 0.9 * added
+
+
+def test_found_spans_are_made_whole():
+    text = "seen: 5500/0000/0000/0004, then 12 (212) 555-0123 and 5500/0000/0000/0005"
+    at, end = text.index("5500"), text.index(",")
+    assert op3_pii.whole("card", text, at, at + 9) == op3_pii.whole("phone", text, at, end) == ("card", at, end)  # 16 digits are no phone number
+    a = text.index("(212)")
+    assert op3_pii.whole("phone", text, a, a + 14) == ("phone", a, a + 14)  # what holds its form stays as it is
+    b = text.rindex("5500")
+    assert op3_pii.whole("card", text, b, b + 9) == ("card", b, b + 9) and not op3_pii.plausible("card", text[b : b + 9])
+    assert op3_pii.whole("email", text, 0, 4) == ("email", 0, 4)
+    assert op3_pii.whole("card", "1" * 500, 200, 209) == ("card", 200, 209)
 
 
 def test_windows_hold_every_span():
