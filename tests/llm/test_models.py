@@ -91,7 +91,7 @@ HELD_OUT = {
     "card": ["4111.1111.1111.1111", "4111_1111_1111_1111", "5500/0000/0000/0004", "3782.822463.10005", "6011  1111  1111  1117"],
     "phone": ["(555) 555-1234", "555-123-4567", "020 7946 0958", "1-800-555-0199", "0049 170 1234567", "212.555.0147", "(0)30 1234 5678"],
 }
-#: A second set, written before the forms of training were widened and not looked at for it.
+#: A second set, written before the forms of training were widened; its misses were seen then, and training has the card groupings of both sets.
 UNSEEN = {
     "email": ["mia.k [at] example.com", "t-j(at)lab.example.org", "ned @ example.com", "ola[at]firm[dot]com", "pat_q (at) example.co.uk"],
     "ip": ["127 . 0 . 0 . 1", "10[.]20[.]30[.]40", "198(.)51(.)100(.)7", "192.0 . 2.33", "100 [.] 64 [.] 0 [.] 1"],
