@@ -12,6 +12,7 @@ from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +20,7 @@ from pyspark.sql.window import Window
 
 from pageflow.config import REQUEST_CHARS
 from pageflow.functions.text import sentences, utf16_length
-from pageflow.session import materialise, ship
+from pageflow.session import materialise, portions, ship
 
 
 def fixed_batches(rows: DataFrame, key: list[str], order: list[str], size: int) -> DataFrame:
@@ -86,8 +87,15 @@ def packed_groups(rows: DataFrame, key: list[str], order: list[str], text: str,
     return greedy_batches(rows, key, order, None, limit, utf16_length(F.col(text)) + 1)
 
 
+#: Bytes of texts whose sentences a task holds as Python's strings at once, about.
+PORTION = 2_000_000
+
+
 def long_parts(rows: DataFrame, text: str, limit: int = REQUEST_CHARS) -> DataFrame:
-    """rows exploded to part and part_text: whole sentences up to ``limit`` characters; a longer sentence is cut hard."""
+    """rows exploded to part and part_text: whole sentences up to ``limit`` characters; a longer sentence is cut hard.
+
+    Memory: an Arrow batch of rows, and the sentences and parts of about PORTION bytes of texts, one text at least.
+    """
     ship(rows.sparkSession)
 
     def cut(pieces: list[str]) -> list[str]:
@@ -96,7 +104,8 @@ def long_parts(rows: DataFrame, text: str, limit: int = REQUEST_CHARS) -> DataFr
             u = p.encode("utf-16-le", "surrogatepass")
             while len(u) > 2 * limit:
                 if now:
-                    parts, now, units = [*parts, now], "", 0
+                    parts.append(now)
+                    now, units = "", 0
                 head = u[: 2 * limit]
                 if 0xD8 <= head[-1] <= 0xDB:  # never half a character
                     head = head[:-2]
@@ -109,8 +118,16 @@ def long_parts(rows: DataFrame, text: str, limit: int = REQUEST_CHARS) -> DataFr
             now, units = now + u.decode("utf-16-le"), units + n
         return [*parts, now] if now else parts
 
-    @F.pandas_udf("array<string>")
-    def parts(pieces: pd.Series) -> pd.Series:
-        return pieces.map(lambda p: cut(list(p)) if p is not None else [])
+    kept = len(rows.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in portions(batch, batch.schema.names[kept + 1], PORTION):
+                parts = [cut(p) if p else [] for p in some.column(kept).to_pylist()]
+                row = pa.array([i for i, x in enumerate(parts) for _ in x], pa.int64())
+                place = pa.array([n for x in parts for n in range(len(x))], pa.int32())
+                texts = pa.array([t for x in parts for t in x], pa.string())
+                yield pa.RecordBatch.from_arrays([*(some.column(c).take(row) for c in range(kept)), place, texts], [*batch.schema.names[:kept], "part", "part_text"])
 
-    return rows.select(*rows.columns, F.posexplode(parts(sentences(F.col(text)))).alias("part", "part_text"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType(), False), T.StructField("part_text", T.StringType())])
+    return rows.select("*", sentences(F.col(text)).alias("_pieces"), F.octet_length(text).alias("_bytes")).mapInArrow(run, schema)

@@ -320,3 +320,20 @@ def test_merged_lines_are_asked_for_again_alone(spark):
         raise RuntimeError("no")
 
     assert {(r["translated"], r["error"], r["alone"]) for r in bilingual.translate_by_lines(rows.where("i in (0, 1)"), ["k"], ["i"], "t", fails, "fr").collect()} == {(None, "no", False)}
+
+
+def test_long_parts_hold_texts_by_their_bytes(spark):
+    import pyarrow as pa
+
+    from pageflow.session import portions
+
+    rows = spark.createDataFrame([(i, "Some words. " * n) for i, n in enumerate([0, 300, 1, 500, 200])] + [(9, None)], "id long, text string").coalesce(1)
+    parts = batching.long_parts(rows, "text")
+    # a pandas function would get all sentences of a batch of rows as objects at once
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    assert parts.columns == ["id", "text", "part", "part_text"]
+    got = parts.groupBy("id").agg(F.sum(F.length("part_text")).alias("n"), F.max("part").alias("last")).orderBy("id").collect()
+    assert [(r["id"], r["n"], r["last"]) for r in got] == [(1, 3600, 3), (2, 12, 0), (3, 6000, 6), (4, 2400, 2)]
+    sizes = pa.RecordBatch.from_pydict({"n": [5, 5, None, 20, 1]})
+    assert [x.num_rows for x in portions(sizes, "n", 10)] == [3, 1, 1]
