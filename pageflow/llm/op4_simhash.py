@@ -391,9 +391,11 @@ def _postings(texts: DataFrame, words_each: int, least: Fraction, told: Told, bu
     return texts.select("text").mapInArrow(run, "bucket int, h binary, sid binary, size binary, long binary, kind binary")
 
 
-PAIR, STAR, CENTRE = range(3)
-FOUND = "kind int, a long, b long, n int, size int, long int"
-Found = tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+LIST, STAR, CENTRE = range(3)
+FOUND = "kind int, a long, b long, times int, sids array<long>, sizes array<int>, longs array<int>"
+FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
+#: kind, a, b, and of lists how many keys have each and the members' sids, sizes and long shingles, a row a list.
+Found = tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _stars(group: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -405,7 +407,7 @@ def _stars(group: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _joint_postings(h: np.ndarray, sid: np.ndarray, size: np.ndarray, long: np.ndarray, kind: np.ndarray, least: Fraction) -> Iterator[Found]:
-    """Columns of FOUND from a bucket's postings: counted pairs of short lists, stars of others, and centres of keys dealt to all tasks."""
+    """Columns of FOUND from a bucket's postings: the different short lists, stars of others, and centres of keys dealt to all tasks."""
     by = np.lexsort((sid, h))
     h, sid, size, long, kind = (x[by] for x in (h, sid, size.astype(np.int64), long, kind))
     new = np.ones(len(h), bool)
@@ -414,35 +416,14 @@ def _joint_postings(h: np.ndarray, sid: np.ndarray, size: np.ndarray, long: np.n
     start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     count = np.diff([*start, len(h)])
     tallied = kind[start] == TALLIED
-    p, q = least.numerator, least.denominator
-    small = _level(np.maximum(size, 1), least) <= int(_level(SMALL, least))
-    kept: list[tuple[np.ndarray, ...]] = []
-    total = 0
-
-    def counted() -> Found:
-        a, b, z, w = (np.concatenate(x) for x in zip(*kept))
-        by = np.lexsort((b, a))
-        a, b, z, w = a[by], b[by], z[by], w[by]
-        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        return PAIR, a[first], b[first], np.diff([*first, len(a)]), z[first], w[first]
-
     for m in range(2, LIGHT + 1):
         runs = start[(count == m) & tallied]
-        x, y = np.triu_indices(m, 1)
-        step = max(1, PAIRS // len(x))
-        for i in range(0, len(runs), step):
-            a, b = ((runs[i : i + step, None] + v).ravel() for v in (x, y))
-            fits = (size[a] * q >= size[b] * p) & (size[b] * q >= size[a] * p)
-            a, b = a[fits], b[fits]
-            # two small sets meet by two keys at once, if long shingles are among them
-            kept.append((sid[a], sid[b], np.minimum(size[a], size[b]), np.where(small[a] & small[b], 0, np.minimum(long[a], long[b]))))
-            total += len(a)
-            if total >= PAIRS:
-                yield counted()
-                kept, total = [], 0
-    if total:
-        yield counted()
-    none = lambda a: (np.zeros(len(a)),) * 3
+        if len(runs):
+            at = runs[:, None] + np.arange(m)
+            lists, first, times = np.unique(sid[at], axis=0, return_index=True, return_counts=True)
+            at = at[first]
+            yield LIST, lists[:, 0], lists[:, 1], times, lists, size[at], long[at]
+    empty = lambda a: (np.zeros(len(a)), *(np.zeros((len(a), 0), np.uint64),) * 3)
     # tallied keys that have turned out long: texts of like size
     many = np.flatnonzero((count > LIGHT) & tallied)
     if len(many):
@@ -452,21 +433,61 @@ def _joint_postings(h: np.ndarray, sid: np.ndarray, size: np.ndarray, long: np.n
         by = np.lexsort((sid[at], level, run))
         at, run, level = at[by], run[by], level[by]
         a, b = _stars(run * 1000 + level, sid[at])
-        yield STAR, a, b, *none(a)
+        yield STAR, a, b, *empty(a)
     linked = kind != TALLIED
     if linked.any():
         a, b = _stars(h[linked], sid[linked])
-        yield STAR, a, b, *none(a)
+        yield STAR, a, b, *empty(a)
     dealt = start[kind[start] == DEALT]
     if len(dealt):
-        yield CENTRE, h[dealt], sid[dealt], *none(dealt)
+        yield CENTRE, h[dealt], sid[dealt], *empty(dealt)
+
+
+def _listed_pairs(batches: Iterator[pa.RecordBatch], least: Fraction) -> Iterator[tuple[np.ndarray, ...]]:
+    """a, b, n, size and long of the pairs of like size of lists, counted over as many lists as give some PAIRS pairs."""
+    p, q = least.numerator, least.denominator
+    most = int(_level(SMALL, least))
+    kept: list[tuple[np.ndarray, ...]] = []
+    total = 0
+
+    def counted() -> tuple[np.ndarray, ...]:
+        a, b, n, z, w = (np.concatenate(x) for x in zip(*kept))
+        by = np.lexsort((b, a))
+        a, b, n, z, w = a[by], b[by], n[by], z[by], w[by]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        return a[first], b[first], np.add.reduceat(n, first), z[first], w[first]
+
+    for batch in batches:
+        times, offsets = batch.column("times").to_numpy(), batch.column("sids").offsets.to_numpy()
+        flat = lambda c: batch.column(c).values.to_numpy()
+        sid, size, long = flat("sids").view(np.uint64), flat("sizes").astype(np.int64), flat("longs")
+        small = _level(np.maximum(size, 1), least) <= most
+        count = np.diff(offsets)
+        for m in np.unique(count).tolist():
+            lists = np.flatnonzero(count == m)
+            x, y = np.triu_indices(m, 1)
+            step = max(1, PAIRS // len(x))
+            for i in range(0, len(lists), step):
+                some = lists[i : i + step]
+                a, b = ((offsets[some][:, None] + v).ravel() for v in (x, y))
+                n = np.repeat(times[some].astype(np.int64), len(x))
+                fits = (size[a] * q >= size[b] * p) & (size[b] * q >= size[a] * p)
+                a, b, n = a[fits], b[fits], n[fits]
+                # two small sets meet by two keys at once, if long shingles are among them
+                kept.append((sid[a], sid[b], n, np.minimum(size[a], size[b]), np.where(small[a] & small[b], 0, np.minimum(long[a], long[b]))))
+                total += len(a)
+                if total >= PAIRS:
+                    yield counted()
+                    kept, total = [], 0
+    if total:
+        yield counted()
 
 
 def _may_be_near(texts: DataFrame, rows: DataFrame, words_each: int, least: Fraction) -> DataFrame:
     """Edges (a, b) between sets; every near pair lies within one component of these.
 
     Fingerprints give the closest pairs. Of the shingles, pairs are listed for those of few sets, filtered by size and
-    by the tally of shared prefix members. The sets of a long shingle (small sets: of two shingles) are linked to the
+    by the tally of shared prefix members; shingles of the same sets are one list, and lists go by their smallest member. The sets of a long shingle (small sets: of two shingles) are linked to the
     smallest among those of like size, so no list grows by squares. Keys of very common shingles are dealt to all tasks,
     and their centres are linked in one more step.
     """
@@ -480,13 +501,22 @@ def _may_be_near(texts: DataFrame, rows: DataFrame, words_each: int, least: Frac
             for row in b.to_pylist():
                 blobs.setdefault(row["bucket"], []).append(row)
         for rows_ in blobs.values():
-            for kind, *columns in _joint_postings(*(np.frombuffer(b"".join(r[k] for r in rows_), t) for k, t in POSTINGS.items()), least):
-                a, b, *small = columns
-                arrays = [np.full(len(a), kind, np.int32), a.view(np.int64), b.view(np.int64), *(x.astype(np.int32) for x in small)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["kind", "a", "b", "n", "size", "long"])
+            for kind, a, b, times, *members in _joint_postings(*(np.frombuffer(b"".join(r[k] for r in rows_), t) for k, t in POSTINGS.items()), least):
+                n, m = members[0].shape
+                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * m)
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (members[0].view(np.int64), *(x.astype(np.int32) for x in members[1:]))]
+                arrays = [pa.array(x) for x in (np.full(n, kind, np.int32), a.view(np.int64), b.view(np.int64), times.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*arrays, *lists], FOUND_NAMES)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, n, size, long in _listed_pairs(batches, least):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), b.view(np.int64), *(x.astype(np.int32) for x in (n, size, long)))], ["a", "b", "n", "size", "long"])
 
     found = materialise(_postings(texts, words_each, least, told, buckets).repartitionById(buckets, "bucket").mapInArrow(join, FOUND), "op4-found")
-    pairs = found.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("size").alias("size"), F.min("long").alias("long"))
+    # lists of one group of near copies mostly have one smallest member, so most of a pair's counts are added up in one task
+    lists = found.where(F.col("kind") == LIST).select("a", "times", "sids", "sizes", "longs").repartition("a").sortWithinPartitions("a")
+    pairs = lists.mapInArrow(tally, "a long, b long, n int, size int, long int")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("size").alias("size"), F.min("long").alias("long"))
     pairs = pairs.where("n >= greatest(1, greatest(2, size div 25) - long)").select("a", "b")  # _shared, but for long ones
     stars = found.where(F.col("kind") == STAR).select("a", "b")
     centres = found.where(F.col("kind") == CENTRE).select(F.col("a").alias("h"), F.col("b").alias("a"))

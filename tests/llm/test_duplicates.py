@@ -1,3 +1,4 @@
+from fractions import Fraction
 import random
 import re
 import unicodedata
@@ -248,3 +249,40 @@ def test_keep_one_with_repeated_and_missing_ids(spark):
     assert [g for g in got if g[0] > 0] == [(4, 5), (7, 6), (7, 7), (8, 8)]
     none = [n for i, n in got if i < 0]
     assert len(none) == 2 and none[0] in (0, 1) and none[1] == 2
+
+
+def test_shared_shingles_give_few_rows_a_pair():
+    """A pair's rows don't grow with the buckets that its shared shingles are dealt to: lists of one smallest member meet again."""
+    import pyarrow as pa
+
+    from pageflow.llm import op4_simhash as O
+
+    rng, least, rows, want = np.random.default_rng(5), Fraction(4, 5), [], {}
+    for sids in rng.integers(1, 2**60, (40, 5)).astype(np.uint64):
+        sids.sort()
+        for _ in range(30):  # keys of a group of near copies: all of it, or without one member
+            have = np.delete(sids, rng.integers(0, 5)) if rng.random() < 0.3 else sids
+            rows.append((rng.integers(0, 2**60), have))
+            for i, a in enumerate(have.tolist()):
+                for b in have.tolist()[i + 1 :]:
+                    want[a, b] = want.get((a, b), 0) + 1
+    lists = []
+    for bucket in range(64):
+        some = [(h, s) for h, s in rows if h % 64 == bucket]
+        if some:
+            sid = np.concatenate([s for _, s in some])
+            h = np.repeat(np.array([h for h, _ in some], np.uint64), [len(s) for _, s in some])
+            full = lambda x, t: np.full(len(sid), x, t)
+            for kind, a, b, times, sids, sizes, longs in O._joint_postings(h, sid, full(100, np.int32), full(0, np.int32), full(O.TALLIED, np.uint8), least):
+                assert kind == O.LIST
+                lists += zip(a.tolist(), times.tolist(), sids.view(np.int64).tolist(), sizes.tolist(), longs.tolist())
+    lists.sort()
+    names, kinds = ["times", "sids", "sizes", "longs"], [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    batch = pa.RecordBatch.from_arrays([pa.array([x[i + 1] for x in lists], k) for i, k in enumerate(kinds)], names)
+    got, pairs = {}, 0
+    for a, b, n, _, _ in O._listed_pairs(iter([batch.slice(0, 100), batch.slice(100)]), least):
+        pairs += len(a)
+        for x, y, m in zip(a.tolist(), b.tolist(), n.tolist()):
+            got[x, y] = got.get((x, y), 0) + m
+    assert got == want
+    assert pairs <= 1.1 * len(want)
