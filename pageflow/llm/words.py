@@ -7,9 +7,11 @@ the pieces of a word are independent too. Any other tokenizer gets whole texts.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
+from operator import add
 
 import numpy as np
 
@@ -79,29 +81,37 @@ class WordIds:
 
     def _learn(self, words: set[bytes]) -> None:
         """Give new words, or their pieces, to the library."""
-        simple, cut, hard, known = self.simple.fullmatch, [], [], self.pieces
+        simple, hard, known = self.simple.fullmatch, [], self.pieces
         if len(known) > self.PIECES:
             known.clear()
-        new: set[str] = set()
-        for word in words:
-            s = word.decode()
-            if not s.isascii() and not simple(s) or self.marks in s and any(t in s for t in self.special):
+        keys = list(words)
+        text = b"\n".join(keys).decode()  # words hold no line end
+        written = text.split("\n")
+        plain = text.isascii()
+        special = any(t in text for t in self.special)
+        alone, alone_piece, signed, signed_piece, sign, cut = [], [], [], [], [], []
+        for word, s in zip(keys, written):
+            if not plain and not s.isascii() and not simple(s) or special and self.marks in s and any(t in s for t in self.special):
                 hard.append(word)
                 continue
             # letters, or letters and one common sign, are what the pattern finds most
             s = s.lower()
             if s.isalpha():
-                ps = (s,)
-            elif s[-1] in ".,;:|" and s[:-1].isalpha():
-                ps = (s[:-1], s[-1])
+                alone.append(word)
+                alone_piece.append(s)
+            elif s[-1] in ".,;:|" and (head := s[:-1]).isalpha():
+                signed.append(word)
+                signed_piece.append(head)
+                sign.append(s[-1])
             else:
-                ps = self.pattern.findall(s)
-            cut.append((word, ps))
-            for p in ps:
-                if p not in known:
-                    new.add(p)
+                cut.append((word, self.pattern.findall(s)))
+        new = {*alone_piece, *signed_piece, *sign, *(p for _, ps in cut for p in ps)}
+        new.difference_update(known)
         fresh = list(new)
         known.update(zip(fresh, self._library_pieces(fresh)))
+        get = known.__getitem__
+        self.words.update(zip(alone, map(get, alone_piece)))
+        self.words.update(zip(signed, map(add, map(get, signed_piece), map(get, sign))))
         for word, ps in cut:
             self.words[word] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
         self.words.update(zip(hard, self._library([w.decode() for w in hard])))
@@ -110,6 +120,16 @@ class WordIds:
         """Ids of each text as bytes of ``dtype``."""
         if self.pattern is None:
             return self._library([t or "" for t in texts])
+        # a portion's many small objects hold no cycles, so the collector would only walk them again and again
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._by_word(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _by_word(self, texts: list[str | None]) -> list[bytes]:
         split = [t.encode().split() if t else () for t in texts]  # at ASCII white space
         if len(self.words) > self.WORDS:
             self.words.clear()

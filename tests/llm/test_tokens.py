@@ -168,3 +168,33 @@ def test_huffman_files(docs, none, sample):
         assert [r[1] for r in got] == [0, *np.cumsum([len(x) for x in ids]).tolist()[:-1]]
         assert [r[2:] for r in got] == [(len(x), zlib.crc32(x.tobytes())) for x in ids]
     assert op7_huffman.read_ids(op7_huffman.write_ids(none, WORDS)).count() == 0
+
+
+def test_word_ids_learn_without_the_collector(none):
+    import gc
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from pageflow.llm.words import WordIds
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, library = WordIds(path), Tokenizer.from_file(path)
+    texts = ["Plain words, signs; and&&& $$$ mixed9 x.", "Ä$$$ größe, İstanbul ﬁn été <s> a<|endoftext|>b |", None, "", " \n\t ", "word " * 3 + "ΑΣ Σ. 你好, 😀;"]
+    ran, before = [], gc.callbacks[:]
+    gc.callbacks.append(lambda phase, info: ran.append(phase))
+    old = gc.get_threshold()
+    gc.set_threshold(1)
+    try:
+        ran.clear()
+        own._learn({f"w{i}x".encode() for i in range(10)})
+        assert ran  # alone it is collected
+        learn, seen = own._learn, []
+        own._learn = lambda words: (ran.clear(), learn(words), seen.append(list(ran)))
+        got = own.encode(texts)
+    finally:
+        gc.set_threshold(*old)
+        gc.callbacks[:] = before
+    assert seen == [[]] and gc.isenabled()
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, own.dtype).tolist() for x in got] == want
