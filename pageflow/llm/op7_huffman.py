@@ -229,15 +229,16 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_ids(tokenizer_path)
-        end, counts = np.array([end_id], own.dtype).tobytes(), np.zeros(0, np.int64)
+        counts, size = np.zeros(0, np.int64), np.dtype(own.dtype).itemsize
         for batch in batches:
             for part in portions(batch):
-                ids = [x + end for x in own.encode(part.column("text").to_pylist())]
-                seen = np.bincount(np.frombuffer(b"".join(ids), own.dtype))
+                ids, starts = own.coded(part.column("text"), end_id)
+                seen = np.bincount(ids)
                 if len(seen) > len(counts):
                     counts, seen = seen, counts
                 counts[: len(seen)] += seen
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.list_(pa.int64()))], ["doc_id", "ids", "counts"])
+                cut = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(starts * size), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), cut, pa.nulls(len(part), pa.list_(pa.int64()))], ["doc_id", "ids", "counts"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tolist()], pa.list_(pa.int64()))], ["doc_id", "ids", "counts"])
 
     return docs.mapInArrow(run, "doc_id long, ids binary, counts array<long>")

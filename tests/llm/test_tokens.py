@@ -198,3 +198,36 @@ def test_word_ids_learn_without_the_collector(none):
     assert seen == [[]] and gc.isenabled()
     want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, own.dtype).tolist() for x in got] == want
+
+
+def test_words_are_cut_by_class_of_bytes(monkeypatch):
+    """Plain words are known by their pieces, whatever signs, digits and capitals they come with; ids stay the library's."""
+    import pyarrow as pa
+
+    from pageflow.llm import words
+
+    letters = ["plain", "größe", "été", "ärger", "þorn"]
+    texts = [f"{w}{a}{b}" for w in letters for w in (w, w.title(), w.upper()) for a in ("", ".", "***", "9") for b in ("", "&&", "77", "-" + w)]
+    own, seen = words.WordIds(WORDS), []
+    learn = own._learn
+    own._learn = lambda new: (seen.extend(new), learn(new))
+    want = [x.tolist() for x in library_ids([" ".join(texts)])]
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode([" ".join(texts)])] == want
+    assert len(seen) == len(set(seen)) < 20  # words, digits and runs of signs
+    # contractions, special strings, signs among marked letters, other scripts, controls; stretches end within texts, slices begin within
+    rng = random.Random(4)
+    signs = list("abZ ÀÞß×÷ÿñĀİŉǅ'\"<|.9\t\n\r\x0b\x0c\x1c\x7f\x85　你Σς🙂") + ["é", "'S", "'ll", "<|endoftext|>", "<|EndOfText|>", "  "]
+    texts = [None if rng.random() < 0.05 else "".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(1500)]
+    want = [[*x.tolist(), 2] for x in library_ids(texts)]
+    for stretch in (1, 100, 4_000_000):
+        monkeypatch.setattr(words, "STRETCH", stretch)
+        column = pa.array(["first", *texts, "last"]).slice(1, len(texts))
+        ids, starts = words.WordIds(WORDS).coded(column, 2)
+        assert [ids[x:y].tolist() for x, y in zip(starts, starts[1:])] == want
+    ids, starts = own.coded(column.slice(0, 0), 2)
+    assert len(ids) == 0 and starts.tolist() == [0]
+    # what is remembered is bounded, and forgetting changes nothing
+    own.KNOWN = 10
+    monkeypatch.setattr(words, "STRETCH", 100)
+    ids, starts = own.coded(column, 2)
+    assert [ids[x:y].tolist() for x, y in zip(starts, starts[1:])] == want and len(own.known) < 150
