@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from pageflow.llm.batches import id_and_text, portions
-from pageflow.llm.words import word_ids
+from pageflow.llm.words import WordIds, word_ids
 from pageflow.session import ship
 
 #: Fill levels of a window; a document of so many levels may give its head to end a window.
@@ -160,20 +160,23 @@ def _batch(placed: list[tuple[Piece, int, int]]) -> pa.RecordBatch:
     )
 
 
+def pack_batches(batches: Iterator[pa.RecordBatch], own: WordIds, end_id: int, packer: SumOfSquares) -> Iterator[pa.RecordBatch]:
+    """A task's pieces. Texts stay in their column; a document's ids are a part of its portion's."""
+    for batch in batches:
+        for part in portions(batch):
+            placed = []
+            ids, starts = own.coded(part.column("text"), end_id)
+            for doc_id, x, y in zip(part.column("doc_id").to_pylist(), starts.tolist(), starts[1:].tolist()):
+                placed += packer.add(doc_id, ids[x:y].copy())  # an open window holds its own ids only
+            yield _batch(placed)
+    yield _batch(list(packer.close()))
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece; ids are little-endian unsigned 32-bit. sequence_id: the task's number times 2^32, counted up."""
     ship(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = word_ids(tokenizer_path)
-        end = np.array([end_id], own.dtype)
-        packer = SumOfSquares(window, TaskContext.get().partitionId() << 32)
-        for batch in batches:
-            for part in portions(batch):
-                placed = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), own.encode(part.column("text").to_pylist())):
-                    placed += packer.add(doc_id, np.concatenate([np.frombuffer(ids, own.dtype), end]))
-                yield _batch(placed)
-        yield _batch(list(packer.close()))
+        return pack_batches(batches, word_ids(tokenizer_path), end_id, SumOfSquares(window, TaskContext.get().partitionId() << 32))
 
     return id_and_text(docs, id_col, text_col).mapInArrow(pack, SCHEMA)

@@ -231,3 +231,23 @@ def test_words_are_cut_by_class_of_bytes(monkeypatch):
     monkeypatch.setattr(words, "STRETCH", 100)
     ids, starts = own.coded(column, 2)
     assert [ids[x:y].tolist() for x, y in zip(starts, starts[1:])] == want and len(own.known) < 150
+
+
+def test_packing_keeps_texts_in_their_column():
+    """No text becomes an object of Python's; what stays open holds its own documents' ids only."""
+    import pyarrow as pa
+
+    from pageflow.llm.words import WordIds
+
+    own, texts = WordIds(WORDS), [None, "", *noise(300, 5), "word " * 9000]
+    own.encode = None
+    packer = op2_packing.SumOfSquares(4096)
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    made = op2_packing.pack_batches(iter([batch.slice(0, 100), batch.slice(100)]), own, 2, packer)
+    first = next(made)
+    assert all(len(x if x.base is None else x.base) == n for level in packer.open for _, pieces in level for _, _, x, n in pieces)
+    rows = sorted((r["doc_id"], r["start"], r["ids"]) for b in [first, *made] for r in b.to_pylist())
+    got = {}
+    for i, _, ids in rows:
+        got[i] = got.get(i, b"") + ids
+    assert [got[i] for i in range(len(texts))] == [np.append(x, 2).astype("<u4").tobytes() for x in library_ids(texts)]
