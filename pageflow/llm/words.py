@@ -58,8 +58,8 @@ def split(values: pa.BinaryArray) -> list[bytes]:
 
 
 class WordIds:
-    #: Distinct pieces and whole words that a worker remembers.
-    KNOWN = 1_200_000
+    #: Distinct pieces and whole words that a worker remembers, and their bytes: words without spaces between are long.
+    KNOWN, KNOWN_BYTES = 1_200_000, 64_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -77,6 +77,7 @@ class WordIds:
         self.ends_word = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
+        self.known_bytes = 0
         self.classes = byte_classes(self.pattern.pattern if self.pattern else "", self.special)
         # letters without combining marks and with context-free lower case
         self.simple = re.compile("[\x21-\x7eÀ-įı-ɏ]+")
@@ -117,6 +118,7 @@ class WordIds:
     def _learn(self, words: set[bytes]) -> None:
         """Give new words, or their pieces, to the library."""
         simple, known = self.simple.fullmatch, self.known
+        self.known_bytes += sum(map(len, words))
         letters = self.classes[0x61] == LETTER  # a run of letters is a piece
         keys = list(words)
         text = b"\n".join(keys).decode()  # words hold no line end
@@ -203,8 +205,9 @@ class WordIds:
         at, keys = np.flatnonzero(new), keys[solid]
         ends = np.append(np.cumsum(solid, dtype=np.int32)[at] - 1, len(keys)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(keys)]).dictionary_encode()
-        if len(self.known) > self.KNOWN:
+        if len(self.known) > self.KNOWN or self.known_bytes > self.KNOWN_BYTES:
             self.known.clear()
+            self.known_bytes = 0
         different = split(pieces.dictionary)
         found = list(map(self.known.get, different))
         if lacking := [k for k, ids in enumerate(found) if ids is None]:

@@ -251,3 +251,14 @@ def test_packing_keeps_texts_in_their_column():
     for i, _, ids in rows:
         got[i] = got.get(i, b"") + ids
     assert [got[i] for i in range(len(texts))] == [np.append(x, 2).astype("<u4").tobytes() for x in library_ids(texts)]
+
+
+def test_long_words_are_forgotten_by_their_bytes():
+    from pageflow.llm.words import WordIds
+
+    own = WordIds(WORDS)
+    own.KNOWN_BYTES = 50_000
+    texts = [f"{i}{'你好世界' * 50} don't{i}" for i in range(400)]
+    for k in range(0, len(texts), 20):
+        assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts[k : k + 20])] == [x.tolist() for x in library_ids(texts[k : k + 20])]
+    assert sum(map(len, own.known)) < 80_000
