@@ -314,6 +314,33 @@ def test_bounds_hold():
             assert top <= op1_covertree.pair_bound(a, x, b, y)
 
 
+def test_vectors_without_clusters_are_multiplied_in_large_blocks(monkeypatch):
+    rng, blocks, meet = np.random.default_rng(6), [], op1_covertree.Best.meet
+    monkeypatch.setattr(op1_covertree.Best, "meet", lambda self, q, rows, r, at: (blocks.append((rows.stop - rows.start) * (at.stop - at.start)), meet(self, q, rows, r, at))[1])
+    x = rng.normal(size=(12_000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True))
+    trees = [op1_covertree.Tree.unpack(op1_covertree.Tree.build(np.arange(i, j), x[i:j]).pack()) for i, j in ((0, 500), (0, 6000), (6000, 12_000))]
+    best = op1_covertree.Best(500, 5, np.full(500, -np.inf))
+    for refs in trees[1:]:
+        op1_covertree.dual_search(trees[0], refs, best)
+    for i, v, scores, ids in zip(trees[0].ids, trees[0].rows, best.score, best.id):
+        assert sorted(zip((-(x @ v)).tolist(), range(12_000)))[1:6] == list(zip((-scores).tolist(), ids.tolist())), i
+    assert len(blocks) < 50 and np.mean(blocks) > 100_000
+
+
+def test_a_task_gives_its_best_only(spark, monkeypatch):
+    monkeypatch.setattr(op1_covertree, "CHUNK", 100)
+    monkeypatch.setattr(op1_covertree, "GROUP", 20)
+    given, meet = [], op1_covertree._meet
+    monkeypatch.setattr(op1_covertree, "_meet", lambda *x: given.append(meet(*x)) or given[-1])
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(3000)]
+    rows += [(3000 + i, rows[0][1]) for i in range(400)]  # copies of one vector, in several chunks
+    got = {tuple(r) for r in op1_covertree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()}
+    assert got == brute([(i, np.float32(v).tolist()) for i, v in rows], lambda i: i % 50 == 0)
+    assert given[0].count() <= 68 * 5 * 10  # of 17 chunks a cell, two or more are met by a task
+
+
 # --- pipeline
 def test_pipeline(spark, sf, sample):
     import corpus_pipeline as p
