@@ -50,7 +50,7 @@ SAMPLE, CELLS, MOST_CELLS, CHUNK, GROUP, LEAF, TOGETHER = 4096, 32, 1024, 65_536
 CHUNK_SIZE, GROUP_SIZE = 1 << 22, 1 << 18
 #: Children of a tree's node, rows of queries and of vectors that are multiplied at once, rows between two leaves that are
 #: multiplied with them sooner than passed over.
-FAN, TILE, ACROSS, GAP = 16, 512, 2048, 256
+FAN, TILE, ACROSS, GAP = 16, 512, 1024, 256
 #: Partitions of a meeting at most.
 MOST_TASKS = 8000
 LARGEST = 1 << 20
@@ -204,40 +204,50 @@ class Best:
 
     def meet(self, queries: Tree, rows: slice, refs: Tree, at: slice) -> None:
         for i in range(rows.start, rows.stop, TILE):
+            mine = slice(i, min(i + TILE, rows.stop))
+            worst, found, many = self.worst[mine], [], 0  # a view: put raises it
             for j in range(at.start, at.stop, ACROSS):
-                mine, theirs = slice(i, min(i + TILE, rows.stop)), slice(j, min(j + ACROSS, at.stop))
-                product = self.products(queries, mine, refs, theirs)
-                top, worst, ids = product.max(axis=1), self.worst[mine], refs.ids[theirs]
+                theirs = slice(j, min(j + ACROSS, at.stop))
+                product, ids = self.products(queries, mine, refs, theirs), refs.ids[theirs]
+                top = product.max(axis=1)
                 hit = top > worst
                 if (even := top == worst).any():  # a tie counts if its id can be smaller
                     hit |= even & (ids.min() < self.id[mine, -1])
                 if hit.any():
                     hit = np.flatnonzero(hit)
-                    self.put(hit + i, queries.ids[hit + i], product[hit], ids)
-
-    def put(self, at: np.ndarray, own: np.ndarray, product: np.ndarray, ids: np.ndarray) -> None:
-        """product: of the queries at these places, whose ids are own, with vectors of these ids."""
+                    found.append(self.candidates(hit + i, product[hit], ids))
+                    many += len(found[-1][0])
+                    if many > self.k * len(worst):
+                        self.put(queries, found)
+                        found, many = [], 0
+            if found:
+                self.put(queries, found)
+
+    def candidates(self, at: np.ndarray, product: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """product: of the queries at these places with vectors of these ids. Places, scores and ids of all that can count, ties included."""
         # in the products' type: rounding keeps the order
         least = np.maximum(self.worst[at], np.finfo(product.dtype).min).astype(product.dtype)
         counts = product >= least[:, None]
-        many = np.flatnonzero(np.count_nonzero(counts, axis=1) > 4 * self.k)  # all that can count, ties with the kth included
+        many = np.flatnonzero(np.count_nonzero(counts, axis=1) > 4 * self.k)
         if len(many) and (k := self.k + self.own[at[many]].max()) <= len(ids):
             least[many] = np.maximum(least[many], np.partition(product[many], -k, axis=1)[:, -k])
             counts[many] = product[many] >= least[many, None]
         who, which = np.nonzero(counts)
-        score, id_ = product[who, which].astype(np.float64), ids[which]
-        new = ((score > self.score[at[who], -1]) | (id_ < self.id[at[who], -1])) & (id_ != own[who])
+        return at[who], product[who, which], ids[which]
+
+    def put(self, queries: Tree, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        at, score, id_ = (np.concatenate(x) for x in zip(*found))
+        new = ((score > self.score[at, -1]) | (id_ < self.id[at, -1])) & (id_ != queries.ids[at])
         if not new.any():
             return
-        who = who[new]  # ascending
-        other = np.concatenate([[True], who[1:] != who[:-1]])
-        at, n, k = at[who[other]], np.count_nonzero(other), self.k
-        whose = np.concatenate([np.repeat(np.arange(n), k), np.cumsum(other) - 1])
-        score, id_ = np.concatenate([self.score[at].ravel(), score[new]]), np.concatenate([self.id[at].ravel(), id_[new]])
-        by = np.lexsort((id_, -score, whose))
-        by = by[np.searchsorted(whose[by], np.arange(n))[:, None] + np.arange(k)]
-        self.score[at], self.id[at] = score[by], id_[by]
-        self.worst[at] = np.maximum(self.score[at, -1], self.floor[at])
+        changed = np.unique(at[new])
+        at = np.concatenate([np.repeat(changed, self.k), at[new]])
+        score = np.concatenate([self.score[changed].ravel(), score[new].astype(np.float64)])
+        id_ = np.concatenate([self.id[changed].ravel(), id_[new]])
+        by = np.lexsort((id_, -score, at))
+        by = by[np.searchsorted(at[by], changed)[:, None] + np.arange(self.k)]
+        self.score[changed], self.id[changed] = score[by], id_[by]
+        self.worst[changed] = np.maximum(self.score[changed, -1], self.floor[changed])
 
 
 def dual_search(queries: Tree, refs: Tree, best: Best) -> None:
@@ -524,14 +534,11 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
     own_before = dict(zip(own_stripes, accumulate((groups_in[c] * x for c, x in own_stripes.items()), initial=0)))
 
     def to_pairs(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[dict] = []
-            for g in b.to_pylist():
-                c, number = g["cell"], g["group"]
-                if first:
-                    at = own_before[c] + number * own_stripes[c]
-                    out += [{"cell": home[c], "chunk": i, "task": at + i // side, "queries": g["queries"], "worst": None} for i in range(in_cell[home[c]])]
-                    continue
+        for g in (b.slice(i, 1).to_pylist()[0] for b in batches for i in range(b.num_rows)):
+            c, number = g["cell"], g["group"]
+            if first:
+                at, told, wanted = own_before[c] + number * own_stripes[c], None, [(home[c], 0)]
+            else:
                 known = dict(zip(g["known_ids"] or [], g["known_worst"] or []))
                 worst = np.array([known.get(i, -np.inf) for i in g["ids"]])
                 centre, lowest = np.array(g["centre"]), worst.min()
@@ -539,13 +546,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
                 bound = centres[full] @ centre + g["radius"] * norms[full] + away * size + g["radius"] * away + 1e-12 * (g["radius"] + size) * (norms[full] + away) + 1e-3
                 told = f"{g['queries']}.{TaskContext.get().taskAttemptId()}.worst"
                 write_whole(told, [worst.astype("<f8").tobytes()])
-                at = (groups_before[c] + number) // side * stripes
-                out += [{"cell": d, "chunk": i, "task": at + (before[d] + i) // side, "queries": g["queries"], "worst": told} for d, x in zip(full, bound.tolist()) if x >= lowest and d != home[c] for i in range(in_cell[d])]
+                at, wanted = (groups_before[c] + number) // side * stripes, [(d, before[d]) for d, x in zip(full, bound.tolist()) if x >= lowest and d != home[c]]
+            out = [{"cell": d, "chunk": i, "task": at + (start + i) // side, "queries": g["queries"], "worst": told} for d, start in wanted for i in range(in_cell[d])]
             yield pa.RecordBatch.from_pylist(out, schema=PAIRS)
 
     schema = "cell int, chunk int, task long, queries string, worst string"
     near = sum(m * in_cell[home[c]] for c, m in groups_in.items() if home)
-    own = _best_of(_meet(groups.mapInArrow(lambda it: to_pairs(it, True), schema), chunks, k, near), k).select("query_id", "vec_id", "score")
+    own = _best_of(_meet(groups.select("cell", "group", "queries").mapInArrow(lambda it: to_pairs(it, True), schema), chunks, k, near), k).select("query_id", "vec_id", "score")
     own = materialise(own, "op1-own")
     kth = own.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("have")).where(F.col("have") >= k)
     # the worst known score of each query goes to its group: as many rows as queries, by group
