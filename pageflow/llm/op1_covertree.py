@@ -2,16 +2,19 @@
 
 Vectors become integers, floor(scale * x). A cover tree over a bounded sample (at most SAMPLE vectors) gives at most
 CELLS centres, or more for many vectors; every vector goes to its nearest centre, and a cell of many vectors is cut into
-chunks by a hash of the id, so that no task holds more than about CHUNK of them. In each chunk a cover tree is built and
+chunks by a hash of the id, of about CHUNK of them at most. In each chunk a cover tree is built and
 stored with its vectors as a file of the shared folder. Queries are grouped in the same way, with trees of their own.
 What is shuffled between groups and chunks are names; tasks read the trees they need.
 
 First each query group meets the chunks of its own cell, which gives every query k scores and the group its worst kth.
 A cell whose bound for a group (centres and covering radii, by Cauchy-Schwarz) lies under that worst score is pruned
 for the whole group. On the chunks of the cells that are left, both trees descend together, and a pair of nodes is
-pruned when its bound lies under the worst kth score of the queries below the query node. What is left at the leaves is
-multiplied out in float64, which is exact below 2^53. Ties go to the smaller id and are never pruned (only lower bounds
-are). A query's results from all chunks meet in one window.
+pruned when its bound lies under the worst kth score of the queries below the query node. Leaves that are left are
+multiplied out, together with those beside them that are left too, in blocks: where vectors have no clusters little is
+pruned, and the work is that of a matrix product. It is in float32 if norms are small enough for exact sums (below 2^24),
+else in float64 (below 2^53). A task meets some groups with some chunks, one after another; the worst scores rise as it goes,
+and it gives k rows for each query at its end. Ties go to the smaller id and are never pruned (only lower bounds are). A
+query's results from all tasks meet in one window.
 
 Vectors with components for which float64 sums might not be exact (beyond +-LARGEST after scaling, or less if there are
 very many dimensions) stay out of the trees: they meet all others block by block, and what float64 cannot rule out is
